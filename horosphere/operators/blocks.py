@@ -54,12 +54,16 @@ def table_stats(msgs: DataFrame) -> DataFrame:
 def block_and_table_stats(blocks: DataFrame) -> DataFrame:
     """B2 and B3 in one aggregation pass (``GROUPING SETS ((block_id), ())``).
 
-    The total row has ``block_id`` NULL.
+    ``scope`` is ``'block'`` or ``'total'``; the total row has ``block_id`` -1.
     """
-    return (blocks.groupingSets([["block_id"], []], "block_id")
-            .agg(F.min("created_at").alias("start_ts"), F.max("created_at").alias("end_ts"),
-                 F.count(F.lit(1)).alias("num_messages"),
-                 F.countDistinct("event").alias("num_events")))
+    g = (blocks.groupingSets([["block_id"], []], "block_id")
+         .agg(F.grouping_id().alias("_gid"),
+              F.min("created_at").alias("start_ts"), F.max("created_at").alias("end_ts"),
+              F.count(F.lit(1)).alias("num_messages"),
+              F.countDistinct("event").alias("num_events")))
+    return (g.withColumn("scope", F.when(F.col("_gid") == 0, F.lit("block")).otherwise("total"))
+            .withColumn("block_id", F.coalesce(F.col("block_id"), F.lit(-1).cast("bigint")))
+            .drop("_gid"))
 
 
 def get_block(blocks: DataFrame, name: str) -> DataFrame:

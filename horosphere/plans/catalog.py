@@ -423,7 +423,8 @@ def q_scores_per_block(spark, sf):
 
 def per_run(pts):
     """Rows replicated once per run (a fixed parameter), as a generator."""
-    return pts.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).cast("bigint"))
+    runs = F.sequence(F.lit(0).cast("bigint"), F.lit(RUNS - 1).cast("bigint"))
+    return pts.withColumn("run", F.explode(runs))
 
 
 def run_centers(pts):
@@ -512,13 +513,13 @@ def q_update_rule(spark, sf):
 
 def q_stream_daily_blocks(spark, sf):
     from horosphere.streaming.blocks import stream_daily_counts
-    return stream_daily_counts(spark, f"{sf}/events.parquet")
+    return stream_daily_counts(spark, sf, "events.parquet")
 
 
 def q_stream_assign(spark, sf):
     from horosphere.streaming.blocks import stream_assign
     cen = label_centroids(spark, sf)
-    return stream_assign(spark, f"{sf}/embeddings.parquet", cen).select("vec_id", "pred")
+    return stream_assign(spark, sf, cen, files="embeddings.parquet").select("vec_id", "pred")
 
 
 def queries() -> dict:

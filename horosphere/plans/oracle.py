@@ -277,7 +277,9 @@ def oracle_sql() -> dict:
     q["table_stats"] = f"""WITH {MSGS} SELECT count(*) AS num_messages,
         count(DISTINCT event) AS num_events, min(created_at) AS first_ts,
         max(created_at) AS last_ts FROM msgs"""
-    q["block_table_stats"] = f"""WITH {BLOCKS} SELECT block_id, min(created_at) AS start_ts,
+    q["block_table_stats"] = f"""WITH {BLOCKS} SELECT COALESCE(block_id, -1) AS block_id,
+        CASE WHEN grouping(block_id) = 0 THEN 'block' ELSE 'total' END AS scope,
+        min(created_at) AS start_ts,
         max(created_at) AS end_ts, count(*) AS num_messages, count(DISTINCT event) AS num_events
         FROM blocks GROUP BY GROUPING SETS ((block_id), ())"""
     q["block_fetch"] = f"WITH {BLOCKS} SELECT msg_id, created_at, event FROM blocks WHERE block_name = 'M3'"
@@ -388,7 +390,7 @@ def oracle_sql() -> dict:
     q["cluster_sizes"] = f"""WITH {NEAREST}, s AS (SELECT pred, count(*) AS n FROM nearest GROUP BY pred)
         SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size FROM s"""
     ibk = f"""{LABEL_MEANS},
-        ks AS (SELECT cluster AS k FROM lm WHERE cluster >= 2),
+        ks AS (SELECT cluster + 1 AS k FROM lm WHERE cluster >= 1),
         kd AS (SELECT ks.k, e.vec_id, min({sqd('e.v', 'lm.center')}) AS d
                FROM ks, e, lm WHERE lm.cluster < ks.k GROUP BY ALL),
         ik AS (SELECT k, sum(d) AS inertia FROM kd GROUP BY k)"""

@@ -54,21 +54,29 @@ def _run_to_table(spark: SparkSession, q: DataFrame, name: str, mode: str = "app
     return spark.read.schema(q.schema).parquet(out)
 
 
-def stream_daily_counts(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
-    """K4 end to end: stream a Parquet folder/file, write closed days to Parquet."""
-    src = spark.readStream.schema(EVENT_SCHEMA).parquet(path)
+def _source(spark: SparkSession, folder: str, schema: T.StructType, files: str | None):
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if files:
+        r = r.option("pathGlobFilter", files)
+    return r.parquet(folder)
+
+
+def stream_daily_counts(spark: SparkSession, folder: str, files: str | None = None,
+                        delay: str = "1 hour") -> DataFrame:
+    """K4 end to end: stream Parquet files of a folder, write closed days to Parquet."""
+    src = _source(spark, folder, EVENT_SCHEMA, files)
     return _run_to_table(spark, daily_counts(src, delay=delay), "daily")
 
 
-def stream_assign(spark: SparkSession, path: str, centers: DataFrame, vec: str = "embedding",
-                  schema: T.StructType | None = None) -> DataFrame:
+def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str = "embedding",
+                  schema: T.StructType | None = None, files: str | None = None) -> DataFrame:
     """K5: assign streamed vectors to fixed centres (stateless, per micro-batch)."""
     from horosphere.operators.clustering import assign_nearest
     sch = schema or T.StructType([
         T.StructField("vec_id", T.LongType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("label", T.IntegerType())])
-    src = spark.readStream.schema(sch).parquet(path)
+    src = _source(spark, folder, sch, files)
     x = src.select("vec_id", F.transform(vec, lambda t: t.cast("double")).alias("v"))
     out = assign_nearest(x, centers, "v", out="pred")
     return _run_to_table(spark, out, "assign")
