@@ -4,7 +4,9 @@ Poincare ball and hyperboloid (Lorentz) model, curvature ``c`` and the
 numerical guards of the original formulas kept exactly: norms are floored
 at ``eps`` (1e-5), artanh arguments clamped to +-(1 - 1e-7), the ball radius
 is (1 - 1e-5)/sqrt(c), hyperboloid arccosh arguments floored at 1 + eps.
-All math runs in double; inputs may be float arrays.
+All math runs in double (float inputs are promoted by the arithmetic).
+Arguments should be column references: a nested call repeats its
+argument's expression, so chain operators through separate ``select``s.
 
 Every function also has a SQL twin through ``register_sql_functions`` so SQL
 users can call ``poincare_distance(a, b)`` etc.
@@ -17,8 +19,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from horosphere.functions.vectors import (as_double, col_, dot, head, lincomb, norm, scale,
-                                          sqdist, sqnorm, tail)
+from horosphere.functions.vectors import col_, dot, head, lincomb, norm, scale, sqdist, sqnorm, tail
 
 # Fixed values of the reference formulas.
 EPS = 1e-5            # norm floor, denominator floor, hyperboloid acosh floor
@@ -42,7 +43,6 @@ def artanh(x) -> Column:
 
 def poincare_exp0(v, c: float = 1.0, eps: float = EPS) -> Column:
     """H2: tanh(sqrt(c)|v|) v / (sqrt(c)|v|), |v| floored at eps."""
-    v = as_double(v)
     sc = F.lit(math.sqrt(c))
     n = F.greatest(norm(v), F.lit(eps))
     return scale(v, F.tanh(sc * n) / (sc * n))
@@ -53,7 +53,6 @@ poincare_exp = poincare_exp0  # the general exp map ignores its base point
 
 def poincare_log0(y, c: float = 1.0, eps: float = EPS) -> Column:
     """H3: artanh(sqrt(c)|y|) y / (sqrt(c)|y|)."""
-    y = as_double(y)
     sc = F.lit(math.sqrt(c))
     n = F.greatest(norm(y), F.lit(eps))
     return scale(y, artanh(sc * n) / (sc * n))
@@ -61,7 +60,6 @@ def poincare_log0(y, c: float = 1.0, eps: float = EPS) -> Column:
 
 def mobius_add(x, y, c: float = 1.0, eps: float = EPS) -> Column:
     """H4: Mobius addition x (+) y, denominator floored at eps."""
-    x, y = as_double(x), as_double(y)
     cc = F.lit(float(c))
     x2, y2, xy = sqnorm(x), sqnorm(y), dot(x, y)
     ax = F.lit(1.0) + F.lit(2.0) * cc * xy + cc * y2
@@ -73,7 +71,7 @@ def mobius_add(x, y, c: float = 1.0, eps: float = EPS) -> Column:
 def poincare_distance(x, y, c: float = 1.0, eps: float = EPS) -> Column:
     """H5: (2/sqrt(c)) artanh(sqrt(c) |(-x) (+) y|)."""
     sc = math.sqrt(c)
-    diff = mobius_add(scale(as_double(x), -1.0), y, c, eps)
+    diff = mobius_add(scale(x, -1.0), y, c, eps)
     n = F.greatest(norm(diff), F.lit(eps))
     return F.lit(2.0 / sc) * artanh(F.lit(sc) * n)
 
@@ -81,15 +79,14 @@ def poincare_distance(x, y, c: float = 1.0, eps: float = EPS) -> Column:
 def poincare_project(x, c: float = 1.0, max_norm: float = 1.0 - BALL_MARGIN,
                      eps: float = EPS) -> Column:
     """H6: rescale onto radius max_norm/sqrt(c) when outside it."""
-    x = as_double(x)
     n = F.greatest(norm(x), F.lit(eps))
     m = F.lit(max_norm / math.sqrt(c))
-    return F.when(n > m, scale(x, m / n)).otherwise(x)
+    x = col_(x)
+    return F.when(n > m, scale(x, m / n)).otherwise(x.cast("array<double>"))
 
 
 def poincare_distance_acosh(x, y, c: float = 1.0) -> Column:
     """H7: (1/sqrt(c)) arccosh(1 + 2c|x-y|^2 / ((1-c|x|^2)(1-c|y|^2) + 1e-10))."""
-    x, y = as_double(x), as_double(y)
     cc = F.lit(float(c))
     den = (F.lit(1.0) - cc * sqnorm(x)) * (F.lit(1.0) - cc * sqnorm(y))
     inner = F.lit(1.0) + F.lit(2.0) * cc * sqdist(x, y) / (den + F.lit(ACOSH_FLOOR))
@@ -101,7 +98,6 @@ def poincare_distance_acosh(x, y, c: float = 1.0) -> Column:
 
 def minkowski_dot(x, y) -> Column:
     """H8: -x0 y0 + sum_{i>0} xi yi."""
-    x, y = as_double(x), as_double(y)
     return -head(x) * head(y) + dot(tail(x), tail(y))
 
 
@@ -112,7 +108,6 @@ def minkowski_norm(x, eps: float = EPS) -> Column:
 
 def hyperboloid_exp0(v, c: float = 1.0, eps: float = EPS) -> Column:
     """(cosh(|v|/sqrt(c)), sinh(|v|/sqrt(c)) v/|v|); d -> d+1 components."""
-    v = as_double(v)
     sc = F.lit(math.sqrt(c))
     n = F.greatest(norm(v), F.lit(eps))
     return F.concat(F.array(F.cosh(n / sc)), scale(v, F.sinh(n / sc) / n))
@@ -120,7 +115,6 @@ def hyperboloid_exp0(v, c: float = 1.0, eps: float = EPS) -> Column:
 
 def hyperboloid_log0(y, c: float = 1.0, eps: float = EPS) -> Column:
     """arccosh(max(y0, 1+eps)) sqrt(c) space/|space|; d+1 -> d."""
-    y = as_double(y)
     space = tail(y)
     sn = F.greatest(norm(space), F.lit(eps))
     factor = F.acosh(F.greatest(head(y), F.lit(1.0 + eps))) * F.lit(math.sqrt(c))
@@ -135,7 +129,6 @@ def hyperboloid_distance(x, y, c: float = 1.0, eps: float = EPS) -> Column:
 
 def hyperboloid_project(x, c: float = 1.0) -> Column:
     """Time component recomputed as sqrt(1/c + |space|^2)."""
-    x = as_double(x)
     space = tail(x)
     return F.concat(F.array(F.sqrt(F.lit(1.0 / c) + sqnorm(space))), space)
 
@@ -168,7 +161,7 @@ def clamp_to_ball(mean, c: float = 1.0) -> Column:
     mean = col_(mean)
     n = norm(mean)
     m = F.lit(1.0 / math.sqrt(c) - CENTROID_MARGIN)
-    return F.when(n > m, scale(mean, m / n)).otherwise(mean)
+    return F.when(n > m, scale(mean, m / n)).otherwise(mean.cast("array<double>"))
 
 
 SQL_FUNCTIONS = {

@@ -37,8 +37,11 @@ def sqdist(a, b) -> Column:
 
 
 def scale(v, s) -> Column:
+    """s * v with the factor evaluated once per row (not once per element)."""
     s = s if isinstance(s, Column) else F.lit(float(s))
-    return F.transform(col_(v), lambda x: x * s)
+    v = col_(v)
+    return F.zip_with(v, F.array_repeat(s.cast("double"), F.size(v)),
+                      lambda x, f: (x * f).cast("double"))
 
 
 def add(a, b) -> Column:
@@ -46,8 +49,8 @@ def add(a, b) -> Column:
 
 
 def lincomb(a, sa: Column, b, sb: Column) -> Column:
-    """sa * a + sb * b."""
-    return F.zip_with(col_(a), col_(b), lambda x, y: sa * x + sb * y)
+    """sa * a + sb * b (factors evaluated once per row)."""
+    return F.zip_with(scale(a, sa), scale(b, sb), lambda x, y: x + y)
 
 
 def tail(v) -> Column:

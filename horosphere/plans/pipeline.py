@@ -1,0 +1,326 @@
+"""User-level jobs (X1-X9, K2/K3): detect, evaluate, offline / online runs, sweeps.
+
+Text and vector stages run once and are cached; every run, block and
+configuration reuses them. Driver loops only order the work (runs, blocks,
+epochs); every heavy step is a Spark job over the cached vector table.
+Blocks that share encoder weights are clustered together in one keyed
+k-means, so an online run with window w needs one clustering job per
+weight version, not one per block.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from horosphere.operators import blocks as B
+from horosphere.operators import clustering as C
+from horosphere.operators import encoder as EN
+from horosphere.operators import scores as S
+from horosphere.operators import text as TX
+from horosphere.operators import vectorize as V
+
+
+@dataclass
+class RunConfig:
+    """Every switch of a run (the original YAML keys as fields)."""
+    name: str = "default"
+    use_llm: bool = True
+    prompt_type: str = "summarize"
+    summarize_fn: object = None          # pd.Series -> pd.Series; None = built-in mock
+    embedding: str = "hashed"            # hashed | word_mean | callable
+    text_dim: int = 64
+    include_time: bool = True
+    use_hyperbolic: bool = True
+    manifold: str = "poincare"
+    c: float = 1.0
+    hidden_dim: int = 64
+    num_layers: int = 3
+    dropout: float = 0.1
+    activation: str = "relu"
+    epochs: int = 100
+    lr: float = 0.01
+    weight_decay: float = 1e-4
+    patience: int = 10
+    batch_fraction: float = 1.0
+    n_init: int = 10
+    max_iter: int = 300
+    val_n_init: int = 10
+    seed: int = 42
+    window: int = 1
+    extra: dict = field(default_factory=dict)
+
+    def vector_key(self) -> tuple:
+        """Fields the vector stage reads: configs sharing it share vectors."""
+        return (self.use_llm, self.prompt_type, id(self.summarize_fn), self.embedding,
+                self.text_dim, self.include_time)
+
+
+# ------------------------------------------------------------------ stages
+
+def summarize_stage(msgs: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Replace ``text`` by its summary (mock model when no callable)."""
+    if not cfg.use_llm:
+        return msgs
+    if cfg.summarize_fn is None:
+        return TX.summarize_mock_sql(msgs, "text", cfg.prompt_type, "summary") \
+                 .drop("text").withColumnRenamed("summary", "text")
+    s = TX.summarize(msgs, cfg.summarize_fn, "text", cfg.prompt_type)
+    return s.drop("text", "model", "success", "error", "seconds") \
+            .withColumnRenamed("summary", "text")
+
+
+def vector_stage(msgs: DataFrame, cfg: RunConfig, vectors: DataFrame | None = None,
+                 text_key: str | None = None) -> DataFrame:
+    """V1-V5: ``vec`` = text vector ++ time vector."""
+    x = summarize_stage(msgs, cfg)
+    return V.vectorize_messages(x, cfg.embedding, cfg.text_dim, text_key, cfg.include_time,
+                                vectors=vectors, fn=cfg.extra.get("embed_fn"), out="vec")
+
+
+def encoder_config(cfg: RunConfig, input_dim: int) -> EN.EncoderConfig:
+    return EN.EncoderConfig(input_dim, cfg.hidden_dim, None, cfg.num_layers, cfg.dropout,
+                            cfg.activation, cfg.manifold, cfg.c)
+
+
+def embed(df: DataFrame, enc: EN.Encoder | None, out: str = "h") -> DataFrame:
+    """E5, or the raw vectors when the hyperbolic stage is off."""
+    if enc is None:
+        return df.withColumn(out, F.col("vec"))
+    return EN.encode(df, enc, "vec", out)
+
+
+def cluster_groups(df: DataFrame, group: list[str], cfg: RunConfig, vec: str = "h",
+                   true_col: str = "event", k_table: DataFrame | None = None,
+                   n_init: int | None = None) -> DataFrame:
+    """K-means in every group at once, k = distinct true labels of the group."""
+    kt = k_table if k_table is not None else \
+        df.groupBy(*group).agg(F.countDistinct(true_col).alias("k"))
+    res = C.keyed_kmeans(df, vec, "msg_id", group, k_table=kt,
+                         n_init=n_init or cfg.n_init, max_iter=cfg.max_iter, seed=cfg.seed)
+    return res.predict(df, vec, "pred")
+
+
+# ------------------------------------------------------------------ X1 / X2
+
+def detect_events(msgs: DataFrame, k: int | None = None, k_table: DataFrame | None = None,
+                  group: list[str] | tuple = (), enc: EN.Encoder | None = None,
+                  cfg: RunConfig | None = None) -> DataFrame:
+    """summarise? -> vectorise -> encode -> k-means; adds ``pred``."""
+    cfg = cfg or RunConfig()
+    if k is None and k_table is None:
+        raise ValueError("n_clusters must be specified")
+    v = msgs if "vec" in msgs.columns else vector_stage(msgs, cfg)
+    h = embed(v, enc if cfg.use_hyperbolic else None)
+    kt = k_table
+    if kt is None:
+        kt = (h.select(*group).distinct() if group else
+              h.sparkSession.range(1).select()).withColumn("k", F.lit(int(k)))
+    return cluster_groups(h, list(group), cfg, k_table=kt)
+
+
+def evaluate(msgs: DataFrame, group: list[str] | tuple = (), enc: EN.Encoder | None = None,
+             cfg: RunConfig | None = None) -> DataFrame:
+    """X1 with k = number of true events, then NMI and AMI."""
+    g = list(group)
+    kt = msgs.groupBy(*g).agg(F.countDistinct("event").alias("k")) if g else \
+        msgs.agg(F.countDistinct("event").alias("k"))
+    pred = detect_events(msgs, k_table=kt, group=g, enc=enc, cfg=cfg)
+    return S.evaluate_clustering(pred, "event", "pred", g)
+
+
+# ------------------------------------------------------------------ training
+
+def _validator(val: DataFrame, cfg: RunConfig):
+    def run(enc):
+        h = embed(val, enc)
+        kt = h.agg(F.countDistinct("event").alias("k"))
+        pred = cluster_groups(h, [], cfg, k_table=kt, n_init=cfg.val_n_init)
+        r = S.evaluate_clustering(pred, "event", "pred").first()
+        return r["nmi"] if r else 0.0
+    return run
+
+
+def train_block(enc: EN.Encoder, block: DataFrame, cfg: RunConfig, cuts=(0.7, 0.9),
+                log: list | None = None) -> dict | None:
+    """Train on the first 70 % (validate on the next 20 %) of one block.
+
+    A block whose train or validation part is empty skips the update.
+    """
+    sp = B.positional_split(block, cuts, ("train", "val", "test"))
+    sp = sp.persist()
+    tr = sp.where(F.col("split") == "train")
+    va = sp.where(F.col("split") == "val")
+    if tr.limit(1).count() == 0 or va.limit(1).count() == 0:
+        sp.unpersist()
+        return None
+    hist = EN.train(enc, tr, va, cfg.epochs, cfg.lr, cfg.weight_decay, cfg.patience, cfg.seed,
+                    "vec", "event", "msg_id", cfg.batch_fraction, _validator(va, cfg), log=log)
+    sp.unpersist()
+    return hist
+
+
+# ------------------------------------------------------------------ X3 offline
+
+def offline_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
+                experiment: str = "offline") -> DataFrame:
+    """On M0, per run: fresh encoder (seed + run), 70/20/10 split, train,
+    score the test part with k = distinct events of the whole block."""
+    spark = vec_blocks.sparkSession
+    m0 = B.get_block(vec_blocks, "M0").persist()
+    k = m0.agg(F.countDistinct("event")).first()[0]
+    sp = B.split_70_20_10(m0).persist()
+    rows = []
+    dim = len(m0.select("vec").first()["vec"])
+    for r in range(runs):
+        rc = replace(cfg, seed=cfg.seed + r)
+        enc = None
+        if rc.use_hyperbolic:
+            enc = EN.Encoder.init(encoder_config(rc, dim), rc.seed)
+            tr = sp.where(F.col("split") == "train")
+            va = sp.where(F.col("split") == "val")
+            EN.train(enc, tr, va, rc.epochs, rc.lr, rc.weight_decay, rc.patience, rc.seed,
+                     "vec", "event", "msg_id", rc.batch_fraction, _validator(va, rc))
+        test = embed(sp.where(F.col("split") == "test"), enc)
+        kt = spark.createDataFrame([(int(k),)], "k long")
+        pred = cluster_groups(test, [], rc, k_table=kt)
+        sc = S.scores(pred, "event", "pred", (), S.ALL_SCORES).first()
+        rows += [(experiment, cfg.name, r, "M0", m, float(sc[m])) for m in S.ALL_SCORES]
+    m0.unpersist()
+    sp.unpersist()
+    return spark.createDataFrame(rows, "experiment string, config string, run long, "
+                                       "block_name string, metric string, value double")
+
+
+# ------------------------------------------------------------------ X4 online
+
+def online_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
+               experiment: str = "online") -> DataFrame:
+    """M0 then daily blocks in order; block i retrains iff i % window == 0
+    (K1), every block is scored on all its rows with k = its distinct events.
+    Weights carry over; consecutive blocks on the same weights are clustered
+    in one keyed job."""
+    spark = vec_blocks.sparkSession
+    vb = vec_blocks.persist()
+    ids = [r["block_id"] for r in vb.select("block_id").distinct().orderBy("block_id").collect()]
+    dim = len(vb.select("vec").first()["vec"])
+    out = []
+    for r in range(runs):
+        rc = replace(cfg, seed=cfg.seed + r)
+        enc = EN.Encoder.init(encoder_config(rc, dim), rc.seed) if rc.use_hyperbolic else None
+        segments: list[list[int]] = []
+        for b in ids:
+            if b % rc.window == 0 or not segments:
+                segments.append([b])
+            else:
+                segments[-1].append(b)
+        for seg in segments:
+            if enc is not None and seg[0] % rc.window == 0:
+                train_block(enc, vb.where(F.col("block_id") == seg[0]), rc)
+            part = vb.where(F.col("block_id").isin(seg))
+            h = embed(part, enc).persist()
+            pred = cluster_groups(h, ["block_id"], rc)
+            sc = S.evaluate_clustering(pred, "event", "pred", ["block_id"])
+            long = S.to_long(sc.withColumn("run", F.lit(r).cast("long")),
+                             ["run", "block_id"], ("nmi", "ami"))
+            # materialise the scores before the next segment changes the weights
+            out.append(spark.createDataFrame(long.collect(), long.schema)
+                       .withColumn("experiment", F.lit(experiment))
+                       .withColumn("config", F.lit(cfg.name)))
+            h.unpersist()
+    vb.unpersist()
+    res = S.union_all(out)
+    return res.withColumn("block_name", F.concat(F.lit("M"), F.col("block_id").cast("string")))
+
+
+def window_sweep(vec_blocks: DataFrame, cfg: RunConfig, windows=(1, 2, 3, 4, 5, 1000),
+                 runs: int = 5) -> DataFrame:
+    """X4 for every window size (1000 stands for never retraining)."""
+    return S.union_all([online_run(vec_blocks, replace(cfg, window=w, name=f"w={w}"), runs,
+                                   "window") for w in windows])
+
+
+# ------------------------------------------------------------------ X6-X9
+
+def run_config(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5) -> DataFrame:
+    """One configuration, ``runs`` runs of the offline protocol."""
+    return offline_run(vec_blocks, cfg, runs, "ablation")
+
+
+# The five sweeps' settings (fixed values of the original study grids).
+GRIDS = {
+    "vectorization": [dict(name=f"{e}{'+time' if t else ''}", embedding=e, include_time=t)
+                      for e in ("hashed", "word_mean") for t in (True, False)],
+    "hyperbolic": [dict(name="no_llm", use_llm=False), dict(name="no_hyperbolic",
+                   use_hyperbolic=False), dict(name="hyperboloid", manifold="hyperboloid"),
+                   dict(name="poincare", manifold="poincare"), dict(name="full")],
+    "prompt": [dict(name=p, prompt_type=p) for p in ("summarize", "paraphrase")],
+    "layers": [dict(name=f"layers={n}", num_layers=n) for n in (1, 2, 3, 4, 5)],
+    "width": [dict(name=f"hidden={w}", hidden_dim=w) for w in (16, 32, 64, 128, 256, 512)],
+}
+
+
+def sweep(msgs_blocks: DataFrame, base: RunConfig, grid: list[dict], runs: int = 5,
+          vectors: DataFrame | None = None) -> DataFrame:
+    """Every setting of a grid; the vector stage is computed once per
+    distinct vector key and cached, so settings that only change the
+    encoder reuse it."""
+    cache: dict = {}
+    frames = []
+    for setting in grid:
+        cfg = replace(base, **setting)
+        if cfg.embedding == "word_mean" and vectors is None:
+            continue
+        key = cfg.vector_key()
+        if key not in cache:
+            cache[key] = vector_stage(msgs_blocks, cfg, vectors).persist()
+        frames.append(run_config(cache[key], cfg, runs))
+    for v in cache.values():
+        v.unpersist()
+    return S.union_all(frames)
+
+
+def run_ablation(msgs_blocks: DataFrame, base: RunConfig, runs: int = 5,
+                 vectors: DataFrame | None = None) -> DataFrame:
+    """All five sweeps on one loaded table."""
+    return S.union_all([sweep(msgs_blocks, base, g, runs, vectors)
+                        .withColumn("grid", F.lit(name)) for name, g in GRIDS.items()])
+
+
+def run_all(spark: SparkSession, msgs: DataFrame, base: RunConfig, runs: int = 5,
+            windows=(1, 2, 3, 4, 5, 1000)) -> dict:
+    """Offline, online, ablation and window analysis on one input."""
+    blocks = B.assign_blocks(msgs)
+    vb = vector_stage(blocks, base).persist()
+    out = {"offline": offline_run(vb, base, runs), "online": online_run(vb, base, runs),
+           "ablation": run_ablation(blocks, base, runs),
+           "window": window_sweep(vb, base, windows, runs)}
+    return out
+
+
+# ------------------------------------------------------------------ bench helpers
+
+def bench_block_kmeans(spark: SparkSession, sf_dir: str) -> None:
+    """C12 at scale: k-means++ with 10 starts in every block at once."""
+    from horosphere.plans.catalog import block_points
+    pts = block_points(spark, sf_dir).persist()
+    kt = pts.groupBy("block_id").agg(F.countDistinct("event").alias("k"))
+    res = C.keyed_kmeans(pts, "vec", "msg_id", ["block_id"], k_table=kt, n_init=10,
+                         max_iter=50, seed=42)
+    pred = res.predict(pts, "vec", "pred")
+    S.evaluate_clustering(pred, "event", "pred", ["block_id"]).write.format("noop") \
+        .mode("overwrite").save()
+    pts.unpersist()
+
+
+def bench_encoder(spark: SparkSession, sf_dir: str, epochs: int = 5) -> None:
+    """E6/E5 at scale: a few full-batch epochs on M0, then encode every message."""
+    from horosphere.plans.catalog import block_points
+    pts = block_points(spark, sf_dir).persist()
+    m0 = B.get_block(pts, "M0")
+    enc = EN.Encoder.init(EN.EncoderConfig(66), 42)
+    EN.train(enc, m0, None, epochs, seed=42, vec="vec", label="event", id_col="msg_id")
+    EN.encode(pts, enc, "vec", "h").write.format("noop").mode("overwrite").save()
+    pts.unpersist()
