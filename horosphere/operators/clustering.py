@@ -274,6 +274,26 @@ class KMeansResult:
         return assign_nearest(points, cen, vec, self.group, metric=self.metric, c=self.c, out=out)
 
 
+def pack_vectors(df: DataFrame, vec: str, out: str = "_xb") -> DataFrame:
+    """Vectors as float64 bytes, so loops read them without Arrow list work."""
+    fields = [f for f in df.schema.fields if f.name != vec] + [T.StructField(out, T.BinaryType())]
+    schema = T.StructType(fields)
+
+    def run(batches):
+        for pdf in batches:
+            b = [np.asarray(v, dtype=np.float64).tobytes() for v in pdf[vec].to_numpy()]
+            yield pdf.drop(columns=[vec]).assign(**{out: b})
+
+    return df.mapInPandas(run, schema)
+
+
+def unpack(series: pd.Series) -> np.ndarray:
+    if len(series) == 0:
+        return np.zeros((0, 0))
+    buf = b"".join(series.to_numpy())
+    return np.frombuffer(buf, dtype=np.float64).reshape(len(series), -1)
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     """Map signed 64-bit hashes to (0, 1)."""
     return ((h.astype(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
@@ -302,8 +322,7 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     """
     g = list(group)
     spark = points.sparkSession
-    pts = points.select(*g, id_col, F.transform(vec, lambda t: t.cast("double")).alias("_x"))
-    pts = pts.persist()
+    pts = pack_vectors(points.select(*g, id_col, vec), vec, "_xb").persist()
     sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     if k_table is not None:
         sizes = sizes.join(k_table.select(*g, F.col("k").alias("_k")), g, "left")
@@ -311,7 +330,8 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
         sizes = sizes.withColumn("_k", F.lit(int(k)))
     sizes = sizes.withColumn("_k", F.least(F.col("_k"), F.col("_n")).cast("long"))
     # per-group mean feature variance for the relative stopping rule
-    var = (pts.select(*g, array_to_vector("_x").alias("_v")).groupBy(*g)
+    var = (points.select(*g, array_to_vector(
+        F.transform(vec, lambda t: t.cast("double"))).alias("_v")).groupBy(*g)
            .agg(Summarizer.variance(F.col("_v")).alias("_var")))
     var = var.select(*g, F.aggregate(vector_to_array("_var"), F.lit(0.0),
                                      lambda a, x: a + x).alias("_vs"),
@@ -348,7 +368,7 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                         continue
                     pos = pdf.index.get_indexer(idx)
                     sub = pdf.iloc[pos]
-                    X = _matrix(sub["_x"])
+                    X = unpack(sub["_xb"])
                     ids = sub[id_col].to_numpy(dtype=np.int64)
                     for s in starts:
                         cur = ch.get((key, s))
@@ -414,7 +434,7 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                 keys = pd.Series(list(pdf[g].itertuples(index=False, name=None)) if g
                                  else [()] * len(pdf), index=pdf.index)
                 for key, idx in keys.groupby(keys).groups.items():
-                    X = _matrix(pdf["_x"].iloc[pdf.index.get_indexer(idx)])
+                    X = unpack(pdf["_xb"].iloc[pdf.index.get_indexer(idx)])
                     for s in starts:
                         C = cc.get((key, s))
                         if C is None:

@@ -159,8 +159,11 @@ def q_time_features(spark, sf):
                     r6(V.time_seconds("created_at").cast("double")).alias("t_secs"))
 
 
-def doc_vectors(spark, sf):
+def doc_vectors(spark, sf, only=None):
+    """Hashed text vectors of the documents (optionally only those in ``only``)."""
     d = read(spark, sf, "documents").select("doc_id", "text")
+    if only is not None:
+        d = d.join(only, "doc_id", "left_semi")
     return V.hashed_text_vectors(d, "doc_id", "text", HASH_DIM, "text_vec")
 
 
@@ -393,24 +396,51 @@ def block_k(b):
     return b.groupBy("block_id").agg(F.countDistinct("event").alias("k"))
 
 
+def block_keys(spark, sf):
+    """Narrow message keys with block ids (no text, no vectors)."""
+    return blocks(spark, sf).select("msg_id", "doc_id", "block_id", "block_name",
+                                    "created_at", "event")
+
+
+def with_vectors(keys, spark, sf, include_time=True, text=True, docs=None):
+    """Attach ``vec`` (hashed document vector ++ time) to message keys."""
+    dv = doc_vectors(spark, sf, docs)
+    x = keys.join(dv, "doc_id")
+    if not text:
+        x = x.withColumn("text_vec", F.array().cast("array<double>"))
+    return x.withColumn("vec", V.concat_time("text_vec", "created_at", include_time)) \
+            .drop("text_vec")
+
+
 def block_points(spark, sf, include_time=True, text=True):
-    v = message_vectors(spark, sf, include_time, text)
-    b = B.assign_blocks(v)
-    return b.select("msg_id", "block_id", "block_name", "created_at", "event", "vec")
+    return with_vectors(block_keys(spark, sf), spark, sf, include_time, text)
+
+
+def top_k_per_group(keys, group, order, k_table):
+    """Rows ranked ``< k`` per group. The rank filter first uses the largest
+    k as a literal, so Spark keeps a partial top-k per partition before the
+    shuffle (no whole group in one task); then each group's own k applies."""
+    kmax = k_table.agg(F.max("k")).first()[0] or 0
+    w = Window.partitionBy(*group).orderBy(*order)
+    ranked = keys.withColumn("cluster", (F.row_number().over(w) - 1).cast("bigint")) \
+                 .where(F.col("cluster") < F.lit(kmax))
+    kcols = [c for c in k_table.columns if c != "k"]
+    return ranked.join(k_table, kcols).where(F.col("cluster") < F.col("k")).drop("k")
 
 
-def first_k_centers(pts):
+def first_k_centers(spark, sf, keys, include_time=True, text=True):
     """Centres per block: its first k messages (k = distinct events)."""
-    w = Window.partitionBy("block_id").orderBy("created_at", "msg_id")
-    ranked = pts.withColumn("_rn", F.row_number().over(w))
-    ranked = ranked.join(block_k(pts), "block_id").where(F.col("_rn") <= F.col("k"))
-    return ranked.select("block_id", (F.col("_rn") - 1).cast("bigint").alias("cluster"),
-                         F.col("vec").alias("center"))
+    top = top_k_per_group(keys, ["block_id"], ["created_at", "msg_id"], block_k(keys))
+    docs = top.select("doc_id").distinct()
+    cen = with_vectors(top, spark, sf, include_time, text, docs)
+    return cen.select("block_id", "cluster", F.col("vec").alias("center"))
 
 
 def block_predictions(spark, sf, include_time=True, text=True):
-    pts = block_points(spark, sf, include_time, text)
-    return C.assign_nearest(pts, first_k_centers(pts), "vec", ["block_id"], out="pred")
+    keys = block_keys(spark, sf)
+    pts = with_vectors(keys, spark, sf, include_time, text)
+    cen = first_k_centers(spark, sf, keys, include_time, text)
+    return C.assign_nearest(pts, cen, "vec", ["block_id"], out="pred")
 
 
 def q_scores_per_block(spark, sf):
@@ -427,22 +457,22 @@ def per_run(pts):
     return pts.withColumn("run", F.explode(runs))
 
 
-def run_centers(pts):
+def run_centers(spark, sf, keys):
     """Run r: the k messages of each block with the smallest md5(msg_id-r)."""
-    x = per_run(pts).withColumn(
+    x = per_run(keys).withColumn(
         "_h", F.md5(F.concat(F.col("msg_id").cast("string"), F.lit("-"),
                              F.col("run").cast("string"))))
-    w = Window.partitionBy("run", "block_id").orderBy("_h")
-    ranked = x.withColumn("_rn", F.row_number().over(w)).join(block_k(pts), "block_id") \
-              .where(F.col("_rn") <= F.col("k"))
-    return ranked.select("run", "block_id", (F.col("_rn") - 1).cast("bigint").alias("cluster"),
-                         F.col("vec").alias("center"))
+    top = top_k_per_group(x, ["run", "block_id"], ["_h"], block_k(keys))
+    cen = with_vectors(top, spark, sf, docs=top.select("doc_id").distinct())
+    return cen.select("run", "block_id", "cluster", F.col("vec").alias("center"))
 
 
 def run_scores(spark, sf):
     """Long metric table ``(run, block_id, block_name, metric, value)``."""
-    pts = block_points(spark, sf)
-    p = C.assign_nearest(per_run(pts), run_centers(pts), "vec", ["run", "block_id"], out="pred")
+    keys = block_keys(spark, sf)
+    pts = with_vectors(keys, spark, sf)
+    p = C.assign_nearest(per_run(pts), run_centers(spark, sf, keys), "vec", ["run", "block_id"],
+                         out="pred")
     t = S.score_table(p, "event", "pred", ["run", "block_id"])
     t = t.withColumn("block_name", F.concat(F.lit("M"), F.col("block_id").cast("string")))
     return S.to_long(t, ["run", "block_id", "block_name"], ("nmi", "ami"))
