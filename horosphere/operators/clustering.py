@@ -325,7 +325,8 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     pts = pack_vectors(points.select(*g, id_col, vec), vec, "_xb").persist()
     sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     if k_table is not None:
-        sizes = sizes.join(k_table.select(*g, F.col("k").alias("_k")), g, "left")
+        kt = k_table.select(*g, F.col("k").alias("_k"))
+        sizes = sizes.join(kt, g, "left") if g else sizes.crossJoin(kt)   # one-row k
     else:
         sizes = sizes.withColumn("_k", F.lit(int(k)))
     sizes = sizes.withColumn("_k", F.least(F.col("_k"), F.col("_n")).cast("long"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.functions.special import EPS64, ln_factorial, xlogx
+from horosphere.session import cut_lineage
 
 ALL_SCORES = ("nmi", "ami", "ari", "fmi", "v_measure", "homogeneity", "completeness")
 
@@ -91,7 +92,7 @@ def expected_mutual_info(a: DataFrame, b: DataFrame, totals: DataFrame, g: list[
 
 def score_table(df: DataFrame, true_col: str = "y_true", pred_col: str = "y_pred",
                 group: list[str] | tuple = (), average_method: str = "arithmetic",
-                with_ami: bool = True) -> DataFrame:
+                with_ami: bool = True, checkpoint: bool = True) -> DataFrame:
     """M1-M9 in one pass: one row per group with every score and its parts.
 
     Columns: group.., n, k_true, k_pred, h_true, h_pred, mi, [emi,] nmi,
@@ -99,6 +100,10 @@ def score_table(df: DataFrame, true_col: str = "y_true", pred_col: str = "y_pred
     """
     g = list(group)
     cont = contingency(df, true_col, pred_col, g)
+    if checkpoint:
+        # the cells are few (k_true x k_pred per group) and are read about
+        # eight times below; a reliable checkpoint keeps the plan small
+        cont = cut_lineage(cont)
     a, b = marginal_tables(cont, g)
     ta = a.groupBy(*g).agg(F.sum("a").alias("N"), F.count(F.lit(1)).alias("R"),
                            F.sum(xlogx(F.col("a").cast("double"))).alias("_sal"),
