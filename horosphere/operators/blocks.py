@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from horosphere.session import cut_lineage
+
 ORDER = ("created_at", "msg_id")
 
 
@@ -93,22 +95,22 @@ def encode_labels(df: DataFrame, group: str | None = "block_id", col: str = "eve
 def _positions(keys: DataFrame, order: tuple, num_partitions: int) -> DataFrame:
     """Global 0-based position of every key row under ``order``.
 
-    Range partitioning puts a contiguous key range in each partition; each
-    partition numbers its rows locally (Arrow batches, key columns only) and
-    a small per-partition offset table (one row per partition) shifts them.
+    Range partitioning puts a contiguous key range in each partition and the
+    partition is sorted; ``monotonically_increasing_id`` then encodes
+    (partition index << 33) + position inside that sorted partition, which
+    is deterministic here (the same sorted rows on every retry). A small
+    table with one row per partition turns local positions into global ones.
+    All on the JVM; only the key columns move and are checkpointed.
     """
     r = (keys.repartitionByRange(num_partitions, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(list(r.schema.fields) + [T.StructField("_local", T.LongType())])
-
-    def number_rows(batches):
-        seen = 0
-        for pdf in batches:
-            pdf["_local"] = np.arange(seen, seen + len(pdf), dtype=np.int64)
-            seen += len(pdf)
-            yield pdf
-
-    local = r.mapInPandas(number_rows, schema)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    local = (r.withColumn("_pid", F.shiftright("_mid", 33))
+             .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+             .drop("_mid"))
+    # Range bounds come from sampling rows whose order depends on shuffle
+    # fetch order, so two executions may partition differently: write the
+    # narrow (key, partition, position) table once and read it twice.
+    local = cut_lineage(local)
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(

@@ -281,7 +281,8 @@ def gradient(train: DataFrame, enc: Encoder, clf: Classifier, epoch: int, step:
     schema = T.StructType([T.StructField("loss", T.DoubleType()),
                            T.StructField("n", T.LongType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
-    x = train.select(id_col, vec, label)
+    packed = "_xb" in train.columns
+    x = train.select(id_col, "_xb" if packed else vec, label)
     if fraction < 1.0:
         u = (F.xxhash64(F.col(id_col), F.lit(seed), F.lit(epoch), F.lit(step))
              .bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53)))
@@ -293,7 +294,11 @@ def gradient(train: DataFrame, enc: Encoder, clf: Classifier, epoch: int, step:
         for pdf in batches:
             if not len(pdf):
                 continue
-            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
+            if packed:
+                X = np.frombuffer(b"".join(pdf["_xb"].to_numpy()),
+                                  dtype=np.float64).reshape(len(pdf), -1)
+            else:
+                X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
             y = pdf[label].to_numpy(dtype=np.int64)
             ids = pdf[id_col].to_numpy(dtype=np.int64)
             rng = np.random.default_rng([seed, epoch, step, int(ids[0]) & 0x7FFFFFFF])
@@ -344,8 +349,11 @@ def train(enc: Encoder, train_df: DataFrame, val_df: DataFrame | None = None,
     epochs of E6, optional validation ``validate(enc) -> nmi`` with early
     stopping on strict improvement (patience). Returns the history."""
     from horosphere.operators.blocks import encode_labels
+    from horosphere.operators.clustering import pack_vectors
     fit = train_df if val_df is None else train_df.unionByName(val_df)
-    tr = encode_labels(train_df, None, label, "label_id", fit_on=fit).persist()
+    tr = encode_labels(train_df.select(id_col, vec, label), None, label, "label_id", fit_on=fit)
+    # vectors packed once as float64 bytes: epochs skip Arrow list conversion
+    tr = pack_vectors(tr.select(id_col, vec, "label_id"), vec, "_xb").persist()
     ncls = fit.select(label).distinct().count()
     rng = np.random.default_rng(seed + 1)
     out_dim = enc.config.output_dim or enc.config.hidden_dim

@@ -51,25 +51,39 @@ def tokens(text) -> Column:
 
 
 def token_bucket(tok, dim: int) -> Column:
-    """Bucket of a token: first 32 bits of its MD5, modulo ``dim``."""
-    return F.pmod(F.conv(F.substring(F.md5(col_(tok)), 1, 8), 16, 10).cast("bigint"),
-                  F.lit(dim))
+    """Bucket of a token: first 32 bits of its MD5, modulo ``dim``.
+
+    When ``dim`` divides 2^8 (or 2^16) the remainder only depends on the last
+    2 (or 4) of those 8 hex digits, so only they are converted.
+    """
+    m = F.md5(col_(tok))
+    if 256 % dim == 0:
+        digits = F.substring(m, 7, 2)
+    elif 65536 % dim == 0:
+        digits = F.substring(m, 5, 4)
+    else:
+        digits = F.substring(m, 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(dim))
 
 
 def hashed_text_vectors(df: DataFrame, key: str, text_col: str = "text", dim: int = 64,
                         out: str = "text_vec") -> DataFrame:
     """V3 (c): L2-normalised hashed word counts, ``(key, out ARRAY<DOUBLE>)``.
 
-    Tokens are exploded and bucketed, then one aggregation per key counts
-    every bucket (partial aggregation map-side: at most ``dim`` counters per
-    key and partition). Keys without tokens get the zero vector.
+    Tokens are exploded and bucketed and ``(key, bucket)`` pairs counted
+    (partial aggregation map-side); a second aggregation per key gathers at
+    most ``dim`` (bucket, count) entries into the vector. Keys without
+    tokens get the zero vector.
     """
     toks = (df.select(key, F.explode(tokens(text_col)).alias("_tok"))
-            .withColumn("_b", token_bucket("_tok", dim)))
-    counts = toks.groupBy(key).agg(*[F.count_if(F.col("_b") == i).alias(f"_c{i}")
-                                     for i in range(dim)])
-    arr = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dim)])
-    counts = counts.select(key, arr.alias("_v"))
+            .select(key, token_bucket("_tok", dim).alias("_b")))
+    pairs = toks.groupBy(key, "_b").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    per = pairs.groupBy(key).agg(F.map_from_entries(
+        F.collect_list(F.struct("_b", "_c"))).alias("_m"))
+    counts = per.select(key, F.transform(F.sequence(F.lit(0).cast("bigint"),
+                                                    F.lit(dim - 1).cast("bigint")),
+                                         lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))
+                                         ).alias("_v"))
     nrm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     counts = counts.select(key, F.transform("_v", lambda x: x / nrm).alias(out))
     base = df.select(key).dropDuplicates([key])

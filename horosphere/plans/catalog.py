@@ -26,6 +26,7 @@ from horosphere.operators import results as R
 from horosphere.operators import scores as S
 from horosphere.operators import text as TX
 from horosphere.operators import vectorize as V
+from horosphere.session import cut_lineage
 from horosphere.sources.messages import messages_from_tables
 
 HASH_DIM = 64
@@ -402,9 +403,15 @@ def block_keys(spark, sf):
                                     "created_at", "event")
 
 
-def with_vectors(keys, spark, sf, include_time=True, text=True, docs=None):
+def doc_vectors_table(spark, sf):
+    """Document vectors computed once and written to the shared checkpoint
+    folder, so every consumer in a query reads them instead of re-hashing."""
+    return cut_lineage(doc_vectors(spark, sf))
+
+
+def with_vectors(keys, spark, sf, include_time=True, text=True, docs=None, dv=None):
     """Attach ``vec`` (hashed document vector ++ time) to message keys."""
-    dv = doc_vectors(spark, sf, docs)
+    dv = dv if dv is not None else doc_vectors(spark, sf, docs)
     x = keys.join(dv, "doc_id")
     if not text:
         x = x.withColumn("text_vec", F.array().cast("array<double>"))
@@ -428,18 +435,19 @@ def top_k_per_group(keys, group, order, k_table):
     return ranked.join(k_table, kcols).where(F.col("cluster") < F.col("k")).drop("k")
 
 
-def first_k_centers(spark, sf, keys, include_time=True, text=True):
+def first_k_centers(spark, sf, keys, include_time=True, text=True, dv=None):
     """Centres per block: its first k messages (k = distinct events)."""
     top = top_k_per_group(keys, ["block_id"], ["created_at", "msg_id"], block_k(keys))
     docs = top.select("doc_id").distinct()
-    cen = with_vectors(top, spark, sf, include_time, text, docs)
+    cen = with_vectors(top, spark, sf, include_time, text, docs, dv)
     return cen.select("block_id", "cluster", F.col("vec").alias("center"))
 
 
-def block_predictions(spark, sf, include_time=True, text=True):
+def block_predictions(spark, sf, include_time=True, text=True, dv=None):
     keys = block_keys(spark, sf)
-    pts = with_vectors(keys, spark, sf, include_time, text)
-    cen = first_k_centers(spark, sf, keys, include_time, text)
+    dv = dv if dv is not None else doc_vectors_table(spark, sf)
+    pts = with_vectors(keys, spark, sf, include_time, text, dv=dv)
+    cen = first_k_centers(spark, sf, keys, include_time, text, dv)
     return C.assign_nearest(pts, cen, "vec", ["block_id"], out="pred")
 
 
@@ -457,22 +465,23 @@ def per_run(pts):
     return pts.withColumn("run", F.explode(runs))
 
 
-def run_centers(spark, sf, keys):
+def run_centers(spark, sf, keys, dv):
     """Run r: the k messages of each block with the smallest md5(msg_id-r)."""
     x = per_run(keys).withColumn(
         "_h", F.md5(F.concat(F.col("msg_id").cast("string"), F.lit("-"),
                              F.col("run").cast("string"))))
     top = top_k_per_group(x, ["run", "block_id"], ["_h"], block_k(keys))
-    cen = with_vectors(top, spark, sf, docs=top.select("doc_id").distinct())
+    cen = with_vectors(top, spark, sf, dv=dv)
     return cen.select("run", "block_id", "cluster", F.col("vec").alias("center"))
 
 
 def run_scores(spark, sf):
     """Long metric table ``(run, block_id, block_name, metric, value)``."""
     keys = block_keys(spark, sf)
-    pts = with_vectors(keys, spark, sf)
-    p = C.assign_nearest(per_run(pts), run_centers(spark, sf, keys), "vec", ["run", "block_id"],
-                         out="pred")
+    dv = doc_vectors_table(spark, sf)
+    pts = with_vectors(keys, spark, sf, dv=dv)
+    p = C.assign_nearest(per_run(pts), run_centers(spark, sf, keys, dv), "vec",
+                         ["run", "block_id"], out="pred")
     t = S.score_table(p, "event", "pred", ["run", "block_id"])
     t = t.withColumn("block_name", F.concat(F.lit("M"), F.col("block_id").cast("string")))
     return S.to_long(t, ["run", "block_id", "block_name"], ("nmi", "ami"))
@@ -526,9 +535,10 @@ def q_best_epoch(spark, sf):
 
 def q_compare_configs(spark, sf):
     frames = []
+    dv = doc_vectors_table(spark, sf)          # shared by the three settings
     for name, inc_time, text in (("text+time", True, True), ("text", False, True),
                                  ("time", True, False)):
-        p = block_predictions(spark, sf, inc_time, text)
+        p = block_predictions(spark, sf, inc_time, text, dv)
         t = S.score_table(p, "event", "pred", ["block_id"]).withColumn("config", F.lit(name))
         frames.append(S.to_long(t, ["config", "block_id"], ("nmi", "ami")))
     t = R.compare(S.union_all(frames), "config", ("nmi", "ami"))
