@@ -304,7 +304,7 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                  k_table: DataFrame | None = None, n_init: int = 10, max_iter: int = 300,
                  tol: float = 1e-4, seed: int = 42, init: str = "k-means++",
                  metric: str = "euclidean", c: float = 1.0,
-                 stop_rule: str = "relative") -> KMeansResult:
+                 stop_rule: str = "relative", batch_fraction: float = 1.0) -> KMeansResult:
     """K-means for every group at once.
 
     ``k`` is fixed, or per group from ``k_table`` ``(group.., k)`` (e.g. the
@@ -319,6 +319,11 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     ``stop_rule='relative'``: sum of squared centre shifts <= tol x mean
     feature variance (as scikit-learn); ``'absolute'``: sum of centre shift
     norms < tol (the hyperbolic variant's rule).
+
+    ``batch_fraction < 1`` is mini-batch k-means (C2): step ``t`` uses the
+    rows whose hash uniform for ``t`` is below the fraction, and each centre
+    moves to the running mean of all rows it has been given so far
+    (per-centre learning rate 1/count).
     """
     g = list(group)
     spark = points.sparkSession
@@ -423,13 +428,20 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                                T.StructField("_sse", T.DoubleType()),
                                T.StructField("_sum", T.ArrayType(T.DoubleType()))])
 
-    def step(cen: dict):
+    def step(cen: dict, it: int = 0):
         bc = spark.sparkContext.broadcast(cen)
+        frac = float(batch_fraction)
 
         def run(batches):
             cc = bc.value
             acc: dict = {}
             for pdf in batches:
+                if frac < 1.0 and len(pdf):
+                    ids = pdf[id_col].to_numpy(dtype=np.int64)
+                    h = pd.util.hash_array(ids ^ np.int64(seed * 7_919 + it * 104_729))
+                    keep = ((h.astype(np.uint64) >> np.uint64(11)).astype(np.float64)
+                            / float(1 << 53)) < frac
+                    pdf = pdf[keep]
                 if not len(pdf):
                     continue
                 keys = pd.Series(list(pdf[g].itertuples(index=False, name=None)) if g
@@ -465,7 +477,15 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
         sse: dict = {}
         for r in rows:
             ks = (tuple(r[x] for x in g), r["_s"])
-            m = np.asarray(r["_sum"]) / r["_cnt"]
+            if frac < 1.0:
+                # running mean over every mini-batch seen so far
+                seen = counts.setdefault(ks, np.zeros(len(cen[ks])))
+                j = r["cluster"]
+                tot = seen[j] + r["_cnt"]
+                m = (cen[ks][j] * seen[j] + np.asarray(r["_sum"])) / tot
+                seen[j] = tot
+            else:
+                m = np.asarray(r["_sum"]) / r["_cnt"]
             if metric == "poincare":
                 m = clamp_ball(m[None, :], c)[0]
             new[ks][r["cluster"]] = m
@@ -475,11 +495,12 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     active = set(centers)
     prev = centers
     sse: dict = {}
+    counts: dict = {}
     n_iter = {ks: 0 for ks in centers}
-    for _ in range(max_iter):
+    for it in range(max_iter):
         if not active:
             break
-        new, sse_it = step({ks: centers[ks] for ks in active})
+        new, sse_it = step({ks: centers[ks] for ks in active}, it)
         prev = {**prev, **{ks: centers[ks] for ks in active}}
         for ks in list(active):
             sse[ks] = sse_it.get(ks, 0.0)

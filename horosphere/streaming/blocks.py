@@ -82,16 +82,45 @@ def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str
     return _run_to_table(spark, out, "assign")
 
 
-def process_closed_blocks(stream: DataFrame, handler: Callable[[DataFrame, int], None],
-                          checkpoint: str, ts_col: str = "created_at",
-                          delay: str = "1 hour"):
-    """K2 driver: hand each micro-batch's closed days to ``handler(batch, epoch)``.
-
-    Rows are buffered by day in the stream state until the watermark closes
-    the day; ``handler`` must be idempotent on the epoch id (the results
-    table is keyed by (run, block)), so a replayed batch is harmless.
+def process_closed_blocks(stream: DataFrame, process_day: Callable[[DataFrame, object], None],
+                          workdir: str, ts_col: str = "created_at", delay: str = "1 hour"):
+    """K2/K3 driver: each calendar day is handed to ``process_day(rows, day)``
+    exactly once, in date order, when the watermark (max event time seen
+    minus ``delay``) passes the day's end.
+
+    State lives on shared storage under ``workdir``: every micro-batch's rows
+    are written to ``rows/epoch=<id>`` (overwrite, so a replayed epoch is
+    harmless), the running maximum time to ``wm/epoch=<id>``, processed days
+    to ``done/``. Rows arriving for a day already processed are late and are
+    ignored. Returns the streaming query handle.
     """
-    x = stream.withColumn("_t", F.col(ts_col).cast("timestamp")).withWatermark("_t", delay)
-    day = x.withColumn("day", F.to_date("_t"))
-    return (day.writeStream.option("checkpointLocation", checkpoint)
+    spark = stream.sparkSession
+    delay_expr = F.expr(f"INTERVAL {delay}")
+
+    def handler(batch: DataFrame, epoch: int) -> None:
+        x = batch.withColumn("_day", F.to_date(F.col(ts_col)))
+        x.write.mode("overwrite").parquet(f"{workdir}/rows/epoch={epoch}")
+        mx = x.agg(F.max(ts_col).alias("mx"))
+        mx.write.mode("overwrite").parquet(f"{workdir}/wm/epoch={epoch}")
+        wm = spark.read.parquet(f"{workdir}/wm").agg(F.max("mx")).first()[0]
+        if wm is None:
+            return
+        rows = spark.read.parquet(f"{workdir}/rows")
+        try:
+            done = {r[0] for r in spark.read.parquet(f"{workdir}/done").collect()}
+        except Exception:  # nothing processed yet
+            done = set()
+        closed = (rows.select("_day").distinct()
+                  .where(F.date_add(F.col("_day"), 1).cast("timestamp_ntz")
+                         <= F.lit(wm).cast("timestamp_ntz") - delay_expr)
+                  .orderBy("_day").collect())            # one row per day: bounded
+        for r in closed:
+            day = r["_day"]
+            if day in done:
+                continue
+            process_day(rows.where(F.col("_day") == F.lit(day)).drop("_day", "epoch"), day)
+            spark.createDataFrame([(day,)], "day date").write.mode("append") \
+                 .parquet(f"{workdir}/done")
+
+    return (stream.writeStream.option("checkpointLocation", f"{workdir}/ckpt")
             .foreachBatch(handler).trigger(availableNow=True).start())

@@ -91,3 +91,31 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 24 and {"nmi", "ami"} <= set(df.columns)
     assert set(E.oracle_sql()) == set(E.queries())
+
+
+def test_closed_days_processed_once(spark, tmp_path):
+    from horosphere.streaming.blocks import process_closed_blocks
+    from horosphere.sources.messages import messages_from_tables
+    src = str(tmp_path / "src")
+    m = messages_from_tables(spark, SF["0.001"], with_text=False)
+    m.write.parquet(src)
+    seen = []
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = process_closed_blocks(stream, lambda rows, day: seen.append((day, rows.count())),
+                              str(tmp_path / "work"))
+    q.awaitTermination()
+    days = [d for d, _ in seen]
+    assert days == sorted(days) and len(days) == len(set(days)) == 29
+    total = m.where(F.to_date("created_at") < max(days) + dt.timedelta(days=1)).count()
+    assert sum(n for _, n in seen) == total
+
+
+def test_minibatch_kmeans(spark):
+    from tests.test_clustering import blobs, frame
+    from horosphere.operators import clustering as C
+    from horosphere.operators import scores as S
+    X, y = blobs(5, 60, 32, seed=4)
+    df = frame(spark, X, y)
+    res = C.keyed_kmeans(df, "vec", k=5, n_init=3, batch_fraction=0.3, max_iter=30)
+    pred = res.predict(df, "vec", "pred")
+    assert S.scores(pred, "label", "pred", metrics=("nmi",)).first()["nmi"] > 0.95
