@@ -27,7 +27,7 @@ from horosphere.operators import vectorize as V
 class RunConfig:
     """Every switch of a run (the original YAML keys as fields)."""
     name: str = "default"
-    use_llm: bool = True
+    use_summary: bool = True
     prompt_type: str = "summarize"
     summarize_fn: object = None          # pd.Series -> pd.Series; None = built-in mock
     embedding: str = "hashed"            # hashed | word_mean | callable
@@ -54,7 +54,7 @@ class RunConfig:
 
     def vector_key(self) -> tuple:
         """Fields the vector stage reads: configs sharing it share vectors."""
-        return (self.use_llm, self.prompt_type, id(self.summarize_fn), self.embedding,
+        return (self.use_summary, self.prompt_type, id(self.summarize_fn), self.embedding,
                 self.text_dim, self.include_time)
 
 
@@ -62,7 +62,7 @@ class RunConfig:
 
 def summarize_stage(msgs: DataFrame, cfg: RunConfig) -> DataFrame:
     """Replace ``text`` by its summary (mock model when no callable)."""
-    if not cfg.use_llm:
+    if not cfg.use_summary:
         return msgs
     if cfg.summarize_fn is None:
         return TX.summarize_mock_sql(msgs, "text", cfg.prompt_type, "summary") \
@@ -253,7 +253,7 @@ def run_config(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5) -> DataFram
 GRIDS = {
     "vectorization": [dict(name=f"{e}{'+time' if t else ''}", embedding=e, include_time=t)
                       for e in ("hashed", "word_mean") for t in (True, False)],
-    "hyperbolic": [dict(name="no_llm", use_llm=False), dict(name="no_hyperbolic",
+    "hyperbolic": [dict(name="no_summary", use_summary=False), dict(name="no_hyperbolic",
                    use_hyperbolic=False), dict(name="hyperboloid", manifold="hyperboloid"),
                    dict(name="poincare", manifold="poincare"), dict(name="full")],
     "prompt": [dict(name=p, prompt_type=p) for p in ("summarize", "paraphrase")],

@@ -7,7 +7,7 @@
   mode), rows later than the watermark are dropped.
 * K5 online assignment: new rows go to the current centres (broadcast),
   stateless, so it runs per micro-batch.
-* K2/K3 block processing with state lives in ``plans.pipeline``; here is the
+* K2/K3 block processing with state lives in ``plans.experiments``; here is the
   ``foreachBatch`` driver that feeds it closed blocks idempotently.
 """
 
