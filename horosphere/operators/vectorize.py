@@ -97,15 +97,20 @@ def word_vector_mean(df: DataFrame, key: str, vectors: DataFrame, dim: int,
     """V4: mean of the vectors of a text's tokens; tokens without a vector are
     skipped, texts with none get zeros. ``vectors``: ``(token, vector)``.
 
-    Token rows join the vector table (broadcast by AQE when it is small,
-    shuffle join otherwise); the mean is one aggregation per key with a
-    partial average per component.
+    Token occurrences are first counted per ``(key, token)`` (partial
+    aggregation before the shuffle), so each distinct pair joins the vector
+    table once (broadcast by AQE when it is small, shuffle join otherwise);
+    the mean is a count-weighted sum per key.
     """
-    toks = df.select(key, F.explode(tokens(text_col)).alias(token_col))
+    toks = (df.select(key, F.explode(tokens(text_col)).alias(token_col))
+            .groupBy(key, token_col).agg(F.count(F.lit(1)).cast("double").alias("_n")))
     v = vectors.select(token_col, F.col(vec_col).alias("_vec"))
     hit = toks.join(v, token_col)
-    means = hit.groupBy(key).agg(F.array(*[F.avg(F.col("_vec")[i].cast("double"))
-                                            for i in range(dim)]).alias(out))
+    sums = hit.groupBy(key).agg(F.sum("_n").alias("_tot"), *[
+        F.sum(F.col("_n") * F.col("_vec")[i].cast("double")).alias(f"_s{i}")
+        for i in range(dim)])
+    means = sums.select(key, F.array(*[F.col(f"_s{i}") / F.col("_tot")
+                                       for i in range(dim)]).alias(out))
     base = df.select(key).dropDuplicates([key])
     zero = F.array_repeat(F.lit(0.0), dim)
     return base.join(means, key, "left").select(key, F.coalesce(F.col(out), zero).alias(out))
