@@ -25,11 +25,21 @@ ORIGIN = "1970-01-01 00:00:00"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
+def _secs_of_day(t: Column) -> Column:
+    return (F.hour(t) * 3600 + F.minute(t) * 60).cast("decimal(12,6)") + \
+        F.date_part(F.lit("SECOND"), t).cast("decimal(12,6)")
+
+
 def time_days(ts, d_max: int = D_MAX, reference: str = ORIGIN) -> Column:
-    """V1 first part: floor days since ``reference`` / d_max, as FLOAT."""
-    us = F.unix_micros(col_(ts).cast("timestamp"))
-    ref = F.unix_micros(F.to_timestamp(F.lit(reference)))
-    days = F.floor((us - ref) / F.lit(86400 * 1_000_000))
+    """V1 first part: floor days since ``reference`` / d_max, as FLOAT.
+
+    Computed from calendar dates and the time of day of the wall-clock
+    (TIMESTAMP_NTZ) value, so the session time zone plays no part.
+    """
+    t = col_(ts).cast("timestamp_ntz")
+    ref = F.lit(reference).cast("timestamp_ntz")
+    days = F.datediff(F.to_date(t), F.to_date(ref)) - \
+        F.when(_secs_of_day(t) < _secs_of_day(ref), F.lit(1)).otherwise(F.lit(0))
     return (days.cast("double") / F.lit(float(d_max))).cast("float")
 
 

@@ -55,6 +55,8 @@ def _run_to_table(spark: SparkSession, q: DataFrame, name: str, mode: str = "app
 
 
 def _source(spark: SparkSession, folder: str, schema: T.StructType, files: str | None):
+    # event-time windows need an instant: wall-clock (NTZ) times are read as UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     if files:
         r = r.option("pathGlobFilter", files)
@@ -95,6 +97,7 @@ def process_closed_blocks(stream: DataFrame, process_day: Callable[[DataFrame, o
     ignored. Returns the streaming query handle.
     """
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.session.timeZone", "UTC")   # wall-clock days = UTC days
     delay_expr = F.expr(f"INTERVAL {delay}")
 
     def handler(batch: DataFrame, epoch: int) -> None:

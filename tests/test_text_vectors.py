@@ -103,3 +103,23 @@ def test_concat_time_optional(spark):
     assert len(r[0]["v"]) == 3 and r[1]["v"] == [2.0]
     r = df.select(V.concat_time("tv", "ts", include_time=False).alias("v")).collect()
     assert len(r[0]["v"]) == 1
+
+
+def test_time_features_ignore_session_zone(spark):
+    rows = [(dt.datetime(1969, 12, 31, 23, 59, 59),), (dt.datetime(2024, 3, 10, 2, 30, 0),)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    utc = [r["v"] for r in df.select(V.time_vector("ts").alias("v")).collect()]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ny = [r["v"] for r in df.select(V.time_vector("ts").alias("v")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert ny == utc
+    assert utc[0][0] == pytest.approx(np.float32(-1e-5))
+
+
+def test_time_days_reference_with_time_of_day(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 5, 0),), (dt.datetime(2024, 1, 2, 7, 0),)],
+                               "ts timestamp_ntz")
+    got = [r[0] for r in df.select(V.time_days("ts", 1, "2024-01-01 06:00:00")).collect()]
+    assert got == [0.0, 1.0]
