@@ -455,12 +455,17 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                         D = pair_distances(X, C, metric, c)
                         lab = D.argmin(1)
                         dmin = D[np.arange(len(X)), lab]
-                        for j in np.unique(lab):
-                            m = lab == j
+                        kk = len(C)
+                        cnt = np.bincount(lab, minlength=kk)
+                        sse_k = np.bincount(lab, weights=dmin * dmin, minlength=kk)
+                        onehot = np.zeros((len(X), kk))
+                        onehot[np.arange(len(X)), lab] = 1.0
+                        sums = onehot.T @ X
+                        for j in np.nonzero(cnt)[0]:
                             a = acc.setdefault((key, s, int(j)), [0, 0.0, np.zeros(X.shape[1])])
-                            a[0] += int(m.sum())
-                            a[1] += float((dmin[m] ** 2).sum())
-                            a[2] += X[m].sum(0)
+                            a[0] += int(cnt[j])
+                            a[1] += float(sse_k[j])
+                            a[2] += sums[j]
             rows = [(*key, s, j, v[0], v[1], v[2].tolist()) for (key, s, j), v in acc.items()]
             yield pd.DataFrame(rows, columns=[*g, "_s", "cluster", "_cnt", "_sse", "_sum"])
 
@@ -497,10 +502,18 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     sse: dict = {}
     counts: dict = {}
     n_iter = {ks: 0 for ks in centers}
+    import os
+    import sys
+    import time as _time
+    trace = os.environ.get("HOROSPHERE_TRACE")
     for it in range(max_iter):
         if not active:
             break
+        t_step = _time.perf_counter()
         new, sse_it = step({ks: centers[ks] for ks in active}, it)
+        if trace:
+            print(f"[kmeans] step {it} active={len(active)} "
+                  f"{_time.perf_counter() - t_step:.2f}s", file=sys.stderr, flush=True)
         prev = {**prev, **{ks: centers[ks] for ks in active}}
         for ks in list(active):
             sse[ks] = sse_it.get(ks, 0.0)
