@@ -38,11 +38,36 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     # Settings that must hold even when the session already existed.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``horosphere`` importable on executors (once per SparkContext).
+
+    Python functions run by ``mapInPandas`` are pickled by reference to their
+    module, so workers must import the package: it is zipped on the driver
+    and distributed with ``addPyFile``.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = tempfile.mkdtemp(prefix="horosphere-pkg-")
+    archive = shutil.make_archive(os.path.join(base, "horosphere"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="horosphere")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
