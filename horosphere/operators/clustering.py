@@ -566,3 +566,48 @@ def kmeans_ml(points: DataFrame, k: int, vec: str = "vec", n_init: int = 10,
     res = best[1].transform(x).drop("_features")
     x.unpersist()
     return best[1], res
+
+
+def choose_k(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
+             min_k: int = 2, max_k: int = 100, step: int = 1, method: str = "silhouette",
+             n_init: int = 10, seed: int = 42) -> int:
+    """K from ``min_k`` to ``min(max_k, n - 1)`` by ``step``.
+
+    ``silhouette``: highest squared-Euclidean silhouette, first best wins
+    (results with fewer than two clusters are skipped); ``elbow``: largest
+    second difference of the inertia. Every candidate is one keyed k-means
+    run on the same persisted table; only (k, score) pairs reach the driver.
+    """
+    spark = points.sparkSession
+    pts = points.select(id_col, vec).persist()
+    n = pts.count()
+    ks = list(range(min_k, min(max_k, n - 1) + 1, step))
+    rows = []
+    for k in ks:
+        res = keyed_kmeans(pts, vec, id_col, k=k, n_init=n_init, seed=seed)
+        if method == "silhouette":
+            pred = res.predict(pts, vec, "pred")
+            if pred.select("pred").distinct().limit(2).count() < 2:
+                continue
+            s = silhouette_squared(pred, vec, "pred", id_col=id_col).first()[0]
+            rows.append((k, float(s)))
+        else:
+            rows.append((k, float(res.inertia.first()["inertia"])))
+    pts.unpersist()
+    if not rows:
+        return min_k
+    if method == "silhouette":
+        best = max(rows, key=lambda r: (r[1], -r[0]))
+        return int(best[0])
+    table = spark.createDataFrame(rows, "k long, inertia double")
+    return int(elbow_k(table).first()["best_k"])
+
+
+def adaptive_fit_predict(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
+                         k: int | None = None, out: str = "pred", **kw) -> DataFrame:
+    """C11: cluster with the given k, or with the k chosen by ``choose_k``."""
+    if k is None:
+        k = choose_k(points, vec, id_col, **kw)
+    res = keyed_kmeans(points, vec, id_col, k=k, n_init=kw.get("n_init", 10),
+                       seed=kw.get("seed", 42))
+    return res.predict(points, vec, out)

@@ -96,3 +96,12 @@ def test_centroids_clamped(spark):
     df = spark.createDataFrame([(0, [2.0, 0.0])], "cluster long, vec array<double>")
     c = C.centroids(df, "vec", manifold="poincare").first()["center"]
     assert np.linalg.norm(c) == pytest.approx(1 - 1e-5)
+
+
+def test_choose_k_and_adaptive(spark):
+    X, y = blobs(3, 30, 16, seed=11)
+    X = X * 3.0
+    df = frame(spark, X, y)
+    assert C.choose_k(df, "vec", max_k=5, n_init=2) == 3
+    pred = C.adaptive_fit_predict(df, "vec", max_k=5, n_init=2)
+    assert S.scores(pred, "label", "pred", metrics=("nmi",)).first()["nmi"] > 0.99
