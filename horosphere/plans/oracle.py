@@ -390,7 +390,7 @@ def oracle_sql() -> dict:
     q["cluster_sizes"] = f"""WITH {NEAREST}, s AS (SELECT pred, count(*) AS n FROM nearest GROUP BY pred)
         SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size FROM s"""
     ibk = f"""{LABEL_MEANS},
-        ks AS (SELECT cluster + 1 AS k FROM lm WHERE cluster >= 1),
+        ks AS (SELECT CAST(cluster + 1 AS BIGINT) AS k FROM lm WHERE cluster >= 1),
         kd AS (SELECT ks.k, e.vec_id, min({sqd('e.v', 'lm.center')}) AS d
                FROM ks, e, lm WHERE lm.cluster < ks.k GROUP BY ALL),
         ik AS (SELECT k, sum(d) AS inertia FROM kd GROUP BY k)"""
