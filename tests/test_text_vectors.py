@@ -123,3 +123,13 @@ def test_time_days_reference_with_time_of_day(spark):
                                "ts timestamp_ntz")
     got = [r[0] for r in df.select(V.time_days("ts", 1, "2024-01-01 06:00:00")).collect()]
     assert got == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("dim", [64, 16, 100, 1024])
+def test_token_bucket_matches_full_prefix(spark, dim):
+    import hashlib
+    words = ["alpha", "beta", "éte", "zeta9", "x", "über"]
+    df = spark.createDataFrame([(w,) for w in words], "tok string")
+    got = [r[0] for r in df.select(V.token_bucket("tok", dim)).collect()]
+    exp = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in words]
+    assert got == exp
