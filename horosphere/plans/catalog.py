@@ -120,8 +120,10 @@ def q_prompt_build(spark, sf):
 
 
 def q_mock_summary(spark, sf):
-    m = msgs(spark, sf)
-    return TX.summarize_mock_sql(m).select("msg_id", "summary")
+    """Summaries are computed once per document and joined to its messages."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    per_doc = TX.summarize_mock_sql(docs).select("doc_id", "summary")
+    return msgs(spark, sf, False).join(per_doc, "doc_id").select("msg_id", "summary")
 
 
 def _offline_cache(spark, sf):
