@@ -63,9 +63,11 @@ def exploded(df, ids, vec):
 # ---------------------------------------------------------------- S / P / B
 
 def q_load_clean(spark, sf):
-    m = msgs(spark, sf)
-    return m.select("msg_id", "created_at", "event", "doc_id",
-                    F.length("text").cast("bigint").alias("text_chars"))
+    """Text lengths are taken per document, so texts never travel through the join."""
+    lens = read(spark, sf, "documents").where(F.col("text").isNotNull()).select(
+        "doc_id", F.length("text").cast("bigint").alias("text_chars"))
+    return msgs(spark, sf, False).join(lens, "doc_id").select(
+        "msg_id", "created_at", "event", "doc_id", "text_chars")
 
 
 def q_block_assign(spark, sf):
@@ -113,10 +115,12 @@ def q_split_80_20(spark, sf):
 # ---------------------------------------------------------------- T
 
 def q_prompt_build(spark, sf):
-    m = msgs(spark, sf)
+    """Prompts are built once per document and joined to its messages."""
     p = TX.build_prompt("text", TX.prompt_template("summarize"))
-    return m.select("msg_id", F.md5(p).alias("prompt_md5"),
-                    F.length(p).cast("bigint").alias("prompt_chars"))
+    per_doc = read(spark, sf, "documents").select(
+        "doc_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_chars"))
+    return msgs(spark, sf, False).join(per_doc, "doc_id").select(
+        "msg_id", "prompt_md5", "prompt_chars")
 
 
 def q_mock_summary(spark, sf):
