@@ -19,13 +19,15 @@ RANGE_BITS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, size, key, range): the key depends on doc_id and seed alone."""
+def _keyed(docs: DataFrame, own: list[str], seed: int) -> DataFrame:
+    """(doc, doc_id, source, size, key, range): the key depends on doc_id and seed
+    alone; ``doc`` holds the columns ``own`` as they are, whatever their names."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     key = F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
-    return (docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-            .withColumn("key", key)
-            .withColumn("range", F.shiftright("key", KEY_BITS - RANGE_BITS).cast("int")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "doc_id", "source",
+                       F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                       key.alias("key"))
+    return rows.withColumn("range", F.shiftright("key", KEY_BITS - RANGE_BITS).cast("int"))
 
 
 def targets(sums: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -64,7 +66,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: in
     """
     mine = ["size", "source_size", "target", "taken"]
     own = [c for c in docs.columns if c not in mine]
-    rows = _keyed(docs.select(own), seed)
+    rows = _keyed(docs, own, seed)
     sums = kept(rows.groupBy("source", "range").agg(F.sum("size").alias("size")), "range-sums")
     to = targets(sums, weights, share, most).withColumn("budget", F.floor("target")) \
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))) \
@@ -84,5 +86,5 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: in
     at_cut = placed.where("range = cut").withColumn("upto", F.sum("size").over(inner))
     left = F.col("rest") - F.coalesce("before", F.lit(0)) - (F.col("upto") - F.col("size"))
     at_cut = at_cut.withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    cols = own + mine
+    cols = ["doc.*"] + mine
     return clear.select(cols).unionByName(at_cut.select(cols))
