@@ -25,7 +25,8 @@ def frequent(digests: DataFrame, top: int = TOP, counters: int = COUNTERS) -> Da
     """At most ``top`` candidate digests (column text_sha256) of the rows."""
     part = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("s"))
-    all_ = part.agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
+    # grouped, so that a task without sketches has nothing to hand on (an ungrouped one cannot)
+    all_ = part.groupBy(F.pmod("g", F.lit(1))).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
     return (all_.select(F.explode(F.expr(f"approx_top_k_estimate(s, {top})")).alias("x"))
             .where("x.count > 1").select(F.col("x.item").alias("text_sha256")))
 
