@@ -72,10 +72,11 @@ def runs(off: np.ndarray, most: int = 1 << 20):
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def words(raw: np.ndarray, off: np.ndarray, parts: np.ndarray = _SPACE):
+def words(raw: np.ndarray, off: np.ndarray, parts: np.ndarray = _SPACE, cuts: np.ndarray | None = None):
     """(hash of each word, first byte, end byte, first word of each row + total).
 
-    ``parts`` marks the bytes between words."""
+    ``parts`` marks the bytes between words, ``cuts`` places where a word
+    begins although none of those bytes is before it."""
     n = len(raw)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -83,6 +84,8 @@ def words(raw: np.ndarray, off: np.ndarray, parts: np.ndarray = _SPACE):
     space = parts[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True                                # a row begins here
+    if cuts is not None:
+        cut[cuts] = True
     solid = ~space
     before = np.empty(n, bool)
     before[0] = True

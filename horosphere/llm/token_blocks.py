@@ -19,6 +19,7 @@ a lost executor's tasks are simply run again.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -28,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from horosphere.llm.shingles import runs, utf8, words
 from horosphere.session import scratch_path
 
 BLOCK = 4096
 CHUNK = 1 << 16          # ids after which a chunk ends
 PERCENTILE = 0.95
 END_ID = 2
-KNOWN = 800_000          # words whose ids a worker remembers at a time
+KNOWN = 700_000           # pieces whose ids a worker remembers at a time
 SCHEMA = ("shard int, chunk int, first long, doc_ids array<long>, n_tokens array<int>, "
           "blocks array<int>, payload binary")
 _HEAD = struct.Struct("<IIBI")
@@ -101,60 +103,118 @@ def unpack_block(buf: memoryview) -> np.ndarray:
     return d + np.uint32(low)
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins text across a space.
+# Fixed values of the lower-casing word tokenizer: how it normalises and splits text.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_JOIN = 512              # pieces encoded in one call
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) != "'" for b in range(256)])
+
 
-    Every distinct space-delimited word is encoded by the tokenizers library and
-    remembered (at most KNOWN words, then afresh). Letters followed by one full
-    stop or comma are looked up as two words: the pre-tokenizer parts them too.
+class WordEncoder:
+    """Ids of whole texts, each distinct piece of a batch looked up once.
+
+    The lower-casing word tokenizer parts text at white space and between ASCII
+    letters and ASCII marks (but for the apostrophe, which can belong to a
+    contraction), and a piece's ids do not depend on its neighbours or on ASCII case.
+    So a batch is cut there in numpy, its distinct pieces are found by a 64-bit
+    hash, encoded by the tokenizers library unless remembered (at most KNOWN, then
+    afresh), and the ids are gathered back. Texts with a special token's string
+    and all texts of a tokenizer of another make are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        spec = json.loads(self.tok.to_str())
+        norm, pre = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_piece = ([n["type"] for n in norm.get("normalizers", [])] == _NORMALIZERS
+                         and pre[0].get("pattern") == {"Regex": _SPLIT} and pre[-1]["type"] == "ByteLevel"
+                         and spec["model"].get("end_of_word_suffix") == "</w>"
+                         and all(a["content"].startswith("<|") for a in spec["added_tokens"]))
+        self.letters = Tokenizer(self.tok.model)       # for pieces of lower-case letters, which
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()   # the other steps leave as they are
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)      # ids that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _learn(self, new: list[str], letters: bool) -> None:
-        """Encode ``new`` in few calls; ``letters``: each is one run of letters."""
-        for at in range(0, len(new), 8192):
-            part = new[at:at + 8192]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            where = np.flatnonzero(self.last[ids]) + 1 if letters else ()
-            if len(where) != len(part):                          # by place in the text
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+        hidden = [b for b in range(256) if b not in shown]
+        self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _learn(self, new: list[bytes], words: list[str], letters: bool) -> None:
+        """Encode ``words`` in few calls and remember them as ``new``; ``letters``:
+        each is one run of letters in lower case."""
+        for at in range(0, len(new), _JOIN):
+            part = words[at:at + _JOIN]
+            if letters:
+                raw = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in part])
+                ids = np.array(self.letters.encode(raw, add_special_tokens=False).ids, np.uint32)
+                where = np.flatnonzero(self.last[ids]) + 1
+            else:                                                # by place in the text
+                e = self.tok.encode(" ".join(part), add_special_tokens=False)
+                ids = np.array(e.ids, np.uint32)
                 begin = np.cumsum([len(w) + 1 for w in part])
                 where = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begin)
             raw, a = ids.astype("<u4").tobytes(), 0
-            for w, b in zip(part, (where * 4).tolist()):
-                self.known[w] = raw[a:b]
+            for k, b in zip(new[at:at + _JOIN], (where * 4).tolist(), strict=True):
+                self.known[k] = raw[a:b]
                 a = b
 
-    @staticmethod
-    def _letters(w: str):
-        """(letters, mark) if ``w`` is letters and at most one closing mark."""
-        core, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
-        return (core.lower() if core.isascii() else core, mark) if core.isalpha() else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32 bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces in ASCII lower case."""
         if len(self.known) > KNOWN:
             self.known = {}
-        known = self.known
-        new = {w for s in split for w in s if w not in known}
+        got = [self.known.get(p) for p in pieces]
+        new = [p for p, ids in zip(pieces, got) if ids is None]
         if new:
-            parts = {w: p for w in new if (p := self._letters(w))}
-            self._learn(list({p[0] for p in parts.values() if p[0] not in known}), True)
-            self._learn(list({w for w in new if w and w not in parts}
-                             | {x for x in (".", ",") if x not in known}), False)
-            known[""] = b""
-            for w, (a, b) in parts.items():
-                known[w] = known[a] + known[b]
-        return [b"".join([known[w] for w in s]) for s in split]
+            plain, other = ([], []), ([], [])
+            for p in new:
+                w = p.decode()
+                # lower() looks at the neighbours of a sigma and makes two of a dotted I
+                low = w if w.isascii() else w.lower() if "\u03a3" not in w and "\u0130" not in w else ""
+                to, w = (plain, low) if low.isalpha() else (other, w)
+                to[0].append(p)
+                to[1].append(w)
+            self._learn(*plain, True)
+            self._learn(*other, False)
+            got = [self.known[p] for p in pieces]
+        return got
+
+    def encode(self, arr: pa.Array) -> list[np.ndarray]:
+        """The ids (uint32) of each text of a string array; null counts as empty."""
+        raw, off = utf8(arr)
+        whole = lambda r: np.array(self.tok.encode(bytes(raw[off[r]:off[r + 1]]).decode(),
+                                                   add_special_tokens=False).ids, np.uint32)
+        if not self.by_piece:
+            return [whole(r) for r in range(len(off) - 1)]
+        out: list[np.ndarray] = []
+        for lo, hi in runs(off, 1 << 21):
+            o = off[lo:hi + 1] - off[lo]
+            b = raw[off[lo]:off[hi]]
+            letter, mark = _LETTER[b], _MARK[b]
+            cuts = np.flatnonzero(letter[1:] & mark[:-1] | mark[1:] & letter[:-1]) + 1
+            h, begin, end, first = words(b, o, _BLANK, cuts)
+            if len(h) == 0:
+                out += [np.zeros(0, np.uint32)] * (hi - lo)
+                continue
+            _, one, place = np.unique(h, return_index=True, return_inverse=True)
+            text = bytes(b).lower()                              # ASCII letters only
+            ids = self._ids([text[x:y] for x, y in zip(begin[one].tolist(), end[one].tolist())])
+            size = np.array([len(i) // 4 for i in ids])
+            start = np.cumsum(size) - size
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            n = size[place]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            full = flat[np.repeat(start[place] - upto[:-1], n) + np.arange(upto[-1])]
+            rows = upto[first]
+            out += [full[x:y] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())]
+            for r in np.unique(np.searchsorted(o, np.flatnonzero((b[:-1] == 60) & (b[1:] == 124)), "right") - 1):
+                out[lo + r] = whole(lo + r)                      # may hold a special token
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -169,16 +229,16 @@ def _encoder(path: str) -> WordEncoder:
 def _write(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
-        enc, end = _encoder(path), struct.pack("<I", end_id)
+        enc, end = _encoder(path), np.array([end_id], np.uint32)
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
         ids: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush():
             nonlocal chunk, first, ids, held, size
-            counts = [len(h) // 4 for h in held]
-            flat = np.frombuffer(b"".join(held), "<u4")
+            counts = [len(h) + 1 for h in held]
+            flat = np.concatenate([x for h in held for x in (h, end)])
             blocks = [pack_block(flat[i:i + BLOCK]) for i in range(0, len(flat), BLOCK)]
             starts = np.cumsum([0, *[len(b) for b in blocks]])[:-1]
             row = {"shard": shard, "chunk": chunk, "first": first, "doc_ids": ids, "n_tokens": counts,
@@ -191,13 +251,12 @@ def _write(path: str, end_id: int):
             return out
 
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, raw in zip(part.column(0).to_pylist(), enc.encode(texts)):
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                for i, got in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(i)
-                    held.append(raw + end)
-                    size += len(raw) // 4 + 1
+                    held.append(got)
+                    size += len(got) + 1
                     if size >= CHUNK:
                         yield flush()
         if ids:

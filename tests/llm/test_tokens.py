@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -27,10 +28,19 @@ def test_every_width(width):
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aAbZ .,'!s0\n\t\xa0éÉ́ßİΣ中<|endoftxr>", max_size=60))
+@example("it's I'LL !'s 's' <|endoftext|> a<|b 1st x² ½ Σ ΑΣ İ é́ \u2014 a\u2014b a\u00a0b")
 def test_encoder_equals_the_library(text):
     enc = test_encoder_equals_the_library.__dict__.setdefault("enc", WordEncoder(tokenizer_path()))
-    got = np.frombuffer(enc.encode([text])[0], "<u4").tolist()
-    assert got == enc.tok.encode(text, add_special_tokens=False).ids
+    other = text.upper() + "." + text
+    for t, got in zip((text, other, text), enc.encode(pa.array([text, other, text]))):
+        assert got.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    enc = WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["Some text, here.", "", "  two  spaces\n"]
+    assert not enc.by_piece
+    assert [x.tolist() for x in enc.encode(pa.array(texts))] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def expected(rows):
