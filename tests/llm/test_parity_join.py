@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from horosphere.llm.parity_join import Bands, near_components, segment_keys
+from horosphere.llm.shingles import mix
 from tests.llm.conftest import docs_frame
 from tests.llm.test_shingles_graph import plain_set, union_find
 
@@ -45,16 +46,26 @@ def test_all_links_found(spark, docs, k, num):
     assert got == want
 
 
-def test_linked_sets_always_share_a_segment():
+def test_linked_sets_share_enough_segments():
+    """Of linked sets' keys one stays shared whichever buckets each of them leaves by a common order."""
     rng = np.random.default_rng(4)
-    bands = Bands(85, 100)
-    for _ in range(2500):
-        n = int(rng.integers(6, 400))
+    bands, tried = Bands(85, 100), 0
+    for _ in range(4000):
+        n = int(rng.integers(6, 500))
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        drop, add = (int(x) for x in rng.integers(0, n // 5 + 2, 2))
+        drop, add = (int(x) for x in rng.integers(0, n // 6 + 2, 2))
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
-        if len(b) and len(a) != len(np.intersect1d(a, b)) and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-            assert np.intersect1d(segment_keys(a, bands), segment_keys(b, bands)).size
+        both = len(np.intersect1d(a, b))
+        if not len(b) or both == max(len(a), len(b)) or 100 * both < 85 * len(np.union1d(a, b)):
+            continue
+        tried += 1
+        left = []
+        for s in (a, b):
+            for keys, leave in segment_keys(s, bands):
+                order = np.sort(mix(keys))             # some order of all keys
+                left.append((id(s), set(order[leave:].tolist()), leave))
+        assert any(p[1] & q[1] for p in left for q in left if p[0] != q[0])
+    assert tried > 500
 
 
 def test_odd_rows(spark, odd, odd_rows, none):
