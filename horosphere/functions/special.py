@@ -44,3 +44,47 @@ def ln_factorial(n: Column) -> Column:
 def xlogx(x: Column) -> Column:
     """x * ln(x) with 0 for x = 0."""
     return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+
+
+def _stirling_error(n: Column) -> Column:
+    """ln(n!) - Stirling's formula, n >= 0 integer (0 for 0)."""
+    small = F.element_at(F.array(*[F.lit(math.lgamma(k + 1) - ((k + 0.5) * math.log(k) - k + _HALF_LN_2PI) if k else 0.0)
+                                   for k in range(16)]), (F.least(n, F.lit(15.0)) + 1).cast("int"))
+    m = F.greatest(n, F.lit(16.0))
+    i2 = F.lit(1.0) / (m * m)
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - (F.lit(1 / 1680) - F.lit(1 / 1188) * i2) * i2) * i2) * i2) / m
+    return F.when(n < 16, small).otherwise(series)
+
+
+def _deviance(x: Column, m: Column) -> Column:
+    """x ln(x/m) + m - x without cancellation near x = m (x, m > 0)."""
+    v = (x - m) / (x + m)
+    v2 = v * v
+    tail = F.lit(0.0)
+    for j in range(9, 0, -1):
+        tail = (tail + F.lit(1.0 / (2 * j + 1))) * v2
+    near = (x - m) * v + F.lit(2.0) * x * v * tail
+    return F.when(F.abs(v) < 0.1, near).otherwise(x * F.log(x / m) + m - x)
+
+
+def _ln_binomial_mass(x: Column, n: Column, mean: Column, rest: Column) -> Column:
+    """ln of the binomial mass at x of n, given n*p and n*(1-p) (saddle-point form)."""
+    y = n - x
+    inner = (_stirling_error(n) - _stirling_error(x) - _stirling_error(y) - _deviance(x, mean) - _deviance(y, rest)
+             - F.lit(0.5) * (F.lit(2 * _HALF_LN_2PI) + F.log(x) + F.log(y / F.greatest(n, F.lit(1.0)))))
+    # all or none of n: n ln p and n ln(1 - p)
+    return F.when(n == 0, F.lit(0.0)).when(x == 0, -_deviance(n, rest) - mean).when(y == 0, -_deviance(n, mean) - rest) \
+        .otherwise(inner)
+
+
+def ln_hypergeometric(n: Column, a: Column, b: Column, total: Column) -> Column:
+    """ln P(n common) of two random subsets of sizes a and b of ``total``.
+
+    Three binomial masses with p = b / total: relative accuracy does not fall with
+    the size, unlike differences of ln(total!).
+    """
+    n, a, b, t = (x.cast("double") for x in (n, a, b, total))
+    p, q = b / t, (t - b) / t
+    split = _ln_binomial_mass(n, a, a * p, a * q) + _ln_binomial_mass(b - n, t - a, (t - a) * p, (t - a) * q) \
+        - _ln_binomial_mass(b, t, b, t - b)
+    return F.when((b == 0) | (b == t), F.lit(0.0)).otherwise(split)

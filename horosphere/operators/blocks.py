@@ -132,8 +132,7 @@ def positional_split(df: DataFrame, cuts: tuple[float, ...], names: tuple[str, .
 
     ``strategy='range'`` never puts a whole group in one task: positions are
     computed on the key columns only, the key at each cut is found, and the
-    data is compared with those few boundary keys (broadcast, one row per
-    group). ``strategy='window'`` is the plain ``row_number`` form.
+    data is compared with those few boundary keys (one row per group). ``strategy='window'`` is the plain ``row_number`` form.
     """
     assert len(names) == len(cuts) + 1
     cut_cols = [f"_cut{j}" for j in range(len(cuts))]
@@ -156,7 +155,7 @@ def positional_split(df: DataFrame, cuts: tuple[float, ...], names: tuple[str, .
     spark = df.sparkSession
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(group, *order)
-    pos = _positions(keys, order, nparts)
+    pos = _positions(keys, (group, *order), nparts)   # a group's positions are consecutive
     meta = pos.groupBy(group).agg(F.min("_gpos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     def cut_at(c):
         k = (F.col("_n") * F.lit(float(c))).cast("bigint")
@@ -170,7 +169,7 @@ def positional_split(df: DataFrame, cuts: tuple[float, ...], names: tuple[str, .
         bounds = bounds.join(at, cc, "left")
     bounds = bounds.select(group, *[f"_k{j}" for j in range(len(cuts))])
     key = F.struct(*order)
-    x = df.join(F.broadcast(bounds), group, "left")
+    x = df.join(bounds, group, "left")
     out = x.withColumn("split", label(
         lambda j: F.col(f"_k{j}").isNull() | (key < F.col(f"_k{j}"))))
     return out.drop(*[f"_k{j}" for j in range(len(cuts))])

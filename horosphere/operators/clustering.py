@@ -1,7 +1,9 @@
 """Clustering (C1-C12): nearest centre, keyed k-means, hyperbolic k-means, k choice.
 
-Centres are small (k per group, checked before they are collected) and are
-broadcast; points never leave their partitions. Each Lloyd step is one job:
+Centres are counted first: up to BROADCAST_CENTERS of them are broadcast and
+points never leave their partitions; beyond that, points meet the centres of
+their group in a sorted stream, and k-means takes the groups in portions whose
+centres fit. Each Lloyd step is one job:
 every task assigns its rows to the nearest centre with numpy on Arrow
 batches and emits one partial sum per (group, start, cluster); Spark adds
 the partials up (``Summarizer.sum``) and only the new centres come back.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from horosphere.functions import hyperbolic as H
-from horosphere.session import collect_bounded
+from horosphere.session import cut_lineage
 
-MAX_CENTERS = 200_000
+BROADCAST_CENTERS = 200_000   # centres sent to every task at once
+SALTS = 16                    # parts a group's points are dealt to when they are not
 
 
 # ------------------------------------------------------------------ numpy side
@@ -71,9 +75,8 @@ def clamp_ball(m: np.ndarray, c: float = 1.0) -> np.ndarray:
 # ------------------------------------------------------------------ centres
 
 def _center_dict(centers: DataFrame, keys: list[str], cluster: str, vec: str) -> dict:
-    rows = collect_bounded(centers.select(*keys, cluster, vec), MAX_CENTERS, "centres")
     tmp: dict = {}
-    for r in rows:
+    for r in centers.select(*keys, cluster, vec).collect():    # counted or made by the caller
         key = tuple(r[k] for k in keys)
         tmp.setdefault(key, []).append((r[cluster], np.asarray(r[vec], dtype=np.float64)))
     out = {}
@@ -89,11 +92,14 @@ def assign_nearest(points: DataFrame, centers: DataFrame, vec: str = "vec",
                    out: str = "pred", dist_out: str | None = None) -> DataFrame:
     """Nearest centre per row (lowest cluster id wins ties).
 
-    ``centers``: ``(group.., cluster, center)``; collected (size checked) and
-    broadcast. Rows whose group has no centres get NULL.
+    ``centers``: ``(group.., cluster, center)``; broadcast up to BROADCAST_CENTERS,
+    else streamed beside the points of their group. Rows whose group has no
+    centres get NULL.
     """
     g = list(group)
     spark = points.sparkSession
+    if centers.limit(BROADCAST_CENTERS + 1).count() > BROADCAST_CENTERS:
+        return _assign_streamed(points, centers, vec, g, cluster, center_vec, metric, c, out, dist_out)
     bc = spark.sparkContext.broadcast(_center_dict(centers, g, cluster, center_vec))
     fields = list(points.schema.fields) + [T.StructField(out, T.LongType())]
     if dist_out:
@@ -125,6 +131,98 @@ def assign_nearest(points: DataFrame, centers: DataFrame, vec: str = "vec",
     return points.mapInPandas(run, schema)
 
 
+def _assign_streamed(points: DataFrame, centers: DataFrame, vec: str, g: list[str], cluster: str,
+                     center_vec: str, metric: str, c: float, out: str, dist_out: str | None) -> DataFrame:
+    """``assign_nearest`` for any number of centres: centres and points are
+    dealt by (group, salt) and sorted, centres first, so a task holds the
+    centres of one group at a time and streams that group's points past them."""
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dbl = lambda x: F.transform(x, lambda t: t.cast("double"))
+    row = F.struct(*[F.col(f"`{n}`") for n in points.columns])
+    left = points.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(g)],
+                         F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int").alias("_salt"), F.lit(1).alias("_kind"),
+                         F.lit(None).cast("bigint").alias("_cluster"), dbl(F.col(vec)).alias("_vec"), row.alias("_row"))
+    right = centers.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(g)], F.explode(salts).alias("_salt"),
+                           F.lit(0).alias("_kind"), F.col(cluster).cast("bigint").alias("_cluster"),
+                           dbl(F.col(center_vec)).alias("_vec"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    keys = [*[f"_g{i}" for i in range(len(g))], "_salt"]
+    both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "_kind", "_cluster")
+    fields = list(points.schema.fields) + [T.StructField(out, T.LongType())]
+    if dist_out:
+        fields.append(T.StructField(dist_out, T.DoubleType()))
+
+    def run(batches):
+        import pyarrow as pa
+        at, ids, cen = None, [], []
+        for b in batches:
+            head = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))]))
+            kind = b.column(len(keys)).to_pylist()
+            cl, vecs = b.column(len(keys) + 1).to_pylist(), b.column(len(keys) + 2)
+            pred, dist, lo = [], [], 0
+            while lo < len(head):
+                hi = lo
+                while hi < len(head) and head[hi] == head[lo] and kind[hi] == kind[lo]:
+                    hi += 1
+                if head[lo] != at:
+                    at, ids, cen = head[lo], [], []
+                X = np.array(vecs.slice(lo, hi - lo).to_pylist(), dtype=np.float64)
+                if kind[lo] == 0:
+                    ids += cl[lo:hi]
+                    cen.append(X)
+                elif not cen:
+                    pred += [None] * (hi - lo)
+                    dist += [None] * (hi - lo)
+                else:
+                    cen = [np.concatenate(cen)]
+                    D = pair_distances(X, cen[0], metric, c)
+                    j = D.argmin(1)
+                    pred += [ids[t] for t in j]
+                    dist += D[np.arange(len(X)), j].tolist()
+                lo = hi
+            keep = b.column(len(keys) + 3).filter(pa.array([k == 1 for k in kind]))
+            cols = [*keep.flatten(), pa.array(pred, pa.int64())] + ([pa.array(dist, pa.float64())] if dist_out else [])
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+
+    return both.mapInArrow(run, T.StructType(fields))
+
+
+def assign_views(points: DataFrame, centers: DataFrame, vec: str, group: list[str], views: dict,
+                 over: str | None = None, center_vec: str = "center", cluster: str = "cluster",
+                 metric: str = "euclidean", c: float = 1.0) -> DataFrame:
+    """Several clusterings of the same rows in one pass over one copy of the vectors.
+
+    ``views``: name -> (first, end) coordinates to compare. ``over`` names a
+    column of ``centers`` (e.g. run) whose every value is one clustering. Output:
+    the other columns of ``points``, [over,] view, pred. Centres are few
+    (settings x groups x k) and broadcast.
+    """
+    spark = points.sparkSession
+    table: dict = {}
+    for (*key, o), v in _center_dict(centers.withColumn("_o", F.col(over) if over else F.lit(0)),
+                                     [*group, "_o"], cluster, center_vec).items():
+        table.setdefault(tuple(key), {})[o] = v
+    bc = spark.sparkContext.broadcast(table)
+    keep = [f for f in points.schema.fields if f.name != vec]
+    extra = [T.StructField(over, centers.schema[over].dataType)] if over else []
+    schema = T.StructType([*keep, *extra, T.StructField("view", T.StringType()), T.StructField("pred", T.LongType())])
+
+    def run(batches):
+        tab = bc.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rest = pdf.drop(columns=[vec])
+            for key, part in pdf.groupby(list(group), sort=False):
+                X = _matrix(part[vec])
+                for o, (ids, C) in tab.get(key if isinstance(key, tuple) else (key,), {}).items():
+                    for name, (a, z) in views.items():
+                        D = pair_distances(X[:, a:z], C[:, a:z], metric, c)
+                        res = rest.loc[part.index].assign(view=name, pred=ids[D.argmin(1)])
+                        yield res.assign(**{over: o})[schema.names] if over else res[schema.names]
+
+    return points.mapInPandas(run, schema)
+
+
 def centroids(df: DataFrame, vec: str = "vec", keys: list[str] | tuple = ("cluster",),
               manifold: str | None = None, c: float = 1.0, out: str = "center") -> DataFrame:
     """Mean vector per key (JVM ``Summarizer``, partial + final aggregation).
@@ -172,8 +270,7 @@ def silhouette_squared(points: DataFrame, vec: str = "vec", pred: str = "pred",
     stats = (x.select(*g, pred, array_to_vector("_x").alias("_v"), sqnorm("_x").alias("_q"))
              .groupBy(*g, pred).agg(Summarizer.mean(F.col("_v")).alias("_mu"),
                                     F.avg("_q").alias("_mq"), F.count(F.lit(1)).alias("_n")))
-    rows = collect_bounded(stats.select(*g, pred, vector_to_array("_mu").alias("_mu"),
-                                        "_mq", "_n"), MAX_CENTERS, "cluster summaries")
+    rows = stats.select(*g, pred, vector_to_array("_mu").alias("_mu"), "_mq", "_n").collect()
     table: dict = {}
     for r in rows:
         table.setdefault(tuple(r[k] for k in g), []).append(
@@ -294,17 +391,13 @@ def unpack(series: pd.Series) -> np.ndarray:
     return np.frombuffer(buf, dtype=np.float64).reshape(len(series), -1)
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    """Map signed 64-bit hashes to (0, 1)."""
-    return ((h.astype(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-
-
 def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                  group: list[str] | tuple = (), k: int | None = None,
                  k_table: DataFrame | None = None, n_init: int = 10, max_iter: int = 300,
                  tol: float = 1e-4, seed: int = 42, init: str = "k-means++",
                  metric: str = "euclidean", c: float = 1.0,
-                 stop_rule: str = "relative", batch_fraction: float = 1.0) -> KMeansResult:
+                 stop_rule: str = "relative", batch_fraction: float = 1.0,
+                 start: DataFrame | None = None) -> KMeansResult:
     """K-means for every group at once.
 
     ``k`` is fixed, or per group from ``k_table`` ``(group.., k)`` (e.g. the
@@ -323,10 +416,41 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     ``batch_fraction < 1`` is mini-batch k-means (C2): step ``t`` uses the
     rows whose hash uniform for ``t`` is below the fraction, and each centre
     moves to the running mean of all rows it has been given so far
-    (per-centre learning rate 1/count).
+    (per-centre learning rate 1/count). A last pass over all rows then measures each
+    start, so starts are compared by, and the result reports, full inertia.
+
+    ``start`` gives the first centres ``(group.., cluster, center)`` of one start instead of ``init``.
+
+    However many groups and centres there are, they are taken in portions of
+    about BROADCAST_CENTERS centres (all starts together).
     """
     g = list(group)
+    if g and start is None:
+        ks = points.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+        ks = (ks.join(k_table.select(*g, F.col("k").alias("_k")), g, "left") if k_table is not None
+              else ks.withColumn("_k", F.lit(int(k))))
+        need = F.least(F.coalesce("_k", F.lit(0)), "_n") * n_init
+        upto = Window.orderBy(*g).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ks = ks.select(*g, F.floor((F.sum(need).over(upto) - 1) / BROADCAST_CENTERS).alias("_portion"))
+        portions = [r[0] for r in ks.select("_portion").distinct().collect()]
+        if len(portions) > 1:
+            ks = cut_lineage(ks)
+            parts = [_fit(points.join(ks.where(F.col("_portion") == p).select(*g), g, "left_semi"), vec, id_col, g, k,
+                          k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule, batch_fraction, None)
+                     for p in sorted(portions)]
+            return KMeansResult(*[cut_lineage(reduce(DataFrame.unionByName, [getattr(r, n) for r in parts]))
+                                  for n in ("centers", "prev_centers", "inertia")], g, metric, c)
+    return _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule,
+                batch_fraction, start)
+
+
+def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule,
+         batch_fraction, start) -> KMeansResult:
+    """``keyed_kmeans`` for groups whose centres fit into one broadcast."""
     spark = points.sparkSession
+    if start is not None:
+        n_init = 1
+        k_table, k = (start.groupBy(*g).agg(F.count(F.lit(1)).alias("k")) if g else None), start.count()
     pts = pack_vectors(points.select(*g, id_col, vec), vec, "_xb").persist()
     sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     if k_table is not None:
@@ -335,20 +459,27 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     else:
         sizes = sizes.withColumn("_k", F.lit(int(k)))
     sizes = sizes.withColumn("_k", F.least(F.col("_k"), F.col("_n")).cast("long"))
-    # per-group mean feature variance for the relative stopping rule
-    var = (points.select(*g, array_to_vector(
-        F.transform(vec, lambda t: t.cast("double"))).alias("_v")).groupBy(*g)
-           .agg(Summarizer.variance(F.col("_v")).alias("_var")))
-    var = var.select(*g, F.aggregate(vector_to_array("_var"), F.lit(0.0),
-                                     lambda a, x: a + x).alias("_vs"),
-                     F.size(vector_to_array("_var")).alias("_d"))
-    meta_rows = collect_bounded(sizes.join(var, g, "left") if g else sizes.crossJoin(var),
-                                MAX_CENTERS, "groups")
-    kmap = {tuple(r[x] for x in g): int(r["_k"]) for r in meta_rows}
-    tolmap = {tuple(r[x] for x in g): tol * (r["_vs"] or 0.0) / max(r["_d"] or 1, 1)
-              for r in meta_rows}
-    if sum(kmap.values()) * n_init > MAX_CENTERS:
-        raise ValueError("too many centres for one broadcast")
+    # per-group mean feature variance for the relative stopping rule, from the packed rows
+    mom = T.StructType([*[f for f in pts.schema.fields if f.name in g], T.StructField("_m", T.LongType()),
+                        T.StructField("_s1", T.ArrayType(T.DoubleType())), T.StructField("_s2", T.ArrayType(T.DoubleType()))])
+
+    def moments(batches):
+        for pdf in batches:
+            for key, part in (pdf.groupby(g, sort=False) if g else [((), pdf)]):
+                X = unpack(part["_xb"])
+                if len(X):
+                    yield pd.DataFrame([(*key, len(X), X.sum(0), (X * X).sum(0))], columns=[*g, "_m", "_s1", "_s2"])
+
+    var = (pts.mapInPandas(moments, mom).select(*g, "_m", array_to_vector("_s1").alias("_a"), array_to_vector("_s2").alias("_b"))
+           .groupBy(*g).agg(F.sum("_m").alias("_m"), Summarizer.sum(F.col("_a")).alias("_a"), Summarizer.sum(F.col("_b")).alias("_b")))
+    var = var.select(*g, "_m", vector_to_array("_a").alias("_a"), vector_to_array("_b").alias("_b"))
+    meta_rows = (sizes.join(var, g, "left") if g else sizes.crossJoin(var)).collect()   # one row per group
+    kmap = {tuple(r[x] for x in g): int(r["_k"]) for r in meta_rows if r["_k"]}
+
+    def spread(r) -> float:
+        m, a, b = r["_m"] or 0, np.asarray(r["_a"] or [0.0]), np.asarray(r["_b"] or [0.0])
+        return float(np.maximum(b - a * a / m, 0).sum() / (m - 1) / len(a)) if m > 1 else 0.0
+    tolmap = {tuple(r[x] for x in g): tol * spread(r) for r in meta_rows}
     starts = list(range(n_init))
 
     # ---------------- initialisation
@@ -384,17 +515,14 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                         h = pd.util.hash_array(ids ^ salt).astype(np.uint64)
                         u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
                         if init == "k-means++" and cur is not None and len(cur):
-                            D = pair_distances(X, np.vstack(cur), metric, c).min(1)
+                            D = pair_distances(X, np.vstack([v[1] for v in cur]), metric, c).min(1)
                             w = D * D
                         else:
                             w = np.ones(len(X))
                         with np.errstate(divide="ignore"):
                             key_v = np.where(w > 0, -np.log(u) / w, np.inf)
                         if init == "random" and cur:
-                            taken = {tuple(v) for v in cur}
-                            for t in range(len(X)):
-                                if tuple(X[t]) in taken:
-                                    key_v[t] = np.inf
+                            key_v[np.isin(ids, [v[0] for v in cur])] = np.inf
                         j = int(np.argmin(key_v))
                         cand = (key_v[j], int(ids[j]), X[j])
                         if (key, s) not in best or cand[:2] < best[(key, s)][:2]:
@@ -405,20 +533,24 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
         part = pts.mapInPandas(run, schema)
         win = part.groupBy(*g, "_s").agg(
             F.min_by(F.struct(id_col, "_x"), F.struct("_key", id_col)).alias("_w"))
-        rows = collect_bounded(win, MAX_CENTERS, "k-means picks")
+        rows = win.collect()                        # one row per (group, start)
+        bc.destroy()
         new = dict(chosen)
         for r in rows:
             key = tuple(r[x] for x in g)
             new.setdefault((key, r["_s"]), [])
-            new[(key, r["_s"])] = list(new[(key, r["_s"])]) + [np.asarray(r["_w"]["_x"])]
+            new[(key, r["_s"])] = list(new[(key, r["_s"])]) + [
+                (r["_w"][id_col], np.asarray(r["_w"]["_x"]))]
         return new
 
-    chosen: dict = {}
-    kmax = max(kmap.values()) if kmap else 0
-    # k-means++: D^2-weighted picks; random: unweighted distinct picks
-    for rnd in range(kmax):
-        chosen = pick(chosen, rnd)
-    centers = {ks: np.vstack(v) for ks, v in chosen.items()}
+    if start is not None:
+        centers = {(key, 0): v[1] for key, v in _center_dict(start, g, "cluster", "center").items()}
+    else:
+        chosen: dict = {}
+        # k-means++: D^2-weighted picks; random: unweighted distinct rows
+        for rnd in range(max(kmap.values(), default=0)):
+            chosen = pick(chosen, rnd)
+        centers = {ks: np.vstack([x for _, x in v]) for ks, v in chosen.items()}
 
     # ---------------- Lloyd iterations
     out_schema = T.StructType([*[f for f in pts.schema.fields if f.name in g],
@@ -428,9 +560,9 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                                T.StructField("_sse", T.DoubleType()),
                                T.StructField("_sum", T.ArrayType(T.DoubleType()))])
 
-    def step(cen: dict, it: int = 0):
+    def step(cen: dict, it: int = 0, whole: bool = False):
         bc = spark.sparkContext.broadcast(cen)
-        frac = float(batch_fraction)
+        frac = 1.0 if whole else float(batch_fraction)
 
         def run(batches):
             cc = bc.value
@@ -475,9 +607,9 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                .groupBy(*g, "_s", "cluster")
                .agg(F.sum("_cnt").alias("_cnt"), F.sum("_sse").alias("_sse"),
                     Summarizer.sum(F.col("_v")).alias("_v")))
-        rows = collect_bounded(agg.select(*g, "_s", "cluster", "_cnt", "_sse",
-                                          vector_to_array("_v").alias("_sum")),
-                               MAX_CENTERS, "centre sums")
+        # one row per centre
+        rows = agg.select(*g, "_s", "cluster", "_cnt", "_sse", vector_to_array("_v").alias("_sum")).collect()
+        bc.destroy()
         new = {ks: C.copy() for ks, C in cen.items()}
         sse: dict = {}
         for r in rows:
@@ -527,6 +659,8 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
             if done:
                 active.discard(ks)
 
+    if batch_fraction < 1.0 and centers:
+        _, sse = step(centers, whole=True)
     # best start per group: lowest inertia of its last assignment, lowest start on ties
     best: dict = {}
     for (key, s), v in sse.items():
@@ -551,23 +685,6 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     return KMeansResult(frame(centers), frame(prev), inert, g, metric, c)
 
 
-def kmeans_ml(points: DataFrame, k: int, vec: str = "vec", n_init: int = 10,
-              max_iter: int = 300, seed: int = 42, out: str = "pred"):
-    """C1 with Spark ML (k-means||), best of ``n_init`` seeds by training cost."""
-    from pyspark.ml.clustering import KMeans
-    x = points.withColumn("_features", array_to_vector(vec)).persist()
-    best = None
-    for s in range(n_init):
-        m = KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="_features",
-                   predictionCol=out, initMode="k-means||").fit(x)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    res = best[1].transform(x).drop("_features")
-    x.unpersist()
-    return best[1], res
-
-
 def choose_k(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
              min_k: int = 2, max_k: int = 100, step: int = 1, method: str = "silhouette",
              n_init: int = 10, seed: int = 42) -> int:

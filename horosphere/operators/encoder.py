@@ -5,13 +5,13 @@ inference is ``mapInPandas`` (numpy matrix products per Arrow batch).
 Training computes the gradient where the rows are: every task returns one
 summed gradient vector for its rows, Spark adds the vectors up
 (``Summarizer.sum``, partial + final aggregation) and the Adam step runs on
-the driver. With ``batch_fraction < 1`` each step uses a hash-chosen
-fraction of the rows (deterministic, no ``rand()``).
+the driver. An epoch deals every row to exactly one of its steps by a hash of
+the row id, and dropout masks are hashes of the row id too, so neither depends
+on how the table is partitioned and a retried task repeats its gradient.
 
 The classifier is trained on log0(project(exp0(h))) of the MLP output h.
-For both manifolds that map is radial, z = f(|h|) h/|h| (Poincare: the
-norm is clipped at artanh(1 - 1e-5); hyperboloid: floored at
-arccosh(1 + 1e-5)), which gives a short hand-written backward pass.
+For both manifolds that map is radial, z = f(|h|) h/|h|, so its derivative is
+f' along h and f / |h| across it; ``radial`` gives both, floors and clips included.
 """
 
 from __future__ import annotations
@@ -43,10 +43,13 @@ class EncoderConfig:
     activation: str = "relu"
     manifold: str = "poincare"
     c: float = 1.0
+    single: bool = False      # E1: one linear layer and the map, no hidden layer
 
     def dims(self) -> list[tuple[int, int]]:
         """Layer shapes; ``num_layers`` 1 and 2 give the same network."""
         out = self.output_dim or self.hidden_dim
+        if self.single:
+            return [(self.input_dim, out)]
         d = [(self.input_dim, self.hidden_dim)]
         d += [(self.hidden_dim, self.hidden_dim)] * max(self.num_layers - 2, 0)
         d.append((self.hidden_dim, out))
@@ -174,18 +177,54 @@ def np_log0(y: np.ndarray, manifold: str = "poincare", c: float = 1.0) -> np.nda
     return np.arccosh(np.maximum(y[..., :1], 1 + eps)) * sc * space / sn
 
 
-def radial_backward(h: np.ndarray, z: np.ndarray, dz: np.ndarray) -> np.ndarray:
-    """dL/dh for z = f(|h|) h/|h| where f is the identity or a constant.
+def radial(r: np.ndarray, manifold: str = "poincare", c: float = 1.0):
+    """(f / r, f') of the radial map log0(project(exp0(.))) at norms ``r``.
 
-    Where |z| == |h| the map is the identity; elsewhere f is constant (a
-    clip), so dz/dh = (|z|/|h|)(I - h h^T/|h|^2).
+    Norms under EPS are floored inside the maps, which makes them linear there;
+    at r = 0 both values are that slope.
     """
-    r = np.maximum(_norm(h), 1e-300)
-    rz = _norm(z)
-    g = rz / r
-    ident = np.isclose(rz, r, rtol=1e-12, atol=0.0)
-    proj = (dz * h).sum(-1, keepdims=True) * h / (r * r)
-    return np.where(ident, dz, g * (dz - proj))
+    eps, sc = H.EPS, math.sqrt(c)
+    low = r < eps
+    safe = np.where(low, eps, r)
+    if manifold == "poincare":
+        clip = np.tanh(sc * safe) > 1.0 - H.BALL_MARGIN
+        top = math.atanh(1.0 - H.BALL_MARGIN) / sc
+        slope = math.atanh(sc * eps) / (sc * eps) * math.tanh(sc * eps) / (sc * eps)
+        gain = np.where(low, slope, np.where(clip, top / safe, 1.0))
+        return gain, np.where(low, slope, np.where(clip, 0.0, 1.0))
+    lin = math.sinh(eps / sc) / eps
+    with np.errstate(over="ignore"):
+        a = np.where(low, lin * r, np.sinh(safe / sc))           # norm of the space part
+        da = np.where(low, lin, np.cosh(safe / sc) / sc)
+    u = np.sqrt(1.0 / c + a * a)
+    above = u > 1.0 + eps
+    w = np.arccosh(np.maximum(u, 1.0 + eps))
+    dw = np.where(above, a * da / u / np.sqrt(np.where(above, u * u - 1.0, 1.0)), 0.0)
+    small = a < eps
+    q = np.where(small, a / eps, 1.0)
+    dq = np.where(small, da / eps, 0.0)
+    df = sc * (dw * q + w * dq)
+    f = sc * w * q
+    return np.where(r > 0, f / np.where(r > 0, r, 1.0), df), df
+
+
+def radial_backward(h: np.ndarray, dz: np.ndarray, manifold: str = "poincare", c: float = 1.0) -> np.ndarray:
+    """dL/dh from dL/dz for z = f(|h|) h/|h|: f / r across h, f' along it."""
+    r = _norm(h)
+    gain, slope = radial(r, manifold, c)
+    unit = h / np.where(r > 0, r, 1.0)
+    return gain * dz + (slope - gain) * (dz * unit).sum(-1, keepdims=True) * unit
+
+
+def row_uniform(ids: np.ndarray, width: int, *salt: int) -> np.ndarray:
+    """(rows, width) uniforms in [0, 1) that depend on row id, column and salt only."""
+    x = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) \
+        + np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
+    for v in salt:
+        x = (x ^ np.uint64(v & 0xFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
 # ------------------------------------------------------------------ Spark side
@@ -223,8 +262,10 @@ class Classifier:
 
 
 def _loss_grad(enc: Encoder, clf: Classifier, X: np.ndarray, y: np.ndarray,
-               rng: np.random.Generator | None, dropout: float):
-    """Summed softmax cross-entropy and its gradient for rows (X, y)."""
+               ids: np.ndarray | None = None, dropout: float = 0.0, salt: tuple = ()):
+    """Summed softmax cross-entropy and its gradient for rows (X, y).
+
+    With ``ids`` hidden units are dropped by a hash of (row id, unit, layer, salt)."""
     acts, pres, masks = [X], [], []
     h = X
     L = len(enc.weights)
@@ -233,8 +274,8 @@ def _loss_grad(enc: Encoder, clf: Classifier, X: np.ndarray, y: np.ndarray,
         pres.append(pre)
         if i < L - 1:
             h = enc.act(pre)
-            if rng is not None and dropout > 0:
-                m = (rng.random(h.shape) >= dropout) / (1.0 - dropout)
+            if ids is not None and dropout > 0:
+                m = (row_uniform(ids, h.shape[1], *salt, i) >= dropout) / (1.0 - dropout)
                 h = h * m
             else:
                 m = None
@@ -255,7 +296,7 @@ def _loss_grad(enc: Encoder, clf: Classifier, X: np.ndarray, y: np.ndarray,
     gW_c = z.T @ d
     gb_c = d.sum(0)
     dz = d @ clf.W.T
-    dh = radial_backward(hout, z, dz)
+    dh = radial_backward(hout, dz, enc.config.manifold, enc.config.c)
     grads = [None] * L
     for i in reversed(range(L)):
         W, b = enc.weights[i]
@@ -273,8 +314,8 @@ def _loss_grad(enc: Encoder, clf: Classifier, X: np.ndarray, y: np.ndarray,
 
 def gradient(train: DataFrame, enc: Encoder, clf: Classifier, epoch: int, step: int,
              vec: str = "vec", label: str = "label_id", id_col: str = "msg_id",
-             fraction: float = 1.0, seed: int = 42, dropout: float | None = None):
-    """E6 step: mean loss and mean gradient over (a hash-chosen part of) the rows."""
+             steps: int = 1, seed: int = 42, dropout: float | None = None):
+    """E6 step: mean loss and mean gradient over the rows dealt to ``step`` of ``steps``."""
     spark = train.sparkSession
     p = enc.config.dropout if dropout is None else dropout
     bc = spark.sparkContext.broadcast((enc, clf))
@@ -283,10 +324,8 @@ def gradient(train: DataFrame, enc: Encoder, clf: Classifier, epoch: int, step:
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
     packed = "_xb" in train.columns
     x = train.select(id_col, "_xb" if packed else vec, label)
-    if fraction < 1.0:
-        u = (F.xxhash64(F.col(id_col), F.lit(seed), F.lit(epoch), F.lit(step))
-             .bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53)))
-        x = x.where(u < F.lit(fraction))
+    if steps > 1:
+        x = x.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(epoch)), F.lit(steps)) == step)
 
     def run(batches):
         e, cl = bc.value
@@ -301,8 +340,7 @@ def gradient(train: DataFrame, enc: Encoder, clf: Classifier, epoch: int, step:
                 X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
             y = pdf[label].to_numpy(dtype=np.int64)
             ids = pdf[id_col].to_numpy(dtype=np.int64)
-            rng = np.random.default_rng([seed, epoch, step, int(ids[0]) & 0x7FFFFFFF])
-            loss, gr = _loss_grad(e, cl, X, y, rng, p)
+            loss, gr = _loss_grad(e, cl, X, y, ids, p, (seed, epoch, step))
             tot += loss
             cnt += len(X)
             g = gr if g is None else g + gr
@@ -314,6 +352,7 @@ def gradient(train: DataFrame, enc: Encoder, clf: Classifier, epoch: int, step:
            .agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"),
                 Summarizer.sum(F.col("_g")).alias("_g"))
            .select("loss", "n", vector_to_array("_g").alias("g")).first())
+    bc.destroy()
     if not row or not row["n"]:
         return None, None
     n = row["n"]
@@ -343,11 +382,17 @@ class Adam:
 def train(enc: Encoder, train_df: DataFrame, val_df: DataFrame | None = None,
           epochs: int = 100, lr: float = 0.01, weight_decay: float = 1e-4,
           patience: int = 10, seed: int = 42, vec: str = "vec", label: str = "event",
-          id_col: str = "msg_id", batch_fraction: float = 1.0, validate=None,
-          restore_best: bool = False, log: list | None = None) -> dict:
+          id_col: str = "msg_id", batch_size: int | None = 256, max_steps: int = 8,
+          validate=None, restore_best: bool = False, log: list | None = None) -> dict:
     """Encode labels on train (UNION val), fresh classifier and Adam,
-    epochs of E6, optional validation ``validate(enc) -> nmi`` with early
-    stopping on strict improvement (patience). Returns the history."""
+    epochs of E6, optional validation with early stopping on strict improvement
+    of the NMI (patience). Returns the history.
+
+    An epoch takes ceil(rows / batch_size) steps, at most ``max_steps``: each
+    step is one Spark job, so a large table gets larger batches instead of more
+    jobs. Every row is in exactly one step of an epoch. ``batch_size=None``
+    is one full-batch step. ``validate(enc)`` returns (nmi, ami).
+    """
     from horosphere.operators.blocks import encode_labels
     from horosphere.operators.clustering import pack_vectors
     fit = train_df if val_df is None else train_df.unionByName(val_df)
@@ -362,14 +407,13 @@ def train(enc: Encoder, train_df: DataFrame, val_df: DataFrame | None = None,
     theta = np.concatenate([enc.flat(), clf.W.ravel(), clf.b])
     opt = Adam(theta.size, lr, weight_decay)
     nenc = enc.flat().size
-    history = {"train_loss": [], "val_nmi": []}
+    history = {"train_loss": [], "val_nmi": [], "val_ami": []}
     best, bad, best_theta = 0.0, 0, None
-    steps = max(1, int(round(1.0 / batch_fraction))) if batch_fraction < 1 else 1
+    steps = 1 if not batch_size else max(1, min(max_steps, -(-tr.count() // batch_size)))
     for ep in range(epochs):
         losses = []
         for st in range(steps):
-            loss, g = gradient(tr, enc, clf, ep, st, vec, "label_id", id_col,
-                               batch_fraction, seed)
+            loss, g = gradient(tr, enc, clf, ep, st, vec, "label_id", id_col, steps, seed)
             if g is None:
                 continue
             theta = opt.step(theta, g)
@@ -381,10 +425,11 @@ def train(enc: Encoder, train_df: DataFrame, val_df: DataFrame | None = None,
         if log is not None:
             log.append((ep, "train", "loss", history["train_loss"][-1]))
         if validate is not None:
-            nmi = float(validate(enc))
+            nmi, ami = map(float, validate(enc))
             history["val_nmi"].append(nmi)
+            history["val_ami"].append(ami)
             if log is not None:
-                log.append((ep, "val", "nmi", nmi))
+                log += [(ep, "val", "nmi", nmi), (ep, "val", "ami", ami)]
             if nmi > best:
                 best, bad = nmi, 0
                 best_theta = enc.flat().copy()

@@ -8,6 +8,7 @@ Standard deviations are population (``stddev_pop``), as in numpy.
 
 from __future__ import annotations
 
+import json
 import time
 from contextlib import contextmanager
 
@@ -133,9 +134,35 @@ def save_results(results: DataFrame, path: str, fmt: str = "json",
     getattr(w, fmt)(path)
 
 
-def nested_summary(results: DataFrame, keys: list[str] | tuple = ("experiment",)) -> DataFrame:
-    """S7/S8 shape: one row per experiment with mean/std per metric and all runs."""
-    ms = mean_std(results, [*keys, "metric"])
-    per = ms.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
-        "metric", F.struct("mean", "std")))).alias("summary"))
-    return per
+def nested_summary(results: DataFrame, keys: list[str] | tuple = ("experiment",), config: dict | None = None,
+                   run: str = "run") -> DataFrame:
+    """S7-S9 shape: one row per ``keys`` with mean/std per metric, all runs and the configuration.
+
+    ``blocks`` holds mean/std per block where the table has a ``block_name``. The runs of one
+    experiment are a handful of parameters' worth of rows, so lists are short.
+    """
+    k = list(keys)
+    pair = F.struct("mean", "std")
+
+    def listed(name: str, what: str) -> Column:
+        """(name, map) structs ordered by name; maps themselves have no order."""
+        at = lambda x, y: F.when(x[name] < y[name], -1).when(x[name] > y[name], 1).otherwise(0)
+        return F.array_sort(F.collect_list(F.struct(name, F.col("m").alias(what))), at)
+
+    out = mean_std(results, [*k, "metric"]).groupBy(*k).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", pair.alias("v"))))).alias("summary"))
+    if "block_name" in results.columns:
+        per = mean_std(results, [*k, "block_name", "metric"]).groupBy(*k, "block_name").agg(
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", pair.alias("v"))))).alias("m"))
+        out = out.join(per.groupBy(*k).agg(listed("block_name", "summary").alias("blocks")), k)
+    if run in results.columns:
+        per = results.groupBy(*k, run, "metric").agg(F.avg("value").alias("value")).groupBy(*k, run).agg(
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("m"))
+        out = out.join(per.groupBy(*k).agg(listed(run, "metrics").alias("runs")), k)
+    return out.withColumn("config", F.lit(json.dumps(config or {}, sort_keys=True, default=str)))
+
+
+def save_summary(results: DataFrame, path: str, config: dict | None = None,
+                 keys: list[str] | tuple = ("experiment",)) -> None:
+    """S7 (offline), S8 (online, with blocks), S9 (ablation: keys experiment and config name) as JSON lines."""
+    nested_summary(results, keys, config).write.mode("append").json(path)

@@ -19,9 +19,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.functions.special import EPS64, ln_factorial, xlogx
+from horosphere.functions.special import EPS64, ln_hypergeometric, xlogx
 from horosphere.session import cut_lineage
 
+EMI_PIECE = 4096      # terms of the expected mutual information in one generated piece
 ALL_SCORES = ("nmi", "ami", "ari", "fmi", "v_measure", "homogeneity", "completeness")
 
 
@@ -78,13 +79,14 @@ def expected_mutual_info(a: DataFrame, b: DataFrame, totals: DataFrame, g: list[
     w = F.lit(width_sigmas) * sd + F.lit(width_sigmas)
     lo2 = F.greatest(lo, F.floor(mean - w)).cast("bigint")
     hi2 = F.least(hi, F.ceil(mean + w)).cast("bigint")
-    pairs = pairs.withColumn(
-        "nij", F.explode(F.when(lo2 <= hi2, F.sequence(lo2, hi2)).otherwise(
-            F.array().cast("array<bigint>"))))
+    # long ranges go out in pieces, and the pieces are dealt over the tasks
+    first = F.col("lo") + F.col("piece") * EMI_PIECE
+    pairs = (pairs.withColumn("lo", lo2).withColumn("hi", hi2).where("lo <= hi")
+             .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(hi - lo) div {EMI_PIECE}"))))
+             .repartition(*g, "a", "b", "piece")
+             .withColumn("nij", F.explode(F.sequence(first, F.least(F.col("hi"), first + (EMI_PIECE - 1))))))
     n = F.col("nij").cast("double")
-    ln_p = (ln_factorial(A) + ln_factorial(B) + ln_factorial(N - A) + ln_factorial(N - B)
-            - ln_factorial(N) - ln_factorial(n) - ln_factorial(A - n) - ln_factorial(B - n)
-            - ln_factorial(N - A - B + n))
+    ln_p = ln_hypergeometric(n, A, B, N)
     term = (F.col("ma") * F.col("mb") * (n / N)
             * (F.log(N * n) - F.log(A) - F.log(B)) * F.exp(ln_p))
     return pairs.groupBy(*g).agg(F.sum(term).alias("emi"))

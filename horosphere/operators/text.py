@@ -1,9 +1,9 @@
 """Text operators (T1-T8): prompts, mock summary, model calls with a cache.
 
 The model itself is the user's: any callable ``pd.Series[str] -> pd.Series[str]``
-(prompt in, summary out). It runs inside ``mapInPandas`` on Arrow batches,
-so partitions are the parallelism; a batch that fails is retried row by
-row, and a failing row keeps its original text with ``success = false``.
+(prompts in, summaries out). It runs inside ``mapInPandas`` on Arrow batches,
+so partitions are the parallelism; a call that fails is repeated row by row,
+and a failing row keeps its original text with ``success = false``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import time
 from typing import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,11 +57,12 @@ def prompt_template(prompt_type: str = "summarize", overrides: dict | None = Non
 
 
 def build_prompt(text, template: str) -> Column:
-    """The template with ``{text}`` filled in (first placeholder)."""
-    pre, sep, post = template.partition("{text}")
-    if not sep:
-        return F.lit(template)
-    return F.concat(F.lit(pre), col_(text), F.lit(post))
+    """The template with every ``{text}`` filled in."""
+    parts = template.split("{text}")
+    filled = [F.lit(parts[0])]
+    for p in parts[1:]:
+        filled += [col_(text), F.lit(p)]
+    return F.concat(*filled)
 
 
 def py_strip(s: Column) -> Column:
@@ -80,15 +82,6 @@ def mock_summary(prompt) -> Column:
             .otherwise(p)
 
 
-def mock_model(prompts: pd.Series) -> pd.Series:
-    """The same mock as a pandas callable (for ``summarize``)."""
-    def one(p: str) -> str:
-        if MOCK_MARKER in p.lower():
-            return MOCK_PREFIX + p.split(MOCK_MARKER)[-1].split(".")[0].strip()
-        return p
-    return prompts.map(one)
-
-
 def resolve_model(key: str = "llama3.1", names: dict | None = None) -> str:
     """Served name for a short name; config table first, then built-in."""
     table = names if names is not None else MODEL_NAMES
@@ -115,45 +108,48 @@ SUMMARY_FIELDS = [
 ]
 
 
-def summarize(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text_col: str = "text",
+def summarize(df: DataFrame, fn: Callable[..., pd.Series], text_col: str = "text",
               prompt_type: str = "summarize", model: str = DEFAULT_MODEL,
-              overrides: dict | None = None) -> DataFrame:
-    """T4/T5: one model call per row through ``fn``, with failure capture.
+              overrides: dict | None = None, options: dict | None = None,
+              call_rows: int = 64) -> DataFrame:
+    """T4/T5: every row through the user's model, with failure capture.
 
     Adds ``summary, model, success, error, seconds``. ``fn`` is built once per
-    task (it is pickled with the closure) and gets whole Arrow batches.
+    task (it is pickled with the closure) and called with at most ``call_rows`` prompts
+    at a time. With ``options`` (e.g. temperature, max_tokens) it is
+    called as ``fn(prompts, model=model, **options)``. A call that fails is
+    repeated row by row for its own rows only; rows that fail again keep their text.
     """
     template = prompt_template(prompt_type, overrides)
     x = df.withColumn("_prompt", build_prompt(text_col, template))
     out_schema = T.StructType([f for f in x.schema.fields] + SUMMARY_FIELDS)
+    given = {} if options is None else {"model": model, **options}
+
+    def call(prompts: pd.Series) -> list:
+        got = list(fn(prompts, **given))
+        if len(got) != len(prompts):
+            raise ValueError("model returned a different number of rows")
+        return got
+
+    def timed(prompts: pd.Series, texts: pd.Series):
+        """(summary, success, error, seconds) for each row of one call."""
+        t0 = time.perf_counter()
+        try:
+            got = call(prompts)
+            secs = (time.perf_counter() - t0) / len(got)
+            return [(g, True, None, secs) for g in got]
+        except Exception as e:  # noqa: BLE001 - the row records the error
+            if len(prompts) == 1:
+                return [(texts.iloc[0], False, str(e), time.perf_counter() - t0)]
+        return [r for i in range(len(prompts)) for r in timed(prompts.iloc[i:i + 1], texts.iloc[i:i + 1])]
 
     def run(batches):
         for pdf in batches:
-            prompts = pdf["_prompt"]
-            texts = pdf[text_col]
-            t0 = time.perf_counter()
-            try:
-                res = pd.Series(fn(prompts), index=pdf.index).astype(object)
-                if len(res) != len(pdf):
-                    raise ValueError("model returned a different number of rows")
-                secs = [(time.perf_counter() - t0) / max(len(pdf), 1)] * len(pdf)
-                ok, err = [True] * len(pdf), [None] * len(pdf)
-            except Exception:  # retry row by row, keep the original text on failure
-                res, secs, ok, err = [], [], [], []
-                for p, t in zip(prompts, texts):
-                    t1 = time.perf_counter()
-                    try:
-                        res.append(fn(pd.Series([p])).iloc[0])
-                        ok.append(True)
-                        err.append(None)
-                    except Exception as e:  # noqa: BLE001 - the row records the error
-                        res.append(t)
-                        ok.append(False)
-                        err.append(str(e))
-                    secs.append(time.perf_counter() - t1)
-            pdf = pdf.assign(summary=list(res), model=model, success=ok, error=err,
-                             seconds=secs)
-            yield pdf
+            rows = [r for lo in range(0, len(pdf), call_rows)
+                    for r in timed(pdf["_prompt"].iloc[lo:lo + call_rows], pdf[text_col].iloc[lo:lo + call_rows])]
+            summary, ok, err, secs = zip(*rows) if rows else ([], [], [], [])
+            yield pdf.assign(summary=list(summary), model=model, success=list(ok), error=list(err),
+                             seconds=list(secs))
 
     return x.mapInPandas(run, out_schema).drop("_prompt")
 
@@ -199,23 +195,32 @@ def apply_cache(df: DataFrame, cache: DataFrame, text_col: str = "text",
             .drop("_key", "_cached"))
 
 
+def read_cache(spark, cache_path: str) -> DataFrame:
+    """The cache table; empty where none was written yet. Any other read error is raised."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)
+
+
 def summarize_cached(df: DataFrame, fn, cache_path: str, text_col: str = "text",
-                     prompt_type: str = "summarize", model: str = DEFAULT_MODEL) -> DataFrame:
+                     prompt_type: str = "summarize", model: str = DEFAULT_MODEL,
+                     options: dict | None = None) -> DataFrame:
     """Summaries through a persistent Parquet cache.
 
-    Only cache misses reach ``fn``; new entries are appended to the cache
-    table (shared storage), then every row is joined to its summary.
+    Only distinct texts that the cache lacks reach ``fn``, once; new entries
+    are appended to the cache table (shared storage), which is read back, then every
+    row is joined to its summary. A model that answers differently each time
+    therefore still gives one summary per text.
     """
     spark = df.sparkSession
-    try:
-        cache = spark.read.parquet(cache_path)
-    except Exception:  # first use: empty cache
-        cache = spark.createDataFrame([], CACHE_SCHEMA)
-    misses = cache_misses(df, cache, text_col, model, prompt_type)
-    new = summarize(misses, fn, "text", prompt_type, model).where(F.col("success"))
+    misses = cache_misses(df, read_cache(spark, cache_path), text_col, model, prompt_type)
+    new = summarize(misses, fn, "text", prompt_type, model, options=options).where(F.col("success"))
     (new.select("key", "model", F.lit(prompt_type).alias("prompt_type"), "summary")
      .write.mode("append").parquet(cache_path))
-    return apply_cache(df, spark.read.parquet(cache_path), text_col, model, prompt_type)
+    return apply_cache(df, read_cache(spark, cache_path), text_col, model, prompt_type)
 
 
 CACHE_SCHEMA = T.StructType([

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from horosphere.functions.vectors import col_
+from horosphere.session import written
 
 # Fixed values of the time encoding: day and second normalisers, origin.
 D_MAX = 100000
@@ -126,12 +127,25 @@ def word_vector_mean(df: DataFrame, key: str, vectors: DataFrame, dim: int,
     return base.join(means, key, "left").select(key, F.coalesce(F.col(out), zero).alias(out))
 
 
-def vectors_from_table(df: DataFrame, key: str, table: DataFrame, table_key: str,
-                       vec_col: str, out: str = "text_vec") -> DataFrame:
-    """V3 (b): precomputed vectors joined by key."""
-    t = table.select(F.col(table_key).alias(key),
-                     F.transform(vec_col, lambda x: x.cast("double")).alias(out))
-    return df.select(key).dropDuplicates([key]).join(t, key, "left")
+def vectors_from_table(df: DataFrame, key: str, table: DataFrame, text_col: str = "text",
+                       table_text: str = "text", vec_col: str = "vector", dim: int | None = None,
+                       out: str = "text_vec") -> DataFrame:
+    """V3 (b): precomputed vectors joined by text; texts the table lacks get zeros
+    if ``dim`` is given, else NULL."""
+    t = table.select(F.sha2(F.col(table_text), 256).alias("_tk"),
+                     F.transform(vec_col, lambda x: x.cast("double")).alias(out)).dropDuplicates(["_tk"])
+    j = df.select(key, F.sha2(F.col(text_col), 256).alias("_tk")).dropDuplicates([key]).join(t, "_tk", "left").drop("_tk")
+    return j if dim is None else j.withColumn(out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dim)))
+
+
+def train_word_vectors(texts: DataFrame, text_col: str = "text", dim: int = 64, min_count: int = 2,
+                       seed: int = 42, parts: int = 1) -> DataFrame:
+    """V4: word vectors trained on the corpus (Spark ML Word2Vec) -> ``(token, vector)``."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import Word2Vec
+    x = texts.select(tokens(text_col).alias("_t")).where(F.size("_t") > 0)
+    m = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, numPartitions=parts, inputCol="_t", outputCol="_v").fit(x)
+    return m.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 
 
 def embed_with(df: DataFrame, fn: Callable[[pd.Series], np.ndarray], dim: int,
@@ -160,31 +174,41 @@ def concat_time(text_vec, ts=None, include_time: bool = True, **time_kw) -> Colu
     return F.when(col_(ts).isNull(), tv).otherwise(F.concat(tv, t))
 
 
+def text_vectors(texts: DataFrame, key: str, method: str = "hashed", dim: int = 64,
+                 vectors: DataFrame | None = None, fn=None, text_col: str = "text", out: str = "text_vec") -> DataFrame:
+    """V3/V4 by name for one row per ``key``: hashed | word_mean (``vectors``, or
+    trained on ``texts``) | table (``vectors``: text, vector) | callable (``fn``)."""
+    if method == "hashed":
+        return hashed_text_vectors(texts, key, text_col, dim, out)
+    if method == "word_mean":
+        v = vectors if vectors is not None else train_word_vectors(texts, text_col, dim)
+        return word_vector_mean(texts, key, v, dim, text_col, out=out)
+    if method == "table":
+        return vectors_from_table(texts, key, vectors, text_col, dim=dim, out=out)
+    if method == "callable":
+        return embed_with(texts, fn, dim, text_col, out).select(key, out)
+    raise ValueError(f"unknown method {method!r}")
+
+
 def vectorize_messages(msgs: DataFrame, method: str = "hashed", dim: int = 64,
                        text_key: str | None = None, include_time: bool = True,
                        vectors: DataFrame | None = None, fn=None, out: str = "vec",
-                       text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", rewrite=None) -> DataFrame:
     """V3-V5 for a message table: adds ``out`` = text vector ++ time vector.
 
-    Texts are vectorised once per distinct ``text_key`` (default: SHA-256
-    of the text), so repeated texts cost one encoding.
+    Texts are taken once per distinct ``text_key`` (default: SHA-256 of the
+    original text); ``rewrite(texts)`` may replace them first (summaries). Results
+    of user callables are written to the shared folder and read back, so each
+    text is sent to a callable once and all its messages get the same vector.
     """
-    x = msgs
-    if text_key is None:
-        x = x.withColumn("_tkey", F.sha2(F.col(text_col), 256))
-        k = "_tkey"
-    else:
-        k = text_key
+    k = text_key or "_tkey"
+    x = msgs if text_key else msgs.withColumn(k, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     texts = x.select(k, text_col).dropDuplicates([k])
-    if method == "hashed":
-        tv = hashed_text_vectors(texts, k, text_col, dim, "_tv")
-    elif method == "word_mean":
-        tv = word_vector_mean(texts, k, vectors, dim, text_col, out="_tv")
-    elif method == "callable":
-        tv = embed_with(texts, fn, dim, text_col, "_tv").select(k, "_tv")
-    else:
-        raise ValueError(f"unknown method {method!r}")
+    if rewrite is not None:
+        texts = rewrite(texts)
+    tv = text_vectors(texts, k, method, dim, vectors, fn, text_col, "_tv")
+    if method == "callable":
+        tv = written(tv, "text-vectors")
     y = x.join(tv, k, "left")
-    y = y.withColumn(out, concat_time("_tv", "created_at" if include_time else None,
-                                      include_time))
+    y = y.withColumn(out, concat_time("_tv", "created_at" if include_time else None, include_time))
     return y.drop("_tv", "_tkey")

@@ -27,7 +27,7 @@ from horosphere.operators import scores as S
 from horosphere.operators import text as TX
 from horosphere.operators import vectorize as V
 from horosphere.session import cut_lineage
-from horosphere.sources.messages import messages_from_tables
+from horosphere.sources.messages import messages_from_tables, standardize
 
 HASH_DIM = 64
 RUNS = 5
@@ -70,6 +70,20 @@ def q_load_clean(spark, sf):
         "msg_id", "created_at", "event", "doc_id", "text_chars")
 
 
+def q_standardize(spark, sf):
+    """S1-S4 on text columns made from ``events`` by rule: missing cells, bad and
+    zoned times; every such row is dropped or converted."""
+    i = F.col("event_id")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = read(spark, sf, "events").select(
+        i.alias("id"),
+        F.when(i % 7 == 0, F.lit("NA")).when(i % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("text "), i)).alias("body"),
+        F.when(i % 13 == 0, F.lit("not a time")).when(i % 17 == 0, F.concat(iso, F.lit("Z")))
+        .when(i % 19 == 0, F.concat(iso, F.lit("+02:00"))).when(i % 23 == 0, F.lit("NULL")).otherwise(iso).alias("at"),
+        F.when(i % 29 == 0, F.lit("nan")).otherwise(F.col("event_type")).alias("kind"))
+    return standardize(raw, "body", "at", "kind", "id", mode="drop").select("msg_id", "text", "created_at", "event")
+
+
 def q_block_assign(spark, sf):
     return blocks(spark, sf).select("msg_id", "block_id", "block_name", "is_offline")
 
@@ -130,32 +144,53 @@ def q_mock_summary(spark, sf):
     return msgs(spark, sf, False).join(per_doc, "doc_id").select("msg_id", "summary")
 
 
+def _doc_keys(spark, sf):
+    """Cache key and length of every document's text, taken once per document."""
+    return read(spark, sf, "documents").where(F.col("text").isNotNull()).select(
+        "doc_id", "text", TX.text_key("text").alias("key"))
+
+
 def _offline_cache(spark, sf):
-    """Summary cache built from the texts of the offline block M0."""
-    b = blocks(spark, sf, True)
-    m0 = b.where(F.col("block_id") == 0)
-    return (TX.summarize_mock_sql(m0.select("text").dropDuplicates(["text"]))
-            .select(TX.text_key("text").alias("key"),
-                    F.lit(TX.DEFAULT_MODEL).alias("model"),
-                    F.lit("summarize").alias("prompt_type"), "summary"))
+    """Summary cache of the offline block's documents with an even doc_id:
+    the others, and texts that only later blocks bring, are misses."""
+    m0 = blocks(spark, sf).where("block_id = 0 and doc_id % 2 = 0").select("doc_id").distinct()
+    return (TX.summarize_mock_sql(_doc_keys(spark, sf).join(m0, "doc_id", "left_semi"))
+            .dropDuplicates(["key"])
+            .select("key", F.lit(TX.DEFAULT_MODEL).alias("model"), F.lit("summarize").alias("prompt_type"), "summary"))
 
 
 def q_cache_misses(spark, sf):
-    b = blocks(spark, sf, True).where(F.col("block_id") > 0)
-    miss = TX.cache_misses(b, _offline_cache(spark, sf), model=TX.DEFAULT_MODEL,
-                           prompt_type="summarize")
+    later = blocks(spark, sf).where(F.col("block_id") > 0).select("doc_id").distinct()
+    texts = _doc_keys(spark, sf).join(later, "doc_id", "left_semi")
+    miss = TX.cache_misses(texts, _offline_cache(spark, sf), model=TX.DEFAULT_MODEL, prompt_type="summarize")
     return miss.select("key", F.length("text").cast("bigint").alias("text_chars"))
 
 
 def q_cache_apply(spark, sf):
-    m = msgs(spark, sf)
-    out = TX.apply_cache(m, _offline_cache(spark, sf), model=TX.DEFAULT_MODEL,
-                         prompt_type="summarize")
-    # misses are filled by the (mock) model, hits come from the cache
+    """Per document: hits come from the cache, misses from the (mock) model; then joined to the messages."""
+    docs = _doc_keys(spark, sf)
+    out = TX.apply_cache(docs, _offline_cache(spark, sf), model=TX.DEFAULT_MODEL, prompt_type="summarize")
     fresh = TX.mock_summary(TX.build_prompt("text", TX.prompt_template("summarize")))
-    return out.select("msg_id", "from_cache",
-                      F.when(F.col("from_cache"), F.col("summary")).otherwise(fresh)
-                      .alias("summary"))
+    per_doc = out.select("doc_id", "from_cache", F.when(F.col("from_cache"), F.col("summary")).otherwise(fresh).alias("summary"))
+    return msgs(spark, sf, False).join(per_doc, "doc_id").select("msg_id", "from_cache", "summary")
+
+
+def q_summary_stats(spark, sf):
+    """T4/T5: a model that fails on some texts; rows and successes."""
+    def model(prompts):
+        if any(len(p) % 10 == 0 for p in prompts):
+            raise ValueError("refused")
+        return [p[:20] for p in prompts]
+    out = TX.summarize(read(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", "text"), model)
+    return TX.summary_stats(out).select("rows", "succeeded")
+
+
+def q_model_names(spark, sf):
+    """Served model name of a short name, given table first."""
+    short = F.element_at(F.array(*map(F.lit, ("llama3.1", "qwen2.5", "gemma2", "mine", "unknown"))),
+                         (F.col("event_id") % 5 + 1).cast("int"))
+    e = read(spark, sf, "events").select("event_id", short.alias("short"))
+    return e.select("event_id", TX.resolve_model_col("short", {"mine": "own:1b"}).alias("model"))
 
 
 # ---------------------------------------------------------------- V
@@ -350,22 +385,44 @@ def q_silhouette_squared(spark, sf):
     return s.select(r6(F.col("silhouette_squared")).alias("silhouette_squared"))
 
 
+def _steps(points, vec, id_col, group, start, n, **kw):
+    """Centres after ``n`` steps of the k-means operator from given ones."""
+    return C.keyed_kmeans(points, vec, id_col, group, start=start, max_iter=n, tol=-1.0, **kw)
+
+
 def q_hyperbolic_lloyd_2steps(spark, sf):
-    """Hyperbolic k-means, 10 start rows with the smallest MD5 of their id,
-    two assign + centroid steps; the centres after step 2."""
+    """Hyperbolic k-means from the 10 rows with the smallest MD5 of their id, two steps."""
     e = emb(spark, sf).withColumn("p", H.poincare_exp0("v")).select("vec_id", "p")
     # top 10 by hash: per-partition top-k then a 10-row merge (no global sort)
     top = e.withColumn("_h", F.md5(F.col("vec_id").cast("string"))).orderBy("_h").limit(10)
     start = (top.withColumn("cluster", (F.row_number().over(Window.orderBy("_h")) - 1)
                             .cast("bigint")).select("cluster", F.col("p").alias("center")))
-    cen = start
-    for _ in range(2):
-        a = C.assign_nearest(e, cen, "p", metric="poincare", out="cluster")
-        new = C.centroids(a, "p", ["cluster"], manifold="poincare").select("cluster", "center")
-        # empty clusters keep their centre
-        cen = (cen.join(new.withColumnRenamed("center", "_n"), "cluster", "left")
-               .select("cluster", F.coalesce("_n", "center").alias("center")))
-    return exploded(cen, ["cluster"], "center")
+    res = _steps(e, "p", "vec_id", [], start, 2, metric="poincare", stop_rule="absolute")
+    return exploded(res.centers, ["cluster"], "center")
+
+
+def block_lloyd(spark, sf, steps=2):
+    """K-means per block from its first k messages (k = distinct events)."""
+    keys = block_keys(spark, sf)
+    dv = doc_vectors_table(spark, sf)
+    pts = cut_lineage(with_vectors(keys, spark, sf, dv=dv).select("block_id", "msg_id", "event", "vec"))
+    start = first_k_centers(spark, sf, keys, dv=dv)
+    return pts, _steps(pts, "vec", "msg_id", ["block_id"], start, steps)
+
+
+def q_block_kmeans_centers(spark, sf):
+    return exploded(block_lloyd(spark, sf)[1].centers, ["block_id", "cluster"], "center")
+
+
+def q_block_kmeans_inertia(spark, sf):
+    """Inertia of the last assignment, as the operator reports it."""
+    return block_lloyd(spark, sf)[1].inertia.select("block_id", F.round("inertia", 4).alias("inertia"), "n_iter")
+
+
+def q_block_kmeans_predict(spark, sf):
+    """C4: rows per cluster under the fitted centres."""
+    pts, res = block_lloyd(spark, sf)
+    return res.predict(pts, "vec").groupBy("block_id", "pred").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---------------------------------------------------------------- M
@@ -430,13 +487,18 @@ def block_points(spark, sf, include_time=True, text=True):
 
 
 def top_k_per_group(keys, group, order, k_table):
-    """Rows ranked ``< k`` per group. The rank filter first uses the largest
-    k as a literal, so Spark keeps a partial top-k per partition before the
-    shuffle (no whole group in one task); then each group's own k applies."""
-    kmax = k_table.agg(F.max("k")).first()[0] or 0
+    """Rows ranked ``< k`` per group. A first rank within (group, salt) keeps at
+    most kmax rows of each part, so no task sorts a whole group; then each
+    group's own k applies to what is left. The rank filters are literal bounds
+    on the bare rank, for which Spark also drops rows before the shuffle."""
+    kmax = int(k_table.agg(F.max("k")).first()[0] or 0)
+    salt = F.pmod(F.xxhash64(*order), F.lit(64))
+    part = Window.partitionBy(*group, "_salt").orderBy(*order)
+    few = (keys.withColumn("_salt", salt).withColumn("_r", F.row_number().over(part))
+           .where(F.col("_r") <= kmax).drop("_salt", "_r"))
     w = Window.partitionBy(*group).orderBy(*order)
-    ranked = keys.withColumn("cluster", (F.row_number().over(w) - 1).cast("bigint")) \
-                 .where(F.col("cluster") < F.lit(kmax))
+    ranked = few.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kmax) \
+        .withColumn("cluster", (F.col("_r") - 1).cast("bigint")).drop("_r")
     kcols = [c for c in k_table.columns if c != "k"]
     return ranked.join(k_table, kcols).where(F.col("cluster") < F.col("k")).drop("k")
 
@@ -465,15 +527,10 @@ def q_scores_per_block(spark, sf):
 
 # ---------------------------------------------------------------- R / K
 
-def per_run(pts):
-    """Rows replicated once per run (a fixed parameter), as a generator."""
-    runs = F.sequence(F.lit(0).cast("bigint"), F.lit(RUNS - 1).cast("bigint"))
-    return pts.withColumn("run", F.explode(runs))
-
-
 def run_centers(spark, sf, keys, dv):
     """Run r: the k messages of each block with the smallest md5(msg_id-r)."""
-    x = per_run(keys).withColumn(
+    runs = F.sequence(F.lit(0).cast("bigint"), F.lit(RUNS - 1).cast("bigint"))
+    x = keys.withColumn("run", F.explode(runs)).withColumn(
         "_h", F.md5(F.concat(F.col("msg_id").cast("string"), F.lit("-"),
                              F.col("run").cast("string"))))
     top = top_k_per_group(x, ["run", "block_id"], ["_h"], block_k(keys))
@@ -481,20 +538,23 @@ def run_centers(spark, sf, keys, dv):
     return cen.select("run", "block_id", "cluster", F.col("vec").alias("center"))
 
 
-def run_scores(spark, sf):
-    """Long metric table ``(run, block_id, block_name, metric, value)``."""
+def run_scores(spark, sf, block=None):
+    """Long metric table ``(run, block_id, block_name, metric, value)``; of one block if named.
+
+    All runs are assigned from one copy of each vector."""
     keys = block_keys(spark, sf)
+    if block is not None:
+        keys = keys.where(F.col("block_id") == block)
     dv = doc_vectors_table(spark, sf)
-    pts = with_vectors(keys, spark, sf, dv=dv)
-    p = C.assign_nearest(per_run(pts), run_centers(spark, sf, keys, dv), "vec",
-                         ["run", "block_id"], out="pred")
+    pts = with_vectors(keys, spark, sf, dv=dv).select("block_id", "event", "vec")
+    p = C.assign_views(pts, run_centers(spark, sf, keys, dv), "vec", ["block_id"], {"all": (0, None)}, over="run")
     t = S.score_table(p, "event", "pred", ["run", "block_id"])
     t = t.withColumn("block_name", F.concat(F.lit("M"), F.col("block_id").cast("string")))
     return S.to_long(t, ["run", "block_id", "block_name"], ("nmi", "ami"))
 
 
 def q_runs_mean_std(spark, sf):
-    rs = run_scores(spark, sf).where(F.col("block_id") == 0)
+    rs = run_scores(spark, sf, 0)
     return R.mean_std(rs, ["metric"]).select("metric", r6(F.col("mean")).alias("mean"),
                                              r6(F.col("std")).alias("std"))
 
@@ -514,43 +574,99 @@ def q_block_table(spark, sf):
 
 
 def q_run_block_average(spark, sf):
-    rs = run_scores(spark, sf).where(F.col("block_id") > 0)
+    rs = run_scores(spark, sf)
     t = R.mean_std(rs, ["run", "metric"])
     return t.select("run", "metric", r6(F.col("mean")).alias("mean"),
                     r6(F.col("std")).alias("std"))
 
 
 def q_runs_of_blocks(spark, sf):
-    rs = run_scores(spark, sf).where(F.col("block_id") > 0)
+    rs = run_scores(spark, sf)
     t = R.two_level_mean(rs, "run", ["metric"])
     return t.select("metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
 
 
 def q_format_paper_style(spark, sf):
-    rs = run_scores(spark, sf).where(F.col("block_id") == 0)
+    rs = run_scores(spark, sf, 0)
     t = R.mean_std(rs, ["metric"])
     return t.select("metric", R.format_paper_style("mean", "std").alias("formatted"))
 
 
 def q_best_epoch(spark, sf):
-    rs = run_scores(spark, sf).where(F.col("block_id") == 0)
+    rs = run_scores(spark, sf, 0)
     log = rs.select(F.col("run").alias("epoch"), F.lit("val").alias("phase"), "metric", "value")
     b = R.best_epoch(log, "nmi", "val")
     return b.select("epoch", r6(F.col("value")).alias("value"))
 
 
 def q_compare_configs(spark, sf):
-    frames = []
-    dv = doc_vectors_table(spark, sf)          # shared by the three settings
-    for name, inc_time, text in (("text+time", True, True), ("text", False, True),
-                                 ("time", True, False)):
-        p = block_predictions(spark, sf, inc_time, text, dv)
-        t = S.score_table(p, "event", "pred", ["block_id"]).withColumn("config", F.lit(name))
-        frames.append(S.to_long(t, ["config", "block_id"], ("nmi", "ami")))
-    t = R.compare(S.union_all(frames), "config", ("nmi", "ami"))
+    """Text with time, text alone, time alone: slices of one vector, assigned in one pass."""
+    keys = block_keys(spark, sf)
+    dv = doc_vectors_table(spark, sf)
+    pts = with_vectors(keys, spark, sf, dv=dv).select("block_id", "event", "vec")
+    views = {"text+time": (0, HASH_DIM + 2), "text": (0, HASH_DIM), "time": (HASH_DIM, HASH_DIM + 2)}
+    p = C.assign_views(pts, first_k_centers(spark, sf, keys, dv=dv), "vec", ["block_id"], views)
+    t = S.score_table(p.withColumnRenamed("view", "config"), "event", "pred", ["config", "block_id"])
+    t = R.compare(S.to_long(t, ["config", "block_id"], ("nmi", "ami")), "config", ("nmi", "ami"))
     return t.select("config", *[r6(F.col(c)).alias(c) for c in ("nmi", "ami")])
 
 
+def q_summary_defaults(spark, sf):
+    """Mean and std of chosen metrics, 0/0 for one that no row has."""
+    rows = read(spark, sf, "events").select(
+        F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("metric"), "value")
+    t = R.summary(rows, ("m0", "m1", "absent"))
+    return t.select("metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
+
+
+# ---------------------------------------------------------------- E
+
+def fixed_encoder(manifold="poincare", c=1.0, single=False):
+    """Weights by formula: W_l[i, j] = 0.3 sin(7i + 3j + l), b_l[j] = 0.1 cos(j + l)."""
+    import numpy as np
+    from horosphere.operators.encoder import Encoder, EncoderConfig
+    cfg = EncoderConfig(64, 6, 4, 2, 0.1, "relu", manifold, c, single)
+    ws = [(0.3 * np.sin(7 * np.arange(a)[:, None] + 3 * np.arange(b)[None] + n), 0.1 * np.cos(np.arange(b) + n))
+          for n, (a, b) in enumerate(cfg.dims())]
+    return Encoder(cfg, ws)
+
+
+def _encoded(euclidean=False, **kw):
+    def q(spark, sf):
+        from horosphere.operators.encoder import encode
+        e = encode(emb(spark, sf).select("vec_id", "v"), fixed_encoder(**kw), "v", "h", euclidean)
+        return exploded(e, ["vec_id"], "h")
+    return q
+
+
+# ---------------------------------------------------------------- H, other curvatures and norms
+
+C_GRID, SCALES = (0.5, 1.0, 2.0), (0.0, 0.01, 1.0, 50.0)
+
+
+def q_hyperbolic_grid(spark, sf):
+    """H1-H13 for several curvatures on vectors scaled to norms 0, .01, 1 and 50."""
+    e = emb(spark, sf).select("vec_id", "v")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    out = []
+    for c in C_GRID:
+        for s in SCALES:
+            x = pairs.select("vec_id", F.transform("v", lambda t: t * s).alias("v"), F.transform("w", lambda t: t * 0.5).alias("w"))
+            x = x.select("vec_id", "v", H.poincare_project(H.poincare_exp0("v", c), c).alias("p"),
+                         H.poincare_exp0("w", c).alias("q"))
+            x = x.select("vec_id", "v", "p", "q", H.mobius_add("p", "q", c).alias("m"), H.poincare_log0("p", c).alias("l"),
+                         H.hyperboloid_exp0(F.transform("v", lambda t: t * 0.1), c).alias("h"), H.hyperboloid_exp0("q", c).alias("g"))
+            out.append(x.select(
+                "vec_id", F.lit(c).alias("c"), F.lit(s).alias("scale"), r6(total("p")).alias("p_sum"), r6(total("l")).alias("l_sum"),
+                r6(total("m")).alias("m_sum"), F.round(H.poincare_distance("p", "q", c), 4).alias("d"),
+                F.round(H.poincare_distance_acosh("p", "q", c), 4).alias("d_acosh"),
+                r6(total("h") / F.col("h")[0]).alias("h_rel"), r6(total(H.hyperboloid_log0("h", c))).alias("hl_sum"),
+                F.round(H.hyperboloid_distance("h", "g", c), 4).alias("hd"),
+                r6(H.hyperboloid_project("h", c)[0] / F.col("h")[0]).alias("hp_rel")))
+    return S.union_all(out)
+
+
 def q_update_rule(spark, sf):
     from horosphere.streaming.blocks import update_flags
     st = B.block_stats(blocks(spark, sf)).select("block_id")
@@ -562,6 +678,11 @@ def q_stream_daily_blocks(spark, sf):
     return stream_daily_counts(spark, sf, "events.parquet")
 
 
+def q_stream_daily_stats(spark, sf):
+    from horosphere.streaming.blocks import stream_daily_stats
+    return stream_daily_stats(spark, sf, "events.parquet")
+
+
 def q_stream_assign(spark, sf):
     from horosphere.streaming.blocks import stream_assign
     cen = label_centroids(spark, sf)
@@ -588,7 +709,9 @@ def queries() -> dict:
         "hyperboloid_log0": q_hyperboloid_log0, "hyperboloid_distance": q_hyperboloid_distance,
         "hyperboloid_project": q_hyperboloid_project, "hyperbolic_mean": q_hyperbolic_mean,
         "nearest_center": q_nearest_center, "hyperbolic_assign": q_hyperbolic_assign,
-        "hyperbolic_lloyd_2steps": q_hyperbolic_lloyd_2steps, "inertia": q_inertia,
+        "hyperbolic_lloyd_2steps": q_hyperbolic_lloyd_2steps,
+        "block_kmeans_centers": q_block_kmeans_centers, "block_kmeans_inertia": q_block_kmeans_inertia,
+        "block_kmeans_predict": q_block_kmeans_predict, "inertia": q_inertia,
         "inertia_by_k": q_inertia_by_k, "elbow_k": q_elbow_k,
         "silhouette_squared": q_silhouette_squared, "cluster_sizes": q_cluster_sizes,
         "contingency": q_contingency,
@@ -602,7 +725,12 @@ def queries() -> dict:
         "block_table": q_block_table, "run_block_average": q_run_block_average,
         "runs_of_blocks": q_runs_of_blocks, "format_paper_style": q_format_paper_style,
         "best_epoch": q_best_epoch, "compare_configs": q_compare_configs,
+        "standardize": q_standardize, "summary_stats": q_summary_stats, "model_names": q_model_names,
+        "summary_defaults": q_summary_defaults, "hyperbolic_grid": q_hyperbolic_grid,
+        "linear_fixed": _encoded(single=True), "encode_fixed_poincare": _encoded(c=2.0),
+        "encode_fixed_hyperboloid": _encoded(manifold="hyperboloid", c=0.5),
+        "encode_euclidean_fixed": _encoded(euclidean=True),
         "update_rule": q_update_rule, "stream_daily_blocks": q_stream_daily_blocks,
-        "stream_assign": q_stream_assign,
+        "stream_daily_stats": q_stream_daily_stats, "stream_assign": q_stream_assign,
     }
     return q

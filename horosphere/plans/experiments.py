@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from horosphere.operators import encoder as EN
 from horosphere.operators import scores as S
 from horosphere.operators import text as TX
 from horosphere.operators import vectorize as V
+from horosphere.session import written
 
 
 @dataclass
@@ -30,7 +32,10 @@ class RunConfig:
     use_summary: bool = True
     prompt_type: str = "summarize"
     summarize_fn: object = None          # pd.Series -> pd.Series; None = built-in mock
-    embedding: str = "hashed"            # hashed | word_mean | callable
+    model: str = TX.DEFAULT_MODEL
+    model_options: dict | None = None    # e.g. temperature, max_tokens: passed to summarize_fn
+    cache_path: str | None = None        # persistent summary cache on shared storage
+    embedding: str = "hashed"            # hashed | word_mean | table | callable
     text_dim: int = 64
     include_time: bool = True
     use_hyperbolic: bool = True
@@ -44,10 +49,12 @@ class RunConfig:
     lr: float = 0.01
     weight_decay: float = 1e-4
     patience: int = 10
-    batch_fraction: float = 1.0
+    batch_size: int | None = 256
+    max_steps: int = 8                   # Spark jobs per epoch at most
     n_init: int = 10
     max_iter: int = 300
-    val_n_init: int = 10
+    val_n_init: int = 1
+    val_max_iter: int = 20
     seed: int = 42
     window: int = 1
     extra: dict = field(default_factory=dict)
@@ -55,29 +62,37 @@ class RunConfig:
     def vector_key(self) -> tuple:
         """Fields the vector stage reads: configs sharing it share vectors."""
         return (self.use_summary, self.prompt_type, id(self.summarize_fn), self.embedding,
-                self.text_dim, self.include_time)
+                self.text_dim, self.include_time, self.model, self.cache_path)
 
 
 # ------------------------------------------------------------------ stages
 
-def summarize_stage(msgs: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Replace ``text`` by its summary (mock model when no callable)."""
+def summarize_stage(texts: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Replace ``text`` by its summary; one row per distinct text goes in.
+
+    The built-in mock is an expression. A user's model gets each text once:
+    through the persistent cache if ``cache_path`` is set, else into a
+    table of the shared folder; either way the answers are read back.
+    """
     if not cfg.use_summary:
-        return msgs
+        return texts
     if cfg.summarize_fn is None:
-        return TX.summarize_mock_sql(msgs, "text", cfg.prompt_type, "summary") \
-                 .drop("text").withColumnRenamed("summary", "text")
-    s = TX.summarize(msgs, cfg.summarize_fn, "text", cfg.prompt_type)
-    return s.drop("text", "model", "success", "error", "seconds") \
-            .withColumnRenamed("summary", "text")
+        s = TX.summarize_mock_sql(texts, "text", cfg.prompt_type, "summary")
+    elif cfg.cache_path:
+        s = TX.summarize_cached(texts, cfg.summarize_fn, cfg.cache_path, "text", cfg.prompt_type, cfg.model,
+                                cfg.model_options).drop("from_cache")
+    else:
+        s = written(TX.summarize(texts, cfg.summarize_fn, "text", cfg.prompt_type, cfg.model,
+                                 options=cfg.model_options).drop("model", "success", "error", "seconds"), "summaries")
+    return s.drop("text").withColumnRenamed("summary", "text")
 
 
 def vector_stage(msgs: DataFrame, cfg: RunConfig, vectors: DataFrame | None = None,
                  text_key: str | None = None) -> DataFrame:
-    """V1-V5: ``vec`` = text vector ++ time vector."""
-    x = summarize_stage(msgs, cfg)
-    return V.vectorize_messages(x, cfg.embedding, cfg.text_dim, text_key, cfg.include_time,
-                                vectors=vectors, fn=cfg.extra.get("embed_fn"), out="vec")
+    """V1-V5: ``vec`` = text vector ++ time vector, per distinct original text."""
+    return V.vectorize_messages(msgs, cfg.embedding, cfg.text_dim, text_key, cfg.include_time,
+                                vectors=vectors, fn=cfg.extra.get("embed_fn"), out="vec",
+                                rewrite=lambda t: summarize_stage(t, cfg))
 
 
 def encoder_config(cfg: RunConfig, input_dim: int) -> EN.EncoderConfig:
@@ -94,12 +109,12 @@ def embed(df: DataFrame, enc: EN.Encoder | None, out: str = "h") -> DataFrame:
 
 def cluster_groups(df: DataFrame, group: list[str], cfg: RunConfig, vec: str = "h",
                    true_col: str = "event", k_table: DataFrame | None = None,
-                   n_init: int | None = None) -> DataFrame:
+                   n_init: int | None = None, max_iter: int | None = None) -> DataFrame:
     """K-means in every group at once, k = distinct true labels of the group."""
     kt = k_table if k_table is not None else \
         df.groupBy(*group).agg(F.countDistinct(true_col).alias("k"))
     res = C.keyed_kmeans(df, vec, "msg_id", group, k_table=kt,
-                         n_init=n_init or cfg.n_init, max_iter=cfg.max_iter, seed=cfg.seed)
+                         n_init=n_init or cfg.n_init, max_iter=max_iter or cfg.max_iter, seed=cfg.seed)
     return res.predict(df, vec, "pred")
 
 
@@ -137,9 +152,9 @@ def _validator(val: DataFrame, cfg: RunConfig):
     def run(enc):
         h = embed(val, enc)
         kt = h.agg(F.countDistinct("event").alias("k"))
-        pred = cluster_groups(h, [], cfg, k_table=kt, n_init=cfg.val_n_init)
+        pred = cluster_groups(h, [], cfg, k_table=kt, n_init=cfg.val_n_init, max_iter=cfg.val_max_iter)
         r = S.evaluate_clustering(pred, "event", "pred").first()
-        return r["nmi"] if r else 0.0
+        return (r["nmi"], r["ami"]) if r else (0.0, 0.0)
     return run
 
 
@@ -157,7 +172,7 @@ def train_block(enc: EN.Encoder, block: DataFrame, cfg: RunConfig, cuts=(0.7, 0.
         sp.unpersist()
         return None
     hist = EN.train(enc, tr, va, cfg.epochs, cfg.lr, cfg.weight_decay, cfg.patience, cfg.seed,
-                    "vec", "event", "msg_id", cfg.batch_fraction, _validator(va, cfg), log=log)
+                    "vec", "event", "msg_id", cfg.batch_size, cfg.max_steps, _validator(va, cfg), log=log)
     sp.unpersist()
     return hist
 
@@ -167,11 +182,12 @@ def train_block(enc: EN.Encoder, block: DataFrame, cfg: RunConfig, cuts=(0.7, 0.
 def offline_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
                 experiment: str = "offline") -> DataFrame:
     """On M0, per run: fresh encoder (seed + run), 70/20/10 split, train,
-    score the test part with k = distinct events of the whole block."""
+    score the test part with k = distinct events of the whole block. Without
+    the hyperbolic stage nothing is trained and the last 20 % are scored."""
     spark = vec_blocks.sparkSession
     m0 = B.get_block(vec_blocks, "M0").persist()
     k = m0.agg(F.countDistinct("event")).first()[0]
-    sp = B.split_70_20_10(m0).persist()
+    sp = (B.split_70_20_10(m0) if cfg.use_hyperbolic else B.split_80_20(m0)).persist()
     rows = []
     dim = len(m0.select("vec").first()["vec"])
     for r in range(runs):
@@ -182,7 +198,7 @@ def offline_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
             tr = sp.where(F.col("split") == "train")
             va = sp.where(F.col("split") == "val")
             EN.train(enc, tr, va, rc.epochs, rc.lr, rc.weight_decay, rc.patience, rc.seed,
-                     "vec", "event", "msg_id", rc.batch_fraction, _validator(va, rc))
+                     "vec", "event", "msg_id", rc.batch_size, rc.max_steps, _validator(va, rc))
         test = embed(sp.where(F.col("split") == "test"), enc)
         kt = spark.createDataFrame([(int(k),)], "k long")
         pred = cluster_groups(test, [], rc, k_table=kt)
@@ -203,7 +219,8 @@ def online_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
     Weights carry over; consecutive blocks on the same weights are clustered
     in one keyed job."""
     spark = vec_blocks.sparkSession
-    vb = vec_blocks.persist()
+    mine = vec_blocks.storageLevel == StorageLevel.NONE      # a caller's cache stays the caller's
+    vb = vec_blocks.persist() if mine else vec_blocks
     ids = [r["block_id"] for r in vb.select("block_id").distinct().orderBy("block_id").collect()]
     dim = len(vb.select("vec").first()["vec"])
     out = []
@@ -226,12 +243,13 @@ def online_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
             long = S.to_long(sc.withColumn("run", F.lit(r).cast("long")),
                              ["run", "block_id"], ("nmi", "ami"))
             # materialise the scores before the next segment changes the weights
-            out.append(spark.createDataFrame(long.collect(), long.schema)
-                       .withColumn("experiment", F.lit(experiment))
-                       .withColumn("config", F.lit(cfg.name)))
+            schema = long.schema
+            out += long.collect()                            # two rows per (run, block)
             h.unpersist()
-    vb.unpersist()
-    res = S.union_all(out)
+    if mine:
+        vb.unpersist()
+    res = spark.createDataFrame(out, schema).withColumn("experiment", F.lit(experiment)) \
+        .withColumn("config", F.lit(cfg.name))
     return res.withColumn("block_name", F.concat(F.lit("M"), F.col("block_id").cast("string")))
 
 
@@ -244,18 +262,21 @@ def window_sweep(vec_blocks: DataFrame, cfg: RunConfig, windows=(1, 2, 3, 4, 5,
 
 # ------------------------------------------------------------------ X6-X9
 
-def run_config(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5) -> DataFrame:
+ABLATION_EPOCHS = 50     # fixed value of the original study
+
+
+def run_config(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5, epochs: int | None = ABLATION_EPOCHS) -> DataFrame:
     """One configuration, ``runs`` runs of the offline protocol."""
-    return offline_run(vec_blocks, cfg, runs, "ablation")
+    return offline_run(vec_blocks, cfg if epochs is None else replace(cfg, epochs=epochs), runs, "ablation")
 
 
 # The five sweeps' settings (fixed values of the original study grids).
 GRIDS = {
     "vectorization": [dict(name=f"{e}{'+time' if t else ''}", embedding=e, include_time=t)
                       for e in ("hashed", "word_mean") for t in (True, False)],
-    "hyperbolic": [dict(name="no_summary", use_summary=False), dict(name="no_hyperbolic",
-                   use_hyperbolic=False), dict(name="hyperboloid", manifold="hyperboloid"),
-                   dict(name="poincare", manifold="poincare"), dict(name="full")],
+    "hyperbolic": [dict(name="no_model_no_hyperbolic", use_summary=False, use_hyperbolic=False),
+                   dict(name="no_model", use_summary=False), dict(name="no_hyperbolic", use_hyperbolic=False),
+                   dict(name="hyperboloid", manifold="hyperboloid"), dict(name="poincare", manifold="poincare")],
     "prompt": [dict(name=p, prompt_type=p) for p in ("summarize", "paraphrase")],
     "layers": [dict(name=f"layers={n}", num_layers=n) for n in (1, 2, 3, 4, 5)],
     "width": [dict(name=f"hidden={w}", hidden_dim=w) for w in (16, 32, 64, 128, 256, 512)],
@@ -263,41 +284,38 @@ GRIDS = {
 
 
 def sweep(msgs_blocks: DataFrame, base: RunConfig, grid: list[dict], runs: int = 5,
-          vectors: DataFrame | None = None) -> DataFrame:
+          vectors: DataFrame | None = None, epochs: int | None = ABLATION_EPOCHS, made: dict | None = None) -> DataFrame:
     """Every setting of a grid; the vector stage is computed once per
-    distinct vector key and cached, so settings that only change the
-    encoder reuse it."""
-    cache: dict = {}
+    distinct vector key and written to the shared folder, so settings that only
+    change the encoder read it. Without ``vectors`` the word-vector settings
+    train their own on the corpus. ``made`` shares the tables between grids."""
+    made = {} if made is None else made
     frames = []
     for setting in grid:
         cfg = replace(base, **setting)
-        if cfg.embedding == "word_mean" and vectors is None:
-            continue
         key = cfg.vector_key()
-        if key not in cache:
-            cache[key] = vector_stage(msgs_blocks, cfg, vectors).persist()
-        frames.append(run_config(cache[key], cfg, runs))
-    for v in cache.values():
-        v.unpersist()
+        if key not in made:
+            made[key] = written(vector_stage(msgs_blocks, cfg, vectors), "sweep-vectors")
+        frames.append(run_config(made[key], cfg, runs, epochs))
     return S.union_all(frames)
 
 
-def run_ablation(msgs_blocks: DataFrame, base: RunConfig, runs: int = 5,
-                 vectors: DataFrame | None = None) -> DataFrame:
-    """All five sweeps on one loaded table."""
-    return S.union_all([sweep(msgs_blocks, base, g, runs, vectors)
-                        .withColumn("grid", F.lit(name)) for name, g in GRIDS.items()])
+def run_ablation(msgs_blocks: DataFrame, base: RunConfig, runs: int = 5, vectors: DataFrame | None = None,
+                 epochs: int | None = ABLATION_EPOCHS, grids: dict | None = None) -> DataFrame:
+    """All five sweeps (22 settings) on one loaded table."""
+    made: dict = {}
+    return S.union_all([sweep(msgs_blocks, base, g, runs, vectors, epochs, made).withColumn("grid", F.lit(name))
+                        for name, g in (grids or GRIDS).items()])
 
 
 def run_all(spark: SparkSession, msgs: DataFrame, base: RunConfig, runs: int = 5,
-            windows=(1, 2, 3, 4, 5, 1000)) -> dict:
+            windows=(1, 2, 3, 4, 5, 1000), epochs: int | None = ABLATION_EPOCHS, grids: dict | None = None) -> dict:
     """Offline, online, ablation and window analysis on one input."""
     blocks = B.assign_blocks(msgs)
-    vb = vector_stage(blocks, base).persist()
-    out = {"offline": offline_run(vb, base, runs), "online": online_run(vb, base, runs),
-           "ablation": run_ablation(blocks, base, runs),
-           "window": window_sweep(vb, base, windows, runs)}
-    return out
+    vb = written(vector_stage(blocks, base), "vectors")
+    return {"offline": offline_run(vb, base, runs), "online": online_run(vb, base, runs),
+            "ablation": run_ablation(blocks, base, runs, None, epochs, grids),
+            "window": window_sweep(vb, base, windows, runs)}
 
 
 # ------------------------------------------------------------------ bench helpers

@@ -302,13 +302,12 @@ def oracle_sql() -> dict:
     q["prompt_build"] = f"""WITH {MSGS} SELECT msg_id, md5({PROMPT}) AS prompt_md5,
         CAST(length({PROMPT}) AS BIGINT) AS prompt_chars FROM msgs"""
     q["mock_summary"] = f"WITH {MSGS} SELECT msg_id, {mock(PROMPT)} AS summary FROM msgs"
-    q["cache_misses"] = f"""WITH {BLOCKS},
-        cache AS (SELECT DISTINCT sha256(text) AS key FROM blocks WHERE block_id = 0),
+    cache = """cache AS (SELECT DISTINCT sha256(text) AS key FROM blocks WHERE block_id = 0 AND doc_id % 2 = 0)"""
+    q["cache_misses"] = f"""WITH {BLOCKS}, {cache},
         onl AS (SELECT DISTINCT sha256(text) AS key, CAST(length(text) AS BIGINT) AS text_chars
                 FROM blocks WHERE block_id > 0)
         SELECT key, text_chars FROM onl WHERE key NOT IN (SELECT key FROM cache)"""
-    q["cache_apply"] = f"""WITH {BLOCKS},
-        cache AS (SELECT DISTINCT sha256(text) AS key FROM blocks WHERE block_id = 0)
+    q["cache_apply"] = f"""WITH {BLOCKS}, {cache}
         SELECT msg_id, sha256(text) IN (SELECT key FROM cache) AS from_cache,
                {mock(PROMPT)} AS summary FROM msgs"""
     q["time_features"] = f"""WITH {MSGS} SELECT msg_id, round({TIME_D}, 6) AS t_days,
@@ -415,6 +414,12 @@ def oracle_sql() -> dict:
                             ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_squared
         FROM ab JOIN sizes USING (pred)"""
     q["hyperbolic_lloyd_2steps"] = _lloyd_sql()
+    blk = _block_lloyd_sql()
+    q["block_kmeans_centers"] = blk + " " + explode("c2", "block_id, cluster", "center")
+    q["block_kmeans_inertia"] = blk + f""" SELECT block_id, round(sum(d), 4) AS inertia, CAST(2 AS BIGINT) AS n_iter
+        FROM a2 GROUP BY block_id"""
+    q["block_kmeans_predict"] = blk + f""", a3 AS {_near('c2')}
+        SELECT block_id, cluster AS pred, count(*) AS rows FROM a3 GROUP BY ALL"""
 
     # ---- scores
     emb_pairs = f"WITH {NEAREST}, pairs AS (SELECT CAST(label AS BIGINT) AS y_true, pred AS y_pred FROM nearest)"
@@ -445,9 +450,9 @@ def oracle_sql() -> dict:
           round(max(CASE WHEN metric = 'ami' THEN std END), 6) AS ami_std
         FROM bm GROUP BY block_name"""
     q["run_block_average"] = rs + """ SELECT run, metric, round(avg(value), 6) AS mean,
-        round(stddev_pop(value), 6) AS std FROM lng WHERE block_id > 0 GROUP BY ALL"""
+        round(stddev_pop(value), 6) AS std FROM lng GROUP BY ALL"""
     q["runs_of_blocks"] = rs + """, per AS (SELECT run, metric, avg(value) AS value FROM lng
-        WHERE block_id > 0 GROUP BY ALL) SELECT metric, round(avg(value), 6) AS mean,
+        GROUP BY ALL) SELECT metric, round(avg(value), 6) AS mean,
         round(stddev_pop(value), 6) AS std FROM per GROUP BY metric"""
     q["format_paper_style"] = rs + """, ms AS (SELECT metric, avg(value) AS mean,
         stddev_pop(value) AS std FROM lng WHERE block_id = 0 GROUP BY metric)
@@ -462,16 +467,120 @@ def oracle_sql() -> dict:
         cfg_parts.append(f"SELECT '{name}' AS config, avg(nmi) AS nmi, avg(ami) AS ami FROM ({sc}) q")
     q["compare_configs"] = ("SELECT config, round(nmi, 6) AS nmi, round(ami, 6) AS ami FROM ("
                             + " UNION ALL ".join(cfg_parts) + ") z")
+    iso = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
+    cell = "date_trunc('second', ts)"
+    q["standardize"] = f"""WITH r AS (SELECT event_id AS msg_id,
+          CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE 'text ' || event_id END AS text,
+          CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN {cell}
+               WHEN event_id % 19 = 0 THEN {cell} - INTERVAL 2 HOUR WHEN event_id % 23 = 0 THEN NULL
+               ELSE CAST({iso} AS TIMESTAMP) END AS created_at,
+          CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_type END AS event FROM events)
+        SELECT * FROM r WHERE text IS NOT NULL AND created_at IS NOT NULL AND event IS NOT NULL"""
+    q["summary_stats"] = f"""SELECT count(*) AS rows, count(*) FILTER (length({PROMPT}) % 10 <> 0) AS succeeded
+        FROM documents WHERE text IS NOT NULL"""
+    q["model_names"] = """SELECT event_id, (['llama3.1:8b', 'qwen2.5:7b', 'gemma2:9b', 'own:1b', 'llama3.1:8b'])[event_id % 5 + 1]
+        AS model FROM events"""
+    q["summary_defaults"] = """WITH m AS (SELECT 'm' || (event_id % 2) AS metric, round(avg(value), 6) AS mean,
+          round(stddev_pop(value), 6) AS std FROM events GROUP BY 1)
+        SELECT w.metric, coalesce(mean, 0.0) AS mean, coalesce(std, 0.0) AS std
+        FROM (VALUES ('m0'), ('m1'), ('absent')) w(metric) LEFT JOIN m USING (metric)"""
+
+    # ---- encoder with weights by formula
+    def layer(x, fin, fout, n, act):
+        z = (f"0.1 * cos(j_ + {n}) + list_sum(list_transform(range(1, {fin} + 1), "
+             f"lambda i_: {x}[i_] * 0.3 * sin(7 * (i_ - 1) + 3 * j_ + {n})))")
+        return f"list_transform(range(0, {fout}), lambda j_: {f'greatest({z}, 0.0)' if act else z})"
+
+    mlp = f"WITH {EMB}, a AS (SELECT vec_id, {layer('v', 64, 6, 0, True)} AS a FROM e), " \
+          f"u AS (SELECT vec_id, {layer('a', 6, 4, 1, False)} AS u FROM a)"
+    lin = f"WITH {EMB}, u AS (SELECT vec_id, {layer('v', 64, 4, 0, False)} AS u FROM e)"
+
+    def ball(c):
+        n = f"greatest(sqrt({sq('u')}), 1e-5)"
+        y = scale("u", f"tanh(sqrt({c}) * {n}) / (sqrt({c}) * {n})")
+        yn = f"greatest(sqrt({sq('y')}), 1e-5)"
+        m = f"((1.0 - 1e-5) / sqrt({c}))"
+        return (f", y AS (SELECT vec_id, {y} AS y FROM u), h AS (SELECT vec_id, CASE WHEN {yn} > {m} THEN "
+                f"{scale('y', f'{m} / {yn}')} ELSE y END AS h FROM y) ")
+
+    hn = f"greatest(sqrt({sq('u')}), 1e-5)"
+    q["linear_fixed"] = lin + ball(1.0) + explode("h", "vec_id", "h")
+    q["encode_fixed_poincare"] = mlp + ball(2.0) + explode("h", "vec_id", "h")
+    q["encode_euclidean_fixed"] = mlp + " " + explode("u", "vec_id", "u")
+    q["encode_fixed_hyperboloid"] = (mlp + f", s AS (SELECT vec_id, {scale('u', f'sinh({hn} / sqrt(0.5)) / {hn}')} AS s FROM u), "
+                                     f"h AS (SELECT vec_id, list_concat([sqrt(2.0 + {sq('s')})], s) AS h FROM s) "
+                                     + explode("h", "vec_id", "h"))
+
+    # ---- hyperbolic functions over curvatures and norms
+    grid = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    k AS (SELECT c::DOUBLE AS c, s::DOUBLE AS scale FROM (VALUES (0.5), (1.0), (2.0)) a(c), (VALUES (0.0), (0.01), (1.0), (50.0)) b(s)),
+    x AS (SELECT a.vec_id, c, scale, list_transform(a.e, lambda t_: t_ * scale) AS v, list_transform(b.e, lambda t_: t_ * 0.5) AS w
+          FROM e a JOIN e b ON b.vec_id = a.vec_id + 1, k),"""
+    nv_, nw_ = (f"greatest(sqrt({sq(t)}), 1e-5)" for t in "vw")
+    np_ = f"greatest(sqrt({sq('p0')}), 1e-5)"
+    rad = "((1.0 - 1e-5) / sqrt(c))"
+    x2, y2, xy = sq("p"), sq("q"), dot("p", "q")
+
+    def add(sign):
+        a = f"((1.0 + 2.0 * c * {sign}{xy} + c * {y2}) / greatest(1.0 + 2.0 * c * {sign}{xy} + c * c * {x2} * {y2}, 1e-5))"
+        b = f"((1.0 - c * {x2}) / greatest(1.0 + 2.0 * c * {sign}{xy} + c * c * {x2} * {y2}, 1e-5))"
+        return f"list_transform(range(1, 65), lambda j_: {sign}{a} * p[j_] + {b} * q[j_])"
+
+    nh, ng = "greatest(sqrt(" + sq("vh") + "), 1e-5)", "greatest(sqrt(" + sq("q") + "), 1e-5)"
+    ht = f"greatest(sqrt({sq(tail('h'))}), 1e-5)"
+    nl = f"greatest(sqrt({sq('p')}), 1e-5)"
+    q["hyperbolic_grid"] = grid + f"""
+    y AS (SELECT *, {scale('v', f'tanh(sqrt(c) * {nv_}) / (sqrt(c) * {nv_})')} AS p0,
+             {scale('w', f'tanh(sqrt(c) * {nw_}) / (sqrt(c) * {nw_})')} AS q, list_transform(v, lambda t_: t_ * 0.1) AS vh FROM x),
+    z AS (SELECT *, CASE WHEN {np_} > {rad} THEN {scale('p0', f'{rad} / {np_}')} ELSE p0 END AS p FROM y),
+    u AS (SELECT vec_id, c, scale, p, q, {add('')} AS m, {add('-')} AS df,
+             {scale('p', artanh(f'sqrt(c) * {nl}') + f' / (sqrt(c) * {nl})')} AS l,
+             list_concat([cosh({nh} / sqrt(c))], {scale('vh', f'sinh({nh} / sqrt(c)) / {nh}')}) AS h,
+             list_concat([cosh({ng} / sqrt(c))], {scale('q', f'sinh({ng} / sqrt(c)) / {ng}')}) AS g FROM z)
+    SELECT vec_id, c, scale, round(list_sum(p), 6) AS p_sum, round(list_sum(l), 6) AS l_sum, round(list_sum(m), 6) AS m_sum,
+      round(2.0 / sqrt(c) * {artanh('sqrt(c) * greatest(sqrt(' + sq('df') + '), 1e-5)')}, 4) AS d,
+      round(acosh(greatest(1.0 + 2.0 * c * {sqd('p', 'q')} / ((1.0 - c * {x2}) * (1.0 - c * {y2}) + 1e-10), 1.0 + 1e-10)) / sqrt(c), 4)
+        AS d_acosh,
+      round(list_sum(h) / h[1], 6) AS h_rel,
+      round(list_sum({scale(tail('h'), f'acosh(greatest(h[1], 1.0 + 1e-5)) * sqrt(c) / {ht}')}), 6) AS hl_sum,
+      round(acosh(greatest(-{mdot('h', 'g')}, 1.0 + 1e-5)) / sqrt(c), 4) AS hd,
+      round(sqrt(1.0 / c + {sq(tail('h'))}) / h[1], 6) AS hp_rel FROM u"""
     q["update_rule"] = f"""WITH {BLOCKS}, w AS (SELECT unnest([1, 2, 3, 4, 5, 1000])::BIGINT AS window)
         SELECT b.block_id, w.window, b.block_id % w.window = 0 AS update
         FROM (SELECT DISTINCT block_id FROM blocks) b, w"""
     q["stream_daily_blocks"] = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n
         FROM events WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
               <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL"""
+    q["stream_daily_stats"] = """SELECT CAST(ts AS DATE) AS day, min(ts) AS start_ts, max(ts) AS end_ts,
+        count(*) AS num_messages, count(DISTINCT event_type) AS num_events
+        FROM events WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
+              <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1"""
     q["stream_assign"] = q["nearest_center"]
     return q
 
 
+def _near(centers):
+    """Every row of ``bv`` with its nearest centre of its block and the squared distance."""
+    return f"""(SELECT block_id, msg_id, vec, cluster, d FROM (
+  SELECT p.block_id, p.msg_id, p.vec, c.cluster, {sqd('p.vec', 'c.center')} AS d,
+         row_number() OVER (PARTITION BY p.msg_id ORDER BY {sqd('p.vec', 'c.center')}, c.cluster) AS rn
+  FROM bv p JOIN {centers} c ON p.block_id = c.block_id) q WHERE rn = 1)"""
+
+
+def _block_lloyd_sql():
+    """Two Euclidean k-means steps in every block from its first k messages."""
+    sql = "WITH " + block_pred_sql() + ", c0 AS (SELECT block_id, cluster, center FROM cen)"
+    for n in (1, 2):
+        sql += f""",
+    a{n} AS {_near(f'c{n - 1}')},
+    x{n} AS (SELECT block_id, cluster, unnest(range(len(vec))) AS pos, unnest(vec) AS x FROM a{n}),
+    m{n} AS (SELECT block_id, cluster, pos, avg(x) AS mx FROM x{n} GROUP BY ALL),
+    k{n} AS (SELECT block_id, cluster, array_agg(mx ORDER BY pos) AS center FROM m{n} GROUP BY ALL),
+    c{n} AS (SELECT c.block_id, c.cluster, COALESCE(k.center, c.center) AS center FROM c{n - 1} c
+             LEFT JOIN k{n} k ON c.block_id = k.block_id AND c.cluster = k.cluster)"""
+    return sql
+
+
 def _lloyd_sql():
     """Two hyperbolic k-means steps from the 10 rows with the smallest md5(id)."""
     start = f"""{EMB},

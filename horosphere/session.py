@@ -101,6 +101,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: results of user callables are paid
+    for once, and a lost executor takes nothing with it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a table whose size is bounded by a parameter (centres, weights).
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from horosphere.session import written
+
 # The cell strings that pandas' read_csv turns into missing
 # values by default (public pandas API). Kept so CSV input cleans the same way.
 NA_TOKENS = [
@@ -26,20 +28,19 @@ def _na_to_null(c: Column) -> Column:
 def parse_time(c: Column, mode: str = "fail") -> Column:
     """String -> TIMESTAMP_NTZ. ``fail`` raises on a bad value, ``drop`` gives NULL.
 
-    A trailing ``Z`` / offset is honoured by converting to UTC first.
+    A trailing ``Z`` / offset is honoured by converting to UTC, whatever the
+    session's time zone; a string without one is taken as it is.
     """
     s = F.trim(c)
     has_zone = s.rlike(r"(Z|[+-]\d\d:?\d\d)$")
     if mode == "fail":
-        zoned = F.to_timestamp(s)
-        plain = s.cast("timestamp_ntz")
+        zoned, plain = F.to_timestamp(s), s.cast("timestamp_ntz")
     elif mode == "drop":
-        zoned = F.try_to_timestamp(s)
-        plain = F.try_to_timestamp(s).cast("timestamp_ntz")
+        zoned, plain = F.try_to_timestamp(s), s.try_cast("timestamp_ntz")
     else:
         raise ValueError(f"unknown mode {mode!r}; use 'fail' or 'drop'")
-    # session time zone is UTC, so TIMESTAMP -> NTZ keeps the UTC wall clock
-    return F.when(has_zone, zoned.cast("timestamp_ntz")).otherwise(plain)
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.cast("timestamp_ntz"))
+    return F.when(has_zone, utc).otherwise(plain)
 
 
 def standardize(df: DataFrame, text_col: str = "text", ts_col: str = "created_at",
@@ -48,6 +49,8 @@ def standardize(df: DataFrame, text_col: str = "text", ts_col: str = "created_at
                 observation: Observation | None = None) -> DataFrame:
     """Required-column check, NA cleaning, time parse, null drop.
 
+    Without ``id_col`` rows get numbers, which are written to the shared folder once.
+
     ``observation`` (optional) receives ``rows_in`` and ``rows_kept`` without
     a second scan; ``rows_in - rows_kept`` is the number of removed rows.
     """
@@ -67,8 +70,8 @@ def standardize(df: DataFrame, text_col: str = "text", ts_col: str = "created_at
     if event_type:
         out = out.withColumn(event_col, F.col(event_col).cast(event_type))
     if id_col is None:
-        # deterministic for a fixed file listing: partition index + position
-        out = out.withColumn("msg_id", F.monotonically_increasing_id())
+        # numbered once and read back, so every later step sees the same ids
+        out = written(out.withColumn("msg_id", F.monotonically_increasing_id()), "numbered-messages")
     elif id_col != "msg_id":
         out = out.withColumn("msg_id", F.col(id_col).cast("bigint"))
     if observation is not None:
@@ -84,10 +87,14 @@ def standardize(df: DataFrame, text_col: str = "text", ts_col: str = "created_at
     return out.select(*first, *[c for c in out.columns if c not in first])
 
 
-def read_messages(spark: SparkSession, path: str, fmt: str = "csv", **kw) -> DataFrame:
-    """Read a message file (CSV with header, Parquet or JSON lines) and clean it."""
+def read_messages(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False, **kw) -> DataFrame:
+    """Read a message file (CSV with header, Parquet or JSON lines) and clean it.
+
+    ``multi_line`` allows line ends inside quoted CSV cells; such a file cannot
+    be split, so each is read by one task.
+    """
     if fmt == "csv":
-        raw = (spark.read.option("header", True).option("multiLine", True)
+        raw = (spark.read.option("header", True).option("multiLine", multi_line)
                .option("escape", '"').option("inferSchema", False).csv(path))
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
@@ -111,7 +118,8 @@ def messages_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
     keyed = (ev.crossJoin(F.broadcast(n_docs))
              .withColumn("doc_id", F.col("event_id") % F.col("n_docs")))
     cols = ["doc_id", "text"] if with_text else ["doc_id"]
-    m = keyed.join(docs.select(*cols), "doc_id")
+    # a null text removes its messages, whether or not the text is carried
+    m = keyed.join(docs.where(F.col("text").isNotNull()).select(*cols), "doc_id")
     out = [F.col("event_id").alias("msg_id")]
     if with_text:
         out.append(F.col("text"))

@@ -7,19 +7,22 @@
   mode), rows later than the watermark are dropped.
 * K5 online assignment: new rows go to the current centres (broadcast),
   stateless, so it runs per micro-batch.
-* K2/K3 block processing with state lives in ``plans.experiments``; here is the
-  ``foreachBatch`` driver that feeds it closed blocks idempotently.
+* K2/K3 blocks on a stream: a ``foreachBatch`` driver closes M0 and then daily
+  blocks in order, and ``IncrementalDetector`` trains, clusters and scores
+  them with weights and metrics stored per (run, block).
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from horosphere.session import scratch_path
+from horosphere.session import cut_lineage, scratch_path
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -45,6 +48,17 @@ def daily_counts(stream: DataFrame, ts_col: str = "ts", key: str = "event_type",
             .select(F.to_date(F.col("window.start")).alias("day"), F.col(key), "n"))
 
 
+def daily_stats(stream: DataFrame, ts_col: str = "ts", event: str = "event_type",
+                delay: str = "1 hour") -> DataFrame:
+    """K4: first and last time, rows and distinct events of every closed day."""
+    x = stream.withColumn("_t", F.col(ts_col).cast("timestamp"))
+    return (x.withWatermark("_t", delay).groupBy(F.window("_t", "1 day"))
+            .agg(F.min("_t").alias("start_ts"), F.max("_t").alias("end_ts"), F.count(F.lit(1)).alias("num_messages"),
+                 F.size(F.collect_set(event)).cast("long").alias("num_events"))
+            .select(F.to_date(F.col("window.start")).alias("day"), F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
+                    F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "num_messages", "num_events"))
+
+
 def _run_to_table(spark: SparkSession, q: DataFrame, name: str, mode: str = "append") -> DataFrame:
     out = scratch_path(spark, f"{name}-out")
     ck = scratch_path(spark, f"{name}-ckpt")
@@ -54,10 +68,13 @@ def _run_to_table(spark: SparkSession, q: DataFrame, name: str, mode: str = "app
     return spark.read.schema(q.schema).parquet(out)
 
 
-def _source(spark: SparkSession, folder: str, schema: T.StructType, files: str | None):
-    # event-time windows need an instant: wall-clock (NTZ) times are read as UTC
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+def _source(spark: SparkSession, folder: str, schema: T.StructType, files: str | None,
+            files_per_trigger: int | None = None):
+    """File stream of ``folder``. Event-time windows need an instant: wall-clock (NTZ)
+    times are read in the session's time zone, which should be UTC."""
+    r = spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
     if files:
         r = r.option("pathGlobFilter", files)
     return r.parquet(folder)
@@ -70,6 +87,12 @@ def stream_daily_counts(spark: SparkSession, folder: str, files: str | None = No
     return _run_to_table(spark, daily_counts(src, delay=delay), "daily")
 
 
+def stream_daily_stats(spark: SparkSession, folder: str, files: str | None = None,
+                       delay: str = "1 hour") -> DataFrame:
+    """K4 end to end: block statistics of closed days."""
+    return _run_to_table(spark, daily_stats(_source(spark, folder, EVENT_SCHEMA, files), delay=delay), "daily-stats")
+
+
 def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str = "embedding",
                   schema: T.StructType | None = None, files: str | None = None) -> DataFrame:
     """K5: assign streamed vectors to fixed centres (stateless, per micro-batch)."""
@@ -84,46 +107,128 @@ def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str
     return _run_to_table(spark, out, "assign")
 
 
-def process_closed_blocks(stream: DataFrame, process_day: Callable[[DataFrame, object], None],
-                          workdir: str, ts_col: str = "created_at", delay: str = "1 hour"):
-    """K2/K3 driver: each calendar day is handed to ``process_day(rows, day)``
-    exactly once, in date order, when the watermark (max event time seen
-    minus ``delay``) passes the day's end.
-
-    State lives on shared storage under ``workdir``: every micro-batch's rows
-    are written to ``rows/epoch=<id>`` (overwrite, so a replayed epoch is
-    harmless), the running maximum time to ``wm/epoch=<id>``, processed days
-    to ``done/``. Rows arriving for a day already processed are late and are
-    ignored. Returns the streaming query handle.
+STAGED = "day"
+
+
+def _listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A state table; empty where nothing was written yet. Other read errors are raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def process_closed_blocks(stream: DataFrame, process_block: Callable[[DataFrame, int, str], DataFrame | None],
+                          workdir: str, ts_col: str = "created_at", delay: str = "1 hour",
+                          offline_days: int = 7):
+    """K2/K3 driver: blocks M0 (the first ``offline_days`` days from the earliest
+    message, not aligned to midnight), then one block per calendar date with data, each handed to
+    ``process_block(rows, block_id, name)`` in order once its end has passed the watermark (largest
+    event time seen minus ``delay``).
+
+    State lives on shared storage under ``workdir``: every micro-batch's rows go
+    to ``rows/epoch=<id>/day=<date>`` (overwritten when an epoch is replayed),
+    their days and times to ``days/epoch=<id>``, the rows of every closed block to its own
+    result, and one row per finished block to ``done/block=<id>`` (overwritten,
+    so a block repeated after a failure between result and mark is the
+    same block with the same rows: its result replaces the first one). What
+    ``process_block`` returns, if anything, is written to ``metrics/block=<id>``. A block
+    reads its own days only. Rows whose day (or M0's span) is closed when they
+    arrive are late and are left out, as with an event-time watermark.
+    Returns the streaming query handle.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.session.timeZone", "UTC")   # wall-clock days = UTC days
-    delay_expr = F.expr(f"INTERVAL {delay}")
+    wait = F.expr(f"INTERVAL {delay}")
+    stat = "day date, first timestamp_ntz, last timestamp_ntz, n long"
 
     def handler(batch: DataFrame, epoch: int) -> None:
-        x = batch.withColumn("_day", F.to_date(F.col(ts_col)))
-        x.write.mode("overwrite").parquet(f"{workdir}/rows/epoch={epoch}")
-        mx = x.agg(F.max(ts_col).alias("mx"))
-        mx.write.mode("overwrite").parquet(f"{workdir}/wm/epoch={epoch}")
-        wm = spark.read.parquet(f"{workdir}/wm").agg(F.max("mx")).first()[0]
-        if wm is None:
+        t = F.col(ts_col).cast("timestamp_ntz")
+        rows = batch.withColumn(STAGED, F.to_date(t))
+        rows.write.mode("overwrite").partitionBy(STAGED).parquet(f"{workdir}/rows/epoch={epoch}")
+        (rows.groupBy(STAGED).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count(F.lit(1)).alias("n"))
+         .coalesce(1).write.mode("overwrite").parquet(f"{workdir}/days/epoch={epoch}"))
+        # one row per (epoch, day): the state the decisions need, bounded by the days in flight
+        days = spark.read.schema(stat + ", epoch long").parquet(f"{workdir}/days")
+        done = _listed(spark, f"{workdir}/done", "upto date, m0_end timestamp_ntz, block long")
+        last = done.agg(F.max("block").alias("b"), F.max("upto").alias("u"), F.min("m0_end").alias("e")).first()
+        seen = days.agg(F.min("first").alias("first"), (F.max("last") - wait).alias("wm")).first()
+        if seen["wm"] is None:
             return
-        rows = spark.read.parquet(f"{workdir}/rows")
-        try:
-            done = {r[0] for r in spark.read.parquet(f"{workdir}/done").collect()}
-        except Exception:  # nothing processed yet
-            done = set()
-        closed = (rows.select("_day").distinct()
-                  .where(F.date_add(F.col("_day"), 1).cast("timestamp_ntz")
-                         <= F.lit(wm).cast("timestamp_ntz") - delay_expr)
-                  .orderBy("_day").collect())            # one row per day: bounded
+        staged = spark.read.parquet(f"{workdir}/rows")
+
+        def finish(part: DataFrame, block: int, upto, m0_end) -> None:
+            got = process_block(part.drop("epoch", STAGED), block, f"M{block}")
+            if got is not None:
+                got.write.mode("overwrite").parquet(f"{workdir}/metrics/block={block}")
+            spark.createDataFrame([(upto, m0_end)], "upto date, m0_end timestamp_ntz").write.mode("overwrite") \
+                .parquet(f"{workdir}/done/block={block}")
+
+        m0_end, block, upto = last["e"], last["b"], last["u"]
+        if m0_end is None:
+            m0_end = seen["first"] + timedelta(days=offline_days)
+            if m0_end > seen["wm"]:
+                return
+            upto = (m0_end - timedelta(microseconds=1)).date() - timedelta(days=1)
+            finish(staged.where((F.col(STAGED) <= F.lit(m0_end.date())) & (t < F.lit(m0_end))), 0, upto, m0_end)
+            block = 0
+        closed = (days.where(F.col("day") > F.lit(upto)).groupBy("day").agg(F.max("last").alias("last"))
+                  .where((F.date_add("day", 1).cast("timestamp_ntz") <= F.lit(seen["wm"])) & (F.col("last") >= F.lit(m0_end)))
+                  .orderBy("day").collect())
         for r in closed:
-            day = r["_day"]
-            if day in done:
-                continue
-            process_day(rows.where(F.col("_day") == F.lit(day)).drop("_day", "epoch"), day)
-            spark.createDataFrame([(day,)], "day date").write.mode("append") \
-                 .parquet(f"{workdir}/done")
+            block += 1
+            finish(staged.where((F.col(STAGED) == F.lit(r["day"])) & (t >= F.lit(m0_end))), block, r["day"], m0_end)
 
     return (stream.writeStream.option("checkpointLocation", f"{workdir}/ckpt")
             .foreachBatch(handler).trigger(availableNow=True).start())
+
+
+def block_metrics(spark: SparkSession, workdir: str) -> DataFrame:
+    """K3: the metrics of all finished blocks (column ``block`` from the path)."""
+    return spark.read.parquet(f"{workdir}/metrics")
+
+
+class IncrementalDetector:
+    """K2/K3: the block step of an online run for ``process_closed_blocks``.
+
+    Block ``b`` retrains the encoder iff ``b % window == 0`` (70/20 train and
+    validation parts), every block is encoded, clustered with k = its distinct events and
+    scored. Weights are stored per (run, block) under ``workdir/weights``; a block starts
+    from the newest weights below its number, so a repeated block gives the same result.
+    """
+
+    def __init__(self, spark: SparkSession, workdir: str, cfg, run: int = 0):
+        self.spark, self.workdir, self.cfg, self.run = spark, workdir, cfg, run
+
+    def _path(self, block: int) -> str:
+        return f"{self.workdir}/weights/run={self.run}/block={block}"
+
+    def _weights(self, block: int, dim: int):
+        from horosphere.operators.encoder import Encoder
+        from horosphere.plans.experiments import encoder_config
+        w = self.cfg.window
+        newest = (block - 1) // w * w if block else -1    # the last retrained block below
+        if newest < 0:
+            return Encoder.init(encoder_config(self.cfg, dim), self.cfg.seed)
+        return Encoder.load(self.spark, self._path(newest))
+
+    def __call__(self, rows: DataFrame, block: int, name: str) -> DataFrame:
+        from horosphere.operators import scores as S
+        from horosphere.plans import experiments as X
+        rows = rows.withColumn("block_id", F.lit(block).cast("long")).persist()
+        enc = None
+        if self.cfg.use_hyperbolic:
+            enc = self._weights(block, len(rows.select("vec").first()["vec"]))
+            if block % self.cfg.window == 0:
+                X.train_block(enc, rows, self.cfg)
+                enc.save(self.spark, self._path(block))
+        pred = X.cluster_groups(X.embed(rows, enc), ["block_id"], self.cfg)
+        score = S.evaluate_clustering(pred, "event", "pred", ["block_id"])
+        stats = rows.agg(F.min("created_at").alias("start_ts"), F.max("created_at").alias("end_ts"),
+                         F.count(F.lit(1)).alias("num_messages"), F.countDistinct("event").alias("num_events"))
+        out = score.crossJoin(F.broadcast(stats)).withColumn("run", F.lit(self.run).cast("long")) \
+            .withColumn("block_name", F.lit(name))
+        out = cut_lineage(out)
+        rows.unpersist()
+        return out

@@ -67,7 +67,7 @@ def test_csv_source_cleaning(spark, tmp_path):
                  '"y",,4\n"z",2024-01-03 00:00:00,\n')
     from pyspark.sql import Observation
     obs = Observation("clean")
-    df = M.read_messages(spark, str(p), event_type="bigint", observation=obs)
+    df = M.read_messages(spark, str(p), multi_line=True, event_type="bigint", observation=obs)
     rows = sorted(df.select("text", "created_at", "event").collect(), key=lambda r: r["text"])
     assert [r["text"] for r in rows] == ["hello, world", "x"]
     assert rows[1]["created_at"] == dt.datetime(2024, 1, 2, 12, 0)
@@ -94,3 +94,25 @@ def test_sample_messages_deterministic(spark):
     assert a.exceptAll(b).count() == 0
     r = a.agg(F.min("created_at"), F.max("created_at"), F.max("event")).first()
     assert r[0] >= dt.datetime(2024, 1, 1) and r[1] < dt.datetime(2024, 1, 31) and r[2] < 30
+
+
+def test_interleaved_groups_split_alike(spark):
+    """Groups that overlap in time: the range form equals the row_number form."""
+    base = dt.datetime(2024, 1, 1)
+    df = msgs(spark, [base + dt.timedelta(minutes=i) for i in range(40)]).withColumn("block_id", F.col("msg_id") % 3)
+    for f in (B.split_70_20_10, B.split_config, B.split_80_20):
+        got = [{(r.msg_id, r.split) for r in f(df, strategy=s, num_partitions=5).collect()} if s == "range"
+               else {(r.msg_id, r.split) for r in f(df, strategy=s).collect()} for s in ("range", "window")]
+        assert got[0] == got[1]
+
+
+def test_zoned_times_do_not_depend_on_the_session(spark):
+    df = spark.createDataFrame([("2024-03-01T10:00:00+02:00",), ("2024-03-01T10:00:00Z",), ("2024-03-01 10:00:00",), ("x",)], "s string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [r.t for r in df.select(M.parse_time(F.col("s"), "drop").alias("t")).collect()]
+            assert got == [dt.datetime(2024, 3, 1, 8), dt.datetime(2024, 3, 1, 10), dt.datetime(2024, 3, 1, 10), None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -105,3 +105,53 @@ def test_choose_k_and_adaptive(spark):
     assert C.choose_k(df, "vec", max_k=5, n_init=2) == 3
     pred = C.adaptive_fit_predict(df, "vec", max_k=5, n_init=2)
     assert S.scores(pred, "label", "pred", metrics=("nmi",)).first()["nmi"] > 0.99
+
+
+def test_many_centres_are_streamed(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    pts = spark.createDataFrame([(i, f"g{i % 5}", [float(t) for t in rng.normal(size=3)]) for i in range(400)]
+                                + [(900, "none", [0.0] * 3)], "msg_id long, g string, vec array<double>")
+    cen = spark.createDataFrame([(f"g{g}", j, [float(t) for t in rng.normal(size=3)]) for g in range(5) for j in range(8)],
+                                "g string, cluster long, center array<double>")
+    for metric in ("euclidean", "sqeuclidean"):
+        want = C.assign_nearest(pts, cen, "vec", ["g"], metric=metric, dist_out="d").collect()
+        with monkeypatch.context() as m:
+            m.setattr(C, "BROADCAST_CENTERS", 10)
+            got = C.assign_nearest(pts, cen, "vec", ["g"], metric=metric, dist_out="d").collect()
+            solo = C.assign_nearest(pts.drop("g"), cen.where("g = 'g0'").drop("g").unionByName(
+                cen.where("g = 'g1'").drop("g").withColumn("cluster", F.col("cluster") + 10)), "vec").collect()
+        assert {(r.msg_id, r.pred, round(r.d, 9) if r.pred is not None else None) for r in got} == \
+            {(r.msg_id, r.pred, round(r.d, 9) if r.pred is not None else None) for r in want}
+        assert len(solo) == 401
+
+
+def test_groups_in_portions_give_the_same_result(spark, monkeypatch):
+    df = frame(spark, *blobs(3, 30, 4, seed=1), group="a").unionByName(
+        frame(spark, *blobs(3, 30, 4, seed=2), group="b")).unionByName(frame(spark, *blobs(2, 20, 4, seed=3), group="c"))
+    one = C.keyed_kmeans(df, "vec", "msg_id", ["g"], k=3, n_init=2, max_iter=5)
+    monkeypatch.setattr(C, "BROADCAST_CENTERS", 7)
+    many = C.keyed_kmeans(df, "vec", "msg_id", ["g"], k=3, n_init=2, max_iter=5)
+    key = lambda r: (r.g, r.cluster)
+    a, b = (sorted(x.centers.collect(), key=key) for x in (one, many))
+    assert [key(r) for r in a] == [key(r) for r in b] and len(a) == 9
+    assert np.allclose([r.center for r in a], [r.center for r in b])
+    assert many.predict(df, "vec").where("pred is null").count() == 0
+
+
+def test_random_starts_may_pick_equal_rows(spark):
+    df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(4)] + [(9, [5.0, 5.0])], "msg_id long, vec array<double>")
+    res = C.keyed_kmeans(df, "vec", k=5, init="random", n_init=1, max_iter=1)
+    assert res.centers.count() == 5
+
+
+def test_given_start_and_steps(spark):
+    X, y = blobs(3, 20, 4)
+    df = frame(spark, X, y)
+    start = spark.createDataFrame([(j, [float(t) for t in X[j * 20]]) for j in range(3)], "cluster long, center array<double>")
+    res = C.keyed_kmeans(df, "vec", start=start, max_iter=2, tol=-1.0)
+    cen = X[[0, 20, 40]]
+    for _ in range(2):
+        lab = ((X[:, None] - cen[None]) ** 2).sum(2).argmin(1)
+        cen = np.vstack([X[lab == j].mean(0) for j in range(3)])
+    got = np.vstack([r.center for r in res.centers.orderBy("cluster").collect()])
+    assert np.allclose(got, cen) and res.inertia.first()["n_iter"] == 2

@@ -46,4 +46,10 @@ def test_timer_and_sink(spark, tmp_path):
     res = R.add_run(None, runs(spark).withColumn("experiment", F.lit("online")))
     R.save_results(res, str(tmp_path / "out"), "json", ["experiment"])
     assert spark.read.json(str(tmp_path / "out")).count() == 18
-    assert R.nested_summary(res).count() == 1
+    one = R.nested_summary(res, config={"epochs": 3}).collect()
+    assert len(one) == 1 and one[0].config == '{"epochs": 3}'
+    assert [r.run for r in one[0].runs] == [0, 1, 2] and [b.block_name for b in one[0].blocks] == ["M0", "M1", "M10"]
+    assert one[0].summary["nmi"]["mean"] == pytest.approx(0.71) and one[0].runs[0].metrics["ami"] == pytest.approx(0.6)
+    R.save_summary(res, str(tmp_path / "nested"), {"epochs": 3})
+    back = spark.read.json(str(tmp_path / "nested")).first()
+    assert back.summary.nmi.mean == pytest.approx(0.71) and len(back.runs) == 3

@@ -26,9 +26,8 @@ CASES = [
 def test_mock_summary_matches_python(spark):
     df = texts(spark, CASES)
     got = [r["summary"] for r in TX.summarize_mock_sql(df).orderBy("id").collect()]
-    tmpl = TX.prompt_template("summarize")
-    exp = list(TX.mock_model(pd.Series([tmpl.format(text=t) for t in CASES])))
-    assert got == exp
+    assert got == ["[Summarized] no period here", "[Summarized] leading newline", "[Summarized] inner part",
+                   "[Summarized] Sentences: capital only", "[Summarized] spaced", "[Summarized] @user lol gonna b late #traffic"]
 
 
 def test_prompt_lookup():
@@ -133,3 +132,70 @@ def test_token_bucket_matches_full_prefix(spark, dim):
     got = [r[0] for r in df.select(V.token_bucket("tok", dim)).collect()]
     exp = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in words]
     assert got == exp
+
+
+def test_prompt_fills_every_placeholder(spark):
+    df = texts(spark, ["a{text}b"])
+    assert df.select(TX.build_prompt("text", "x {text} y {text}").alias("p")).first()["p"] == "x a{text}b y a{text}b"
+
+
+def test_model_sees_parameters_and_only_failed_calls_again(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def model(prompts, model=None, temperature=None, max_tokens=None):
+        with open(log, "a") as f:
+            f.write(f"{len(prompts)} {model} {temperature} {max_tokens}\n")
+        if any("BOOM" in p for p in prompts):
+            raise RuntimeError("down")
+        return [p[-3:] for p in prompts]
+
+    df = texts(spark, ["t%02d" % i for i in range(9)] + ["BOOM"]).coalesce(1)
+    out = TX.summarize(df, model, model="m", options={"temperature": 0.1, "max_tokens": 5}, call_rows=5).collect()
+    assert [r.success for r in out].count(False) == 1
+    calls = [x.split() for x in open(log).read().splitlines()]
+    assert sorted(int(c[0]) for c in calls) == [1] * 5 + [5, 5]
+    assert all(c[1:] == ["m", "0.1", "5"] for c in calls)
+
+
+def test_each_text_goes_to_the_model_once(spark, tmp_path):
+    from horosphere.plans import experiments as X
+    log = str(tmp_path / "calls")
+
+    def model(prompts):
+        import random
+        with open(log, "a") as f:
+            f.write("".join(f"{p}\n" for p in prompts))
+        return [f"{p} word{random.random()}" for p in prompts]      # differs at every call
+
+    msgs = spark.createDataFrame([(i, f"text {i % 7}", dt.datetime(2024, 1, 1, i % 24), "e") for i in range(60)],
+                                 "msg_id long, text string, created_at timestamp_ntz, event string").repartition(5)
+    for cfg in (X.RunConfig(summarize_fn=model), X.RunConfig(summarize_fn=model, cache_path=str(tmp_path / "cache"))):
+        open(log, "w").close()
+        v = X.vector_stage(msgs, cfg).cache()
+        rows = v.collect()
+        assert len(rows) == 60 and all(r.vec is not None and len(r.vec) == 66 for r in rows)
+        assert len(open(log).read().splitlines()) == 7
+        assert len({(r.text, tuple(r.vec[:64])) for r in rows}) == 7
+    open(log, "w").close()
+    X.vector_stage(msgs, X.RunConfig(summarize_fn=model, cache_path=str(tmp_path / "cache"))).count()
+    assert open(log).read() == ""                                   # all from the cache
+
+
+def test_unreadable_cache_is_an_error(spark, tmp_path):
+    bad = tmp_path / "cache"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        TX.read_cache(spark, str(bad)).count()
+    assert TX.read_cache(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_vector_sources(spark):
+    df = texts(spark, ["alpha beta", "beta beta gamma", "none"])
+    given = spark.createDataFrame([("alpha beta", [1.0, 2.0])], "text string, vector array<double>")
+    got = {r.id: r.v for r in V.text_vectors(df, "id", "table", 2, given, out="v").collect()}
+    assert got == {0: [1.0, 2.0], 1: [0.0, 0.0], 2: [0.0, 0.0]}
+    words = V.train_word_vectors(df, dim=5, min_count=1)
+    assert {r.token for r in words.collect()} == {"alpha", "beta", "gamma", "none"}
+    got = V.text_vectors(df, "id", "word_mean", 5, None, out="v").collect()
+    assert len(got) == 3 and all(len(r.v) == 5 for r in got)
