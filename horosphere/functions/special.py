@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: double machine epsilon (numpy finfo(float64).eps).
@@ -56,35 +56,49 @@ def _stirling_error(n: Column) -> Column:
     return F.when(n < 16, small).otherwise(series)
 
 
-def _deviance(x: Column, m: Column) -> Column:
-    """x ln(x/m) + m - x without cancellation near x = m (x, m > 0)."""
-    v = (x - m) / (x + m)
-    v2 = v * v
-    tail = F.lit(0.0)
-    for j in range(9, 0, -1):
-        tail = (tail + F.lit(1.0 / (2 * j + 1))) * v2
-    near = (x - m) * v + F.lit(2.0) * x * v * tail
-    return F.when(F.abs(v) < 0.1, near).otherwise(x * F.log(x / m) + m - x)
+_NEAR = 0.03      # below this relative distance the series is used; five terms reach double precision
 
 
-def _ln_binomial_mass(x: Column, n: Column, mean: Column, rest: Column) -> Column:
-    """ln of the binomial mass at x of n, given n*p and n*(1-p) (saddle-point form)."""
-    y = n - x
-    inner = (_stirling_error(n) - _stirling_error(x) - _stirling_error(y) - _deviance(x, mean) - _deviance(y, rest)
-             - F.lit(0.5) * (F.lit(2 * _HALF_LN_2PI) + F.log(x) + F.log(y / F.greatest(n, F.lit(1.0)))))
-    # all or none of n: n ln p and n ln(1 - p)
-    return F.when(n == 0, F.lit(0.0)).when(x == 0, -_deviance(n, rest) - mean).when(y == 0, -_deviance(n, mean) - rest) \
-        .otherwise(inner)
+def with_ln_hypergeometric(df: DataFrame, out: str, n: Column, a: Column, b: Column, total: Column) -> DataFrame:
+    """Add ``out`` = ln P(n common) of two random subsets of sizes a and b of ``total``.
 
-
-def ln_hypergeometric(n: Column, a: Column, b: Column, total: Column) -> Column:
-    """ln P(n common) of two random subsets of sizes a and b of ``total``.
-
-    Three binomial masses with p = b / total: relative accuracy does not fall with
-    the size, unlike differences of ln(total!).
+    The mass is that of two binomials over a third, all with p = b / total, each
+    in saddle-point form: Stirling errors and deviances x ln(x/m) + m - x
+    without cancellation near x = m. Relative accuracy does not fall with the
+    size, unlike differences of ln(total!). Parts used several times are columns
+    of their own, so the generated code stays small.
     """
-    n, a, b, t = (x.cast("double") for x in (n, a, b, total))
-    p, q = b / t, (t - b) / t
-    split = _ln_binomial_mass(n, a, a * p, a * q) + _ln_binomial_mass(b - n, t - a, (t - a) * p, (t - a) * q) \
-        - _ln_binomial_mass(b, t, b, t - b)
-    return F.when((b == 0) | (b == t), F.lit(0.0)).otherwise(split)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    cols = df.columns
+    x = df.withColumns({f"_{k}": v.cast("double") for k, v in zip("nabt", (n, a, b, total))})
+    p, q, rest = F.col("_b") / F.col("_t"), (F.col("_t") - F.col("_b")) / F.col("_t"), F.col("_t") - F.col("_a")
+    x = x.withColumns({"_p": p, "_q": q})
+    masses = [(F.col("_n"), F.col("_a"), F.col("_a") * F.col("_p"), F.col("_a") * F.col("_q")),
+              (F.col("_b") - F.col("_n"), rest, rest * F.col("_p"), rest * F.col("_q")),
+              (F.col("_b"), F.col("_t"), F.col("_b"), F.col("_t") - F.col("_b"))]
+    x = x.withColumns({f"_{name}{i}": v for i, (k, size, mean, other) in enumerate(masses)
+                       for name, v in (("x", k), ("y", size - k), ("k", size), ("m", mean), ("r", other))})
+    pairs = [(f"_x{i}", f"_m{i}", f"_d{i}") for i in range(3)] + [(f"_y{i}", f"_r{i}", f"_e{i}") for i in range(3)]
+    x = x.withColumns({d + "v": (F.col(k) - F.col(m)) / F.greatest(F.col(k) + F.col(m), F.lit(1e-300)) for k, m, d in pairs})
+    x = x.withColumns({d + "w": F.col(d + "v") * F.col(d + "v") for _, _, d in pairs})
+
+    def deviance(k: str, m: str, d: str) -> Column:
+        w, tail = F.col(d + "w"), zero
+        for j in range(5, 0, -1):
+            tail = (tail + F.lit(1.0 / (2 * j + 1))) * w
+        k, m = F.col(k), F.col(m)
+        near = (k - m) * F.col(d + "v") + F.lit(2.0) * k * F.col(d + "v") * tail
+        return F.when(F.abs(F.col(d + "v")) < _NEAR, near).when(k <= 0, m).otherwise(k * F.log(k / m) + m - k)
+
+    x = x.withColumns({d: deviance(k, m, d) for k, m, d in pairs})
+    x = x.withColumns({f"_s{name}{i}": _stirling_error(F.col(f"_{name}{i}")) for i in range(3) for name in "kxy"})
+
+    def mass(i: int) -> Column:
+        k, u, v = F.col(f"_k{i}"), F.col(f"_x{i}"), F.col(f"_y{i}")
+        inner = F.col(f"_sk{i}") - F.col(f"_sx{i}") - F.col(f"_sy{i}") \
+            - F.lit(0.5) * (F.lit(2 * _HALF_LN_2PI) + F.log(u) + F.log(v / F.greatest(k, one)))
+        return F.when((u > 0) & (v > 0), inner).otherwise(zero) - F.col(f"_d{i}") - F.col(f"_e{i}")
+
+    x = x.withColumns({f"_l{i}": mass(i) for i in range(3)})
+    ln = F.when((F.col("_b") == 0) | (F.col("_b") == F.col("_t")), zero).otherwise(F.col("_l0") + F.col("_l1") - F.col("_l2"))
+    return x.select(*cols, ln.alias(out))

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.functions.special import EPS64, ln_hypergeometric, xlogx
+from horosphere.functions.special import EPS64, with_ln_hypergeometric, xlogx
 from horosphere.session import cut_lineage
 
 EMI_PIECE = 4096      # terms of the expected mutual information in one generated piece
@@ -86,9 +86,9 @@ def expected_mutual_info(a: DataFrame, b: DataFrame, totals: DataFrame, g: list[
              .repartition(*g, "a", "b", "piece")
              .withColumn("nij", F.explode(F.sequence(first, F.least(F.col("hi"), first + (EMI_PIECE - 1))))))
     n = F.col("nij").cast("double")
-    ln_p = ln_hypergeometric(n, A, B, N)
+    pairs = with_ln_hypergeometric(pairs.drop("lo", "hi", "piece"), "_lnp", n, A, B, N)
     term = (F.col("ma") * F.col("mb") * (n / N)
-            * (F.log(N * n) - F.log(A) - F.log(B)) * F.exp(ln_p))
+            * (F.log(N * n) - F.log(A) - F.log(B)) * F.exp(F.col("_lnp")))
     return pairs.groupBy(*g).agg(F.sum(term).alias("emi"))
 
 
