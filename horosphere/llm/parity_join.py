@@ -186,19 +186,18 @@ def _linked(num: int, den: int):
     return run
 
 
-def only_marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that a fixed-size bitmap over the hashes of ``ids`` lets
-    through: all wanted ones and a few more, tested before any shuffle. The
-    bitmap has FILTER_BITS bits however many ids there are, hence the broadcast."""
+def marked(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """``df`` with a column ``marked``: false only where doc_id is surely not among
+    ``ids``. A bitmap over their hashes has FILTER_BITS bits however many ids there
+    are, hence the broadcast; rows are tested before any shuffle."""
     pos = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS))
     bits = ids.select(pos.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")) \
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    at = F.expr("bitmap_bit_position(p)")
     hit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int),"
                  " cast(at % 8 as int)) & 1 = 1")
-    return (docs.withColumn("p", pos).withColumn("bucket", F.expr("bitmap_bucket_number(p)"))
-            .withColumn("at", at).join(F.broadcast(bits), "bucket")
-            .where(hit).select("doc_id", "text"))
+    return (df.withColumn("p", pos).withColumn("bucket", F.expr("bitmap_bucket_number(p)"))
+            .withColumn("at", F.expr("bitmap_bit_position(p)")).join(F.broadcast(bits), "bucket", "left")
+            .withColumn("marked", F.coalesce(hit, F.lit(False))).select(*df.columns, "marked"))
 
 
 def _close(na: str, nb: str, oa: str, ob: str, num: int, den: int):
@@ -213,7 +212,7 @@ def verify(near: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
     """The pairs (a, b) whose shingle sets have Jaccard similarity >= num/den."""
     near = kept(near, "near-pairs")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = kept(only_marked(docs, ids).join(ids, "doc_id", "left_semi")
+    sets = kept(marked(docs, ids).where("marked").select("doc_id", "text").join(ids, "doc_id", "left_semi")
                 .mapInArrow(_sets(width), "doc_id long, s binary"), "shingle-sets")
     full = (near.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -237,8 +236,11 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     live = sig.where("n > 0 and doc_id is not null")
     classes = kept(live.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2")
-    own = (live.where(F.size("keys") > 0).select("doc_id", "n", "h1", "h2", "keys")
-           .join(reps, ["doc_id", "n", "h1", "h2"], "left_semi"))
+    copies = live.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).where("doc_id <> rep")
+    own = marked(live.where(F.size("keys") > 0).select("doc_id", "n", "h1", "h2", "keys"), copies.select("doc_id"))
+    # what is surely no copy needs no join
+    own = own.where("not marked").drop("marked").unionByName(
+        own.where("marked").drop("marked").join(reps, ["doc_id", "n", "h1", "h2"], "left_semi").select("doc_id", "n", "h1", "h2", "keys"))
     keys = own.select(F.explode("keys").alias("x"), "doc_id", "n").select("x.key", "x.tag", "doc_id", "n")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     bucket = kept(keys.join(shared, "key"), "buckets")
