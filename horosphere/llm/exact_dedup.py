@@ -23,6 +23,7 @@ MERGERS = 32         # tasks that merge sketches before the last one does
 
 def frequent(digests: DataFrame, top: int = TOP, counters: int = COUNTERS) -> DataFrame:
     """At most ``top`` candidate digests (column text_sha256) of the rows."""
+    counters = max(counters, top)
     part = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("s"))
     # grouped, so that a task without sketches has nothing to hand on (an ungrouped one cannot)

@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host share a template. Every page is parsed into tokens: elements
-told apart by their path (tag with class and id names, digits dropped) and the
+told apart by their path (tag with class and id names, long numbers dropped) and the
 text below each. A token's occurrence vector is how often it occurs on each
 page of the host; vectors are compared by a hash that combines over pages in any
 order, so each host needs one row per token and the counting combines on the map side. Tokens
@@ -61,12 +61,12 @@ MAIN_WORDS = frozenset("article main content post entry story articlebody postbo
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-zA-Z]+")
+_NAME = re.compile(r"[a-zA-Z]+(?:[0-9]{1,2}(?![0-9]))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def _names(attrs: str) -> tuple[str, ...]:
-    """Words of class, id, role and itemprop, in order, digits dropped."""
+    """Words of class, id, role and itemprop, in order, numbers over 99 dropped."""
     if "=" not in attrs:
         return ()
     out = []
@@ -150,13 +150,13 @@ def parse(page: str):
             path = top.path
         else:
             path = f"{top.path}/{tag}" + "".join("." + n for n in names)
-        split = {w for n in names for w in n.split("-")}
+        split = {w.rstrip("0123456789") for n in names for w in n.split("-")}
         apart = top.apart or tag in APART or bool(split & APART_WORDS) \
             or (not top.main and (tag == "header" or bool(split & HEADER_WORDS))) \
             or (tag not in INLINE and re.search(r"\bhidden\b", m[3]) is not None)
         main = top.main
         if not main and not apart and (tag in ("article", "main") or any(
-                n.replace("-", "") in MAIN_WORDS for n in names)):
+                n.replace("-", "").rstrip("0123456789") in MAIN_WORDS for n in names)):
             main = path
         stack.append(_Open(tag, path, apart, main, False))
         links += tag == "a"
