@@ -16,9 +16,8 @@ from horosphere.llm.decontaminate import contaminated
 from horosphere.llm.mixture import mix_sources
 from horosphere.llm.parity_join import near_components
 from horosphere.llm.quality_pu import filter_quality, fit_quality
-from horosphere.llm.tables import fold, kept, table, tokenizer_path
+from horosphere.llm.tables import fold, kept, prepare, table, tokenizer_path
 from horosphere.llm.token_blocks import token_blocks
-from horosphere.session import ship_package
 
 #: Documents below this score go; lower than the classifier's own threshold,
 #: because a clean document lost costs more than one doubtful document kept.
@@ -28,7 +27,7 @@ KEEP_SCORE = 0.15
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Trained on the
     labels of ids outside the held-out fold; each row is judged by its text."""
-    ship_package(spark)
+    prepare(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda c: ~fold(c, 5, 0))
     return filter_quality(docs, model, KEEP_SCORE)
 
@@ -37,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates (five words, similarity 0.8):
     the one with the least doc_id. Texts without words are no duplicates. Rows that repeat
     doc_id and text are one document; a null doc_id stays."""
-    ship_package(spark)
+    prepare(spark)
     part = kept(near_components(docs, width=5, num=80, den=100), "components")
     docs = docs.join(part.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti") \
         .select(docs.columns)
@@ -50,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no stretch with a benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
 
@@ -59,7 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0 to 2 times), whole: the one in
     which a source's budget ends is taken if at least half of it fits. Texts without words
     add nothing to a mix and go."""
-    ship_package(spark)
+    prepare(spark)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source")
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return (mix_sources(packed).where(times > 0)
@@ -68,7 +67,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' documents, read back: doc_id, start, n_tokens, ids_crc32."""
-    ship_package(spark)
+    prepare(spark)
     return token_blocks(docs, tokenizer_path())
 
 

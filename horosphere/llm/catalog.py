@@ -16,7 +16,7 @@ from horosphere.llm.minimax_shards import minimax_shards
 from horosphere.llm.mixture import mix_sources
 from horosphere.llm.parity_join import near_components
 from horosphere.llm.quality_pu import fit_quality, score_quality
-from horosphere.llm.tables import fold, table, tokenizer_path
+from horosphere.llm.tables import fold, prepare, table, tokenizer_path
 from horosphere.llm.token_blocks import token_blocks
 
 
@@ -69,7 +69,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_license_scan, op2_language_id, op3_exact_dedup, op4_benchmark_decontamination, op5_source_mixture,
              op6_html_extraction, op7_token_blocks, op8_quality_classifier, op9_ngram_jaccard_join,
              op10_minimax_shards]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: _prepared(f) for f in found} | {"pipeline": corpus_pipeline.run}
+
+
+def _prepared(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+    run.__name__ = query.__name__
+    return run
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -127,14 +127,18 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
 
 
 def train(p: np.ndarray, u: np.ndarray) -> QualityModel:
-    """Fit the model on feature rows of positives and unlabelled texts."""
-    both = np.concatenate([p, u])
-    mean, scale = both.mean(0), both.std(0) + 0.02
-    p, u = (p - mean) / scale, (u - mean) / scale
-    half = np.arange(len(p)) % 2 == 0
-    part = np.arange(len(u)) % 2 == 0
-    w, b = _fit(p[half], u[part], None)
-    prior = estimate_prior(p[~half] @ w, u[~part] @ w) if len(p) > 20 and len(u) > 20 else 0.5
+    """Fit the model on float32 feature rows of positives and unlabelled texts,
+    which are standardised in place."""
+    n = len(p) + len(u)
+    mean = ((p.sum(0, dtype=np.float64) + u.sum(0, dtype=np.float64)) / n).astype(np.float32)
+    p -= mean
+    u -= mean
+    var = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (p, u)) / n
+    scale = (np.sqrt(var) + 0.02).astype(np.float32)
+    p /= scale
+    u /= scale
+    w, b = _fit(p[::2], u[::2], None)
+    prior = estimate_prior(p[1::2] @ w, u[1::2] @ w) if len(p) > 20 and len(u) > 20 else 0.5
     w, b = _fit(p, u, prior)
     return QualityModel(mean, scale, w, b, prior)
 
@@ -162,11 +166,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn, positives: int =
     cut, a, v = at.offsets.to_numpy(), at.values.to_numpy(), v.values.to_numpy()
     ids, is_good = got.column("doc_id").to_numpy(), got.column("good").to_numpy()
     order = np.lexsort((np.diff(cut), ids))
-    x = np.zeros((len(ids), (1 << BITS) + FORM), np.float32)
-    for i, k in enumerate(order):
-        x[i, a[cut[k]:cut[k + 1]]] = v[cut[k]:cut[k + 1]]
-    g = is_good[order]
-    return train(x[g], x[~g]) if g.any() and (~g).any() else None
+
+    def dense(which):
+        x = np.zeros((len(which), (1 << BITS) + FORM), np.float32)
+        for i, k in enumerate(which):
+            x[i, a[cut[k]:cut[k + 1]]] = v[cut[k]:cut[k + 1]]
+        return x
+
+    p, u = dense(order[is_good[order]]), dense(order[~is_good[order]])
+    del got, at, a, v
+    return train(p, u) if len(p) and len(u) else None
 
 
 def _score(model):

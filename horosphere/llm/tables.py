@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horosphere.session import scratch_path
+from horosphere.session import scratch_path, ship_package
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on executors and bound what a Python task holds
+    at once: whole texts can be long, so their batches have few rows."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

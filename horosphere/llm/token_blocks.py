@@ -36,7 +36,7 @@ BLOCK = 4096
 CHUNK = 1 << 16          # ids after which a chunk ends
 PERCENTILE = 0.95
 END_ID = 2
-KNOWN = 700_000           # pieces whose ids a worker remembers at a time
+KNOWN = 400_000           # pieces whose ids a task remembers at a time
 SCHEMA = ("shard int, chunk int, first long, doc_ids array<long>, n_tokens array<int>, "
           "blocks array<int>, payload binary")
 _HEAD = struct.Struct("<IIBI")
@@ -261,6 +261,7 @@ def _write(path: str, end_id: int):
                         yield flush()
         if ids:
             yield flush()
+        enc.known = {}           # a worker outlives its tasks; its memory should not
     return run
 
 

@@ -71,7 +71,7 @@ def test_risk_and_prior_on_known_mixture():
     rng = np.random.default_rng(0)
     p = rng.normal(2, 1, (2000, 3))
     u = np.concatenate([rng.normal(2, 1, (2800, 3)), rng.normal(-2, 1, (1200, 3))])
-    model = train(p, u)
+    model = train(p.astype(np.float32), u.astype(np.float32))
     assert abs(model.prior - 0.7) < 0.06
     y = np.r_[np.ones(2800), np.zeros(1200)]
     assert ((model.scores(u) >= 0.5) == y).mean() > 0.98
