@@ -8,14 +8,17 @@ order, so each host needs one row per token and the counting combines on the map
 with equal vectors are a class. Classes that occur on enough pages of
 the host are valid; as paths nest, the valid classes nest into the template,
 and the paths below them that hold text are its slots. A slot whose text is the same on all
-its pages is template text. The main region is the path below which the
-article lies: the one named so (article, main, ...), else the deepest one that
-holds most of the words of the host's varying, unlinked slots.
-
-A page's text is what its slots below the main region hold, without regions
+its pages is template text. Inside a region named as the article that takes a box (div, section, table,
+list, ...) with a class or id below the region that holds no other slots; headings, paragraphs and
+passages beside varying text stay, however many pages share them. The main region is the path
+below which the article lies: the one named so (article, main, ...), unless it is
+so named by a class or id only and holds few words beside a region that
+holds most; on pages without one the deepest path that holds most of the words of the host's
+varying, unlinked slots.
+
+A page's text is what its slots below the main region hold, without template text and regions
 that are named as menus, headers, footers, side bars, notices, adverts, forms,
-comments and the like. Inside a region named as the article nothing else is
-dropped, however many pages share a passage.
+comments and the like.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from horosphere.llm.tables import kept
 LEAST_SUPPORT = 0.02   # share of a host's pages on which a valid class occurs
 CONSTANT_PAGES = 5     # pages from which unchanging text is template text
 MOST_WORDS = 0.6       # share of the host's words below the main region
+FEW_WORDS = 0.25       # share of the best region's words a page under which a class or id names no article
 SALTS = 32             # parts of a host with more than 1 / HEAVY of all pages
 HEAVY = 1000
 
@@ -45,6 +49,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table td th ul ol dl article section main div body html aside nav form".split())
+BOXES = frozenset("div section header footer aside table ul ol dl figure details fieldset center".split())
 # Element and name words that mark regions other than the article.
 APART = frozenset("nav footer aside form script style noscript template head title iframe svg math button select "
                   "textarea dialog menu input label object".split())
@@ -86,8 +91,8 @@ class _Open:
 
 
 def parse(page: str):
-    """Yield (path, linked, apart, main, text) for every text and (path, ...,
-    None) at every block border.
+    """Yield (path, linked, apart, main, text) for every text, (path, ..., None) where
+    a block element opens and ("", ..., None) where one closes.
 
     ``apart``: below an element that is no part of an article; ``main``: the
     path of the outermost element above that is named as the article, or "".
@@ -119,7 +124,7 @@ def parse(page: str):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     if tag not in INLINE:
-                        yield top.path, False, top.apart, top.main, None
+                        yield "", False, False, "", None
                     close(i)
                     break
                 if stack[i].tag in SCOPE and tag not in SCOPE:
@@ -130,7 +135,6 @@ def parse(page: str):
             at = e.end() if e else size
             continue
         if tag not in INLINE:
-            yield top.path, False, top.apart, top.main, None
             shut = CLOSED_BY.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i].tag
@@ -142,6 +146,8 @@ def parse(page: str):
                     break
             top = stack[-1]
         if tag in VOID or m[3].endswith("/") and tag not in SCOPE:
+            if tag not in INLINE:
+                yield "", False, False, "", None
             if tag == "br":
                 yield top.path, links > 0, top.apart, top.main, " "
             continue
@@ -160,6 +166,8 @@ def parse(page: str):
             main = path
         stack.append(_Open(tag, path, apart, main, False))
         links += tag == "a"
+        if tag not in INLINE:
+            yield path, False, apart, main, None
 
 
 def _tokens(batches):
@@ -169,7 +177,7 @@ def _tokens(batches):
         ids = b.column(0).to_pylist()
         hosts = b.column(1).to_pylist()
         for i, host, page in zip(ids, hosts, b.column(2).to_pylist()):
-            seen: dict = {}
+            seen: dict = {"": [0, 0, 0, [], False, ""]}
             for path, linked, apart, main, text in parse(page or ""):
                 s = seen.setdefault(path, [0, 0, 0, [], apart, main])
                 if text is None:
@@ -199,55 +207,86 @@ def _token_batch(out):
 
 
 def _deduce(host_rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's token rows (valid ones only) -> its template: (host, main regions, template text paths)."""
+    """One host's token rows (valid ones only) -> its template: (host, main regions, template
+    text paths, named regions that are not the article)."""
     t = host_rows
     pages = int(t["host_pages"].iloc[0])
-    # classes: tokens sharing an occurrence vector, in page order of their paths
-    classes = t.groupby("vector")["path"].transform("size")
+    # classes: tokens sharing an occurrence vector
+    size = t.groupby("vector")["path"].transform("size")
+    on = dict(zip(t["path"], t["pages"]))
     slots = t[t["words"] > 0]
-    fixed = slots[(slots["same_text"]) & (slots["pages"] >= CONSTANT_PAGES) & (slots["main"] == "") & (classes[slots.index] > 1)]
-    named = sorted({m for m, a, s in zip(slots["main"], slots["apart"], slots["words"]) if m and not a})
-    region = named
-    if not named:
-        open_ = slots[~slots["apart"] & ~slots.index.isin(fixed.index) & (2 * slots["linked"] <= slots["words"])]
-        total = open_["words"].sum()
-        best = ""
+    unchanging = slots["same_text"] & (slots["pages"] >= CONSTANT_PAGES)
+    varying = set()     # elements above text that is not the same everywhere
+    for path in slots["path"][~unchanging]:
+        while path not in varying:
+            varying.add(path)
+            path = path.rpartition("/")[0]
+
+    def template_text(path, main, of_class):
+        if not main:
+            return of_class > 1
+        while path != main and path not in varying:
+            path, _, element = path.rpartition("/")
+            if "." in element and element.split(".")[0] in BOXES:
+                return True
+        return False
+
+    fixed = [p for p, m, n in zip(slots["path"][unchanging], slots["main"][unchanging], size[slots.index][unchanging])
+             if template_text(p, m, n)]
+    open_ = slots[~slots["apart"] & ~slots["path"].isin(fixed) & (2 * slots["linked"] <= slots["words"])]
+
+    def words_below(some):
         sums: dict[str, int] = {}
-        for path, w in zip(open_["path"], open_["words"]):
+        for path, w in zip(some["path"], some["words"]):
             parts = path.split("/")
             for k in range(1, len(parts) + 1):
                 p = "/".join(parts[:k])
                 sums[p] = sums.get(p, 0) + w
-        for p, w in sums.items():
+        return sums
+
+    def deepest(some):
+        best, total = "", some["words"].sum()
+        for p, w in words_below(some).items():
             if w >= MOST_WORDS * total and (p.count("/"), p) > (best.count("/"), best) and p.rpartition("/")[2].split(".")[0] != "p":
                 best = p
-        region = [best]
-    return pd.DataFrame({"host": [t["host"].iloc[0]], "pages": [pages], "region": [region], "fixed": [sorted(fixed["path"])]})
+        return best
+
+    sums, best = words_below(open_), deepest(open_)
+    named = sorted({m for m, a in zip(slots["main"], slots["apart"]) if m and not a})
+    # a class or id alone is weak evidence: the words may say otherwise
+    refused = [m for m in named if m.rpartition("/")[2].split(".")[0] not in ("article", "main")
+               and best and not _below(best, m) and not _below(m, best) and on.get(best, 0) >= on.get(m, 0)
+               and sums.get(m, 0) * on.get(best, 0) < FEW_WORDS * sums[best] * on.get(m, 1)]
+    region = [m for m in named if m not in refused]
+    if sum(on.get(m, 0) for m in region) < pages:   # pages without a named article
+        region.append(deepest(open_[~open_["main"].isin(region)]))
+    return pd.DataFrame({"host": [t["host"].iloc[0]], "pages": [pages], "region": [region], "fixed": [sorted(fixed)],
+                         "refused": [refused]})
 
 
 def _below(path: str, region: str) -> bool:
     return not region or path == region or path.startswith(region + "/")
 
 
-def extract(page: str, region, fixed) -> str:
+def extract(page: str, region, fixed, refused=()) -> str:
     """Text of one page: blocks of the slots below ``region`` joined by a blank line."""
     rows = list(parse(page))
-    if any(main and not apart for _, _, apart, main, _ in rows):   # the page names its article
+    skip = set(fixed)
+    if any(main and main not in refused and not apart and text and not text.isspace() for _, _, apart, main, text in rows):
         def inside(path, main):
-            return bool(main)
+            return bool(main) and main not in refused
     else:
         region = [r for r in region if any(_below(p, r) for p, _, a, _, t in rows if t and not a and t.strip())] or [""]
-        skip = set(fixed)
 
         def inside(path, main):
-            return path not in skip and any(_below(path, r) for r in region)
+            return any(_below(path, r) for r in region)
     blocks, part = [], []
     for path, _, apart, main, text in rows:
         if text is None:
             if part:
                 blocks.append("".join(part))
                 part = []
-        elif not apart and inside(path, main):
+        elif not apart and path not in skip and inside(path, main):
             part.append(text)
     if part:
         blocks.append("".join(part))
@@ -258,13 +297,14 @@ def extract(page: str, region, fixed) -> str:
 def _extract(batches):
     for b in batches:
         ids, urls = b.column(0), b.column(1)
-        out = [extract(p or "", r or [], f or []) for p, r, f in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+        out = [extract(p or "", r or [], f or [], n or [])
+               for p, r, f, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
         yield pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, region, fixed) for every host of ``pages`` (page_id, host, html)."""
+    """(host, pages, region, fixed, refused) for every host of ``pages`` (page_id, host, html)."""
     token = pages.select("page_id", "host", "html").mapInArrow(
         _tokens, "page_id long, host string, path string, n long, words long, linked long, text long, "
                  "apart boolean, main string")
@@ -277,7 +317,8 @@ def templates(pages: DataFrame) -> DataFrame:
     size = per.where("path = ''").select("host", F.col("pages").alias("host_pages"))
     # valid tokens: at most (tokens of a page) / LEAST_SUPPORT rows per host
     valid = per.join(size, "host").where(F.col("pages") >= F.ceil(F.col("host_pages") * LEAST_SUPPORT))
-    return valid.groupBy("host").applyInPandas(_deduce, "host string, pages long, region array<string>, fixed array<string>")
+    return valid.groupBy("host").applyInPandas(_deduce, "host string, pages long, region array<string>, fixed array<string>, "
+                                               "refused array<string>")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -297,8 +338,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     heavy = t.where(F.col("pages") > total / HEAVY).select("host", F.lit(SALTS).alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
     t = t.join(F.broadcast(heavy), "host", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("host", "salt", "region", "fixed")
+        "salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("host", "salt", "region", "fixed", "refused")
     dealt = rows.join(F.broadcast(heavy), "host", "left").withColumn(
         "salt", F.pmod(F.xxhash64("page_id"), parts).cast("int"))
-    return dealt.join(t, ["host", "salt"], "left").select("page_id", "url", "html", "region", "fixed").mapInArrow(
+    return dealt.join(t, ["host", "salt"], "left").select("page_id", "url", "html", "region", "fixed", "refused").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")

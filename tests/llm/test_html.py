@@ -73,3 +73,20 @@ def test_template_regions(spark):
     rows = [(i, f"https://a.example/{i}", PAGE.format(t=f"Title {i}", i=i)) for i in range(8)]
     t = templates(pages(spark, rows)).first()
     assert t.pages == 8 and t.region == ["/html/body/article"]
+
+
+def test_template_text_inside_a_named_article(spark):
+    page = ("<body><div class=content><h1>Head {0}</h1><div class=c7>Filed by the desk</div><p>Own words {0} of the page"
+            "</p><h2>Same</h2>{1}</div></body>")
+    rows = [(i, f"http://e.example/{i}", page.format(i, "<h3>Optional</h3>" if i % 2 else "")) for i in range(20)]
+    got = {r.page_id: r.text for r in extract_pages(pages(spark, rows)).collect()}
+    for i in range(20):      # the desk line's box goes; headings that many pages share are the author's
+        assert got[i] == f"Head {i}\n\nOwn words {i} of the page\n\nSame" + "\n\nOptional" * (i % 2)
+
+
+def test_a_class_name_is_only_evidence(spark):
+    page = ("<body><div class=entry>Teaser {0}</div><div class=c1><h1>Head {0}</h1><div>" + "many own words {0} " * 20 +
+            "</div></div></body>")
+    rows = [(i, f"http://f.example/{i}", page.format(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in extract_pages(pages(spark, rows)).collect()}
+    assert all("many own words" in got[i] and "Teaser" not in got[i] for i in range(12))
