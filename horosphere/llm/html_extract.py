@@ -43,16 +43,20 @@ HEAVY = 1000
 
 # HTML's void, raw-text and inline elements and elements that close each other.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math noembed noframes xmp".split())
+RAW = frozenset("script style template textarea title iframe svg noembed noframes xmp annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr label button math mi mn mo ms mtext mrow mfrac msup "
+                   "msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom mfenced "
+                   "menclose mmultiscripts semantics".split())
+SPACED = frozenset("br mtr mtd".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table td th ul ol dl article section main div body html aside nav form".split())
 BOXES = frozenset("div section header footer aside table ul ol dl figure details fieldset center".split())
 # Element and name words that mark regions other than the article.
-APART = frozenset("nav footer aside form script style noscript template head title iframe svg math button select "
-                  "textarea dialog menu input label object".split())
+APART = frozenset("nav footer aside form script style template head title iframe svg select "
+                  "textarea dialog menu input object".split())
+APART_OUTSIDE = frozenset("header noscript button".split())   # apart unless in a named article
 APART_WORDS = frozenset("nav navbar navigation menu footer sidebar aside banner ad ads advert adverts advertisement "
                         "advertising sponsor sponsored promo promotion cookie cookies consent notice gdpr popup modal "
                         "overlay newsletter subscribe subscription signup share sharing social comment comments "
@@ -60,44 +64,70 @@ APART_WORDS = frozenset("nav navbar navigation menu footer sidebar aside banner
                         "widget masthead toolbar login search copyright skip complementary contentinfo search "
                         "alert alertdialog dialog".split())
 HEADER_WORDS = frozenset({"header", "topbar", "masthead"})
+# Words of place and form that may stand beside those in one name ("site-footer", "comment-list").
+PLACE_WORDS = frozenset("site page main top bottom left right primary secondary global local list box bar container "
+                        "wrapper wrap area section block slot inner outer posts links link buttons button icons form "
+                        "items item media post panel the js wp".split())
 MAIN_WORDS = frozenset("article main content post entry story articlebody postbody entrycontent maincontent "
                        "postcontent articlecontent bodytext".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMING = frozenset("class id role itemprop".split())
 _NAME = re.compile(r"[a-zA-Z]+(?:[0-9]{1,2}(?![0-9]))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
-def _names(attrs: str) -> tuple[str, ...]:
-    """Words of class, id, role and itemprop, in order, numbers over 99 dropped."""
-    if "=" not in attrs:
-        return ()
-    out = []
+def _attributes(attrs: str) -> tuple[tuple[str, ...], bool]:
+    """Words of class, id, role and itemprop, in order, numbers over 99 dropped; whether the element is hidden."""
+    out, hidden = [], False
     for m in _ATTR.finditer(attrs):
+        key = m[1].lower()
         value = next(v for v in (m[2], m[3], m[4], "") if v is not None)
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-        for name in value.split():
-            out.append("-".join(_NAME.findall(name.lower())))
-    return tuple(n for n in out if n)
+        if key in _NAMING:
+            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            out += ["-".join(_NAME.findall(name.lower())) for name in value.split()]
+        elif key == "hidden":
+            hidden = hidden or value.lower() != "until-found"
+        elif key == "aria-hidden":
+            hidden = hidden or value.lower() == "true"
+    return tuple(n for n in out if n), hidden
+
+
+def _says(name: str, words: frozenset) -> bool:
+    """Whether a whole name is one of ``words``, alone or with words of place: not "has-sidebar"."""
+    parts = [w.rstrip("0123456789") for w in name.split("-")]
+    return not words.isdisjoint(parts) and all(w in words or w in PLACE_WORDS or not w for w in parts)
 
 
 class _Open:
-    __slots__ = ("tag", "path", "apart", "main", "header")
+    __slots__ = ("tag", "path", "apart", "main", "by_name")
+
+    def __init__(self, tag, path, apart, main, by_name):
+        self.tag, self.path, self.apart, self.main, self.by_name = tag, path, apart, main, by_name
+
 
-    def __init__(self, tag, path, apart, main, header):
-        self.tag, self.path, self.apart, self.main, self.header = tag, path, apart, main, header
+def parse(page: str) -> list:
+    """Rows of ``page`` (see ``_rows``). If all its named articles lie in elements that are
+    apart by class, id or hidden only, those elements hold the article and are not apart."""
+    holders: set[int] = set()
+    rows = list(_rows(page, frozenset(), holders))
+    if holders and not any(main and not apart and text and not text.isspace() for _, _, apart, main, text in rows):
+        rows = list(_rows(page, frozenset(holders), set()))
+    return rows
 
 
-def parse(page: str):
+def _rows(page: str, spared: frozenset, holders: set):
     """Yield (path, linked, apart, main, text) for every text, (path, ..., None) where
     a block element opens and ("", ..., None) where one closes.
 
     ``apart``: below an element that is no part of an article; ``main``: the
     path of the outermost element above that is named as the article, or "".
+    ``holders`` gets the places of elements that are apart by name only and hold
+    an element named as the article; those in ``spared`` are not apart.
     """
-    stack = [_Open("", "", False, "", False)]
+    stack = [_Open("", "", False, "", ())]
     links = 0
     at, size = 0, len(page)
 
@@ -130,7 +160,7 @@ def parse(page: str):
                 if stack[i].tag in SCOPE and tag not in SCOPE:
                     break
             continue
-        if tag in RAW:
+        if tag in RAW or tag == "noscript" and not top.main:
             e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = e.end() if e else size
             continue
@@ -148,23 +178,29 @@ def parse(page: str):
         if tag in VOID or m[3].endswith("/") and tag not in SCOPE:
             if tag not in INLINE:
                 yield "", False, False, "", None
-            if tag == "br":
+            if tag in SPACED:
                 yield top.path, links > 0, top.apart, top.main, " "
             continue
-        names = _names(m[3])
+        if tag in SPACED:
+            yield top.path, links > 0, top.apart, top.main, " "
+        names, hidden = _attributes(m[3]) if m[3] else ((), False)
         if tag in INLINE and not names:
             path = top.path
         else:
             path = f"{top.path}/{tag}" + "".join("." + n for n in names)
-        split = {w.rstrip("0123456789") for n in names for w in n.split("-")}
-        apart = top.apart or tag in APART or bool(split & APART_WORDS) \
-            or (not top.main and (tag == "header" or bool(split & HEADER_WORDS))) \
-            or (tag not in INLINE and re.search(r"\bhidden\b", m[3]) is not None)
+        by_tag = tag in APART or not top.main and tag in APART_OUTSIDE
+        by_name = not by_tag and tag not in ("html", "body") and m.start() not in spared and (
+            hidden or any(_says(n, APART_WORDS) or not top.main and _says(n, HEADER_WORDS) for n in names))
+        # None below an element that is apart by its tag; else places of those apart by name
+        above = None if by_tag or top.by_name is None else top.by_name + (m.start(),) * by_name
+        named = tag in ("article", "main") or any(n.replace("-", "").rstrip("0123456789") in MAIN_WORDS for n in names)
+        apart = top.apart or by_tag or by_name
         main = top.main
-        if not main and not apart and (tag in ("article", "main") or any(
-                n.replace("-", "").rstrip("0123456789") in MAIN_WORDS for n in names)):
+        if not main and not apart and named:
             main = path
-        stack.append(_Open(tag, path, apart, main, False))
+        elif named and above:
+            holders.update(above)
+        stack.append(_Open(tag, path, apart, main, above))
         links += tag == "a"
         if tag not in INLINE:
             yield path, False, apart, main, None

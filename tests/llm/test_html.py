@@ -1,6 +1,6 @@
 import re
 
-from horosphere.llm.html_extract import extract_pages, templates
+from horosphere.llm.html_extract import extract, extract_pages, templates
 from tests.conftest import SF
 
 PAGE = """<!DOCTYPE html><html><head><title>{t}</title><style>p > a {{x}}</style><script>if (a < b) "</p>"</script></head>
@@ -90,3 +90,24 @@ def test_a_class_name_is_only_evidence(spark):
     rows = [(i, f"http://f.example/{i}", page.format(i)) for i in range(12)]
     got = {r.page_id: r.text for r in extract_pages(pages(spark, rows)).collect()}
     assert all("many own words" in got[i] and "Teaser" not in got[i] for i in range(12))
+
+
+def test_loose_names_do_not_drop_the_article():
+    for page in ("<body class=has-sidebar><article class='post no-comments'><p>Text</p></article></body>",
+                 "<body class=sidebar><div id=content-search><article><p>Text</p></article></div></body>",
+                 "<div class=widget><div class=sidebar-right><article><p>Text</p></article></div></div>",
+                 "<article class=ad><p>Text</p></article>", "<body hidden><article>Text</article></body>",
+                 "<article style='overflow:hidden' aria-hidden=false><p class=overflow-hidden>Text</p></article>",
+                 "<div data-id=nav data-hidden><article data-class='ad'><p>Text</p></article></div>"):
+        assert extract(page, [], []) == "Text", page
+    page = ("<article><p>Text</p><p hidden>a</p><p aria-hidden=true>b</p><div class=comment-list>c</div>"
+            "<div id=relatedPosts>d</div><div class=ad-slot>e</div></article><div class=comments><article>f</article></div>"
+            "<aside><article>g</article></aside>")
+    assert extract(page, [], []) == "Text"
+
+
+def test_math_labels_and_noscript_stay_in_the_article():
+    page = ("<noscript>Off</noscript><article><p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> "
+            "and <label>this</label> <button>more</button>.</p><noscript><p>Still</p></noscript>"
+            "<form><label>Mail</label><button>Go</button></form></article>")
+    assert extract(page, [], []) == "So E=m and this more.\n\nStill"
