@@ -8,7 +8,8 @@ order, so each host needs one row per token and the counting combines on the map
 with equal vectors are a class. Classes that occur on enough pages of
 the host are valid; as paths nest, the valid classes nest into the template,
 and the paths below them that hold text are its slots. A slot whose text is the same on all
-its pages is template text. Inside a region named as the article that takes a box (div, section, table,
+its pages is template text if their largest other slots differ; copies of one page count
+once. Inside a region named as the article that takes a box (div, section, table,
 list, ...) with a class or id below the region that holds no other slots; headings, paragraphs and
 passages beside varying text stay, however many pages share them. The main region is the path
 below which the article lies: the one named so (article, main, ...), unless it is
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from horosphere.llm.tables import kept
 
 LEAST_SUPPORT = 0.02   # share of a host's pages on which a valid class occurs
-CONSTANT_PAGES = 5     # pages from which unchanging text is template text
+CONSTANT_PAGES = 5     # pages of different contents from which unchanging text is template text
+OTHER_WORDS = 0.1      # share of a slot's words that another slot must hold to tell contents apart
 MOST_WORDS = 0.6       # share of the host's words below the main region
 FEW_WORDS = 0.25       # share of the best region's words a page under which a class or id names no article
 SALTS = 32             # parts of a host with more than 1 / HEAVY of all pages
@@ -223,7 +225,19 @@ def _tokens(batches):
                     s[1] += n
                     s[2] += n * linked
                     s[3].append(text)
-            out += [(i, host, p, s[0], s[1], s[2], "\n".join(s[3]), s[4], s[5]) for p, s in seen.items()]
+            texts = {p: "\n".join(s[3]) for p, s in seen.items()}
+            open_ = sorted((p for p, s in seen.items() if s[1] and not s[4] and 2 * s[2] <= s[1]),
+                           key=lambda p: (-seen[p][1], p))[:2]
+
+            def other(path, n):
+                """Text of the page's largest other slot, None if that holds too few words."""
+                for q in open_:
+                    if q != path:
+                        return texts[q] if seen[q][1] >= OTHER_WORDS * n else None
+                return None
+
+            out += [(i, host, p, s[0], s[1], s[2], texts[p], s[4], s[5], other(p, s[1]) if s[1] else None)
+                    for p, s in seen.items()]
             if len(out) >= 4096:
                 yield _token_batch(out)
                 out = []
@@ -235,11 +249,13 @@ def _token_batch(out):
     from pandas.util import hash_array
     c = list(zip(*out))
     text = hash_array(np.array(c[6], object), categorize=False).view(np.int64)
+    none = np.array([x is None for x in c[9]])
+    other = hash_array(np.array([x or "" for x in c[9]], object), categorize=True).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string()),
          *[pa.array(c[i], pa.int64()) for i in (3, 4, 5)], pa.array(text), pa.array(c[7], pa.bool_()),
-         pa.array(c[8], pa.string())],
-        ["page_id", "host", "path", "n", "words", "linked", "text", "apart", "main"])
+         pa.array(c[8], pa.string()), pa.array(other, mask=none)],
+        ["page_id", "host", "path", "n", "words", "linked", "text", "apart", "main", "other"])
 
 
 def _deduce(host_rows: pd.DataFrame) -> pd.DataFrame:
@@ -251,7 +267,7 @@ def _deduce(host_rows: pd.DataFrame) -> pd.DataFrame:
     size = t.groupby("vector")["path"].transform("size")
     on = dict(zip(t["path"], t["pages"]))
     slots = t[t["words"] > 0]
-    unchanging = slots["same_text"] & (slots["pages"] >= CONSTANT_PAGES)
+    unchanging = slots["same_text"] & (slots["contents"] >= CONSTANT_PAGES)
     varying = set()     # elements above text that is not the same everywhere
     for path in slots["path"][~unchanging]:
         while path not in varying:
@@ -343,11 +359,13 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, pages, region, fixed, refused) for every host of ``pages`` (page_id, host, html)."""
     token = pages.select("page_id", "host", "html").mapInArrow(
         _tokens, "page_id long, host string, path string, n long, words long, linked long, text long, "
-                 "apart boolean, main string")
+                 "apart boolean, main string, other long")
     per = token.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("pages"), F.expr("bit_xor(xxhash64(page_id, n))").alias("vector"),
         F.sum("words").alias("words"), F.sum("linked").alias("linked"),
-        (F.min("text") == F.max("text")).alias("same_text"), F.min("apart").alias("apart"), F.max("main").alias("main"))
+        (F.min("text") == F.max("text")).alias("same_text"),
+        F.approx_count_distinct("other", 0.05).alias("contents"),    # 512 registers: a few are counted exactly or one short
+        F.min("apart").alias("apart"), F.max("main").alias("main"))
     per = kept(per, "page-tokens")
     # the root path is on every page
     size = per.where("path = ''").select("host", F.col("pages").alias("host_pages"))

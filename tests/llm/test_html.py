@@ -111,3 +111,20 @@ def test_math_labels_and_noscript_stay_in_the_article():
             "and <label>this</label> <button>more</button>.</p><noscript><p>Still</p></noscript>"
             "<form><label>Mail</label><button>Go</button></form></article>")
     assert extract(page, [], []) == "So E=m and this more.\n\nStill"
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    plain = ("<body><div class=t1>{0}</div><table><tr><td><h2>Head</h2><p>" + "the same body text " * 10 +
+             "</p></td></tr></table><div class=end>Always these words</div></body>")
+    boxed = "<body><article><h1>Head</h1><div class=c3><p>" + "the same body text " * 10 + "</p></div></article></body>"
+    rows = [(i, None, plain.format("")) for i in range(9)]
+    rows += [(20 + i, "http://g.example/", plain.format(f"12:{i}")) for i in range(9)]
+    rows += [(40 + i, "http://h.example/", boxed) for i in range(9)]
+    rows += [(60 + i, "http://i.example/", PLAIN.format(i=i)) for i in range(60)]
+    rows += [(120 + i, "http://i.example/", boxed.replace("article", "div")) for i in range(6)]
+    got = {r.page_id: r.text for r in extract_pages(pages(spark, rows)).collect()}
+    body = ("the same body text " * 10).strip()
+    for i in (*range(9), *range(20, 29), *range(40, 49), *range(120, 126)):
+        assert "Head" in got[i] and body in got[i], (i, got[i])
+    for i in range(60):
+        assert got[60 + i] == f"Head {i}\n\nBody text of page {i} is here with several more words\n\nAnd {i} more of it"
