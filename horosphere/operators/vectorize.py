@@ -23,6 +23,10 @@ D_MAX = 100000
 S_MAX = 86400
 ORIGIN = "1970-01-01 00:00:00"
 
+# Words a Word2Vec task trains on in one iteration, and the most iterations (each is one job).
+WORDS_PER_TASK = 1_000_000
+MOST_ITERATIONS = 8
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -139,12 +143,21 @@ def vectors_from_table(df: DataFrame, key: str, table: DataFrame, text_col: str
 
 
 def train_word_vectors(texts: DataFrame, text_col: str = "text", dim: int = 64, min_count: int = 2,
-                       seed: int = 42, parts: int = 1) -> DataFrame:
-    """V4: word vectors trained on the corpus (Spark ML Word2Vec) -> ``(token, vector)``."""
+                       seed: int = 42, parts: int | None = None) -> DataFrame:
+    """V4: word vectors trained on the corpus (Spark ML Word2Vec) -> ``(token, vector)``.
+
+    The corpus is dealt to ``parts`` tasks (default: one per WORDS_PER_TASK words), whose
+    vectors Spark averages after every iteration; there are as many iterations as parts,
+    at most MOST_ITERATIONS.
+    """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.feature import Word2Vec
     x = texts.select(tokens(text_col).alias("_t")).where(F.size("_t") > 0)
-    m = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, numPartitions=parts, inputCol="_t", outputCol="_v").fit(x)
+    if parts is None:
+        words = x.agg(F.sum(F.size("_t").cast("long"))).first()[0] or 0
+        parts = max(1, -(-words // WORDS_PER_TASK))
+    m = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, numPartitions=parts,
+                 maxIter=min(parts, MOST_ITERATIONS), inputCol="_t", outputCol="_v").fit(x)
     return m.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 
 

@@ -199,3 +199,18 @@ def test_vector_sources(spark):
     assert {r.token for r in words.collect()} == {"alpha", "beta", "gamma", "none"}
     got = V.text_vectors(df, "id", "word_mean", 5, None, out="v").collect()
     assert len(got) == 3 and all(len(r.v) == 5 for r in got)
+
+
+def test_word_vectors_are_trained_in_many_tasks(spark, monkeypatch):
+    import pyspark.ml.feature as feature
+    used = []
+
+    def recorded(self, data, fit=feature.Word2Vec.fit):
+        used.append((self.getNumPartitions(), self.getMaxIter()))
+        return fit(self, data)
+
+    monkeypatch.setattr(feature.Word2Vec, "fit", recorded)
+    monkeypatch.setattr(V, "WORDS_PER_TASK", 100, raising=False)
+    df = texts(spark, ["alpha beta gamma delta"] * 100)
+    got = V.text_vectors(df, "id", "word_mean", 5, None, out="v").collect()
+    assert used == [(4, 4)] and len(got) == 100 and all(any(r.v) for r in got)
