@@ -3,9 +3,9 @@
 The subwords are the byte n-grams (GRAMS) of the lower-cased text, hashed into
 2**BITS buckets. A text is the mean of its subwords' embeddings; a linear softmax
 gives the language. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample (at most about PER_LANG documents of each of the
-MAX_LANGS commonest languages, chosen by a hash of the id), whole texts and
-a few short pieces of each. A fifth of the sample is held back to calibrate: one
+gradient descent in numpy on a bounded sample (about PER_LANG documents of each
+language, fewer if they would be over SAMPLE_ROWS, at least one; chosen by a hash of the id),
+whole texts and a few short pieces of each. A fifth of the sample is held back to calibrate: one
 temperature by likelihood, and the least score whose accepted texts are right in
 TRUSTED of the cases. Scoring reads every whole text once, without a shuffle.
 """
@@ -21,7 +21,7 @@ from horosphere.llm.features import gram_counts, to_sparse
 from horosphere.llm.shingles import utf8
 
 GRAMS, BITS, DIM = (1, 2, 3, 4), 13, 16
-PER_LANG, MAX_LANGS = 300, 64
+PER_LANG, SAMPLE_ROWS = 300, 19_200
 PIECES, PIECE = 3, 160        # short training pieces of a text and their bytes
 EPOCHS, BATCH, RATE = 30, 32, 0.5
 TRUSTED = 0.99
@@ -75,10 +75,12 @@ def train(rows, seed: int = 0) -> LanguageModel | None:
     if not langs:
         return None
     width = 1 << BITS
-    y = np.array([langs.index(r[0]) for r in rows])
+    place = {la: i for i, la in enumerate(langs)}
+    y = np.array([place[r[0]] for r in rows])
     rng = np.random.default_rng(seed)
     held = rng.random(len(rows)) < 0.2
     held &= np.array([bool(r[1]) for r in rows])
+    held &= np.isin(y, y[~held])        # none of a language that would have nothing to learn from
 
     def dense(which):
         x = np.zeros((len(which), width), np.float32)
@@ -132,12 +134,16 @@ def fit_language_model(train_docs: DataFrame, per_lang: int = PER_LANG) -> Langu
     """Train on a hash-chosen sample of ``train_docs`` (doc_id, text, lang)."""
     rows = train_docs.select("doc_id", F.lower("text").alias("text"), "lang").where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    key = F.coalesce("doc_id", F.xxhash64("text"))      # null ids are drawn one by one
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("draw").alias("least")).collect()
     if not counts:
         return None
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text").mapInArrow(
+    per_lang = min(per_lang, max(1, SAMPLE_ROWS // len(counts)))
+    chance = train_docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, per_lang / r["rows"]), r["least"]) for r in counts], "lang string, chance double, least double")
+    drawn = rows.join(F.broadcast(chance), "lang").where((F.col("draw") < F.col("chance")) | (F.col("draw") == F.col("least")))
+    sample = drawn.select("lang", "text").mapInArrow(
         _sample_features, "lang string, whole boolean, at array<int>, n array<int>")
     got = sample.toArrow()
     at, n = got.column("at").combine_chunks(), got.column("n").combine_chunks()

@@ -76,3 +76,23 @@ def test_risk_and_prior_on_known_mixture():
     y = np.r_[np.ones(2800), np.zeros(1200)]
     assert ((model.scores(u) >= 0.5) == y).mean() > 0.98
     assert estimate_prior(np.zeros(50), np.zeros(50)) == 0.99
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(70):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, replace=False)
+        for i in range(16 if k < 66 else 8):
+            text = " ".join("".join(rng.choice(letters, 4)) for _ in range(12))
+            rows.append((len(rows), text, f"l{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(docs)
+    assert model.langs == [f"l{k:02d}" for k in range(70)]
+    lang = {i: la for i, _, la in rows}
+    got = identify_language(docs, model, fold("doc_id", 4, 2)).collect()
+    right = [r.lang_pred == lang[r.doc_id] for r in got if lang[r.doc_id] >= "l66"]
+    assert len(right) == 32 and np.mean(right) > 0.8
+    # fewer rows a language, but one at least, also with one row or without ids
+    few = fit_language_model(docs.selectExpr("cast(null as long) as doc_id", "text", "lang"), per_lang=1)
+    assert len(few.langs) == 70
