@@ -8,13 +8,17 @@ ones always. That is enough: a changed word breaks SHINGLE shingles, so a
 stretch that holds CONTAINED of a template's shingles has unchanged windows.
 Around each meeting the share of the template's distinct SHINGLE-word shingles
 inside the aligned stretch of the document is counted exactly and must reach
-CONTAINED.
+CONTAINED. Where no single alignment does, those of a template that lie at most
+its length apart are joined, so words inserted into a license do not hide it.
 
 A scan needs no shuffle: each row is read once and judged where it is read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,15 +139,32 @@ class Index:
                                for t, a in zip(self.who[lo[j]:hi[j]], self.at[lo[j]:hi[j]]))
         return got
 
-    def contained(self, t: int, doc: np.ndarray, start: int):
-        """(share of template t's shingles in the stretch laid at ``start``, its words)."""
+    def contained(self, t: int, doc: np.ndarray, start: int, last: int | None = None):
+        """Share of template t's shingles in the stretch laid at ``start``, or from there to the one at ``last``."""
         n = len(self.words[t])
         slack = n // 8 + 1
-        a, z = max(0, start - slack), min(len(doc), start + n + slack)
+        a, z = max(0, start - slack), min(len(doc), (start if last is None else last) + n + slack)
         s, _ = shingle_hashes(doc[a:z], np.array([0, z - a]), SHINGLE)
         return float(np.isin(self.shingles[t], s).mean()) if len(s) else 0.0
 
 
+    def places(self, t: int, doc: np.ndarray, starts: list[int]):
+        """(share, start) of every alignment of template t that reaches CONTAINED, alone or joined with
+        the next ones; ``starts`` ascend."""
+        n = len(self.words[t])
+        share = [self.contained(t, doc, s) for s in starts]
+        out = [(x, s) for x, s in zip(share, starts) if x >= CONTAINED]
+        alone = [s for _, s in out]
+        for i, s in enumerate(starts):
+            last = bisect_right(starts, s + n) - 1
+            j = bisect_left(alone, s - n)
+            if last > i and not (j < len(alone) and alone[j] <= s + n):
+                x = self.contained(t, doc, s, starts[last])
+                if x >= CONTAINED:
+                    out.append((x, s))
+        return out
+
+
 def _scan(templates):
     def run(batches):
         index = Index(templates)
@@ -156,9 +177,8 @@ def _scan(templates):
                 o = off[lo:hi + 1]
                 h, _, _, first = words(raw[o[0]:o[-1]], o - o[0], NOT_ALNUM)
                 best: dict = {}
-                for row, t, start in sorted(index.candidates(h, first)):
-                    share = index.contained(t, h[first[row]:first[row + 1]], start)
-                    if share >= CONTAINED:
+                for (row, t), group in groupby(sorted(index.candidates(h, first)), key=lambda c: c[:2]):
+                    for share, start in index.places(t, h[first[row]:first[row + 1]], [c[2] for c in group]):
                         k = (row, index.templates[t][0])
                         best[k] = max(best.get(k, (0.0, 0, 0)), (share, len(index.words[t]), -max(0, start)))
                 out += [(ids[lo + r], lic, s, n, -p) for (r, lic), (s, n, p) in best.items()]

@@ -88,3 +88,15 @@ def test_leak_of_odd_text(spark, odd, odd_rows):
     bench = spark.createDataFrame([(1, short), (1, short), (2, "one two three")], "item_id long, text string")
     got = sorted((r.doc_id or -1, r.item_id) for r in contaminated(odd, bench).collect())
     assert got == [(-1, 1), (5, 1), (6, 1), (7, 1)]
+
+
+def test_license_with_words_inserted_in_its_middle(spark):
+    from horosphere.llm.license_scan import TEMPLATES, license_scan
+    text = next(t for name, t in TEMPLATES if name == "MIT" and t.startswith("Permission")).split()
+    half, extra = len(text) // 2, [f"inserted{i}" for i in range(60)]
+    rows = [(1, " ".join(text[:half] + extra + text[half:])), (2, " ".join(["before"] * 50 + text + extra)),
+            (3, " ".join(text[:half] + extra)), (4, " ".join(text[:half] + extra * 9 + text[half:]))]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+           if r.license_id == "MIT"}
+    assert set(got) == {1, 2}
+    assert got[1].containment > 0.9 and got[1].word_pos == 0 and got[2].containment == 1
