@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from horosphere.llm.byte_bpe import round_trip
+from horosphere.llm.conversation_repair import repair_digests
 from horosphere.llm.decontaminate import contaminated
 from horosphere.llm.exact_dedup import exact_dedup
 from horosphere.llm.html_extract import extract_pages
@@ -16,7 +18,8 @@ from horosphere.llm.minimax_shards import minimax_shards
 from horosphere.llm.mixture import mix_sources
 from horosphere.llm.parity_join import near_components
 from horosphere.llm.quality_pu import fit_quality, score_quality
-from horosphere.llm.tables import fold, prepare, table, tokenizer_path
+from horosphere.llm.tables import fold, prepare, split_pattern, table, tokenizer_path
+from horosphere.llm.token_alignment import align_documents
 from horosphere.llm.token_blocks import token_blocks
 
 
@@ -65,10 +68,23 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                           tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_license_scan, op2_language_id, op3_exact_dedup, op4_benchmark_decontamination, op5_source_mixture,
              op6_html_extraction, op7_token_blocks, op8_quality_classifier, op9_ngram_jaccard_join,
-             op10_minimax_shards]
+             op10_minimax_shards, op11_conversation_repair, op12_byte_bpe, op13_token_alignment]
     return {f.__name__: _prepared(f) for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -140,7 +156,76 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.d = doc_id GROUP BY doc_id
 """
 
 
+def _op11() -> str:
+    """Every state's cheapest way row by row: (cost, edits, repaired text), least as structs; a damaged
+    row's crc32 by its table."""
+    none = "{'c': 1000000000, 'k': '', 'o': ''}"
+
+    def way(state: str, cost: str, edits: str, *lines: str, only: str = "true") -> str:
+        out = f"{state}.o"
+        for line in lines:
+            out = f"({out} || CASE WHEN {out} = '' THEN '' ELSE chr(10) END || {line})"
+        return f"CASE WHEN {only} THEN {{'c': {state}.c + {cost}, 'k': {state}.k || '{edits}', 'o': {out}}} ELSE {none} END"
+
+    def to(name: str, starts: list[tuple[str, str, tuple[str, ...]]]) -> list[str]:
+        """Ways into user or assistant: keep or rerole after the given inserts."""
+        return [w for state, inserts, lines in starts for w in (
+            way(state, f"{2 * len(inserts)} + t", inserts + "K", *lines, "role || ':' || text",
+                only=f"NOT gone AND role LIKE '{name[0]}%'"),
+            way(state, f"{2 * len(inserts) + 2} + t", inserts + "R", *lines, f"'{name}:' || text", only="NOT gone"))]
+
+    least = lambda ways: f"list_sort([{', '.join(ways)}])[1]"
+    user, bot = "'user:'", "'assistant:'"
+    e = way("e", "3", "D")
+    s = least([way("s", "3", "D"), way("e", "t", "K", "role || ':' || text", only="NOT gone AND role LIKE 's%'")])
+    u = least([way("u", "3", "D"), *to("user", [("e", "", ()), ("s", "", ()), ("a", "", ()), ("u", "I", (bot,))])])
+    a = least([way("a", "3", "D"), *to("assistant", [("u", "", ()), ("e", "I", (user,)), ("s", "I", (user,)),
+                                                     ("a", "I", (user,))])])
+    end = least(["e", "a", way("u", "2", "I", bot), way("s", "4", "II", user, bot)])
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                                                     lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(
+      coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h
+  FROM conversations, crc),
+x AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) FROM d WHERE h <> 0)),
+n AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM x),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS cut,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM n),
+r AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, blank, again AND NOT blank AS dup, cut AND NOT again AND NOT blank AS trunc,
+         blank OR again AS gone, (cut AND NOT again AND NOT blank)::INT AS t,
+         prior IS NOT NULL AND prior[1] || role[1] NOT IN ('su', 'ua', 'au') AS bad FROM f),
+v AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'k': '', 'o': ''}} AS e, {none} AS s, {none} AS u, {none} AS a
+  FROM conversations
+  UNION ALL
+  SELECT v.conv_id, r.i, {e}, {s}, {u}, {a}
+  FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i + 1),
+b AS (SELECT conv_id, {end} AS z FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank,
+         sum(dup::INT) AS duplicate, sum(trunc::INT) AS truncated, sum(bad::INT) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, z.c::BIGINT AS cost, z.k AS audit, sha256(z.o) AS repaired_sha256
+FROM b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the query; the others are tested by brute force."""
-    sql = {"op3_exact_dedup": _OP3, "op5_source_mixture": _OP5, "op9_ngram_jaccard_join": _OP9}
+    sql = {"op3_exact_dedup": _OP3, "op5_source_mixture": _OP5, "op9_ngram_jaccard_join": _OP9,
+           "op11_conversation_repair": _op11()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -42,3 +42,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's vocabulary file (the same on every machine)."""
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    """The pattern that cuts texts before the merges of the rank files."""
+    import public_tokenizers
+    return public_tokenizers.PATTERN
