@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from horosphere.functions import hyperbolic as H
-from horosphere.session import cut_lineage
+from horosphere.operators.seeding import by_group, one_job, random_starts, row_hash, scalable_starts, uniform
+from horosphere.session import collect_bounded, cut_lineage
 
 BROADCAST_CENTERS = 200_000   # centres sent to every task at once
 SALTS = 16                    # parts a group's points are dealt to when they are not
@@ -254,6 +255,17 @@ def cluster_sizes(pred: DataFrame, col: str = "pred", group: list[str] | tuple =
                                  F.avg("_n").alias("mean_size"))
 
 
+def _silhouettes(X: np.ndarray, own: np.ndarray, mu: np.ndarray, mq: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Silhouettes of rows with clusters ``own`` from the clusters' means, mean squares and sizes."""
+    D = (X * X).sum(1)[:, None] - 2.0 * X @ mu.T + mq[None, :]
+    at = np.arange(len(X))
+    n_own = n[own]
+    a = D[at, own] * n_own / np.where(n_own > 1, n_own - 1, 1)
+    D[at, own] = np.inf
+    b = D.min(1) if D.shape[1] > 1 else np.full(len(X), np.inf)
+    return np.where((n_own <= 1) | ~np.isfinite(b), 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
+
+
 def silhouette_squared(points: DataFrame, vec: str = "vec", pred: str = "pred",
                        group: list[str] | tuple = (), id_col: str = "id") -> DataFrame:
     """Silhouette with *squared* Euclidean distance (Spark's ClusteringEvaluator).
@@ -270,7 +282,8 @@ def silhouette_squared(points: DataFrame, vec: str = "vec", pred: str = "pred",
     stats = (x.select(*g, pred, array_to_vector("_x").alias("_v"), sqnorm("_x").alias("_q"))
              .groupBy(*g, pred).agg(Summarizer.mean(F.col("_v")).alias("_mu"),
                                     F.avg("_q").alias("_mq"), F.count(F.lit(1)).alias("_n")))
-    rows = stats.select(*g, pred, vector_to_array("_mu").alias("_mu"), "_mq", "_n").collect()
+    rows = collect_bounded(stats.select(*g, pred, vector_to_array("_mu").alias("_mu"), "_mq", "_n"), BROADCAST_CENTERS,
+                           "clusters to score")
     table: dict = {}
     for r in rows:
         table.setdefault(tuple(r[k] for k in g), []).append(
@@ -295,18 +308,8 @@ def silhouette_squared(points: DataFrame, vec: str = "vec", pred: str = "pred",
             for key, idx in keys.groupby(keys).groups.items():
                 ids, mu, mq, n = tab[key]
                 pos = pdf.index.get_indexer(idx)
-                X = _matrix(pdf["_x"].iloc[pos])
-                D = (X * X).sum(1)[:, None] - 2.0 * X @ mu.T + mq[None, :]
                 own = np.searchsorted(ids, pdf[pred].to_numpy()[pos])
-                rows_i = np.arange(len(pos))
-                n_own = n[own]
-                a = D[rows_i, own] * n_own / np.where(n_own > 1, n_own - 1, 1)
-                Db = D.copy()
-                Db[rows_i, own] = np.inf
-                b = Db.min(1) if D.shape[1] > 1 else np.full(len(pos), np.inf)
-                sv = np.where((n_own <= 1) | ~np.isfinite(b), 0.0,
-                              (b - a) / np.maximum(np.maximum(a, b), 1e-300))
-                out[pos] = sv
+                out[pos] = _silhouettes(_matrix(pdf["_x"].iloc[pos]), own, mu, mq, n)
             yield pdf[g].assign(_s=out) if g else pd.DataFrame({"_s": out})
 
     return x.mapInPandas(run, schema).groupBy(*g).agg(F.avg("_s").alias("silhouette_squared"))
@@ -394,7 +397,7 @@ def unpack(series: pd.Series) -> np.ndarray:
 def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                  group: list[str] | tuple = (), k: int | None = None,
                  k_table: DataFrame | None = None, n_init: int = 10, max_iter: int = 300,
-                 tol: float = 1e-4, seed: int = 42, init: str = "k-means++",
+                 tol: float = 1e-4, seed: int = 42, init: str = "k-means||",
                  metric: str = "euclidean", c: float = 1.0,
                  stop_rule: str = "relative", batch_fraction: float = 1.0,
                  start: DataFrame | None = None) -> KMeansResult:
@@ -402,9 +405,9 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
 
     ``k`` is fixed, or per group from ``k_table`` ``(group.., k)`` (e.g. the
     number of true events of each block); ``k`` is capped at the group size.
-    ``init='k-means++'``: D^2-weighted picks, all groups and starts in one job
-    per pick (exponential-race sampling on hash uniforms, no ``rand()``);
-    ``init='random'``: k distinct rows with the smallest hash per start.
+    ``init='k-means||'``: ``seeding.scalable_starts``, six passes for any k, all
+    groups and starts together; ``'random'``: k distinct rows with the smallest
+    hash per start, one pass; ``'k-means++'``: D^2-weighted picks, one job per pick.
     ``metric='poincare'`` uses the arccosh distance and the ball-clamped mean
     (hyperbolic k-means, C7). Each of the ``n_init`` starts runs to
     convergence; the start with the lowest inertia wins per group.
@@ -430,7 +433,7 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
         ks = (ks.join(k_table.select(*g, F.col("k").alias("_k")), g, "left") if k_table is not None
               else ks.withColumn("_k", F.lit(int(k))))
         need = F.least(F.coalesce("_k", F.lit(0)), "_n") * n_init
-        upto = Window.orderBy(*g).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = Window.orderBy(*g).rowsBetween(Window.unboundedPreceding, Window.currentRow)   # a row per group
         ks = ks.select(*g, F.floor((F.sum(need).over(upto) - 1) / BROADCAST_CENTERS).alias("_portion"))
         portions = [r[0] for r in ks.select("_portion").distinct().collect()]
         if len(portions) > 1:
@@ -444,43 +447,61 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                 batch_fraction, start)
 
 
+def _facts(pts: DataFrame, g: list[str], id_col: str, starts: list[int], seed: int) -> dict:
+    """Group key -> (rows, mean feature variance, first row (id, vector) of every start), in one job."""
+    keys = [f for f in pts.schema.fields if f.name in g]
+    schema = T.StructType([*keys, T.StructField("_m", T.LongType()), T.StructField("_s1", T.ArrayType(T.DoubleType())),
+                           T.StructField("_s2", T.ArrayType(T.DoubleType())),
+                           *[T.StructField(f"_f{s}", T.StructType([
+                               T.StructField("u", T.DoubleType()), T.StructField("id", T.LongType()),
+                               T.StructField("xb", T.BinaryType())])) for s in starts]])
+
+    def run(batches):
+        for pdf in batches:
+            for key, pos in by_group(pdf, g):
+                part = pdf.iloc[pos]
+                X = unpack(part["_xb"])
+                ids, h = part[id_col].to_numpy(dtype=np.int64), part["_h"].to_numpy(dtype=np.int64)
+                firsts = []
+                for s in starts:
+                    u = uniform(h, s)
+                    j = int(np.lexsort((ids, u))[0])
+                    firsts.append({"u": float(u[j]), "id": int(ids[j]), "xb": part["_xb"].iloc[j]})
+                yield pd.DataFrame([(*key, len(X), X.sum(0), (X * X).sum(0), *firsts)], columns=schema.names)
+
+    part = pts.withColumn("_h", row_hash(id_col, seed, 0)).mapInPandas(run, schema)
+    vector = lambda n: Summarizer.sum(array_to_vector(n)).alias(n)
+    with one_job(pts.sparkSession):                                 # one row per group
+        rows = part.withColumn("_0", F.lit(0)).groupBy(*g, "_0").agg(
+            F.sum("_m").alias("_m"), vector("_s1"), vector("_s2"), *[F.min(f"_f{s}").alias(f"_f{s}") for s in starts]).collect()
+    out = {}
+    for r in rows:
+        if r["_m"]:
+            a, b, m = r["_s1"].toArray(), r["_s2"].toArray(), r["_m"]
+            var = float(np.maximum(b - a * a / m, 0).sum() / (m - 1) / len(a)) if m > 1 else 0.0
+            out[tuple(r[x] for x in g)] = (m, var, {
+                s: (r[f"_f{s}"]["id"], np.frombuffer(r[f"_f{s}"]["xb"], dtype=np.float64)) for s in starts})
+    return out
+
+
 def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule,
-         batch_fraction, start) -> KMeansResult:
-    """``keyed_kmeans`` for groups whose centres fit into one broadcast."""
+         batch_fraction, start, many: list[int] | None = None) -> KMeansResult:
+    """``keyed_kmeans`` for groups whose centres fit into one broadcast. With ``many`` (and no groups) all these k
+    are fitted in the same passes; the results then have the column ``k``."""
     spark = points.sparkSession
     if start is not None:
         n_init = 1
         k_table, k = (start.groupBy(*g).agg(F.count(F.lit(1)).alias("k")) if g else None), start.count()
     pts = pack_vectors(points.select(*g, id_col, vec), vec, "_xb").persist()
-    sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    if k_table is not None:
-        kt = k_table.select(*g, F.col("k").alias("_k"))
-        sizes = sizes.join(kt, g, "left") if g else sizes.crossJoin(kt)   # one-row k
-    else:
-        sizes = sizes.withColumn("_k", F.lit(int(k)))
-    sizes = sizes.withColumn("_k", F.least(F.col("_k"), F.col("_n")).cast("long"))
-    # per-group mean feature variance for the relative stopping rule, from the packed rows
-    mom = T.StructType([*[f for f in pts.schema.fields if f.name in g], T.StructField("_m", T.LongType()),
-                        T.StructField("_s1", T.ArrayType(T.DoubleType())), T.StructField("_s2", T.ArrayType(T.DoubleType()))])
-
-    def moments(batches):
-        for pdf in batches:
-            for key, part in (pdf.groupby(g, sort=False) if g else [((), pdf)]):
-                X = unpack(part["_xb"])
-                if len(X):
-                    yield pd.DataFrame([(*key, len(X), X.sum(0), (X * X).sum(0))], columns=[*g, "_m", "_s1", "_s2"])
-
-    var = (pts.mapInPandas(moments, mom).select(*g, "_m", array_to_vector("_s1").alias("_a"), array_to_vector("_s2").alias("_b"))
-           .groupBy(*g).agg(F.sum("_m").alias("_m"), Summarizer.sum(F.col("_a")).alias("_a"), Summarizer.sum(F.col("_b")).alias("_b")))
-    var = var.select(*g, "_m", vector_to_array("_a").alias("_a"), vector_to_array("_b").alias("_b"))
-    meta_rows = (sizes.join(var, g, "left") if g else sizes.crossJoin(var)).collect()   # one row per group
-    kmap = {tuple(r[x] for x in g): int(r["_k"]) for r in meta_rows if r["_k"]}
-
-    def spread(r) -> float:
-        m, a, b = r["_m"] or 0, np.asarray(r["_a"] or [0.0]), np.asarray(r["_b"] or [0.0])
-        return float(np.maximum(b - a * a / m, 0).sum() / (m - 1) / len(a)) if m > 1 else 0.0
-    tolmap = {tuple(r[x] for x in g): tol * spread(r) for r in meta_rows}
     starts = list(range(n_init))
+    facts = _facts(pts, g, id_col, starts, seed)
+    nmap = {key: f[0] for key, f in facts.items()}
+    tolmap = {key: tol * f[1] for key, f in facts.items()}
+    if k_table is not None:                                          # one row per group
+        want = {tuple(r[x] for x in g): r["k"] for r in k_table.select(*g, "k").collect()}
+    else:
+        want = {key: max(many) if many else int(k) for key in nmap}
+    kmap = {key: int(min(want[key], n)) for key, n in nmap.items() if want.get(key)}
 
     # ---------------- initialisation
     def pick(chosen: dict, rnd: int) -> dict:
@@ -545,12 +566,22 @@ def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init,
 
     if start is not None:
         centers = {(key, 0): v[1] for key, v in _center_dict(start, g, "cluster", "center").items()}
+    elif init in ("k-means||", "random"):
+        if init == "random":
+            found = random_starts(pts, g, id_col, starts, kmap, nmap, seed)
+        else:
+            found = scalable_starts(pts, g, id_col, {(key, s): f[2][s] for key, f in facts.items() if kmap.get(key)
+                                                     for s in starts}, kmap, metric, c, seed)
+        # equal rows may leave fewer than k: the places left over repeat them
+        centers = {kk: np.vstack([v[j % len(v)][1] for j in range(kmap[kk[0]])]) for kk, v in found.items() if v}
     else:
         chosen: dict = {}
-        # k-means++: D^2-weighted picks; random: unweighted distinct rows
         for rnd in range(max(kmap.values(), default=0)):
             chosen = pick(chosen, rnd)
-        centers = {ks: np.vstack([x for _, x in v]) for ks, v in chosen.items()}
+        centers = {ks_: np.vstack([x for _, x in v]) for ks_, v in chosen.items()}
+    if many:                                     # the first picks for a smaller k are the same
+        centers = {((), i * n_init + s): centers[(), s][:kk] for i, kk in enumerate(many) for s in starts if ((), s) in centers}
+        starts = list(range(len(many) * n_init))
 
     # ---------------- Lloyd iterations
     out_schema = T.StructType([*[f for f in pts.schema.fields if f.name in g],
@@ -607,8 +638,8 @@ def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init,
                .groupBy(*g, "_s", "cluster")
                .agg(F.sum("_cnt").alias("_cnt"), F.sum("_sse").alias("_sse"),
                     Summarizer.sum(F.col("_v")).alias("_v")))
-        # one row per centre
-        rows = agg.select(*g, "_s", "cluster", "_cnt", "_sse", vector_to_array("_v").alias("_sum")).collect()
+        with one_job(spark):                     # one row per centre
+            rows = agg.select(*g, "_s", "cluster", "_cnt", "_sse", vector_to_array("_v").alias("_sum")).collect()
         bc.destroy()
         new = {ks: C.copy() for ks, C in cen.items()}
         sse: dict = {}
@@ -661,30 +692,106 @@ def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init,
 
     if batch_fraction < 1.0 and centers:
         _, sse = step(centers, whole=True)
-    # best start per group: lowest inertia of its last assignment, lowest start on ties
+    # best start per group (and k): lowest inertia of its last assignment, lowest start on ties
     best: dict = {}
     for (key, s), v in sse.items():
-        if key not in best or (v, s) < best[key]:
-            best[key] = (v, s)
+        view = (many[s // n_init],) if many else key
+        if view not in best or (float(f"{v:.10g}"), s) < (float(f"{best[view][0]:.10g}"), best[view][1]):
+            best[view] = (v, s, key)             # sums differ in their last digits with the partitioning
     pts.unpersist()
+    extra = [T.StructField("k", T.LongType())] if many else [*points.select(*g).schema.fields]
 
     def frame(cmap: dict) -> DataFrame:
         rows = []
-        for key, (_, s) in best.items():
+        for view, (_, s, key) in best.items():
             for j, vrow in enumerate(cmap[(key, s)]):
-                rows.append((*key, j, [float(t) for t in vrow]))
-        fields = [*[f for f in points.select(*g).schema.fields],
-                  T.StructField("cluster", T.LongType()),
+                rows.append((*view, j, [float(t) for t in vrow]))
+        fields = [*extra, T.StructField("cluster", T.LongType()),
                   T.StructField("center", T.ArrayType(T.DoubleType()))]
         return spark.createDataFrame(rows, T.StructType(fields))
 
-    inert_rows = [(*key, float(v), int(n_iter[(key, s)])) for key, (v, s) in best.items()]
+    inert_rows = [(*view, float(v), int(n_iter[(key, s)])) for view, (v, s, key) in best.items()]
     inert = spark.createDataFrame(inert_rows, T.StructType(
-        [*[f for f in points.select(*g).schema.fields],
-         T.StructField("inertia", T.DoubleType()), T.StructField("n_iter", T.LongType())]))
+        [*extra, T.StructField("inertia", T.DoubleType()), T.StructField("n_iter", T.LongType())]))
     return KMeansResult(frame(centers), frame(prev), inert, g, metric, c)
 
 
+def kmeans_by_k(points: DataFrame, ks: list[int], vec: str = "vec", id_col: str = "msg_id", n_init: int = 10,
+                max_iter: int = 300, tol: float = 1e-4, seed: int = 42, init: str = "k-means||") -> KMeansResult:
+    """K-means for every k of ``ks`` in one loop over one copy of the vectors, keyed by (k, start). The
+    starts for a smaller k are the first picks of those for the largest. Results have the column ``k``.
+    Beyond BROADCAST_CENTERS centres the k are taken in portions of that many."""
+    portions, room = [[]], BROADCAST_CENTERS
+    for k in ks:
+        if portions[-1] and k * n_init > room:
+            portions.append([])
+            room = BROADCAST_CENTERS
+        portions[-1].append(k)
+        room -= k * n_init
+    got = [_fit(points, vec, id_col, [], None, None, n_init, max_iter, tol, seed, init, "euclidean", 1.0, "relative",
+                1.0, None, part) for part in portions if part]
+    return got[0] if len(got) == 1 else KMeansResult(
+        *[reduce(DataFrame.unionByName, [getattr(r, n) for r in got]) for n in ("centers", "prev_centers", "inertia")],
+        ["k"], "euclidean", 1.0)
+
+
+def silhouette_by_k(points: DataFrame, centers: DataFrame, vec: str = "vec") -> DataFrame:
+    """(k, clusters, silhouette): squared-Euclidean silhouette of the nearest-centre clustering of every k in
+    ``centers`` (k, cluster, center), ``clusters`` the number that have rows; two passes for all k. Each task adds
+    up counts, sums and squares by (k, cluster), then scores against their totals."""
+    spark = points.sparkSession
+    cen = spark.sparkContext.broadcast({k: v[1] for (k,), v in _center_dict(centers, ["k"], "cluster", "center").items()})
+    x = points.select(F.transform(vec, lambda t: t.cast("double")).alias("_x"))
+    sums = T.StructType([T.StructField("k", T.LongType()), T.StructField("cluster", T.LongType()),
+                         T.StructField("_n", T.LongType()), T.StructField("_q", T.DoubleType()),
+                         T.StructField("_s", T.ArrayType(T.DoubleType()))])
+
+    def add(batches):
+        for pdf in batches:
+            X = _matrix(pdf["_x"])
+            if not len(X):
+                continue
+            q = (X * X).sum(1)
+            rows = []
+            for k, C in cen.value.items():
+                lab = pair_distances(X, C, "sqeuclidean").argmin(1)
+                hot = np.zeros((len(C), len(X)))
+                hot[lab, np.arange(len(X))] = 1.0
+                n, s, sq = np.bincount(lab, minlength=len(C)), hot @ X, np.bincount(lab, q, len(C))
+                rows += [(k, int(j), int(n[j]), float(sq[j]), s[j]) for j in np.flatnonzero(n)]
+            yield pd.DataFrame(rows, columns=sums.names)
+
+    agg = x.mapInPandas(add, sums).groupBy("k", "cluster").agg(
+        F.sum("_n").alias("_n"), F.sum("_q").alias("_q"), Summarizer.sum(array_to_vector("_s")).alias("_s"))
+    table: dict = {}
+    with one_job(spark):
+        rows = agg.collect()                     # one row per centre
+    for r in sorted(rows, key=lambda r: (r["k"], r["cluster"])):
+        table.setdefault(r["k"], []).append((r["cluster"], r["_s"].toArray() / r["_n"], r["_q"] / r["_n"], r["_n"]))
+    stats = spark.sparkContext.broadcast({k: (np.array([t[0] for t in v]), np.vstack([t[1] for t in v]),
+                                              np.array([t[2] for t in v]), np.array([float(t[3]) for t in v]))
+                                          for k, v in table.items()})
+    out = T.StructType([T.StructField("k", T.LongType()), T.StructField("_t", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def score(batches):
+        acc = dict.fromkeys(stats.value, 0.0)
+        seen = 0
+        for pdf in batches:
+            X = _matrix(pdf["_x"])
+            if not len(X):
+                continue
+            seen += len(X)
+            for k, (ids, mu, mq, n) in stats.value.items():
+                own = np.searchsorted(ids, pair_distances(X, cen.value[k], "sqeuclidean").argmin(1))
+                acc[k] += _silhouettes(X, own, mu, mq, n).sum()
+        yield pd.DataFrame([(k, v, seen) for k, v in acc.items()], columns=out.names)
+
+    done = x.mapInPandas(score, out).groupBy("k").agg(F.sum("_t").alias("_t"), F.sum("_n").alias("_n"))
+    with one_job(spark):
+        got = [(r["k"], len(table[r["k"]]), r["_t"] / r["_n"]) for r in done.collect() if r["_n"]]   # one row per k
+    return spark.createDataFrame(got, "k long, clusters long, silhouette double")
+
+
 def choose_k(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
              min_k: int = 2, max_k: int = 100, step: int = 1, method: str = "silhouette",
              n_init: int = 10, seed: int = 42) -> int:
@@ -692,32 +799,19 @@ def choose_k(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
 
     ``silhouette``: highest squared-Euclidean silhouette, first best wins
     (results with fewer than two clusters are skipped); ``elbow``: largest
-    second difference of the inertia. Every candidate is one keyed k-means
-    run on the same persisted table; only (k, score) pairs reach the driver.
+    second difference of the inertia. All k run in one loop (``kmeans_by_k``) and are
+    scored in two passes; only (k, score) pairs reach the driver.
     """
-    spark = points.sparkSession
     pts = points.select(id_col, vec).persist()
-    n = pts.count()
-    ks = list(range(min_k, min(max_k, n - 1) + 1, step))
+    ks = list(range(min_k, min(max_k, pts.count() - 1) + 1, step))
     rows = []
-    for k in ks:
-        res = keyed_kmeans(pts, vec, id_col, k=k, n_init=n_init, seed=seed)
-        if method == "silhouette":
-            pred = res.predict(pts, vec, "pred")
-            if pred.select("pred").distinct().limit(2).count() < 2:
-                continue
-            s = silhouette_squared(pred, vec, "pred", id_col=id_col).first()[0]
-            rows.append((k, float(s)))
-        else:
-            rows.append((k, float(res.inertia.first()["inertia"])))
+    if ks:
+        res = kmeans_by_k(pts, ks, vec, id_col, n_init=n_init, seed=seed)
+        if method == "elbow":
+            return int(elbow_k(res.inertia).first()["best_k"])
+        rows = [(r["silhouette"], -r["k"]) for r in silhouette_by_k(pts, res.centers, vec).collect() if r["clusters"] > 1]
     pts.unpersist()
-    if not rows:
-        return min_k
-    if method == "silhouette":
-        best = max(rows, key=lambda r: (r[1], -r[0]))
-        return int(best[0])
-    table = spark.createDataFrame(rows, "k long, inertia double")
-    return int(elbow_k(table).first()["best_k"])
+    return -max(rows)[1] if rows else min_k
 
 
 def adaptive_fit_predict(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",

@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,91 @@ def test_given_start_and_steps(spark):
         cen = np.vstack([X[lab == j].mean(0) for j in range(3)])
     got = np.vstack([r.center for r in res.centers.orderBy("cluster").collect()])
     assert np.allclose(got, cen) and res.inertia.first()["n_iter"] == 2
+
+
+def brute_inertia(X, cen):
+    return sum(((X[i:i + 2000, None] - cen[None]) ** 2).sum(2).min(1).sum() for i in range(0, len(X), 2000))
+
+
+def count_jobs(spark, fn):
+    """(Spark jobs that ``fn`` runs, its result)."""
+    sc = spark.sparkContext
+    name = f"counted-{uuid.uuid4()}"
+    sc.setJobGroup(name, name)
+    try:
+        got = fn()
+        return len(sc.statusTracker().getJobIdsForGroup(name)), got
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_scalable_seeding_jobs_and_inertia(spark):
+    rng = np.random.default_rng(4)
+    X = np.vstack([rng.normal(rng.normal(0, 8, 6), 1.0, size=(60, 6)) for _ in range(25)])
+    df = frame(spark, X, np.zeros(len(X))).drop("label").persist()
+    few, a = count_jobs(spark, lambda: C.keyed_kmeans(df, "vec", k=4, n_init=1, max_iter=1))
+    jobs, b = count_jobs(spark, lambda: C.keyed_kmeans(df, "vec", k=25, n_init=1, max_iter=1))
+    assert jobs == few <= 8
+    new = np.mean([C.keyed_kmeans(df, "vec", k=25, n_init=3, seed=s).inertia.first()["inertia"] for s in (1, 2)])
+    old = np.mean([C.keyed_kmeans(df, "vec", k=25, n_init=3, seed=s, init="k-means++").inertia.first()["inertia"]
+                   for s in (1, 2)])
+    assert new <= 1.05 * old
+
+
+def test_scalable_seeding_of_2000_centres(spark):
+    rng = np.random.default_rng(5)
+    home = rng.normal(0, 50, (2000, 4))
+    X = np.vstack([home + rng.normal(0, 0.5, home.shape) for _ in range(6)])
+    df = frame(spark, X, np.zeros(len(X))).drop("label")
+    jobs, res = count_jobs(spark, lambda: C.keyed_kmeans(df, "vec", k=2000, n_init=1, max_iter=3))
+    assert jobs <= 10                                    # three steps among them
+    cen = np.vstack([r["center"] for r in res.centers.collect()])
+    assert len(cen) == 2000
+    # D^2 picks one by one, as many Lloyd steps
+    own = [0]
+    near = ((X - X[0]) ** 2).sum(1)
+    for _ in range(1999):
+        own.append(int(rng.choice(len(X), p=near / near.sum())))
+        near = np.minimum(near, ((X - X[own[-1]]) ** 2).sum(1))
+    plain = X[own]
+    for _ in range(3):
+        lab = np.concatenate([((X[i:i + 2000, None] - plain[None]) ** 2).sum(2).argmin(1) for i in range(0, len(X), 2000)])
+        plain = np.vstack([X[lab == j].mean(0) if (lab == j).any() else plain[j] for j in range(2000)])
+    assert brute_inertia(X, cen) <= 1.05 * brute_inertia(X, plain)
+
+
+def test_seeding_of_equal_and_few_rows(spark):
+    df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(6)] + [(9, [5.0, 5.0])], "msg_id long, vec array<double>")
+    res = C.keyed_kmeans(df, "vec", k=4, n_init=2)
+    assert res.centers.count() == 4 and res.inertia.first()["inertia"] == 0
+    none = C.keyed_kmeans(df.where("msg_id < 0"), "vec", k=4, n_init=2)
+    assert none.centers.count() == 0
+
+
+def test_all_k_in_one_loop(spark):
+    X, y = blobs(4, 30, 8, seed=2)
+    df = frame(spark, X * 2, y).persist()
+    few, _ = count_jobs(spark, lambda: C.kmeans_by_k(df, [2, 3], "vec", n_init=2, max_iter=2, tol=-1.0))
+    jobs, res = count_jobs(spark, lambda: C.kmeans_by_k(df, list(range(2, 10)), "vec", n_init=2, max_iter=2, tol=-1.0))
+    assert jobs == few
+    assert {r["k"]: r["n"] for r in res.centers.groupBy("k").agg(F.count("*").alias("n")).collect()} == {k: k for k in range(2, 10)}
+    res = C.kmeans_by_k(df, [2, 3, 4, 5], "vec", n_init=3)
+    got = {r["k"]: r["silhouette"] for r in C.silhouette_by_k(df, res.centers, "vec").collect()}
+    for k in (2, 4, 5):                                  # the same as scoring each k on its own
+        pred = C.assign_nearest(df, res.centers.where(F.col("k") == k).drop("k"), "vec")
+        want = C.silhouette_squared(pred, "vec", "pred", id_col="msg_id").first()[0]
+        assert got[k] == pytest.approx(want, rel=1e-9)
+        assert res.inertia.where(F.col("k") == k).first()["inertia"] >= C.inertia(
+            df, res.centers.where(F.col("k") == k).drop("k"), "vec").first()["inertia"] - 1e-6
+    assert max(got, key=got.get) == C.choose_k(df, "vec", max_k=5, n_init=3) == 4
+
+
+def test_random_starts_are_the_smallest_hashes(spark):
+    from horosphere.operators import seeding as SD
+    X, y = blobs(2, 40, 3)
+    df = frame(spark, X, y)
+    pts = C.pack_vectors(df.select("msg_id", "vec"), "vec", "_xb")
+    got = SD.random_starts(pts, [], "msg_id", [0, 1], {(): 5}, {(): 80}, 42)
+    h = np.array([SD.id_hash(i, 42, 1) for i in range(80)])
+    for s in (0, 1):
+        assert [i for i, _, _ in got[(), s]] == np.argsort(SD.uniform(h, s))[:5].tolist()
