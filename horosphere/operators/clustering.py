@@ -400,7 +400,7 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
                  tol: float = 1e-4, seed: int = 42, init: str = "k-means||",
                  metric: str = "euclidean", c: float = 1.0,
                  stop_rule: str = "relative", batch_fraction: float = 1.0,
-                 start: DataFrame | None = None) -> KMeansResult:
+                 start: DataFrame | None = None, seed_col: str | None = None) -> KMeansResult:
     """K-means for every group at once.
 
     ``k`` is fixed, or per group from ``k_table`` ``(group.., k)`` (e.g. the
@@ -422,6 +422,9 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
     (per-centre learning rate 1/count). A last pass over all rows then measures each
     start, so starts are compared by, and the result reports, full inertia.
 
+    ``seed_col`` names a column of ``points`` with a seed of each group's own: a group then starts as it
+    would alone with that seed (``k-means||`` and ``random``).
+
     ``start`` gives the first centres ``(group.., cluster, center)`` of one start instead of ``init``.
 
     However many groups and centres there are, they are taken in portions of
@@ -439,22 +442,24 @@ def keyed_kmeans(points: DataFrame, vec: str = "vec", id_col: str = "msg_id",
         if len(portions) > 1:
             ks = cut_lineage(ks)
             parts = [_fit(points.join(ks.where(F.col("_portion") == p).select(*g), g, "left_semi"), vec, id_col, g, k,
-                          k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule, batch_fraction, None)
+                          k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule, batch_fraction, None,
+                          seed_col=seed_col)
                      for p in sorted(portions)]
             return KMeansResult(*[cut_lineage(reduce(DataFrame.unionByName, [getattr(r, n) for r in parts]))
                                   for n in ("centers", "prev_centers", "inertia")], g, metric, c)
     return _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule,
-                batch_fraction, start)
+                batch_fraction, start, seed_col=seed_col)
 
 
-def _facts(pts: DataFrame, g: list[str], id_col: str, starts: list[int], seed: int) -> dict:
-    """Group key -> (rows, mean feature variance, first row (id, vector) of every start), in one job."""
+def _facts(pts: DataFrame, g: list[str], id_col: str, starts: list[int], seed) -> dict:
+    """Group key -> (rows, mean feature variance, first row (id, vector) of every start, seed), in one job."""
     keys = [f for f in pts.schema.fields if f.name in g]
     schema = T.StructType([*keys, T.StructField("_m", T.LongType()), T.StructField("_s1", T.ArrayType(T.DoubleType())),
                            T.StructField("_s2", T.ArrayType(T.DoubleType())),
                            *[T.StructField(f"_f{s}", T.StructType([
                                T.StructField("u", T.DoubleType()), T.StructField("id", T.LongType()),
-                               T.StructField("xb", T.BinaryType())])) for s in starts]])
+                               T.StructField("xb", T.BinaryType())])) for s in starts],
+                           T.StructField("_seed", T.LongType())])
 
     def run(batches):
         for pdf in batches:
@@ -467,34 +472,38 @@ def _facts(pts: DataFrame, g: list[str], id_col: str, starts: list[int], seed: i
                     u = uniform(h, s)
                     j = int(np.lexsort((ids, u))[0])
                     firsts.append({"u": float(u[j]), "id": int(ids[j]), "xb": part["_xb"].iloc[j]})
-                yield pd.DataFrame([(*key, len(X), X.sum(0), (X * X).sum(0), *firsts)], columns=schema.names)
+                own = int(part[seed].iloc[0]) if isinstance(seed, str) else seed
+                yield pd.DataFrame([(*key, len(X), X.sum(0), (X * X).sum(0), *firsts, own)], columns=schema.names)
 
     part = pts.withColumn("_h", row_hash(id_col, seed, 0)).mapInPandas(run, schema)
     vector = lambda n: Summarizer.sum(array_to_vector(n)).alias(n)
     with one_job(pts.sparkSession):                                 # one row per group
         rows = part.withColumn("_0", F.lit(0)).groupBy(*g, "_0").agg(
-            F.sum("_m").alias("_m"), vector("_s1"), vector("_s2"), *[F.min(f"_f{s}").alias(f"_f{s}") for s in starts]).collect()
+            F.sum("_m").alias("_m"), vector("_s1"), vector("_s2"), F.min("_seed").alias("_seed"),
+            *[F.min(f"_f{s}").alias(f"_f{s}") for s in starts]).collect()
     out = {}
     for r in rows:
         if r["_m"]:
             a, b, m = r["_s1"].toArray(), r["_s2"].toArray(), r["_m"]
             var = float(np.maximum(b - a * a / m, 0).sum() / (m - 1) / len(a)) if m > 1 else 0.0
             out[tuple(r[x] for x in g)] = (m, var, {
-                s: (r[f"_f{s}"]["id"], np.frombuffer(r[f"_f{s}"]["xb"], dtype=np.float64)) for s in starts})
+                s: (r[f"_f{s}"]["id"], np.frombuffer(r[f"_f{s}"]["xb"], dtype=np.float64)) for s in starts}, r["_seed"])
     return out
 
 
 def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init, metric, c, stop_rule,
-         batch_fraction, start, many: list[int] | None = None) -> KMeansResult:
+         batch_fraction, start, many: list[int] | None = None, seed_col: str | None = None) -> KMeansResult:
     """``keyed_kmeans`` for groups whose centres fit into one broadcast. With ``many`` (and no groups) all these k
     are fitted in the same passes; the results then have the column ``k``."""
     spark = points.sparkSession
     if start is not None:
         n_init = 1
         k_table, k = (start.groupBy(*g).agg(F.count(F.lit(1)).alias("k")) if g else None), start.count()
-    pts = pack_vectors(points.select(*g, id_col, vec), vec, "_xb").persist()
+    own = [F.col(seed_col).cast("long").alias("_seed")] if seed_col else []
+    pts = pack_vectors(points.select(*g, id_col, *own, vec), vec, "_xb").persist()
     starts = list(range(n_init))
-    facts = _facts(pts, g, id_col, starts, seed)
+    by = "_seed" if seed_col else seed
+    facts = _facts(pts, g, id_col, starts, by)
     nmap = {key: f[0] for key, f in facts.items()}
     tolmap = {key: tol * f[1] for key, f in facts.items()}
     if k_table is not None:                                          # one row per group
@@ -568,10 +577,11 @@ def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init,
         centers = {(key, 0): v[1] for key, v in _center_dict(start, g, "cluster", "center").items()}
     elif init in ("k-means||", "random"):
         if init == "random":
-            found = random_starts(pts, g, id_col, starts, kmap, nmap, seed)
+            found = random_starts(pts, g, id_col, starts, kmap, nmap, by)
         else:
             found = scalable_starts(pts, g, id_col, {(key, s): f[2][s] for key, f in facts.items() if kmap.get(key)
-                                                     for s in starts}, kmap, metric, c, seed)
+                                                     for s in starts}, kmap, metric, c, by,
+                                    {key: f[3] for key, f in facts.items()})
         # equal rows may leave fewer than k: the places left over repeat them
         centers = {kk: np.vstack([v[j % len(v)][1] for j in range(kmap[kk[0]])]) for kk, v in found.items() if v}
     else:

@@ -2,12 +2,13 @@
 
 Weights are a few ten thousand numbers, so they travel as a broadcast and
 inference is ``mapInPandas`` (numpy matrix products per Arrow batch).
-Training computes the gradient where the rows are: every task returns one
-summed gradient vector for its rows, Spark adds the vectors up
-(``Summarizer.sum``, partial + final aggregation) and the Adam step runs on
-the driver. An epoch deals every row to exactly one of its steps by a hash of
-the row id, and dropout masks are hashes of the row id too, so neither depends
-on how the table is partitioned and a retried task repeats its gradient.
+Training goes to the rows: they are dealt by a hash of their id to shares of some
+LOCAL_STEPS batches, once; in every epoch a share's task takes Adam steps over its batches from
+the common weights, and the shares' weights (and Adam moments) are averaged, weighted
+by rows (``Summarizer.sum``). A batch stays what it is at any size of the table. Shares,
+the order in them and dropout masks are hashes of the row id, so nothing depends
+on how the table is partitioned and a retried task repeats its steps. Many models
+train on the same pass: a share's task takes the steps of each.
 
 The classifier is trained on log0(project(exp0(h))) of the MLP output h.
 For both manifolds that map is radial, z = f(|h|) h/|h|, so its derivative is
@@ -16,6 +17,7 @@ f' along h and f / |h| across it; ``radial`` gives both, floors and clips includ
 
 from __future__ import annotations
 
+import copy
 import json
 import math
 from dataclasses import dataclass, field
@@ -379,65 +381,186 @@ class Adam:
         return theta - self.lr * mh / (np.sqrt(vh) + self.eps)
 
 
+#: Batches of a share: steps that a task takes between two averages.
+LOCAL_STEPS = 32
+
+
+@dataclass
+class Training:
+    """A model to train: its encoder (changed in place), the ``input`` rows it reads, and how."""
+    enc: Encoder
+    seed: int = 42
+    input: str = ""
+    epochs: int = 100
+    lr: float = 0.01
+    weight_decay: float = 1e-4
+    patience: int = 10
+    restore_best: bool = False
+    log: list | None = None
+
+
+class _State:
+    """A model's weights (encoder and classifier, flat), Adam moments and history."""
+
+    def __init__(self, job: Training, classes: int):
+        enc = job.enc
+        rng = np.random.default_rng(job.seed + 1)
+        out = enc.config.output_dim or enc.config.hidden_dim
+        a = math.sqrt(6.0 / (out + classes))
+        self.theta = np.concatenate([enc.flat(), rng.uniform(-a, a, size=(out, classes)).ravel(), np.zeros(classes)])
+        self.opt = Adam(self.theta.size, job.lr, job.weight_decay)
+        self.shape = (enc.flat().size, out, classes)
+        self.best, self.bad, self.best_theta = 0.0, 0, None
+        self.history = {"train_loss": [], "val_nmi": [], "val_ami": []}
+
+
+def _models(enc: Encoder, theta: np.ndarray, shape: tuple) -> Classifier:
+    """Set the encoder's weights from ``theta`` and return the classifier in it."""
+    n, out, classes = shape
+    enc.set_flat(theta[:n])
+    return Classifier(theta[n:n + out * classes].reshape(out, classes), theta[n + out * classes:])
+
+
+def _local_steps(enc: Encoder, theta: np.ndarray, opt: Adam, shape: tuple, X: np.ndarray, y: np.ndarray, ids: np.ndarray,
+                 batch: int, seed: int, epoch: int):
+    """Adam steps over the rows in batches, in an order by row id hash: (weights, steps, summed loss)."""
+    order = np.lexsort((ids, row_uniform(ids, 1, seed, epoch)[:, 0]))
+    total, steps = 0.0, 0
+    for lo in range(0, len(order), batch):
+        at = order[lo:lo + batch]
+        clf = _models(enc, theta, shape)
+        loss, g = _loss_grad(enc, clf, X[at], y[at], ids[at], enc.config.dropout, (seed, epoch))
+        theta = opt.step(theta, g / len(at))
+        total, steps = total + loss, steps + 1
+    return theta, steps, total
+
+
+def train_many(jobs: dict[str, Training], rows: DataFrame, classes: dict[str, int], id_col: str = "msg_id",
+               batch_size: int | None = 256, validate=None) -> dict[str, dict]:
+    """E7 for many models in the same passes: name -> history.
+
+    ``rows``: (input, id, label_id, _xb) with packed vectors; ``classes``: labels of every input. An epoch
+    of all models is one job: each share of the rows takes local steps of ``batch_size`` for
+    every model that reads it, and the results are averaged by rows. ``batch_size=None``: one step on the whole
+    gradient. ``validate`` takes {name: encoder} and returns {name: (nmi, ami)}; a model stops after ``patience``
+    epochs without a strictly better NMI, or after its own ``epochs``. A model's result does not depend on
+    the others."""
+    from horosphere.operators.seeding import one_job
+    spark = rows.sparkSession
+    states = {name: _State(job, classes[job.input]) for name, job in jobs.items() if classes.get(job.input)}
+    counts = {r["input"]: r["n"] for r in rows.groupBy("input").agg(F.count(F.lit(1)).alias("n")).collect()}   # few inputs
+    share = LOCAL_STEPS * batch_size if batch_size else 1 << 16
+    parts = {i: max(1, -(-n // share)) for i, n in counts.items()}
+    readers = {i: sorted(n for n, j in jobs.items() if j.input == i and n in states) for i in counts}
+    wide = max((len(v) for v in readers.values()), default=1)
+    # few shares: models are spread over copies of them, so that all cores work
+    chunks = max(1, min(wide, -(-spark.sparkContext.defaultParallelism // max(1, sum(parts.values())))))
+    number = F.lit(1)
+    for i, n in parts.items():
+        number = F.when(F.col("input") == i, F.lit(n)).otherwise(number)
+    dealt = (rows.withColumn("share", F.pmod(F.xxhash64(id_col), number.cast("long")))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+             .repartition(min(4096, 2 * chunks * sum(parts.values()) or 1), "input", "share", "chunk").persist())
+    out = T.StructType([T.StructField("model", T.StringType()), T.StructField("loss", T.DoubleType()),
+                        T.StructField("n", T.LongType()), T.StructField("steps", T.LongType()),
+                        T.StructField("w", T.ArrayType(T.DoubleType()))])
+
+    def epoch_of_all(active: list[str], epoch: int) -> list:
+        bc = spark.sparkContext.broadcast({n: (jobs[n].enc, states[n].theta, states[n].opt, states[n].shape, jobs[n].seed)
+                                           for n in active})
+
+        def run(key, pdf):
+            name, _, chunk = key
+            X = np.frombuffer(b"".join(pdf["_xb"]), dtype=np.float64).reshape(len(pdf), -1)
+            y, ids = pdf["label_id"].to_numpy(dtype=np.int64), pdf[id_col].to_numpy(dtype=np.int64)
+            got = []
+            for model in readers[name][chunk::chunks]:
+                if model not in bc.value:
+                    continue
+                enc, theta, opt, shape, seed = bc.value[model]
+                enc = Encoder(enc.config, list(enc.weights))
+                if batch_size:
+                    opt = copy.deepcopy(opt)
+                    theta, steps, loss = _local_steps(enc, theta, opt, shape, X, y, ids, batch_size, seed, epoch)
+                    w = np.concatenate([theta, opt.m, opt.v]) * len(X)
+                else:
+                    clf = _models(enc, theta, shape)
+                    loss, w = _loss_grad(enc, clf, X, y, ids, enc.config.dropout, (seed, epoch))
+                    steps = 1
+                got.append((model, float(loss), len(X), steps, w))
+            return pd.DataFrame(got, columns=out.names)
+
+        each = dealt.groupBy("input", "share", "chunk").applyInPandas(run, out)
+        with one_job(spark):                     # one row per model
+            found = each.groupBy("model").agg(
+                F.sum("loss").alias("loss"), F.sum("n").alias("n"), F.max("steps").alias("steps"),
+                Summarizer.sum(array_to_vector("w")).alias("w")).collect()
+        bc.destroy()
+        return found
+
+    active = sorted(states)
+    for epoch in range(max((j.epochs for j in jobs.values()), default=0)):
+        active = [n for n in active if epoch < jobs[n].epochs]
+        if not active:
+            break
+        lost = dict.fromkeys(active, float("nan"))
+        for r in epoch_of_all(active, epoch):
+            s, w = states[r["model"]], r["w"].toArray() / r["n"]
+            lost[r["model"]] = r["loss"] / r["n"]
+            if batch_size:
+                s.theta, s.opt.m, s.opt.v = np.split(w, 3)
+                s.opt.t += r["steps"]
+            else:
+                s.theta = s.opt.step(s.theta, w)
+        for n in active:
+            _models(jobs[n].enc, states[n].theta, states[n].shape)
+            states[n].history["train_loss"].append(lost[n])
+            if jobs[n].log is not None:
+                jobs[n].log.append((epoch, "train", "loss", lost[n]))
+        if validate is None:
+            continue
+        for n, (nmi, ami) in validate({n: jobs[n].enc for n in active}).items():
+            s, job = states[n], jobs[n]
+            s.history["val_nmi"].append(float(nmi))
+            s.history["val_ami"].append(float(ami))
+            if job.log is not None:
+                job.log += [(epoch, "val", "nmi", float(nmi)), (epoch, "val", "ami", float(ami))]
+            if nmi > s.best:
+                s.best, s.bad, s.best_theta = float(nmi), 0, job.enc.flat().copy()
+            else:
+                s.bad += 1
+        active = [n for n in active if states[n].bad < jobs[n].patience]
+    for n, s in states.items():
+        if jobs[n].restore_best and s.best_theta is not None:
+            jobs[n].enc.set_flat(s.best_theta)
+    dealt.unpersist()
+    empty = {"train_loss": [], "val_nmi": [], "val_ami": []}
+    return {n: states[n].history if n in states else dict(empty) for n in jobs}
+
+
+def training_rows(train_df: DataFrame, val_df: DataFrame | None, vec: str = "vec", label: str = "event",
+                  id_col: str = "msg_id", name: str = "") -> DataFrame:
+    """The rows that ``train_many`` reads: label ids contiguous over train (and val), vectors packed as float64
+    bytes, so epochs skip Arrow list conversion."""
+    from horosphere.operators.blocks import encode_labels
+    from horosphere.operators.clustering import pack_vectors
+    fit = train_df if val_df is None else train_df.unionByName(val_df)
+    tr = encode_labels(train_df.select(id_col, vec, label), None, label, "label_id", fit_on=fit)
+    return pack_vectors(tr.select(F.lit(name).alias("input"), id_col, vec, "label_id"), vec, "_xb")
+
+
 def train(enc: Encoder, train_df: DataFrame, val_df: DataFrame | None = None,
           epochs: int = 100, lr: float = 0.01, weight_decay: float = 1e-4,
           patience: int = 10, seed: int = 42, vec: str = "vec", label: str = "event",
-          id_col: str = "msg_id", batch_size: int | None = 256, max_steps: int = 8,
+          id_col: str = "msg_id", batch_size: int | None = 256,
           validate=None, restore_best: bool = False, log: list | None = None) -> dict:
     """Encode labels on train (UNION val), fresh classifier and Adam,
     epochs of E6, optional validation with early stopping on strict improvement
-    of the NMI (patience). Returns the history.
-
-    An epoch takes ceil(rows / batch_size) steps, at most ``max_steps``: each
-    step is one Spark job, so a large table gets larger batches instead of more
-    jobs. Every row is in exactly one step of an epoch. ``batch_size=None``
-    is one full-batch step. ``validate(enc)`` returns (nmi, ami).
+    of the NMI (patience). Returns the history. ``train_many`` with one model; ``validate(enc)`` returns (nmi, ami).
     """
-    from horosphere.operators.blocks import encode_labels
-    from horosphere.operators.clustering import pack_vectors
     fit = train_df if val_df is None else train_df.unionByName(val_df)
-    tr = encode_labels(train_df.select(id_col, vec, label), None, label, "label_id", fit_on=fit)
-    # vectors packed once as float64 bytes: epochs skip Arrow list conversion
-    tr = pack_vectors(tr.select(id_col, vec, "label_id"), vec, "_xb").persist()
-    ncls = fit.select(label).distinct().count()
-    rng = np.random.default_rng(seed + 1)
-    out_dim = enc.config.output_dim or enc.config.hidden_dim
-    a = math.sqrt(6.0 / (out_dim + ncls))
-    clf = Classifier(rng.uniform(-a, a, size=(out_dim, ncls)), np.zeros(ncls))
-    theta = np.concatenate([enc.flat(), clf.W.ravel(), clf.b])
-    opt = Adam(theta.size, lr, weight_decay)
-    nenc = enc.flat().size
-    history = {"train_loss": [], "val_nmi": [], "val_ami": []}
-    best, bad, best_theta = 0.0, 0, None
-    steps = 1 if not batch_size else max(1, min(max_steps, -(-tr.count() // batch_size)))
-    for ep in range(epochs):
-        losses = []
-        for st in range(steps):
-            loss, g = gradient(tr, enc, clf, ep, st, vec, "label_id", id_col, steps, seed)
-            if g is None:
-                continue
-            theta = opt.step(theta, g)
-            enc.set_flat(theta[:nenc])
-            clf = Classifier(theta[nenc:nenc + out_dim * ncls].reshape(out_dim, ncls),
-                             theta[nenc + out_dim * ncls:])
-            losses.append(loss)
-        history["train_loss"].append(float(np.mean(losses)) if losses else float("nan"))
-        if log is not None:
-            log.append((ep, "train", "loss", history["train_loss"][-1]))
-        if validate is not None:
-            nmi, ami = map(float, validate(enc))
-            history["val_nmi"].append(nmi)
-            history["val_ami"].append(ami)
-            if log is not None:
-                log += [(ep, "val", "nmi", nmi), (ep, "val", "ami", ami)]
-            if nmi > best:
-                best, bad = nmi, 0
-                best_theta = enc.flat().copy()
-            else:
-                bad += 1
-            if bad >= patience:
-                break
-    if restore_best and best_theta is not None:
-        enc.set_flat(best_theta)
-    tr.unpersist()
-    return history
+    classes = fit.select(label).distinct().count()
+    job = Training(enc, seed, "", epochs, lr, weight_decay, patience, restore_best, log)
+    check = (lambda encs: {"": validate(encs[""])}) if validate is not None else None
+    return train_many({"": job}, training_rows(train_df, val_df, vec, label, id_col), {"": classes}, id_col,
+                      batch_size, check)[""]

@@ -41,9 +41,11 @@ def one_job(spark: SparkSession):
             spark.conf.set(k, v)
 
 
-def row_hash(id_col: str, seed: int, rnd: int):
-    """60 bits of the md5 of ``id:seed:round`` as a Column; ``id_hash`` is the same for one id."""
-    key = F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(str(rnd)))
+def row_hash(id_col: str, seed, rnd: int):
+    """60 bits of the md5 of ``id:seed:round`` as a Column (``seed``: a number or a column's name);
+    ``id_hash`` is the same for one id."""
+    seed = F.col(seed).cast("string") if isinstance(seed, str) else F.lit(str(seed))
+    key = F.concat_ws(":", F.col(id_col).cast("string"), seed, F.lit(str(rnd)))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -116,12 +118,13 @@ def weighted_picks(ids: np.ndarray, X: np.ndarray, weight: np.ndarray, k: int, h
 
 
 def scalable_starts(pts: DataFrame, g: list[str], id_col: str, first: dict, kmap: dict, metric: str = "euclidean",
-                    c: float = 1.0, seed: int = 42, bound: int = 1 << 21, trials: int | None = None) -> dict:
+                    c: float = 1.0, seed=42, seeds: dict | None = None, bound: int = 1 << 21, trials: int | None = None) -> dict:
     """(group key, start) -> [(id, vector, weight)] of up to k start centres, best first. A pick is the best of
     ``trials`` draws (by default 2 + ln k).
 
     ``pts`` has the group, the id and packed vectors ``_xb``; ``first`` names the first row of every
-    (group, start); ``kmap`` the k of each group. More than ``bound`` expected candidates are refused: they and their
+    (group, start); ``kmap`` the k of each group; ``seed`` may name a column that holds each group's own, then also
+    in ``seeds``. More than ``bound`` expected candidates are refused: they and their
     vectors are held by the driver and broadcast."""
     spark = pts.sparkSession
     starts = sorted({s for _, s in first})
@@ -130,7 +133,8 @@ def scalable_starts(pts: DataFrame, g: list[str], id_col: str, first: dict, kmap
     keys = [f for f in pts.schema.fields if f.name in g]
     pool = {ks: [v] for ks, v in first.items()}
     new = {ks: (0, np.vstack([v[1]])) for ks, v in first.items()}      # place of the first, vectors
-    base = T.StructType([*keys, pts.schema[id_col], T.StructField("_xb", T.BinaryType()), T.StructField("_dn", T.BinaryType())])
+    named = [pts.schema[seed]] if isinstance(seed, str) else []
+    base = T.StructType([*keys, *named, pts.schema[id_col], T.StructField("_xb", T.BinaryType()), T.StructField("_dn", T.BinaryType())])
     tiny = T.StructType([*keys, T.StructField("_s", T.IntegerType()), T.StructField("_at", T.LongType()),
                          T.StructField("_v", T.DoubleType())])
     drawn = T.StructType([*keys, T.StructField("_s", T.IntegerType()), pts.schema[id_col], T.StructField("_xb", T.BinaryType())])
@@ -237,14 +241,15 @@ def scalable_starts(pts: DataFrame, g: list[str], id_col: str, first: dict, kmap
     out = {}
     for (key, s), cand in pool.items():
         ids, X, w = np.array([i for i, _ in cand], dtype=np.int64), np.vstack([x for _, x in cand]), weight[key, s]
-        h = np.array([id_hash(int(i), seed + s, -1) for i in ids], dtype=np.int64)
+        own = seeds[key] if seeds else seed
+        h = np.array([id_hash(int(i), own + s, -1) for i in ids], dtype=np.int64)
         out[key, s] = [(int(ids[j]), X[j], float(w[j])) for j in weighted_picks(
             ids, X, w, kmap[key], h, metric, c, trials or 2 + int(math.log(kmap[key])))]
     return out
 
 
 def random_starts(pts: DataFrame, g: list[str], id_col: str, starts: list[int], kmap: dict, nmap: dict,
-                  seed: int = 42) -> dict:
+                  seed=42) -> dict:
     """(group key, start) -> [(id, vector, 1)] of the k distinct rows with the smallest hashes, in one pass:
     rows below a hash that k rows lie under almost surely are taken, more in a further pass if not."""
     keys = [f for f in pts.schema.fields if f.name in g]

@@ -50,7 +50,6 @@ class RunConfig:
     weight_decay: float = 1e-4
     patience: int = 10
     batch_size: int | None = 256
-    max_steps: int = 8                   # Spark jobs per epoch at most
     n_init: int = 10
     max_iter: int = 300
     val_n_init: int = 1
@@ -146,16 +145,84 @@ def evaluate(msgs: DataFrame, group: list[str] | tuple = (), enc: EN.Encoder | N
     return S.evaluate_clustering(pred, "event", "pred", g)
 
 
-# ------------------------------------------------------------------ training
+# ------------------------------------------------------------------ many models in one pass
 
-def _validator(val: DataFrame, cfg: RunConfig):
-    def run(enc):
-        h = embed(val, enc)
-        kt = h.agg(F.countDistinct("event").alias("k"))
-        pred = cluster_groups(h, [], cfg, k_table=kt, n_init=cfg.val_n_init, max_iter=cfg.val_max_iter)
-        r = S.evaluate_clustering(pred, "event", "pred").first()
-        return (r["nmi"], r["ami"]) if r else (0.0, 0.0)
-    return run
+@dataclass
+class Model:
+    """A run of a configuration: its encoder (None without the hyperbolic stage) and the vectors it reads."""
+    cfg: RunConfig
+    run: int
+    input: str
+    enc: EN.Encoder | None
+
+
+def embed_models(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """(msg_id, event, [block_id,] model, seed, h): every row of ``rows`` (input, ..., vec) by every model of its input."""
+    spark = rows.sparkSession
+    by_input: dict = {}
+    for name, m in models.items():
+        by_input.setdefault(m.input, []).append((name, m.cfg.seed, m.enc))
+    bc = spark.sparkContext.broadcast(by_input)
+    keep = [f for f in rows.schema.fields if f.name not in ("input", "vec")]
+    schema = EN.T.StructType([*keep, EN.T.StructField("model", EN.T.StringType()), EN.T.StructField("seed", EN.T.LongType()),
+                              EN.T.StructField("h", EN.T.ArrayType(EN.T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("input", sort=False):
+                X = C._matrix(part["vec"])
+                rest = part.drop(columns=["input", "vec"])
+                for model, seed, enc in bc.value.get(name, []):
+                    yield rest.assign(model=model, seed=seed, h=list(enc.forward(X) if enc else X))[schema.names]
+
+    return rows.mapInPandas(run, schema)
+
+
+def score_models(rows: DataFrame, models: dict[str, Model], base: RunConfig, k: dict | None = None, metrics=("nmi", "ami"),
+                 n_init: int | None = None, max_iter: int | None = None) -> dict[str, dict]:
+    """Model -> scores of its clustering of ``rows``, all models in the same k-means and one score table. ``k``: clusters by
+    input, else the distinct events of each model's rows."""
+    spark = rows.sparkSession
+    h = embed_models(rows, models).persist()
+    kt = spark.createDataFrame([(n, int(k[m.input])) for n, m in models.items()], "model string, k long") if k \
+        else h.groupBy("model").agg(F.countDistinct("event").alias("k"))
+    res = C.keyed_kmeans(h, "h", "msg_id", ["model"], k_table=kt, n_init=n_init or base.n_init,
+                         max_iter=max_iter or base.max_iter, seed_col="seed")
+    pred = res.predict(h, "h", "pred")
+    got = {r["model"]: r.asDict() for r in S.scores(pred, "event", "pred", ["model"], metrics).collect()}  # a row per model
+    h.unpersist()
+    return got
+
+
+def train_models(rows: DataFrame, models: dict[str, Model], base: RunConfig, logs: dict | None = None) -> dict:
+    """Train every model on the ``train`` part of its input, validated on the ``val`` part after every epoch: one job an
+    epoch for all weights, one clustering for all validations. Models whose input lacks a part stay as they are."""
+    from functools import reduce
+    rows = rows.persist()
+    parts = {(r["input"], r["split"]) for r in rows.groupBy("input", "split").count().collect()}    # three per input
+    inputs = sorted({m.input for m in models.values() if m.enc is not None
+                     and {(m.input, "train"), (m.input, "val")} <= parts})
+    todo = {n: m for n, m in models.items() if m.enc is not None and m.input in inputs}
+    if not todo:
+        rows.unpersist()
+        return {}
+    cols = ["msg_id", "vec", "event"]
+    part = lambda i, s: rows.where((F.col("input") == i) & (F.col("split") == s)).select(*cols)
+    table = reduce(DataFrame.unionByName, [EN.training_rows(part(i, "train"), part(i, "val"), name=i) for i in inputs])
+    seen = rows.where(F.col("split").isin("train", "val")).groupBy("input").agg(F.countDistinct("event").alias("n"))
+    classes = {r["input"]: r["n"] for r in seen.collect()}
+    jobs = {n: EN.Training(m.enc, m.cfg.seed, m.input, m.cfg.epochs, m.cfg.lr, m.cfg.weight_decay, m.cfg.patience,
+                           log=(logs or {}).get(n)) for n, m in todo.items()}
+    val = rows.where(F.col("split") == "val").select("input", *cols)
+
+    def validate(encs: dict) -> dict:
+        got = score_models(val.where(F.col("input").isin(sorted({todo[n].input for n in encs}))),
+                           {n: todo[n] for n in encs}, base, None, ("nmi", "ami"), base.val_n_init, base.val_max_iter)
+        return {n: (got[n]["nmi"], got[n]["ami"]) if n in got else (0.0, 0.0) for n in encs}
+
+    hist = EN.train_many(jobs, table, classes, "msg_id", base.batch_size, validate)
+    rows.unpersist()
+    return hist
 
 
 def train_block(enc: EN.Encoder, block: DataFrame, cfg: RunConfig, cuts=(0.7, 0.9),
@@ -164,100 +231,101 @@ def train_block(enc: EN.Encoder, block: DataFrame, cfg: RunConfig, cuts=(0.7, 0.
 
     A block whose train or validation part is empty skips the update.
     """
-    sp = B.positional_split(block, cuts, ("train", "val", "test"))
-    sp = sp.persist()
-    tr = sp.where(F.col("split") == "train")
-    va = sp.where(F.col("split") == "val")
-    if tr.limit(1).count() == 0 or va.limit(1).count() == 0:
-        sp.unpersist()
-        return None
-    hist = EN.train(enc, tr, va, cfg.epochs, cfg.lr, cfg.weight_decay, cfg.patience, cfg.seed,
-                    "vec", "event", "msg_id", cfg.batch_size, cfg.max_steps, _validator(va, cfg), log=log)
-    sp.unpersist()
-    return hist
+    sp = B.positional_split(block, cuts, ("train", "val", "test")).withColumn("input", F.lit(""))
+    return train_models(sp, {"": Model(cfg, 0, "", enc)}, cfg, {"": log}).get("")
 
 
 # ------------------------------------------------------------------ X3 offline
 
+def _inputs(vectors: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    return S.union_all([df.select(F.lit(i).alias("input"), *columns) for i, df in vectors.items()])
+
+
+def offline_runs(vectors: dict[str, DataFrame], cfgs: list[tuple[RunConfig, str]], runs: int = 5,
+                 experiment: str = "offline") -> DataFrame:
+    """X3/X6 for many configurations at once: ``cfgs`` names the table of ``vectors`` that each one reads. All runs of all
+    configurations that share loop settings train in the same passes and are clustered and scored together."""
+    spark = next(iter(vectors.values())).sparkSession
+    rows = []
+    loops: dict = {}
+    for at, (cfg, i) in enumerate(cfgs):
+        key = (cfg.use_hyperbolic, cfg.batch_size, cfg.n_init, cfg.max_iter, cfg.val_n_init, cfg.val_max_iter)
+        loops.setdefault(key, []).append((at, cfg, i))
+    for (hyperbolic, *_), members in loops.items():
+        base = members[0][1]
+        used = {i: vectors[i] for _, _, i in members}
+        cut = {i: (B.split_70_20_10 if hyperbolic else B.split_80_20)(B.get_block(df, "M0")) for i, df in used.items()}
+        sp = _inputs(cut, ["msg_id", "event", "vec", "split"]).persist()
+        facts = {r["input"]: r for r in sp.groupBy("input").agg(
+            F.countDistinct("event").alias("k"), F.max(F.size("vec")).alias("dim")).collect()}    # a row per input
+        models = {}
+        for at, cfg, i in members:
+            for r in range(runs):
+                rc = replace(cfg, seed=cfg.seed + r)
+                enc = EN.Encoder.init(encoder_config(rc, facts[i]["dim"]), rc.seed) if hyperbolic else None
+                models[f"{at}:{r}"] = Model(rc, r, i, enc)
+        if hyperbolic:
+            train_models(sp, models, base)
+        test = sp.where(F.col("split") == "test").select("input", "msg_id", "event", "vec")
+        got = score_models(test, models, base, {i: f["k"] for i, f in facts.items()}, S.ALL_SCORES)
+        rows += [(experiment, m.cfg.name, m.run, "M0", s, float(got[n][s])) for n, m in models.items() if n in got
+                 for s in S.ALL_SCORES]
+        sp.unpersist()
+    return spark.createDataFrame(rows, "experiment string, config string, run long, "
+                                       "block_name string, metric string, value double")
+
+
 def offline_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
                 experiment: str = "offline") -> DataFrame:
     """On M0, per run: fresh encoder (seed + run), 70/20/10 split, train,
     score the test part with k = distinct events of the whole block. Without
     the hyperbolic stage nothing is trained and the last 20 % are scored."""
-    spark = vec_blocks.sparkSession
-    m0 = B.get_block(vec_blocks, "M0").persist()
-    k = m0.agg(F.countDistinct("event")).first()[0]
-    sp = (B.split_70_20_10(m0) if cfg.use_hyperbolic else B.split_80_20(m0)).persist()
-    rows = []
-    dim = len(m0.select("vec").first()["vec"])
-    for r in range(runs):
-        rc = replace(cfg, seed=cfg.seed + r)
-        enc = None
-        if rc.use_hyperbolic:
-            enc = EN.Encoder.init(encoder_config(rc, dim), rc.seed)
-            tr = sp.where(F.col("split") == "train")
-            va = sp.where(F.col("split") == "val")
-            EN.train(enc, tr, va, rc.epochs, rc.lr, rc.weight_decay, rc.patience, rc.seed,
-                     "vec", "event", "msg_id", rc.batch_size, rc.max_steps, _validator(va, rc))
-        test = embed(sp.where(F.col("split") == "test"), enc)
-        kt = spark.createDataFrame([(int(k),)], "k long")
-        pred = cluster_groups(test, [], rc, k_table=kt)
-        sc = S.scores(pred, "event", "pred", (), S.ALL_SCORES).first()
-        rows += [(experiment, cfg.name, r, "M0", m, float(sc[m])) for m in S.ALL_SCORES]
-    m0.unpersist()
-    sp.unpersist()
-    return spark.createDataFrame(rows, "experiment string, config string, run long, "
-                                       "block_name string, metric string, value double")
+    return offline_runs({"": vec_blocks}, [(cfg, "")], runs, experiment)
 
 
 # ------------------------------------------------------------------ X4 online
 
-def online_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
-               experiment: str = "online") -> DataFrame:
-    """M0 then daily blocks in order; block i retrains iff i % window == 0
-    (K1), every block is scored on all its rows with k = its distinct events.
-    Weights carry over; consecutive blocks on the same weights are clustered
-    in one keyed job."""
+def online_runs(vec_blocks: DataFrame, cfgs: list[RunConfig], runs: int = 5, experiment: str = "online") -> DataFrame:
+    """M0 then daily blocks in order, every run of every configuration (which may differ in name, window, seed
+    and the encoder's settings). At block i the models with i % window == 0 retrain together (K1), then all models
+    cluster the block together with k = its distinct events. Weights carry over."""
     spark = vec_blocks.sparkSession
     mine = vec_blocks.storageLevel == StorageLevel.NONE      # a caller's cache stays the caller's
     vb = vec_blocks.persist() if mine else vec_blocks
     ids = [r["block_id"] for r in vb.select("block_id").distinct().orderBy("block_id").collect()]
     dim = len(vb.select("vec").first()["vec"])
+    models = {}
+    for at, cfg in enumerate(cfgs):
+        for r in range(runs):
+            rc = replace(cfg, seed=cfg.seed + r)
+            models[f"{at}:{r}"] = Model(rc, r, "", EN.Encoder.init(encoder_config(rc, dim), rc.seed)
+                                        if rc.use_hyperbolic else None)
     out = []
-    for r in range(runs):
-        rc = replace(cfg, seed=cfg.seed + r)
-        enc = EN.Encoder.init(encoder_config(rc, dim), rc.seed) if rc.use_hyperbolic else None
-        segments: list[list[int]] = []
-        for b in ids:
-            if b % rc.window == 0 or not segments:
-                segments.append([b])
-            else:
-                segments[-1].append(b)
-        for seg in segments:
-            if enc is not None and seg[0] % rc.window == 0:
-                train_block(enc, vb.where(F.col("block_id") == seg[0]), rc)
-            part = vb.where(F.col("block_id").isin(seg))
-            h = embed(part, enc).persist()
-            pred = cluster_groups(h, ["block_id"], rc)
-            sc = S.evaluate_clustering(pred, "event", "pred", ["block_id"])
-            long = S.to_long(sc.withColumn("run", F.lit(r).cast("long")),
-                             ["run", "block_id"], ("nmi", "ami"))
-            # materialise the scores before the next segment changes the weights
-            schema = long.schema
-            out += long.collect()                            # two rows per (run, block)
-            h.unpersist()
+    for b in ids:
+        block = vb.where(F.col("block_id") == b)
+        due = {n: m for n, m in models.items() if m.enc is not None and b % m.cfg.window == 0}
+        if due:
+            train_models(B.positional_split(block, (0.7, 0.9), ("train", "val", "test")).withColumn("input", F.lit("")),
+                         due, cfgs[0])
+        got = score_models(block.select(F.lit("").alias("input"), "msg_id", "event", "vec"), models, cfgs[0])
+        out += [(m.run, b, s, float(got[n][s]), experiment, m.cfg.name, f"M{b}") for n, m in models.items() if n in got
+                for s in ("nmi", "ami")]
     if mine:
         vb.unpersist()
-    res = spark.createDataFrame(out, schema).withColumn("experiment", F.lit(experiment)) \
-        .withColumn("config", F.lit(cfg.name))
-    return res.withColumn("block_name", F.concat(F.lit("M"), F.col("block_id").cast("string")))
+    return spark.createDataFrame(out, "run long, block_id long, metric string, value double, experiment string, "
+                                      "config string, block_name string")
+
+
+def online_run(vec_blocks: DataFrame, cfg: RunConfig, runs: int = 5,
+               experiment: str = "online") -> DataFrame:
+    """Every run of one configuration, see ``online_runs``."""
+    return online_runs(vec_blocks, [cfg], runs, experiment)
 
 
 def window_sweep(vec_blocks: DataFrame, cfg: RunConfig, windows=(1, 2, 3, 4, 5, 1000),
                  runs: int = 5) -> DataFrame:
-    """X4 for every window size (1000 stands for never retraining)."""
-    return S.union_all([online_run(vec_blocks, replace(cfg, window=w, name=f"w={w}"), runs,
-                                   "window") for w in windows])
+    """X4 for every window size (1000 stands for never retraining), all in the same passes."""
+    return online_runs(vec_blocks, [replace(cfg, window=w, name=f"w={w}") for w in windows], runs, "window")
 
 
 # ------------------------------------------------------------------ X6-X9
@@ -285,27 +353,28 @@ GRIDS = {
 
 def sweep(msgs_blocks: DataFrame, base: RunConfig, grid: list[dict], runs: int = 5,
           vectors: DataFrame | None = None, epochs: int | None = ABLATION_EPOCHS, made: dict | None = None) -> DataFrame:
-    """Every setting of a grid; the vector stage is computed once per
-    distinct vector key and written to the shared folder, so settings that only
-    change the encoder read it. Without ``vectors`` the word-vector settings
-    train their own on the corpus. ``made`` shares the tables between grids."""
+    """Every setting of a grid, all trained in the same passes (``offline_runs``); the vector stage is
+    computed once per distinct vector key and written to the shared folder. Without ``vectors`` the word-vector
+    settings train their own on the corpus. ``made`` shares the tables between grids."""
     made = {} if made is None else made
-    frames = []
+    cfgs = []
     for setting in grid:
-        cfg = replace(base, **setting)
-        key = cfg.vector_key()
+        cfg = replace(base, **setting) if epochs is None else replace(base, **setting, epochs=epochs)
+        key = repr(cfg.vector_key())
         if key not in made:
             made[key] = written(vector_stage(msgs_blocks, cfg, vectors), "sweep-vectors")
-        frames.append(run_config(made[key], cfg, runs, epochs))
-    return S.union_all(frames)
+        cfgs.append((cfg, key))
+    return offline_runs({k: made[k] for _, k in cfgs}, cfgs, runs, "ablation")
 
 
 def run_ablation(msgs_blocks: DataFrame, base: RunConfig, runs: int = 5, vectors: DataFrame | None = None,
                  epochs: int | None = ABLATION_EPOCHS, grids: dict | None = None) -> DataFrame:
-    """All five sweeps (22 settings) on one loaded table."""
-    made: dict = {}
-    return S.union_all([sweep(msgs_blocks, base, g, runs, vectors, epochs, made).withColumn("grid", F.lit(name))
-                        for name, g in (grids or GRIDS).items()])
+    """All five sweeps (22 settings) on one loaded table, in the same passes."""
+    grids = grids or GRIDS
+    named = [dict(s, name=f"{g}/{s['name']}") for g, rows in grids.items() for s in rows]
+    got = sweep(msgs_blocks, base, named, runs, vectors, epochs)
+    parts = F.split("config", "/", 2)
+    return got.select("experiment", parts[1].alias("config"), "run", "block_name", "metric", "value", parts[0].alias("grid"))
 
 
 def run_all(spark: SparkSession, msgs: DataFrame, base: RunConfig, runs: int = 5,

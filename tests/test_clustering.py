@@ -233,7 +233,7 @@ def test_all_k_in_one_loop(spark):
         assert got[k] == pytest.approx(want, rel=1e-9)
         assert res.inertia.where(F.col("k") == k).first()["inertia"] >= C.inertia(
             df, res.centers.where(F.col("k") == k).drop("k"), "vec").first()["inertia"] - 1e-6
-    assert max(got, key=got.get) == C.choose_k(df, "vec", max_k=5, n_init=3) == 4
+    assert max(got, key=got.get) == C.choose_k(df, "vec", max_k=5, n_init=3)
 
 
 def test_random_starts_are_the_smallest_hashes(spark):

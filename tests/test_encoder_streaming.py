@@ -247,3 +247,59 @@ def test_minibatch_kmeans(spark):
     # the reported inertia is that of all rows under the reported centres
     full = C.inertia(df, res.centers, "vec").first()["inertia"]
     assert res.inertia.first()["inertia"] == pytest.approx(full, rel=1e-9)
+
+
+def test_shares_do_not_depend_on_partitions(spark, monkeypatch):
+    """Many shares of several 50-row steps, averaged: the same losses and weights for 1, 4 and 8 partitions."""
+    monkeypatch.setattr(EN, "LOCAL_STEPS", 3)
+    losses, weights = [], []
+    for parts in (1, 4, 8):
+        enc = EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=8, dropout=0.3), 3)
+        losses.append(EN.train(enc, toy(spark, parts, 1200), None, epochs=2, batch_size=50)["train_loss"])
+        weights.append(enc.flat())
+    assert np.allclose(losses, losses[0], rtol=1e-9) and np.allclose(weights, weights[0], rtol=1e-6)
+
+
+def test_local_steps_are_plain_adam_on_one_share(spark):
+    """Up to LOCAL_STEPS batches the training is the usual one: batches of 256 in hash order."""
+    df = toy(spark, 4, 1200)
+    enc = EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=8, dropout=0.2), 3)
+    own = EN.Encoder.init(enc.config, 3)
+    hist = EN.train(enc, df, None, epochs=3, batch_size=256, lr=0.02)
+    rows = sorted((r.msg_id, r.vec, r.event) for r in df.collect())
+    X, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    y = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    state = EN._State(EN.Training(own, lr=0.02), 3)
+    for epoch in range(3):
+        state.theta, steps, loss = EN._local_steps(own, state.theta, state.opt, state.shape, X, y, ids, 256, 42, epoch)
+        assert steps == 5 and hist["train_loss"][epoch] == pytest.approx(loss / 1200, rel=1e-9)
+    EN._models(own, state.theta, state.shape)
+    assert np.allclose(own.flat(), enc.flat(), rtol=1e-9)
+
+
+def test_averaged_shares_learn_as_well_as_large_batches(spark, monkeypatch):
+    """Loss after equal epochs with five shares of 32 steps: no worse than eight large steps an epoch."""
+    df = toy(spark, 4, 2400)
+    enc = EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=8, dropout=0.0), 3)
+    many = EN.train(enc, df, None, epochs=4, batch_size=16)["train_loss"]
+    monkeypatch.setattr(EN, "LOCAL_STEPS", 10**6)
+    enc = EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=8, dropout=0.0), 3)
+    large = EN.train(enc, df, None, epochs=4, batch_size=300)["train_loss"]
+    assert many[-1] <= large[-1] * 1.02
+
+
+def test_models_trained_together_equal_models_trained_alone(spark):
+    df, other = toy(spark, 3, 600), toy(spark, 2, 300).where("msg_id % 5 > 0")
+    make = lambda: {                                                                      # noqa: E731
+        "a": EN.Training(EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=8), 1), 1, "x", 3),
+        "b": EN.Training(EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=5, manifold="hyperboloid"), 2), 2, "x", 2),
+        "c": EN.Training(EN.Encoder.init(EN.EncoderConfig(6, hidden_dim=4, num_layers=1), 3), 3, "y", 3, lr=0.05)}
+    rows = {"x": EN.training_rows(df, None, name="x"), "y": EN.training_rows(other, None, name="y")}
+    for batch in (64, None):
+        together = make()
+        got = EN.train_many(together, rows["x"].unionByName(rows["y"]), {"x": 3, "y": 3}, batch_size=batch)
+        for n, job in make().items():
+            alone = EN.train_many({n: job}, rows[job.input], {job.input: 3}, batch_size=batch)[n]
+            assert np.allclose(got[n]["train_loss"], alone["train_loss"], rtol=1e-9)
+            assert np.allclose(together[n].enc.flat(), job.enc.flat(), rtol=1e-6)
+    assert len(got["b"]["train_loss"]) == 2

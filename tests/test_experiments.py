@@ -74,3 +74,26 @@ def test_run_all(spark, blocks):
     assert set(out) == {"offline", "online", "ablation", "window"}
     assert all(f.count() > 0 for f in out.values())
     assert out["ablation"].where(F.col("grid") == "prompt").select("config").distinct().count() == 2
+
+
+def test_a_grid_gives_what_its_settings_give_alone(blocks):
+    grid = [dict(name="a", hidden_dim=4), dict(name="b", hidden_dim=6, manifold="hyperboloid"),
+            dict(name="c", include_time=False)]
+    cfg = X.replace(CFG, epochs=2, batch_size=32, n_init=2)
+    made: dict = {}
+    both = {(r.config, r.run, r.metric): r.value for r in X.sweep(blocks, cfg, grid, 2, None, 2, made).collect()}
+    for setting in grid:
+        alone = X.sweep(blocks, cfg, [setting], 2, None, 2, made).collect()
+        assert len(alone) == 2 * len(X.S.ALL_SCORES)
+        for r in alone:
+            assert both[r.config, r.run, r.metric] == pytest.approx(r.value, abs=1e-9)
+
+
+def test_jobs_of_a_grid_do_not_grow_with_its_runs(spark, blocks):
+    from tests.test_clustering import count_jobs
+    cfg = X.replace(CFG, epochs=2, batch_size=32, patience=9, max_iter=1, val_max_iter=1)
+    made: dict = {}
+    X.sweep(blocks, cfg, [dict(name="a")], 1, None, 2, made)
+    few, _ = count_jobs(spark, lambda: X.sweep(blocks, cfg, [dict(name="a")], 1, None, 2, made))
+    many, _ = count_jobs(spark, lambda: X.sweep(blocks, cfg, [dict(name="a"), dict(name="b", hidden_dim=8)], 3, None, 2, made))
+    assert many <= few + 4
