@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 #: Pieces that a task remembers at most (then it starts afresh), and the longest one it remembers.
-MOST_KNOWN = 600_000
+MOST_KNOWN = 400_000
 LONGEST_KNOWN = 200
 #: Where a part between spaces is empty or ends in white space.
 _JOINED = re.compile(r"(?:^|\s)(?: |$)")

@@ -269,11 +269,13 @@ def document_scores(postings: DataFrame, counts: DataFrame) -> DataFrame:
     (the pairs' document counts over its links)."""
     kind = postings.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    scored = (postings.where("pair is not null").select("block", "pair", "planes")
-              .join(counts.select("pair", F.col("n_docs").alias("held"), "best"), "pair"))
+    posted = postings.where("pair is not null")
+    # only (block, pair) meets the counts; the bitmaps move once, to their block
+    scored = posted.select("block", "pair").join(counts.select("pair", F.col("n_docs").alias("held"), "best"), "pair")
     rows = postings.where("doc is not null").select(
         "block", "doc", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    both = rows.unionByName(scored.select("block", "planes", "held", "best"), allowMissingColumns=True)
+    both = (rows.unionByName(posted.select("block", "pair", "planes"), allowMissingColumns=True)
+            .unionByName(scored.select("block", "pair", "held", "best"), allowMissingColumns=True))
 
     def one_block(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -288,8 +290,11 @@ def document_scores(postings: DataFrame, counts: DataFrame) -> DataFrame:
             wide = np.int64 if pa.types.is_large_binary(planes.type) else np.int32
             off = np.frombuffer(off, wide)[planes.offset:planes.offset + len(planes) + 1].astype(np.int64)
             flat = np.frombuffer(raw, "<u2", count=off[-1] // 2)
-            held = posted["held"].to_numpy()
-            best = posted["best"].to_numpy(zero_copy_only=False).astype(np.int64)
+            found = t.filter(t["held"].is_valid())
+            order = np.argsort(found["pair"].to_numpy())
+            order = order[np.searchsorted(found["pair"].to_numpy()[order], posted["pair"].to_numpy())]
+            held = found["held"].to_numpy()[order]
+            best = found["best"].to_numpy(zero_copy_only=False).astype(np.int64)[order]
             for r, d, weight in unpack_planes(flat, off):
                 np.add.at(total, d, held[r] * weight)
                 np.add.at(good, d, best[r] * weight)
