@@ -1,8 +1,10 @@
 """Word and shingle hashes of whole Arrow string batches, in numpy.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes, ASCII letters lower-cased.
-A word's hash is a polynomial over its bytes modulo 2**64, taken from one
-running sum over the batch, so no Python object is made per word.
+A word's hash joins two polynomials over its bytes, modulo two primes of 31 bits, taken
+from running sums over the batch, so no Python object is made per word. Modulo a power of two
+such a sum has words that collide for every base; modulo a prime, two words
+of n bytes collide for at most n bases of 2**31.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ import pyarrow as pa
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTE = np.arange(1, 257, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]                      # A-Z hash as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
+#: Two primes below 2**31 with a base and its inverse for each.
+_MODULI = [(2147483647, 1481840749), (2147483629, 1913547023)]
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_POWERS: list = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
+#: Bytes whose products with powers can be added up without a remainder: 2**8 * 2**31 * 2**24 < 2**64.
+_PLAIN = 1 << 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,18 +33,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _powers_of(b: int, p: int, n: int) -> np.ndarray:
+    """b**0 .. b**(n-1) modulo p, by doubling."""
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k:k + m] = out[:m] * _U(pow(b, k, p)) % _U(p)
+        k += m
+    return out
+
+
 def _powers(n: int):
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
+    """For each modulus, n powers at least of its base and of the inverse."""
     global _POWERS
-    if len(_POWERS[0]) < n:
-        made = []
-        for b in (_BASE, _BASE_INV):
-            p = np.full(n, _U(b))
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+    if len(_POWERS[0][0]) < n:
+        made = [(_powers_of(b, p, n), _powers_of(pow(b, -1, p), p, n)) for p, b in _MODULI]
         if n > 1 << 22:                           # one very long text: do not keep it
-            return tuple(made)
-        _POWERS = tuple(made)
+            return made
+        _POWERS = made
     return _POWERS
 
 
@@ -95,10 +106,16 @@ def words(raw: np.ndarray, off: np.ndarray, parts: np.ndarray = _SPACE, cuts: np
     after[-1] = True
     after[:-1] = space[1:]
     end = np.flatnonzero(solid & (after | cut[1:])) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
-    h = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    both = []
+    value = _BYTE[raw]
+    for (p, _), (up, down) in zip(_MODULI, _powers(n + 1)):
+        total = np.zeros(n + 1, np.uint64)
+        terms = value * up[:n]
+        if n > _PLAIN:
+            terms %= _U(p)
+        np.cumsum(terms, out=total[1:])
+        both.append((total[end] - total[begin]) % _U(p) * down[begin] % _U(p))
+    h = mix(mix(both[0] << _U(31) | both[1]) + (end - begin).astype(np.uint64))
     return h, begin, end, np.searchsorted(begin, off)
 
 

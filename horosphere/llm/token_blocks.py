@@ -113,14 +113,38 @@ _LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) != "'" for b in range(256)])
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _told_apart(low: np.ndarray, begin: np.ndarray, end: np.ndarray, one: np.ndarray, place: np.ndarray):
+    """``one`` and ``place`` (first piece of every hash, hash of every piece) after the bytes of
+    pieces with equal hashes are compared: those that differ from the first become hashes of their own."""
+    rep = one[place]
+    n = end - begin
+    other = n != n[rep]
+    n = np.where(other, 0, n)
+    at = np.cumsum(n) - n
+    step = np.arange(int(n.sum()))
+    differ = low[np.repeat(begin - at, n) + step] != low[np.repeat(begin[rep] - at, n) + step]
+    if differ.any():
+        other[np.repeat(np.arange(len(n)), n)[differ]] = True
+    if other.any():
+        new = np.flatnonzero(other)
+        place = place.copy()
+        place[new] = len(one) + np.arange(len(new))
+        one = np.concatenate([one, new])
+    return one, place
+
+
 class WordEncoder:
     """Ids of whole texts, each distinct piece of a batch looked up once.
 
     The lower-casing word tokenizer parts text at white space and between ASCII
     letters and ASCII marks (but for the apostrophe, which can belong to a
     contraction), and a piece's ids do not depend on its neighbours or on ASCII case.
-    So a batch is cut there in numpy, its distinct pieces are found by a 64-bit
-    hash, encoded by the tokenizers library unless remembered (at most KNOWN, then
+    So a batch is cut there in numpy, its distinct pieces are found by a hash
+    and a comparison of their bytes, encoded by the tokenizers library unless remembered (at most KNOWN, then
     afresh), and the ids are gathered back. Texts with a special token's string
     and all texts of a tokenizer of another make are encoded whole.
     """
@@ -202,6 +226,7 @@ class WordEncoder:
                 out += [np.zeros(0, np.uint32)] * (hi - lo)
                 continue
             _, one, place = np.unique(h, return_index=True, return_inverse=True)
+            one, place = _told_apart(_LOWER[b], begin, end, one, place)
             text = bytes(b).lower()                              # ASCII letters only
             ids = self._ids([text[x:y] for x, y in zip(begin[one].tolist(), end[one].tolist())])
             size = np.array([len(i) // 4 for i in ids])
