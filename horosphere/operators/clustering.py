@@ -726,6 +726,22 @@ def _fit(points, vec, id_col, g, k, k_table, n_init, max_iter, tol, seed, init,
     return KMeansResult(frame(centers), frame(prev), inert, g, metric, c)
 
 
+def start_centers(points: DataFrame, k: int, vec: str = "vec", id_col: str = "msg_id", seed: int = 42,
+                  metric: str = "euclidean", c: float = 1.0, trials: int | None = None) -> DataFrame:
+    """(cluster, id, weight, center): the rows that k-means|| starts from, best first, and how many rows each one
+    stood for among all candidates. ``trials``: draws per pick, by default 2 + ln k."""
+    pts = pack_vectors(points.select(id_col, vec), vec, "_xb").persist()
+    facts = _facts(pts, [], id_col, [0], seed)
+    rows = []
+    for key, f in facts.items():
+        found = scalable_starts(pts, [], id_col, {(key, 0): f[2][0]}, {key: min(k, f[0])}, metric, c, seed, trials=trials)
+        rows = [(j, i, w, x.tolist()) for j, (i, x, w) in enumerate(found[key, 0])]
+    pts.unpersist()
+    return points.sparkSession.createDataFrame(rows, T.StructType([
+        T.StructField("cluster", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("weight", T.DoubleType()),
+        T.StructField("center", T.ArrayType(T.DoubleType()))]))
+
+
 def kmeans_by_k(points: DataFrame, ks: list[int], vec: str = "vec", id_col: str = "msg_id", n_init: int = 10,
                 max_iter: int = 300, tol: float = 1e-4, seed: int = 42, init: str = "k-means||") -> KMeansResult:
     """K-means for every k of ``ks`` in one loop over one copy of the vectors, keyed by (k, start). The

@@ -425,6 +425,19 @@ def q_block_kmeans_predict(spark, sf):
     return res.predict(pts, "vec").groupBy("block_id", "pred").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def q_kmeans_seeded(spark, sf):
+    """The eight rows that k-means|| starts from, with the rows each one stands for."""
+    s = C.start_centers(emb(spark, sf), 8, "v", "vec_id", trials=1)
+    return s.select("cluster", "vec_id", F.col("weight").cast("bigint").alias("weight"))
+
+
+def q_silhouette_by_k(spark, sf):
+    """Silhouettes for the first k label means as centres, k = 2..9, all in two passes."""
+    cen = label_centroids(spark, sf).select("cluster", "center")
+    many = cen.withColumn("k", F.explode(F.sequence(F.lit(2).cast("bigint"), F.lit(9).cast("bigint")))).where(F.col("cluster") < F.col("k"))
+    return C.silhouette_by_k(emb(spark, sf), many, "v").select("k", "clusters", r6(F.col("silhouette")).alias("silhouette"))
+
+
 # ---------------------------------------------------------------- M
 
 def emb_pairs(spark, sf):
@@ -711,7 +724,8 @@ def queries() -> dict:
         "nearest_center": q_nearest_center, "hyperbolic_assign": q_hyperbolic_assign,
         "hyperbolic_lloyd_2steps": q_hyperbolic_lloyd_2steps,
         "block_kmeans_centers": q_block_kmeans_centers, "block_kmeans_inertia": q_block_kmeans_inertia,
-        "block_kmeans_predict": q_block_kmeans_predict, "inertia": q_inertia,
+        "block_kmeans_predict": q_block_kmeans_predict, "kmeans_seeded": q_kmeans_seeded,
+        "silhouette_by_k": q_silhouette_by_k, "inertia": q_inertia,
         "inertia_by_k": q_inertia_by_k, "elbow_k": q_elbow_k,
         "silhouette_squared": q_silhouette_squared, "cluster_sizes": q_cluster_sizes,
         "contingency": q_contingency,

@@ -266,6 +266,57 @@ lng AS (SELECT run, block_id, block_name, 'nmi' AS metric, nmi AS value FROM rs
         UNION ALL SELECT run, block_id, block_name, 'ami', ami FROM rs)"""
 
 
+def _seeded_sql(k: int, seed: int = 42, oversample: int = 4) -> str:
+    """k-means|| from one row: two rounds of draws by md5, weights by the nearest candidate, k weighted picks."""
+    bits = lambda rnd: f"CAST('0x' || substr(md5(vec_id || ':{seed}:{rnd}'), 1, 15) AS BIGINT)"
+    u = lambda rnd: f"({bits(rnd)}::DOUBLE + 0.5) / {1 << 60}::DOUBLE"                            # noqa: E731
+    p = 2147483647
+    sql = f"""
+    WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    f AS MATERIALIZED (SELECT * FROM e ORDER BY {u(0)}, vec_id LIMIT 1),
+    d0 AS MATERIALIZED (SELECT e.*, list_distance(e.v, f.v) ** 2 AS d FROM e, f),
+    s1 AS MATERIALIZED (SELECT vec_id, v FROM d0 WHERE {u(1)} < {oversample * k} / (SELECT sum(d) FROM d0) * d),
+    d1 AS MATERIALIZED (SELECT d0.vec_id, any_value(d0.v) AS v,
+                               least(any_value(d0.d), coalesce(min(list_distance(d0.v, s1.v) ** 2), 1e300)) AS d
+                        FROM d0 LEFT JOIN s1 ON true GROUP BY d0.vec_id),
+    s2 AS MATERIALIZED (SELECT vec_id, v FROM d1 WHERE {u(2)} < {oversample * k} / (SELECT sum(d) FROM d1) * d),
+    pool AS (SELECT 0 AS r, * FROM f UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2),
+    own AS (SELECT e.vec_id, arg_min(pool.vec_id, (list_distance(e.v, pool.v), pool.r, pool.vec_id)) AS c FROM e, pool GROUP BY ALL),
+    n0 AS MATERIALIZED (SELECT vec_id, v, weight, h % {p} AS a, h // {p} AS b, 1.0::DOUBLE AS near
+      FROM (SELECT vec_id, v, weight, {bits(-1)} AS h FROM pool JOIN (SELECT c, count(*) AS weight FROM own GROUP BY c) ON c = vec_id))"""
+    for t in range(k):
+        x = f"((a + {(t + 1) * 40503}) % {p})"
+        pick = f"((({x} * {x}) % {p} * 48271 + b) % {p} + 0.5) / {p}::DOUBLE"
+        near = "z.d" if t == 0 else "least(near, z.d)"
+        sql += f""",
+    p{t} AS MATERIALIZED (SELECT {t}::BIGINT AS cluster, vec_id, weight, v FROM n{t} WHERE near > 0
+                          ORDER BY -ln({pick}) / (weight * near), vec_id LIMIT 1),
+    n{t + 1} AS MATERIALIZED (SELECT vec_id, v, weight, a, b, CASE WHEN vec_id = z.i THEN 0 ELSE {near} END AS near
+      FROM (SELECT n.*, p.vec_id AS i, list_distance(n.v, p.v) ** 2 AS d FROM n{t} n, p{t} p) z)"""
+    return sql + " UNION ALL ".join(f" SELECT cluster, vec_id, weight::BIGINT AS weight FROM p{t}" for t in range(k))
+
+
+def _silhouette_by_k_sql() -> str:
+    """Nearest of the first k label means; mean squared distances between rows, pair by pair."""
+    return """
+    WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    m AS (SELECT label::BIGINT AS cluster, list(x ORDER BY i) AS c FROM (
+            SELECT label, i, avg(v[i]) AS x FROM e, generate_series(1, 64) t(i) GROUP BY ALL) GROUP BY label),
+    p AS MATERIALIZED (
+      SELECT k, vec_id, v, arg_min(cluster, (list_distance(v, c), cluster)) AS pred
+      FROM e, m, generate_series(2, 9) s(k) WHERE cluster < k GROUP BY ALL),
+    s AS (SELECT k, pred, count(*) AS n FROM p GROUP BY ALL),
+    d AS (SELECT a.k, a.vec_id, a.pred, b.pred AS other, sum(list_distance(a.v, b.v) ** 2) AS t
+          FROM p a JOIN p b ON a.k = b.k GROUP BY ALL),
+    x AS (SELECT d.k, vec_id, s.n AS own,
+                 sum(CASE WHEN d.pred = other THEN t / greatest(s.n - 1, 1) END) AS a,
+                 min(CASE WHEN d.pred <> other THEN t / o.n END) AS b
+          FROM d JOIN s ON s.k = d.k AND s.pred = d.pred JOIN s o ON o.k = d.k AND o.pred = other GROUP BY ALL)
+    SELECT x.k::BIGINT AS k, (SELECT count(*) FROM s WHERE s.k = x.k) AS clusters,
+           round(avg(CASE WHEN own <= 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+    FROM x GROUP BY x.k"""
+
+
 def oracle_sql() -> dict:
     q: dict = {}
     q["load_clean"] = f"""WITH {MSGS} SELECT msg_id, created_at, event, doc_id,
@@ -421,6 +472,9 @@ def oracle_sql() -> dict:
     q["block_kmeans_predict"] = blk + f""", a3 AS {_near('c2')}
         SELECT block_id, cluster AS pred, count(*) AS rows FROM a3 GROUP BY ALL"""
 
+    q["kmeans_seeded"] = _seeded_sql(8)
+    q["silhouette_by_k"] = _silhouette_by_k_sql()
+
     # ---- scores
     emb_pairs = f"WITH {NEAREST}, pairs AS (SELECT CAST(label AS BIGINT) AS y_true, pred AS y_pred FROM nearest)"
     q["contingency"] = emb_pairs + " SELECT y_true, y_pred, count(*) AS n_ij FROM pairs GROUP BY ALL"
