@@ -46,6 +46,24 @@ def block_stats(blocks: DataFrame, approx: bool = False) -> DataFrame:
                  F.count(F.lit(1)).alias("num_messages"), nd.alias("num_events")))
 
 
+def block_sketches(blocks: DataFrame, bits: int = 12) -> DataFrame:
+    """B2 in a form that merges: times, messages and an HLL sketch of the events (2**bits registers, relative error
+    about 1.04 / 2**(bits / 2), 1.6 % by default) of every block, one row to store per block."""
+    return (blocks.groupBy("block_id", "block_name", "is_offline")
+            .agg(F.min("created_at").alias("start_ts"), F.max("created_at").alias("end_ts"),
+                 F.count(F.lit(1)).alias("num_messages"),
+                 F.hll_sketch_agg(F.col("event").cast("string"), bits).alias("events")))
+
+
+def merged_stats(sketches: DataFrame, *by) -> DataFrame:
+    """B2/B3 of any union of stored blocks: start, end and messages exactly, distinct events by merged
+    sketches, per value of ``by`` (columns of the stored rows, e.g. the week of ``start_ts``) or in all. No message is read."""
+    return (sketches.groupBy(*by)
+            .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
+                 F.sum("num_messages").alias("num_messages"), F.hll_union_agg("events").alias("events"))
+            .withColumn("num_events", F.hll_sketch_estimate("events")).drop("events"))
+
+
 def table_stats(msgs: DataFrame) -> DataFrame:
     """Messages, distinct events and date range of the whole table."""
     return msgs.agg(F.count(F.lit(1)).alias("num_messages"),

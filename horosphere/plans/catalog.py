@@ -26,7 +26,7 @@ from horosphere.operators import results as R
 from horosphere.operators import scores as S
 from horosphere.operators import text as TX
 from horosphere.operators import vectorize as V
-from horosphere.session import cut_lineage
+from horosphere.session import cut_lineage, written
 from horosphere.sources.messages import messages_from_tables, standardize
 
 HASH_DIM = 64
@@ -92,6 +92,21 @@ def q_block_stats(spark, sf):
     return B.block_stats(blocks(spark, sf))
 
 
+def q_block_sketches(spark, sf):
+    """B2/B3 from stored sketches: blocks, weeks and the whole table, against the exact numbers of distinct events."""
+    b = blocks(spark, sf)
+    stored = written(B.block_sketches(b), "block-sketches")
+    week = F.date_trunc("week", F.col("start_ts")).cast("date")
+    scopes = [("block", F.col("block_id").cast("string")), ("week", week.cast("string")), ("total", F.lit("all"))]
+    got = S.union_all([B.merged_stats(stored.withColumn("part", c), "part").withColumn("scope", F.lit(n)) for n, c in scopes])
+    own = b.join(stored.select("block_id", F.col("start_ts").alias("_s")), "block_id")
+    exact = S.union_all([own.withColumn("start_ts", F.col("_s")).select(c.alias("part"), "event").groupBy("part")
+                         .agg(F.countDistinct("event").alias("exact")).withColumn("scope", F.lit(n)) for n, c in scopes])
+    near = F.abs(F.col("num_events") - F.col("exact")) <= 0.05 * F.col("exact")
+    return got.join(exact, ["scope", "part"]).select("scope", "part", "start_ts", "end_ts", "num_messages",
+                                                     F.col("exact").alias("num_events"), near.alias("within_5_percent"))
+
+
 def q_table_stats(spark, sf):
     return B.table_stats(msgs(spark, sf, False))
 
@@ -705,7 +720,7 @@ def q_stream_assign(spark, sf):
 def queries() -> dict:
     q = {
         "load_clean": q_load_clean, "block_assign": q_block_assign,
-        "block_stats": q_block_stats, "table_stats": q_table_stats,
+        "block_stats": q_block_stats, "block_sketches": q_block_sketches, "table_stats": q_table_stats,
         "block_table_stats": q_block_table_stats, "block_fetch": q_block_fetch,
         "label_encode": q_label_encode, "label_encode_union": q_label_encode_union,
         "split_config": q_split_config, "split_70_20_10": q_split_70_20_10,

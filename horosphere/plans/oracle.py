@@ -325,6 +325,11 @@ def oracle_sql() -> dict:
     q["block_stats"] = f"""WITH {BLOCKS} SELECT block_id, block_name, is_offline,
         min(created_at) AS start_ts, max(created_at) AS end_ts, count(*) AS num_messages,
         count(DISTINCT event) AS num_events FROM blocks GROUP BY ALL"""
+    q["block_sketches"] = f"""WITH {BLOCKS}, b AS (SELECT *, min(created_at) OVER (PARTITION BY block_id) AS s FROM blocks),
+        p AS (SELECT 'block' AS scope, block_id::VARCHAR AS part, * FROM b
+              UNION ALL SELECT 'week', date_trunc('week', s)::DATE::VARCHAR, * FROM b UNION ALL SELECT 'total', 'all', * FROM b)
+        SELECT scope, part, min(created_at) AS start_ts, max(created_at) AS end_ts, count(*) AS num_messages,
+               count(DISTINCT event) AS num_events, TRUE AS within_5_percent FROM p GROUP BY ALL"""
     q["table_stats"] = f"""WITH {MSGS} SELECT count(*) AS num_messages,
         count(DISTINCT event) AS num_events, min(created_at) AS first_ts,
         max(created_at) AS last_ts FROM msgs"""

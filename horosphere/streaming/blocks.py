@@ -4,7 +4,8 @@
   are dense, so the block counter is the block id.
 * K4 daily blocks on a live stream: event-time windows of one day with a
   watermark; a day is emitted once the watermark passes its end (append
-  mode), rows later than the watermark are dropped.
+  mode), rows later than the watermark are dropped. Distinct events are counted by one
+  state row per (day, event), or kept as a sketch that merges.
 * K5 online assignment: new rows go to the current centres (broadcast),
   stateless, so it runs per micro-batch.
 * K2/K3 blocks on a stream: a ``foreachBatch`` driver closes M0 and then daily
@@ -14,10 +15,9 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, time, timedelta
 from typing import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +49,27 @@ def daily_counts(stream: DataFrame, ts_col: str = "ts", key: str = "event_type",
 
 
 def daily_stats(stream: DataFrame, ts_col: str = "ts", event: str = "event_type",
-                delay: str = "1 hour") -> DataFrame:
-    """K4: first and last time, rows and distinct events of every closed day."""
-    x = stream.withColumn("_t", F.col(ts_col).cast("timestamp"))
-    return (x.withWatermark("_t", delay).groupBy(F.window("_t", "1 day"))
-            .agg(F.min("_t").alias("start_ts"), F.max("_t").alias("end_ts"), F.count(F.lit(1)).alias("num_messages"),
-                 F.size(F.collect_set(event)).cast("long").alias("num_events"))
-            .select(F.to_date(F.col("window.start")).alias("day"), F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
-                    F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "num_messages", "num_events"))
+                delay: str = "1 hour", exact: bool = True, id_bits: int = 12) -> DataFrame:
+    """K4: first and last time, rows and distinct events of every closed day.
+
+    ``exact``: one state row per (day, event) counts its rows; a second window over those that close gives the day,
+    so no state row grows with the number of events. Else a day keeps one HLL sketch of 2**``id_bits`` registers,
+    which is the column ``events`` and can be merged later (``blocks.merged_stats``)."""
+    x = stream.withColumn("_t", F.col(ts_col).cast("timestamp")).withWatermark("_t", delay)
+    first, last = F.min("_t").alias("start_ts"), F.max("_t").alias("end_ts")
+    rows = F.count(F.lit(1)).alias("num_messages")
+    if exact:
+        per = x.groupBy(F.window("_t", "1 day"), F.col(event).alias("_e")).agg(first, last, rows)
+        day = per.groupBy(F.window(F.window_time("window"), "1 day").alias("window")).agg(
+            F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("num_messages").alias("num_messages"),
+            F.count("_e").alias("num_events"))                       # a null event is none
+        more = ["num_events"]
+    else:
+        day = x.groupBy(F.window("_t", "1 day")).agg(
+            first, last, rows, F.hll_sketch_agg(F.col(event).cast("string"), id_bits).alias("events"))
+        more = [F.hll_sketch_estimate("events").alias("num_events"), "events"]
+    return day.select(F.to_date(F.col("window.start")).alias("day"), F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
+                      F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "num_messages", *more)
 
 
 def _run_to_table(spark: SparkSession, q: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -88,9 +101,10 @@ def stream_daily_counts(spark: SparkSession, folder: str, files: str | None = No
 
 
 def stream_daily_stats(spark: SparkSession, folder: str, files: str | None = None,
-                       delay: str = "1 hour") -> DataFrame:
+                       delay: str = "1 hour", exact: bool = True) -> DataFrame:
     """K4 end to end: block statistics of closed days."""
-    return _run_to_table(spark, daily_stats(_source(spark, folder, EVENT_SCHEMA, files), delay=delay), "daily-stats")
+    return _run_to_table(spark, daily_stats(_source(spark, folder, EVENT_SCHEMA, files), delay=delay, exact=exact),
+                         "daily-stats")
 
 
 def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str = "embedding",
@@ -108,16 +122,21 @@ def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str
 
 
 STAGED = "day"
+_STATE = ("first timestamp_ntz, seen timestamp_ntz, m0_end timestamp_ntz, block long, upto date, late long, undated long, "
+          "days array<struct<day:date,first:timestamp_ntz,last:timestamp_ntz,n:long,epochs:array<long>>>")
+
+
+def _state(spark: SparkSession, workdir: str, epoch: int) -> dict:
+    """What the batches up to ``epoch`` left: one row, no larger than the days in flight."""
+    if epoch < 0:
+        return {"first": None, "seen": None, "m0_end": None, "block": None, "upto": None, "late": 0, "undated": 0, "days": []}
+    return spark.read.schema(_STATE).parquet(f"{workdir}/state/epoch={epoch}").first().asDict(True)
 
 
-def _listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A state table; empty where nothing was written yet. Other read errors are raised."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def stream_state(spark: SparkSession, workdir: str) -> DataFrame:
+    """State after every batch of ``process_closed_blocks``: M0's end, last closed block and day, rows left out as
+    late or undated so far, days in flight (column ``epoch`` from the path)."""
+    return spark.read.schema(_STATE + ", epoch long").parquet(f"{workdir}/state")
 
 
 def process_closed_blocks(stream: DataFrame, process_block: Callable[[DataFrame, int, str], DataFrame | None],
@@ -129,61 +148,80 @@ def process_closed_blocks(stream: DataFrame, process_block: Callable[[DataFrame,
     event time seen minus ``delay``).
 
     State lives on shared storage under ``workdir``: every micro-batch's rows go
-    to ``rows/epoch=<id>/day=<date>`` (overwritten when an epoch is replayed),
-    their days and times to ``days/epoch=<id>``, the rows of every closed block to its own
-    result, and one row per finished block to ``done/block=<id>`` (overwritten,
-    so a block repeated after a failure between result and mark is the
-    same block with the same rows: its result replaces the first one). What
-    ``process_block`` returns, if anything, is written to ``metrics/block=<id>``. A block
-    reads its own days only. Rows whose day (or M0's span) is closed when they
-    arrive are late and are left out, as with an event-time watermark.
-    Returns the streaming query handle.
+    to ``rows/epoch=<id>/day=<date>`` (overwritten when an epoch is replayed), and one row to ``state/epoch=<id>``: the
+    state of the epoch before it carried on by this batch - M0's end, the last closed block, and for every day in flight its
+    times, rows and the epochs that hold it. A batch reads that row and its own rows, and a closed block
+    the folders of its own days, so the work does not grow with the age of the stream. What
+    ``process_block`` returns, if anything, is written to ``metrics/block=<id>`` (a block repeated after a
+    failure is the same block with the same rows: its result replaces the first one). Rows whose day (or
+    M0's span) is closed when they arrive are late, rows without a time undated: both are left out and counted
+    in the state. Returns the streaming query handle.
     """
     spark = stream.sparkSession
-    wait = F.expr(f"INTERVAL {delay}")
-    stat = "day date, first timestamp_ntz, last timestamp_ntz, n long"
+    wait = _interval(spark, delay)
+    t = F.col(ts_col).cast("timestamp_ntz")
 
     def handler(batch: DataFrame, epoch: int) -> None:
-        t = F.col(ts_col).cast("timestamp_ntz")
-        rows = batch.withColumn(STAGED, F.to_date(t))
-        rows.write.mode("overwrite").partitionBy(STAGED).parquet(f"{workdir}/rows/epoch={epoch}")
-        (rows.groupBy(STAGED).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count(F.lit(1)).alias("n"))
-         .coalesce(1).write.mode("overwrite").parquet(f"{workdir}/days/epoch={epoch}"))
-        # one row per (epoch, day): the state the decisions need, bounded by the days in flight
-        days = spark.read.schema(stat + ", epoch long").parquet(f"{workdir}/days")
-        done = _listed(spark, f"{workdir}/done", "upto date, m0_end timestamp_ntz, block long")
-        last = done.agg(F.max("block").alias("b"), F.max("upto").alias("u"), F.min("m0_end").alias("e")).first()
-        seen = days.agg(F.min("first").alias("first"), (F.max("last") - wait).alias("wm")).first()
-        if seen["wm"] is None:
-            return
-        staged = spark.read.parquet(f"{workdir}/rows")
-
-        def finish(part: DataFrame, block: int, upto, m0_end) -> None:
-            got = process_block(part.drop("epoch", STAGED), block, f"M{block}")
+        old = _state(spark, workdir, epoch - 1)
+        batch.withColumn(STAGED, F.to_date(t)).write.mode("overwrite").partitionBy(STAGED).parquet(
+            f"{workdir}/rows/epoch={epoch}")
+        mine = spark.read.schema(batch.schema.add(STAGED, "date")).parquet(f"{workdir}/rows/epoch={epoch}")
+        late = F.lit(False)
+        if old["m0_end"] is not None:
+            late = (F.col(STAGED) <= F.lit(old["upto"])) | (t < F.lit(old["m0_end"]))
+        new = (mine.groupBy(STAGED, late.alias("late")).agg(F.min(t).alias("first"), F.max(t).alias("last"),
+                                                            F.count(F.lit(1)).alias("n")).collect())  # rows per day
+        days = {d["day"]: d for d in old["days"]}
+        state = dict(old)
+        for r in new:
+            if r[STAGED] is None:
+                state["undated"] += r["n"]
+            elif r["late"]:
+                state["late"] += r["n"]
+                state["seen"] = max(x for x in (state["seen"], r["last"]) if x is not None)
+            else:
+                d = days.get(r[STAGED]) or {"day": r[STAGED], "first": r["first"], "last": r["last"], "n": 0, "epochs": []}
+                days[r[STAGED]] = {"day": d["day"], "first": min(d["first"], r["first"]), "last": max(d["last"], r["last"]),
+                                   "n": d["n"] + r["n"], "epochs": [*d["epochs"], epoch]}
+                state["first"] = min(x for x in (state["first"], r["first"]) if x is not None)
+                state["seen"] = max(x for x in (state["seen"], r["last"]) if x is not None)
+
+        def finish(part: DataFrame, block: int) -> None:
+            got = process_block(part, block, f"M{block}")
             if got is not None:
                 got.write.mode("overwrite").parquet(f"{workdir}/metrics/block={block}")
-            spark.createDataFrame([(upto, m0_end)], "upto date, m0_end timestamp_ntz").write.mode("overwrite") \
-                .parquet(f"{workdir}/done/block={block}")
-
-        m0_end, block, upto = last["e"], last["b"], last["u"]
-        if m0_end is None:
-            m0_end = seen["first"] + timedelta(days=offline_days)
-            if m0_end > seen["wm"]:
-                return
-            upto = (m0_end - timedelta(microseconds=1)).date() - timedelta(days=1)
-            finish(staged.where((F.col(STAGED) <= F.lit(m0_end.date())) & (t < F.lit(m0_end))), 0, upto, m0_end)
-            block = 0
-        closed = (days.where(F.col("day") > F.lit(upto)).groupBy("day").agg(F.max("last").alias("last"))
-                  .where((F.date_add("day", 1).cast("timestamp_ntz") <= F.lit(seen["wm"])) & (F.col("last") >= F.lit(m0_end)))
-                  .orderBy("day").collect())
-        for r in closed:
-            block += 1
-            finish(staged.where((F.col(STAGED) == F.lit(r["day"])) & (t >= F.lit(m0_end))), block, r["day"], m0_end)
+
+        def staged(some: list) -> DataFrame:
+            return spark.read.schema(batch.schema).parquet(
+                *[f"{workdir}/rows/epoch={e}/{STAGED}={d['day']}" for d in some for e in d["epochs"]])
+
+        if state["seen"] is not None:
+            mark = state["seen"] - wait
+            if state["m0_end"] is None and state["first"] + timedelta(days=offline_days) <= mark:
+                end = state["m0_end"] = state["first"] + timedelta(days=offline_days)
+                finish(staged([d for d in days.values() if d["first"] < end]).where(t < F.lit(end)), 0)
+                state["block"], state["upto"] = 0, (end - timedelta(microseconds=1)).date() - timedelta(days=1)
+                days = {k: d for k, d in days.items() if d["last"] >= end}
+            if state["m0_end"] is not None:
+                for day in sorted(days):
+                    if datetime.combine(day, time()) + timedelta(days=1) > mark:
+                        break
+                    state["block"] += 1
+                    finish(staged([days[day]]).where(t >= F.lit(state["m0_end"])), state["block"])
+                    state["upto"] = day
+                    del days[day]
+        state["days"] = [days[k] for k in sorted(days)]
+        spark.createDataFrame([tuple(state[f.name] for f in T._parse_datatype_string(_STATE).fields)], _STATE).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{workdir}/state/epoch={epoch}")
 
     return (stream.writeStream.option("checkpointLocation", f"{workdir}/ckpt")
             .foreachBatch(handler).trigger(availableNow=True).start())
 
 
+def _interval(spark: SparkSession, text: str) -> timedelta:
+    return spark.sql(f"SELECT CAST(INTERVAL {text} AS INTERVAL DAY TO SECOND)").first()[0]
+
+
 def block_metrics(spark: SparkSession, workdir: str) -> DataFrame:
     """K3: the metrics of all finished blocks (column ``block`` from the path)."""
     return spark.read.parquet(f"{workdir}/metrics")

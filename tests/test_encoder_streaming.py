@@ -303,3 +303,41 @@ def test_models_trained_together_equal_models_trained_alone(spark):
             assert np.allclose(got[n]["train_loss"], alone["train_loss"], rtol=1e-9)
             assert np.allclose(together[n].enc.flat(), job.enc.flat(), rtol=1e-6)
     assert len(got["b"]["train_loss"]) == 2
+
+
+def test_stream_state_stays_small_and_counts_what_is_left_out(spark, tmp_path):
+    """A batch reads the state of the one before it: days in flight only, late and undated rows counted."""
+    from horosphere.streaming.blocks import process_closed_blocks, stream_state
+    src, work = str(tmp_path / "src"), str(tmp_path / "work")
+    schema = "msg_id long, created_at timestamp_ntz, event string"
+    start = dt.datetime(2024, 1, 1, 15)
+    for k in range(14):                                  # a file a day, four messages each
+        rows = [(4 * k + j, start + dt.timedelta(days=k, hours=5 * j), "e") for j in range(4)]
+        rows += [(1000, start, "late"), (1001, None, "none")] if k == 12 else []
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    seen = {}
+
+    def process(rows, block, name):
+        seen[block] = sorted(r.msg_id for r in rows.collect())
+
+    replayed(spark, src, work, process, spark.createDataFrame([], schema).schema, delay="1 hour")
+    states = stream_state(spark, work).orderBy("epoch").collect()
+    assert len(states) == 14 and max(len(s.days) for s in states[8:]) <= 3
+    assert (states[-1].late, states[-1].undated) == (1, 1)
+    m0_end = start + dt.timedelta(days=7)
+    assert seen[0] == [i for i in range(56) if start + dt.timedelta(days=i // 4, hours=5 * (i % 4)) < m0_end]
+    assert sorted(seen) == list(range(len(seen))) and states[-1].block == len(seen) - 1
+    told = [i for b in seen.values() for i in b]
+    assert len(told) == len(set(told)) and max(told) >= 44 and 1000 not in told and 1001 not in told
+
+
+def test_daily_sketches_merge(spark):
+    from horosphere.operators.blocks import merged_stats
+    from horosphere.streaming.blocks import stream_daily_stats
+    sf = SF["0.001"]
+    exact = {r.day: r for r in stream_daily_stats(spark, sf, "events.parquet").collect()}
+    drawn = stream_daily_stats(spark, sf, "events.parquet", exact=False).cache()
+    assert {r.day: (r.num_messages, r.num_events, r.start_ts) for r in drawn.collect()} == \
+        {d: (r.num_messages, r.num_events, r.start_ts) for d, r in exact.items()}
+    all_ = merged_stats(drawn).first()
+    assert all_["num_events"] == 5 and all_["num_messages"] == sum(r.num_messages for r in exact.values())
