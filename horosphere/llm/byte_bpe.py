@@ -90,34 +90,32 @@ class ByteBpe:
                 end[i] = stop = end[mid]
                 tokens[i] = rank
                 waits[mid] = -2                  # no symbol begins there any more
+                back = False
                 if border[stop]:
-                    r = waits[i] = -1
+                    waits[i] = -1
                 else:
                     begin[stop] = i
-                    r = waits[i] = rank_of(data[i:end[stop]], -1)
-                least = rank + 1
-                if r >= 0:
-                    if r < least:
-                        least = r
-                    if r in buckets:
-                        buckets[r].append(i)
-                    else:
-                        buckets[r] = [i]
-                        words[r >> WORD] |= 1 << (r & LOW)
-                        top |= 1 << (r >> WORD)
+                    waits[i] = r = rank_of(data[i:end[stop]], -1)
+                    if r >= 0:
+                        try:
+                            buckets[r].append(i)
+                        except KeyError:
+                            buckets[r] = [i]
+                            words[r >> WORD] |= 1 << (r & LOW)
+                            top |= 1 << (r >> WORD)
+                        back = r <= rank
                 if not border[i]:
                     left = begin[i]
-                    r = waits[left] = rank_of(data[left:stop], -1)
+                    waits[left] = r = rank_of(data[left:stop], -1)
                     if r >= 0:
-                        if r < least:
-                            least = r
-                        if r in buckets:
+                        try:
                             buckets[r].append(left)
-                        else:
+                        except KeyError:
                             buckets[r] = [left]
                             words[r >> WORD] |= 1 << (r & LOW)
                             top |= 1 << (r >> WORD)
-                if least <= rank and done < len(bucket):       # an earlier merge has come up: the rest waits
+                        back = back or r <= rank
+                if back and done < len(bucket):  # an earlier merge has come up: the rest waits
                     if rank in buckets:
                         buckets[rank] += bucket[done:]
                     else:
