@@ -24,9 +24,20 @@ from horosphere.llm.token_blocks import token_blocks
 KEEP_SCORE = 0.15
 
 
+#: Column that names a row in the stages that take rows away.
+_ROW = "__row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of (doc_id, text) in front of a null or repeated doc_id: decisions are by row. Rows that
+    agree in both are the same document."""
+    return docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Trained on the
-    labels of ids outside the held-out fold; each row is judged by its text."""
+    labels of ids outside the held-out fold; each row is judged by its text alone, so rows with a null or
+    repeated doc_id are judged like any other (a null one has no label), and all copies of a text alike."""
     prepare(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda c: ~fold(c, 5, 0))
     return filter_quality(docs, model, KEEP_SCORE)
@@ -34,24 +45,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8):
-    the one with the least doc_id. Texts without words are no duplicates. Rows that repeat
-    doc_id and text are one document; a null doc_id stays."""
+    the one with the least doc_id. Texts without words are no duplicates. Decisions are by row: of rows that
+    share a doc_id each is compared by its own text, rows that repeat doc_id and text are one document; a null
+    doc_id stays."""
     prepare(spark)
-    part = kept(near_components(docs, width=5, num=80, den=100), "components")
-    docs = docs.join(part.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti") \
-        .select(docs.columns)
-    again = part.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return docs
-    twice = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
+    docs = _rows(docs)
+    own = docs.where("doc_id is not null").select(F.col(_ROW).alias("doc_id"), "text")
+    part = kept(near_components(own, width=5, num=80, den=100)
+                .select(F.col("doc_id").alias(_ROW), F.col("component_id").alias("c")), "components")
+    several = part.where(F.col("c") != F.col(_ROW)).select("c").distinct()
+    inside = part.join(several, "c", "left_semi").join(docs.select(_ROW, "doc_id"), _ROW)
+    first = inside.groupBy("c").agg(F.min(F.struct("doc_id", _ROW)).alias("m"))
+    gone = inside.join(first.select("c", F.col(f"m.{_ROW}").alias("stays")), "c").where(F.col(_ROW) != F.col("stays"))
+    docs = docs.join(gone.select(_ROW).distinct(), _ROW, "left_anti")
+    again = part.groupBy(_ROW).count().where("count > 1").select(_ROW)
+    if not again.isEmpty():
+        docs = docs.join(again, _ROW, "left_anti").unionByName(
+            docs.join(again, _ROW, "left_semi").dropDuplicates([_ROW]))
+    return docs.drop(_ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no stretch with a benchmark item."""
+    """Documents that share no stretch with a benchmark item. Decisions are by row: a null doc_id does not
+    save a row, and a clean row stays beside a leaked one of the same doc_id; copies share their fate."""
     prepare(spark)
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    docs = _rows(docs)
+    hits = contaminated(docs.select(F.col(_ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(hits.select(F.col("doc_id").alias(_ROW)).distinct(), _ROW, "left_anti").drop(_ROW)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +86,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The token files' documents, read back: doc_id, start, n_tokens, ids_crc32. Every row is a
+    document, in the order of (doc_id, nulls first, text); null texts count as empty."""
     prepare(spark)
     return token_blocks(docs, tokenizer_path())
 
