@@ -102,3 +102,22 @@ def test_odd_rows_and_empty_table(spark, odd, odd_rows, none):
     assert ids(near) == Counter([1, 2, 3, 4, 5, 8, 9, 10, 11, None, None])
     clash = docs_frame(spark, odd_rows).withColumnRenamed("n", "component_id")
     assert C.mixture(spark, clash, DIR).columns == clash.columns
+
+
+def test_decisions_are_by_row(spark):
+    """Null and repeated ids, names with dots: what a row's text says holds for that row alone."""
+    items = [r.text for r in table(spark, DIR, "benchmark").collect() if r.text]
+    leak = "some words before " + items[0] + " and after"
+    clean = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, leak, None, "a"), (1, clean, None, "a"), (None, leak, None, "a"), (None, clean + " x", None, "b"),
+            (2, " ".join(f"other{i}" for i in range(40)), None, "b"), (3, clean + " y", None, "b"), (2, leak + " z", None, "b")]
+    docs = docs_frame(spark, rows).withColumnRenamed("key", "a.b").withColumnRenamed("score", "c")
+    kept_rows = C.decontamination(spark, docs, DIR)
+    assert kept_rows.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept_rows.collect()) == sorted(
+        (i or 0, t) for i, t, *_ in rows if items[0] not in t)
+    near = C.near_duplicates(spark, docs, DIR)
+    assert near.columns == docs.columns
+    # 3 goes for the text it shares with 1, 2's leak for 1's; the other texts of 1 and 2 stay, and null ids
+    assert sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted(
+        (i or 0, t) for i, t, *_ in rows if (i, t) not in {(3, clean + " y"), (2, leak + " z")})
