@@ -40,8 +40,7 @@ CONSTANT_PAGES = 5     # pages of different contents from which unchanging text
 OTHER_WORDS = 0.1      # share of a slot's words that another slot must hold to tell contents apart
 MOST_WORDS = 0.6       # share of the host's words below the main region
 FEW_WORDS = 0.25       # share of the best region's words a page under which a class or id names no article
-SALTS = 32             # parts of a host with more than 1 / HEAVY of all pages
-HEAVY = 1000
+TEMPLATE_BYTES = 1 << 25   # templates of all hosts that are sent to every task
 
 # HTML's void, raw-text and inline elements and elements that close each other.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -386,14 +385,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"),
                         F.col("html").cast("string").alias("html"))
-    t = kept(templates(rows), "templates")
-    total = t.agg(F.sum("pages")).first()[0] or 0
-    # fewer than HEAVY hosts hold more than 1 / HEAVY of the pages each
-    heavy = t.where(F.col("pages") > total / HEAVY).select("host", F.lit(SALTS).alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    t = t.join(F.broadcast(heavy), "host", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("host", "salt", "region", "fixed", "refused")
-    dealt = rows.join(F.broadcast(heavy), "host", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("page_id"), parts).cast("int"))
-    return dealt.join(t, ["host", "salt"], "left").select("page_id", "url", "html", "region", "fixed", "refused").mapInArrow(
+    t = kept(templates(rows), "templates").select("host", "region", "fixed", "refused")
+    words = F.concat("region", "fixed", "refused")
+    size = t.agg(F.sum(F.length(F.array_join(words, "/")) + 64)).first()[0] or 0
+    # small templates go to the pages; beyond that both are joined by host, and large hosts are split by the
+    # bytes they hold (AQE's skewed join)
+    t = F.broadcast(t) if size <= TEMPLATE_BYTES else t
+    return rows.join(t, "host", "left").select("page_id", "url", "html", "region", "fixed", "refused").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")

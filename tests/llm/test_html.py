@@ -128,3 +128,15 @@ def test_copies_of_a_page_keep_their_text(spark):
         assert "Head" in got[i] and body in got[i], (i, got[i])
     for i in range(60):
         assert got[60 + i] == f"Head {i}\n\nBody text of page {i} is here with several more words\n\nAnd {i} more of it"
+
+
+def test_templates_of_any_size(spark, monkeypatch):
+    """Broadcast or joined, the same texts; small templates move no html."""
+    from horosphere.llm import html_extract as HX
+    pages = spark.read.parquet(SF["0.001"] + "/pages.parquet")
+    sent = HX.extract_pages(pages)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    want = sorted(map(tuple, sent.collect()))
+    monkeypatch.setattr(HX, "TEMPLATE_BYTES", -1)
+    assert sorted(map(tuple, HX.extract_pages(pages).collect())) == want
