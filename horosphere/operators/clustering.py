@@ -30,7 +30,7 @@ from horosphere.operators.seeding import by_group, one_job, random_starts, row_h
 from horosphere.session import collect_bounded, cut_lineage
 
 BROADCAST_CENTERS = 200_000   # centres sent to every task at once
-SALTS = 16                    # parts a group's points are dealt to when they are not
+PART_ROWS = 1 << 16           # points of a part when they are not: a group has as many parts as it needs
 
 
 # ------------------------------------------------------------------ numpy side
@@ -135,20 +135,28 @@ def assign_nearest(points: DataFrame, centers: DataFrame, vec: str = "vec",
 def _assign_streamed(points: DataFrame, centers: DataFrame, vec: str, g: list[str], cluster: str,
                      center_vec: str, metric: str, c: float, out: str, dist_out: str | None) -> DataFrame:
     """``assign_nearest`` for any number of centres: centres and points are
-    dealt by (group, salt) and sorted, centres first, so a task holds the
-    centres of one group at a time and streams that group's points past them."""
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dealt by (group, part) and sorted, centres first, so a task holds the
+    centres of one group at a time and streams points of that group past them. A group's points are dealt to
+    parts of some PART_ROWS rows, whatever its size; its centres go to each of them."""
+    number = F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("_parts")
+    parts = cut_lineage(points.groupBy(*g).agg(number))            # a row per group
+    own = points.columns
+    points = points.join(parts, g, "left") if g else points.crossJoin(F.broadcast(parts))
+    centers = centers.join(parts, g) if g else centers.crossJoin(F.broadcast(parts))
+    salts = F.sequence(F.lit(0), F.greatest(F.col("_parts"), F.lit(1)) - 1)
     dbl = lambda x: F.transform(x, lambda t: t.cast("double"))
-    row = F.struct(*[F.col(f"`{n}`") for n in points.columns])
+    fields = [points.schema[n] for n in own]
+    row = F.struct(*[F.col(f"`{n}`") for n in own])
     left = points.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(g)],
-                         F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int").alias("_salt"), F.lit(1).alias("_kind"),
+                         F.pmod(F.xxhash64(row), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int").alias("_salt"),
+                         F.lit(1).alias("_kind"),
                          F.lit(None).cast("bigint").alias("_cluster"), dbl(F.col(vec)).alias("_vec"), row.alias("_row"))
     right = centers.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(g)], F.explode(salts).alias("_salt"),
                            F.lit(0).alias("_kind"), F.col(cluster).cast("bigint").alias("_cluster"),
                            dbl(F.col(center_vec)).alias("_vec"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
     keys = [*[f"_g{i}" for i in range(len(g))], "_salt"]
     both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "_kind", "_cluster")
-    fields = list(points.schema.fields) + [T.StructField(out, T.LongType())]
+    fields += [T.StructField(out, T.LongType())]
     if dist_out:
         fields.append(T.StructField(dist_out, T.DoubleType()))
 

@@ -119,6 +119,7 @@ def test_many_centres_are_streamed(spark, monkeypatch):
         want = C.assign_nearest(pts, cen, "vec", ["g"], metric=metric, dist_out="d").collect()
         with monkeypatch.context() as m:
             m.setattr(C, "BROADCAST_CENTERS", 10)
+            m.setattr(C, "PART_ROWS", 30)
             got = C.assign_nearest(pts, cen, "vec", ["g"], metric=metric, dist_out="d").collect()
             solo = C.assign_nearest(pts.drop("g"), cen.where("g = 'g0'").drop("g").unionByName(
                 cen.where("g = 'g1'").drop("g").withColumn("cluster", F.col("cluster") + 10)), "vec").collect()
