@@ -75,9 +75,10 @@ def clamp_ball(m: np.ndarray, c: float = 1.0) -> np.ndarray:
 
 # ------------------------------------------------------------------ centres
 
-def _center_dict(centers: DataFrame, keys: list[str], cluster: str, vec: str) -> dict:
+def _center_dict(centers: DataFrame, keys: list[str], cluster: str, vec: str, bound: int | None = None) -> dict:
     tmp: dict = {}
-    for r in centers.select(*keys, cluster, vec).collect():    # counted or made by the caller
+    few = centers.select(*keys, cluster, vec)
+    for r in collect_bounded(few, bound, "centres") if bound else few.collect():    # else counted or made by the caller
         key = tuple(r[k] for k in keys)
         tmp.setdefault(key, []).append((r[cluster], np.asarray(r[vec], dtype=np.float64)))
     out = {}
@@ -203,12 +204,12 @@ def assign_views(points: DataFrame, centers: DataFrame, vec: str, group: list[st
     ``views``: name -> (first, end) coordinates to compare. ``over`` names a
     column of ``centers`` (e.g. run) whose every value is one clustering. Output:
     the other columns of ``points``, [over,] view, pred. Centres are few
-    (settings x groups x k) and broadcast.
+    (settings x groups x k) and broadcast, more than BROADCAST_CENTERS are refused.
     """
     spark = points.sparkSession
     table: dict = {}
     for (*key, o), v in _center_dict(centers.withColumn("_o", F.col(over) if over else F.lit(0)),
-                                     [*group, "_o"], cluster, center_vec).items():
+                                     [*group, "_o"], cluster, center_vec, BROADCAST_CENTERS).items():
         table.setdefault(tuple(key), {})[o] = v
     bc = spark.sparkContext.broadcast(table)
     keep = [f for f in points.schema.fields if f.name != vec]
@@ -330,7 +331,7 @@ def prefix_inertia(points: DataFrame, centers: DataFrame, vec: str = "vec",
     One pass: each task computes squared distances to all centres, a running
     minimum over the centre order, and partial sums per k; ``(k, inertia)``.
     """
-    cen = _center_dict(centers, [], cluster, center_vec)
+    cen = _center_dict(centers, [], cluster, center_vec, BROADCAST_CENTERS)
     bc = points.sparkSession.sparkContext.broadcast(cen.get((), (np.array([]), np.zeros((0, 0)))))
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("_sse", T.DoubleType())])
     x = points.select(F.transform(vec, lambda t: t.cast("double")).alias("_x"))
