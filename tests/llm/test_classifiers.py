@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from horosphere.llm.language_id import fit_language_model, identify_language
+from horosphere.llm.features import gram_counts
+from horosphere.llm.language_id import BITS, GRAMS, HEATS, fit_language_model, identify_language
 from horosphere.llm.quality_pu import estimate_prior, filter_quality, fit_quality, score_quality, train
 from horosphere.llm.tables import fold, table
 from tests.conftest import SF
@@ -96,3 +97,60 @@ def test_every_language_is_learned(spark):
     # fewer rows a language, but one at least, also with one row or without ids
     few = fit_language_model(docs.selectExpr("cast(null as long) as doc_id", "text", "lang"), per_lang=1)
     assert len(few.langs) == 70
+
+
+#: Sentences of languages that no document has.
+OTHERS = ["Wczoraj wieczorem poszliśmy do kina i obejrzeliśmy bardzo ciekawy film.",
+          "Ieri sera siamo andati al cinema e abbiamo visto un film molto bello.",
+          "Dün akşam sinemaya gittik ve çok güzel bir film izledik.",
+          "Eilen illalla menimme elokuviin ja katsoimme hyvin mielenkiintoisen elokuvan.",
+          "Вчера вечером мы пошли в кино и посмотрели очень интересный фильм.",
+          "Tegnap este moziba mentünk és egy nagyon érdekes filmet láttunk.",
+          "Igår kväll gick vi på bio och såg en mycket intressant film.",
+          "xkq zrv bnmt wqpl ghjk dfgh zxcv qwrt plmn kjhg"]
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = table(spark, SF["0.001"], "documents").where(~fold("doc_id", 4, 2))
+    models = [fit_language_model(docs.repartition(n)) for n in (1, 4, 7)]
+    for m in models[1:]:
+        assert np.array_equal(m.table, models[0].table) and np.array_equal(m.bias, models[0].bias)
+        assert (m.heat, m.least) == (models[0].heat, models[0].least)
+
+
+def test_language_rejection(spark):
+    """Learned languages are accepted, others are not, a score is about the share that is right, and the
+    temperature lies inside its grid."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = fit_language_model(docs.where(~fold("doc_id", 4, 2)))
+    assert HEATS[0] < model.heat < HEATS[-1] and 0 < model.least < 1
+    got = identify_language(docs.where(fold("doc_id", 4, 2)), model, fold("doc_id", 4, 2)).join(
+        docs.select("doc_id", "lang"), "doc_id").where("lang is not null").toPandas()
+    right = got.lang == got.lang_pred
+    assert right.mean() > 0.99 and got.accepted.mean() > 0.99 and right[got.accepted].mean() > 0.999
+    assert got.score[~right].mean() < 0.9 < got.score[right].mean()
+    sure = got.score >= 0.9
+    assert abs(right[sure].mean() - got.score[sure].mean()) < 0.05
+    others = spark.createDataFrame([(i, t) for i, t in enumerate(OTHERS)], "doc_id long, text string")
+    assert sum(r.accepted for r in identify_language(others, model, fold("doc_id", 4, 2)).collect()) == 0
+
+
+def test_language_scores_by_hand(spark):
+    """The score is the softmax of the mean of the subwords' logits, one subword after the other."""
+    docs = table(spark, SF["0.001"], "documents")
+    model = fit_language_model(docs)
+    some = docs.orderBy("doc_id").limit(5)
+    got = {r.doc_id: r for r in identify_language(some, model, fold("doc_id", 4, 2)).collect()}
+    for r in some.collect():
+        raw = r.text.lower().encode()
+        z, n = np.zeros(len(model.langs) + 1), 0
+        for size in GRAMS:
+            for i in range(len(raw) - size + 1):
+                gram = np.frombuffer(raw[i:i + size], np.uint8)
+                (_, c), = gram_counts(gram, np.array([0, size]), (size,), BITS)
+                z += model.table[int(c.argmax())]
+                n += 1
+        z = (z / n + model.bias) / model.heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id].lang_pred == model.langs[int(p[:-1].argmax())]
+        assert abs(got[r.doc_id].score - p[:-1].max()) < 1e-9
