@@ -717,6 +717,20 @@ def q_stream_assign(spark, sf):
     return stream_assign(spark, sf, cen, files="embeddings.parquet").select("vec_id", "pred")
 
 
+def q_stream_kmeans(spark, sf):
+    """The embeddings as a stream, label means of weight 20 as first centres, half forgotten at each batch."""
+    from horosphere.session import scratch_path
+    from horosphere.streaming.clusters import stream_centers, stream_kmeans
+    start = label_centroids(spark, sf).select("cluster", "center", F.lit(20.0).alias("weight"))
+    schema = read(spark, sf, "embeddings").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+           .select("vec_id", as_double("embedding").alias("v")))
+    work = scratch_path(spark, "stream-kmeans")
+    stream_kmeans(src, work, start, vec="v", id_col="vec_id", decay=0.5).awaitTermination()
+    got = stream_centers(spark, work)
+    return exploded(got, ["cluster", "weight"], "center")
+
+
 def queries() -> dict:
     q = {
         "load_clean": q_load_clean, "block_assign": q_block_assign,
@@ -760,6 +774,6 @@ def queries() -> dict:
         "encode_fixed_hyperboloid": _encoded(manifold="hyperboloid", c=0.5),
         "encode_euclidean_fixed": _encoded(euclidean=True),
         "update_rule": q_update_rule, "stream_daily_blocks": q_stream_daily_blocks,
-        "stream_daily_stats": q_stream_daily_stats, "stream_assign": q_stream_assign,
+        "stream_daily_stats": q_stream_daily_stats, "stream_assign": q_stream_assign, "stream_kmeans": q_stream_kmeans,
     }
     return q

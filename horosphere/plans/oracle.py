@@ -615,6 +615,13 @@ def oracle_sql() -> dict:
         FROM events WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
               <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1"""
     q["stream_assign"] = q["nearest_center"]
+    q["stream_kmeans"] = f"""WITH {NEAREST},
+        px AS (SELECT n.pred, unnest(range(len(e.v))) AS pos, unnest(e.v) AS x FROM nearest n JOIN e ON n.vec_id = e.vec_id),
+        ps AS (SELECT pred, pos, sum(x) AS s, count(*) AS n FROM px GROUP BY ALL),
+        cx AS (SELECT CAST(cluster AS BIGINT) AS cluster, unnest(range(len(center))) AS pos, unnest(center) AS x FROM lm)
+        SELECT cluster, CAST(10.0 + coalesce(n, 0) AS DOUBLE) AS weight, cx.pos AS pos,
+               round((10.0 * x + coalesce(s, 0)) / (10.0 + coalesce(n, 0)), 6) AS x
+        FROM cx LEFT JOIN ps ON cx.cluster = ps.pred AND cx.pos = ps.pos"""
     return q
 
 

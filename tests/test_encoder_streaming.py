@@ -341,3 +341,56 @@ def test_daily_sketches_merge(spark):
         {d: (r.num_messages, r.num_events, r.start_ts) for d, r in exact.items()}
     all_ = merged_stats(drawn).first()
     assert all_["num_events"] == 5 and all_["num_messages"] == sum(r.num_messages for r in exact.values())
+
+
+@pytest.mark.parametrize("metric,unit,decay", [("euclidean", "batches", 0.6), ("poincare", "points", 0.995)])
+def test_kmeans_on_a_stream(spark, tmp_path, metric, unit, decay):
+    """Centres after every batch = the formula in numpy; a replayed batch changes nothing; a centre without rows stays."""
+    from horosphere.operators.clustering import clamp_ball, pair_distances
+    from horosphere.streaming import clusters as K
+    rng = np.random.default_rng(6)
+    src, work = str(tmp_path / "src"), str(tmp_path / "work")
+    schema = "msg_id long, vec array<double>"
+    C, w = rng.normal(0, 0.2, (4, 3)), np.array([5.0, 0.0, 2.0, 1.0])
+    C[3] = 0.57                                          # far from all rows
+    start = spark.createDataFrame([(i, C[i].tolist(), float(w[i])) for i in range(4)], K.CENTERS)
+    want, batches = [], []
+    for e in range(4):
+        X = rng.normal(-0.1, 0.1, (40 + 10 * e, 3))
+        rows = [(1000 * e + i, x.tolist()) for i, x in enumerate(X)] + [(1000 * e + 999, None)]
+        batches.append(spark.createDataFrame(rows, schema))
+        batches[e].coalesce(1).write.mode("append").parquet(src)
+        near = pair_distances(X, C, metric).argmin(1)
+        d = decay if unit == "batches" else decay ** len(X)
+        for j in range(4):
+            m = (near == j).sum()
+            if m:
+                C[j] = (C[j] * w[j] * d + X[near == j].sum(0)) / (w[j] * d + m)
+                C[j] = clamp_ball(C[j:j + 1])[0] if metric == "poincare" else C[j]
+            w[j] = w[j] * d + m
+        want.append((C.copy(), w.copy()))
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(src)
+    K.stream_kmeans(stream, work, start, decay=decay, unit=unit, metric=metric).awaitTermination()
+    for e in range(4):
+        got = spark.read.schema(K.CENTERS).parquet(f"{work}/centers/epoch={e}").orderBy("cluster").collect()
+        assert np.allclose([r.center for r in got], want[e][0], atol=1e-9)
+        assert np.allclose([r.weight for r in got], want[e][1], atol=1e-9)
+    K._handler(work, start, None, "vec", "msg_id", decay, unit, metric, 1.0, 42)(batches[3], 3)     # again
+    got = K.stream_centers(spark, work).orderBy("cluster").collect()
+    assert np.allclose([r.center for r in got], want[3][0], atol=1e-9) and np.allclose(got[3].center, 0.57)
+
+
+def test_kmeans_on_a_stream_finds_its_own_starts(spark, tmp_path):
+    from horosphere.streaming import clusters as K
+    rng = np.random.default_rng(9)
+    src, work = str(tmp_path / "src"), str(tmp_path / "work")
+    middles = rng.normal(0, 20, (6, 4))
+    for e, n in enumerate((0, 3, 200, 200)):             # an empty batch, one with fewer rows than k
+        rows = [(1000 * e + i, (middles[i % 6] + rng.normal(0, 0.1, 4)).tolist()) for i in range(n)]
+        spark.createDataFrame(rows, "msg_id long, vec array<double>").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("msg_id long, vec array<double>").option("maxFilesPerTrigger", 1).parquet(src)
+    K.stream_kmeans(stream, work, k=6).awaitTermination()
+    got = K.stream_centers(spark, work).collect()
+    assert sorted(r.cluster for r in got) == list(range(6)) and sum(r.weight for r in got) == 403
+    with pytest.raises(ValueError):
+        K.stream_kmeans(stream, work)
