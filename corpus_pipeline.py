@@ -24,6 +24,9 @@ from horosphere.llm.token_blocks import token_blocks
 KEEP_SCORE = 0.15
 
 
+#: Benchmark items of fewer words are no evidence of a leak: a common word or phrase is in many clean documents.
+LEAST_ITEM = 4
+
 #: Column that names a row in the stages that take rows away.
 _ROW = "__row"
 
@@ -66,11 +69,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no stretch with a benchmark item. Decisions are by row: a null doc_id does not
+    """Documents that share no stretch with a benchmark item of LEAST_ITEM words or more. Decisions are by row: a null doc_id does not
     save a row, and a clean row stays beside a leaked one of the same doc_id; copies share their fate."""
     prepare(spark)
     docs = _rows(docs)
-    hits = contaminated(docs.select(F.col(_ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hits = contaminated(docs.select(F.col(_ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), LEAST_ITEM)
     return docs.join(hits.select(F.col("doc_id").alias(_ROW)).distinct(), _ROW, "left_anti").drop(_ROW)
 
 
