@@ -81,29 +81,28 @@ def _run_to_table(spark: SparkSession, q: DataFrame, name: str, mode: str = "app
     return spark.read.schema(q.schema).parquet(out)
 
 
-def _source(spark: SparkSession, folder: str, schema: T.StructType, files: str | None,
+def file_source(spark: SparkSession, folder: str, schema: T.StructType, files: str | None,
             files_per_trigger: int | None = None):
-    """File stream of ``folder``. Event-time windows need an instant: wall-clock (NTZ)
-    times are read in the session's time zone, which should be UTC."""
+    """File stream of ``folder``, or of what ``files`` names in it: a file, or a table of many files in a
+    folder of that name. Event-time windows need an instant: wall-clock (NTZ) times are read in the
+    session's time zone, which should be UTC."""
     r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    if files:
-        r = r.option("pathGlobFilter", files)
-    return r.parquet(folder)
+    return r.parquet(f"{folder}/{{{files}}}" if files else folder)      # a stream takes a single file by a pattern only
 
 
 def stream_daily_counts(spark: SparkSession, folder: str, files: str | None = None,
                         delay: str = "1 hour") -> DataFrame:
     """K4 end to end: stream Parquet files of a folder, write closed days to Parquet."""
-    src = _source(spark, folder, EVENT_SCHEMA, files)
+    src = file_source(spark, folder, EVENT_SCHEMA, files)
     return _run_to_table(spark, daily_counts(src, delay=delay), "daily")
 
 
 def stream_daily_stats(spark: SparkSession, folder: str, files: str | None = None,
                        delay: str = "1 hour", exact: bool = True) -> DataFrame:
     """K4 end to end: block statistics of closed days."""
-    return _run_to_table(spark, daily_stats(_source(spark, folder, EVENT_SCHEMA, files), delay=delay, exact=exact),
+    return _run_to_table(spark, daily_stats(file_source(spark, folder, EVENT_SCHEMA, files), delay=delay, exact=exact),
                          "daily-stats")
 
 
@@ -115,7 +114,7 @@ def stream_assign(spark: SparkSession, folder: str, centers: DataFrame, vec: str
         T.StructField("vec_id", T.LongType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("label", T.IntegerType())])
-    src = _source(spark, folder, sch, files)
+    src = file_source(spark, folder, sch, files)
     x = src.select("vec_id", F.transform(vec, lambda t: t.cast("double")).alias("v"))
     out = assign_nearest(x, centers, "v", out="pred")
     return _run_to_table(spark, out, "assign")
