@@ -121,8 +121,8 @@ def summarize(df: DataFrame, fn: Callable[..., pd.Series], text_col: str = "text
     repeated row by row for its own rows only; rows that fail again keep their text.
     """
     template = prompt_template(prompt_type, overrides)
-    x = df.withColumn("_prompt", build_prompt(text_col, template))
-    out_schema = T.StructType([f for f in x.schema.fields] + SUMMARY_FIELDS)
+    out_schema = T.StructType(df.schema.fields + SUMMARY_FIELDS)
+    names = out_schema.names
     given = {} if options is None else {"model": model, **options}
 
     def call(prompts: pd.Series) -> list:
@@ -144,14 +144,19 @@ def summarize(df: DataFrame, fn: Callable[..., pd.Series], text_col: str = "text
         return [r for i in range(len(prompts)) for r in timed(prompts.iloc[i:i + 1], texts.iloc[i:i + 1])]
 
     def run(batches):
-        for pdf in batches:
-            rows = [r for lo in range(0, len(pdf), call_rows)
-                    for r in timed(pdf["_prompt"].iloc[lo:lo + call_rows], pdf[text_col].iloc[lo:lo + call_rows])]
-            summary, ok, err, secs = zip(*rows) if rows else ([], [], [], [])
-            yield pdf.assign(summary=list(summary), model=model, success=list(ok), error=list(err),
-                             seconds=list(secs))
-
-    return x.mapInPandas(run, out_schema).drop("_prompt")
+        import pyarrow as pa
+        string = lambda x: pa.Array.from_pandas(pd.Series(x, dtype=object), type=pa.string())
+        for b in batches:
+            for lo in range(0, b.num_rows, call_rows):          # prompts and answers exist for one call at a time
+                part = b.slice(lo, call_rows)
+                texts = pd.Series(part.column(text_col).to_pylist(), dtype=object)
+                prompts = pd.Series([None if t is None else template.replace("{text}", t) for t in texts], dtype=object)
+                summary, ok, err, secs = zip(*timed(prompts, texts))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, string(summary), string([model] * len(ok)), pa.array(ok, pa.bool_()), string(err),
+                     pa.array(secs, pa.float64())], names)
+
+    return df.mapInArrow(run, out_schema)
 
 
 def summary_stats(summarized: DataFrame) -> DataFrame:
