@@ -23,6 +23,7 @@ from horosphere.functions.special import EPS64, with_ln_hypergeometric, xlogx
 from horosphere.session import cut_lineage
 
 EMI_PIECE = 4096      # terms of the expected mutual information in one generated piece
+EMI_TASKS = 4         # shares the pieces are dealt to, per core
 ALL_SCORES = ("nmi", "ami", "ari", "fmi", "v_measure", "homogeneity", "completeness")
 
 
@@ -81,9 +82,11 @@ def expected_mutual_info(a: DataFrame, b: DataFrame, totals: DataFrame, g: list[
     hi2 = F.least(hi, F.ceil(mean + w)).cast("bigint")
     # long ranges go out in pieces, and the pieces are dealt over the tasks
     first = F.col("lo") + F.col("piece") * EMI_PIECE
+    # their number is given: by their few bytes adaptive execution would put all pieces into one task
+    shares = EMI_TASKS * a.sparkSession.sparkContext.defaultParallelism
     pairs = (pairs.withColumn("lo", lo2).withColumn("hi", hi2).where("lo <= hi")
              .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(hi - lo) div {EMI_PIECE}"))))
-             .repartition(*g, "a", "b", "piece")
+             .repartition(shares, *g, "a", "b", "piece")
              .withColumn("nij", F.explode(F.sequence(first, F.least(F.col("hi"), first + (EMI_PIECE - 1))))))
     n = F.col("nij").cast("double")
     pairs = with_ln_hypergeometric(pairs.drop("lo", "hi", "piece"), "_lnp", n, A, B, N)
