@@ -16,14 +16,16 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.llm.pieces import Remembered, steps, whole_pieces
 
-#: Characters of text that a task encodes at a time, and bytes of matches that share a list.
-STEP = 4 << 20
-JOINT = 1 << 18
+#: Bytes of text that a task encodes or decodes at a time, and bytes of matches that share a list: a worker
+#: holds strings and lists of one step beside its Arrow batch.
+STEP = 1 << 20
+JOINT = 1 << 16
 #: A word of the rank bitmap has 2**WORD bits; one more word tells which words are filled.
 WORD = 8
 LOW = (1 << WORD) - 1
@@ -155,6 +157,11 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
+def _lengths(texts: pa.Array) -> list[int]:
+    """Bytes of each text (null: none), without making strings of them."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 _OPEN: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -165,6 +172,28 @@ def opened(path: str, pattern: str) -> ByteBpe:
     return _OPEN[path, pattern]
 
 
+def encoded_steps(bpe: ByteBpe, batches, key: str):
+    """(key, ids) of batches of (key, text), a step of texts at a time."""
+    for b in batches:
+        for lo, hi in steps(_lengths(b.column(1)), STEP):
+            ids = bpe.encode([t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=[key, "ids"])
+
+
+def decoded_steps(bpe: ByteBpe, batches, key: str):
+    """(key, ids, bytes) of batches of (key, ids), a step of ids at a time."""
+    for b in batches:
+        lists = b.column(1)
+        at = lists.offsets.to_numpy().tolist()               # null ids have no values
+        ids = lists.values.to_numpy()
+        for lo, hi in steps([4 * (y - x) for x, y in zip(at[:-1], at[1:])], STEP):
+            raw = [bpe.decode(ids[x:y]) for x, y in zip(at[lo:hi], at[lo + 1:hi + 1])]
+            yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(raw, pa.binary())],
+                                             names=[key, "ids", "bytes"])
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(``key``, ids) of every whole text of ``docs``: each match of ``pattern`` is merged
     separately by the ranks of the file at ``path`` (found on every machine), without special tokens.
@@ -172,14 +201,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", k
     A null text counts as empty and has no ids; null and repeated keys stay as they
     are, one row for each row; other columns are left out, an empty table gives none. Texts need no shuffle."""
     def run(batches):
-        bpe = opened(path, pattern)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in steps([len(t) for t in texts], STEP):
-                ids = bpe.encode(texts[lo:hi])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=[key, "ids"])
+        yield from encoded_steps(opened(path, pattern), batches, key)
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(
         run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
@@ -188,14 +210,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", k
 def decode_ids(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``encoded`` with the column ``bytes``: what the ids of every row stand for (null ids: none)."""
     def run(batches):
-        bpe = opened(path, pattern)
-        for b in batches:
-            lists = b.column(1)
-            at = lists.offsets.to_numpy().tolist()           # null ids have no values
-            ids = lists.values.to_numpy()
-            raw = [bpe.decode(ids[x:y]) for x, y in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())],
-                                             names=[key, "ids", "bytes"])
+        yield from decoded_steps(opened(path, pattern), batches, key)
 
     return encoded.select(key, "ids").mapInArrow(
         run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, ids array<int>, bytes binary")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from horosphere.llm import token_alignment as TA
-from horosphere.llm.byte_bpe import ByteBpe, decode_ids, encode_texts, round_trip
+from horosphere.llm.byte_bpe import ByteBpe, decode_ids, decoded_steps, encode_texts, encoded_steps, round_trip
 from horosphere.llm.pieces import whole_pieces
 from horosphere.llm.tables import split_pattern, tokenizer_path
 
@@ -84,6 +85,19 @@ def test_round_trip_of_documents(library, odd, odd_rows, docs, none):
     assert back == dict(rows)
 
 
+def test_a_worker_takes_a_large_batch_in_steps(own, monkeypatch):
+    """op12: of one Arrow batch, only a step of texts or ids is held as strings, lists and bytes at a time."""
+    texts = [None if i % 50 == 0 else "many é words of text %d " % i * 400 for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["doc_id", "text"])
+    sizes, encode = [], own.encode
+    monkeypatch.setattr(own, "encode", lambda rows: sizes.append(sum(len(t.encode()) for t in rows)) or encode(rows))
+    encoded = pa.Table.from_batches(encoded_steps(own, [batch], "doc_id")).combine_chunks().to_batches()
+    assert len(encoded) == 1 and len(sizes) > 4 and max(sizes) <= 1 << 20
+    back = list(decoded_steps(own, encoded, "doc_id"))
+    assert len(back) > 1 and max(4 * len(b.column(1).flatten()) for b in back) <= 1 << 20
+    assert [(r["doc_id"], r["bytes"].decode()) for b in back for r in b.to_pylist()] == [(i, t or "") for i, t in enumerate(texts)]
+
+
 def plain_alignment(texts):
     """(counts, groups) and all links of every text, from whole-text encodings."""
     a_tok, b_tok = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
