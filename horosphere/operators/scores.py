@@ -16,13 +16,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from horosphere.functions.special import EPS64, with_ln_hypergeometric, xlogx
+from horosphere.functions.special import EPS64, ln_hypergeometric, xlogx
 from horosphere.session import cut_lineage
 
 EMI_PIECE = 4096      # terms of the expected mutual information in one generated piece
+EMI_TERMS = 1 << 16   # terms that a task works out at a time (up to a piece more)
 EMI_TASKS = 4         # shares the pieces are dealt to, per core
 ALL_SCORES = ("nmi", "ami", "ari", "fmi", "v_measure", "homogeneity", "completeness")
 
@@ -57,6 +61,25 @@ def marginal_tables(cont: DataFrame, g: list[str]):
     return a, b
 
 
+def _emi_sums(a, b, total, times, first, last) -> np.ndarray:
+    """Per piece, the terms of the cell counts first to last of its size pair, which comes ``times`` times."""
+    sums = np.zeros(len(a))
+    if not len(a):
+        return sums
+    counts = (last - first).astype(np.int64) + 1
+    cuts = np.flatnonzero(np.diff((np.cumsum(counts) - 1) // EMI_TERMS)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(counts)]):
+        n_of = counts[lo:hi]
+        starts = np.cumsum(n_of) - n_of
+        at = np.repeat(np.arange(hi - lo), n_of)
+        n = first[lo:hi][at] + (np.arange(len(at)) - starts[at])
+        A, B, N = a[lo:hi], b[lo:hi], total[lo:hi]
+        p = np.exp(ln_hypergeometric(n, A, B, N, at))
+        N = N[at]
+        sums[lo:hi] = times[lo:hi] * np.add.reduceat((n / N) * (np.log(N * n) - np.log(A)[at] - np.log(B)[at]) * p, starts)
+    return sums
+
+
 def expected_mutual_info(a: DataFrame, b: DataFrame, totals: DataFrame, g: list[str],
                          width_sigmas: float = 50.0) -> DataFrame:
     """EMI under the hypergeometric model, per group: ``(group.., emi)``.
@@ -82,17 +105,22 @@ def expected_mutual_info(a: DataFrame, b: DataFrame, totals: DataFrame, g: list[
     hi2 = F.least(hi, F.ceil(mean + w)).cast("bigint")
     # long ranges go out in pieces, and the pieces are dealt over the tasks
     first = F.col("lo") + F.col("piece") * EMI_PIECE
+    last = F.least(F.col("hi"), first + (EMI_PIECE - 1))
     # their number is given: by their few bytes adaptive execution would put all pieces into one task
     shares = EMI_TASKS * a.sparkSession.sparkContext.defaultParallelism
     pairs = (pairs.withColumn("lo", lo2).withColumn("hi", hi2).where("lo <= hi")
              .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(hi - lo) div {EMI_PIECE}"))))
-             .repartition(shares, *g, "a", "b", "piece")
-             .withColumn("nij", F.explode(F.sequence(first, F.least(F.col("hi"), first + (EMI_PIECE - 1))))))
-    n = F.col("nij").cast("double")
-    pairs = with_ln_hypergeometric(pairs.drop("lo", "hi", "piece"), "_lnp", n, A, B, N)
-    term = (F.col("ma") * F.col("mb") * (n / N)
-            * (F.log(N * n) - F.log(A) - F.log(B)) * F.exp(F.col("_lnp")))
-    return pairs.groupBy(*g).agg(F.sum(term).alias("emi"))
+             .repartition(shares, *g, "a", "b", "piece"))
+    pieces = pairs.select(*g, *[c.cast("double").alias(f"_{i}") for i, c in enumerate((A, B, N, F.col("ma") * F.col("mb"), first, last))])
+    at = len(g)
+
+    def run(batches):
+        for b in batches:
+            sums = _emi_sums(*[b.column(at + i).to_numpy() for i in range(6)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(sums)], names=[*b.schema.names[:at], "_sum"])
+
+    parts = pieces.mapInArrow(run, T.StructType([*pieces.schema.fields[:at], T.StructField("_sum", T.DoubleType())]))
+    return parts.groupBy(*g).agg(F.sum("_sum").alias("emi"))
 
 
 def score_table(df: DataFrame, true_col: str = "y_true", pred_col: str = "y_pred",
